@@ -87,7 +87,7 @@ VIEWS: dict[str, str] = {
         SELECT l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS id,
                l_orderkey AS parent_id, l_linenumber AS line_no, l_partkey AS product_id,
                'Item ' || l_partkey AS product_name,
-               CASE WHEN l_partkey % 10 = 3 THEN NULL ELSE cast(1000 + l_partkey AS varchar) END AS product_code,
+               CASE WHEN l_partkey % 10 = 4 THEN NULL ELSE cast(1000 + l_partkey AS varchar) END AS product_code,
                cast(round(cast(l_extendedprice AS decimal(12,2)) * 0.01, 2) AS decimal(10,2)) AS price,
                cast(l_quantity AS int) AS quantity,
                cast(CASE l_returnflag WHEN 'R' THEN l_quantity WHEN 'A' THEN floor(l_quantity * 0.5)

@@ -24,12 +24,13 @@ def discount_price(sale_price: Column, percent: Column) -> Column:
 def implied_discount_percent(price: Column, discounted: Column) -> Column:
     """``(1 - discounted / price) * 100`` to two places; 0 without a price or a discount.
 
-    One division of cents, so the result has no intermediate rounding.
+    One integer division of cents, half away from zero.
     """
-    cut = (price - discounted) * 100
-    return F.when(
-        discounted.isNotNull() & (price > 0), F.round(cut / price, 2)
-    ).otherwise(F.lit(0)).cast(PERCENT)
+    p, d = _cents(price), _cents(discounted)
+    steps = F.call_function("div", F.abs(p - d) * 20000 + p, p * 2) * F.signum(p - d).cast("int")
+    return F.when(discounted.isNotNull() & (price > 0), steps * F.expr("0.01")).otherwise(
+        F.lit(0)
+    ).cast(PERCENT)
 
 
 def unit_price(mode: str) -> Column:

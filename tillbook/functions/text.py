@@ -52,7 +52,7 @@ def numeric_code(code: Column) -> Column:
 
 
 def bill_datetime(ts: Column) -> Column:
-    return F.date_format(ts, "dd MMM yyyy hh:mm a")
+    return F.date_format(ts, "dd MMM yyyy, hh:mm a")
 
 
 def file_stamp(ts: Column) -> Column:

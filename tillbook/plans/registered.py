@@ -2,18 +2,29 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillbook.common import comparable
-from tillbook.plans import dashboard, daybook, rankings, seller
-from tillbook.sources import testbed
+from tillbook.common import comparable, count_where, instant, money_sum
+from tillbook.functions import hashing, money, text
+from tillbook.operators import allocation, changes, nesting, quality, ranking, running
+from tillbook.operators.cooldown import accepted_requests
+from tillbook.plans import (
+    catalog, dashboard, daybook, identity, lifecycle, orders, pricing, rankings, seller, stock,
+)
+from tillbook.session import shared_dir
+from tillbook.sources import generate, sinks, testbed
+from tillbook.sources.schema import (
+    ANONYMOUS_CUSTOMER, ANONYMOUS_SELLER, CASH_OUT_REASONS, ORDER_STATUSES, ROLES, SALE_STATUSES,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 AS_OF = testbed.TRADE_AS_OF
+BOOK_AS_OF = testbed.DAYBOOK_AS_OF
 FROM, TO = testbed.DAYBOOK_FROM, testbed.DAYBOOK_TO
 
 
@@ -261,4 +272,1174 @@ def shift_cash_balance(shop):
 
 @book_query
 def cash_out_overdraw(shop):
-    return daybook.overdrawn_cash_outs(shop)
+    """Cash-outs beyond what the till had taken, were it opened empty."""
+    empty = shop.pos_shifts.withColumn("opening_cash", F.lit(0).cast("decimal(10,2)"))
+    return daybook.overdrawn_cash_outs(shop.replace(pos_shifts=empty))
+
+
+# --- scans, sources, sinks --------------------------------------------------
+
+
+@trade_query
+def scan_active(shop):
+    return catalog.content_list(shop.categories, [F.col("name"), F.col("id")])
+
+
+@query
+def scan_ordered_small(spark, sf):
+    """Nations in the role of the font list: by name."""
+    return testbed.raw(spark, sf, "nation").selectExpr(
+        "n_nationkey as id", "n_name as name", "concat(n_name, ':wght@', n_regionkey) as family_param"
+    ).orderBy("name")
+
+
+@query
+def point_lookup(spark, sf):
+    """Products by slug, for the slugs of everything that ever came back."""
+    shop = testbed.trade(spark, sf)
+    back = shop.order_items.where("returned_quantity > 0").select(F.col("product_id").alias("id")).distinct()
+    slugs = shop.products.join(back, "id", "left_semi").select("slug")
+    return catalog.product_by_slug(shop, slugs).select("id", "slug", "name", "category_name", "subcategory_name")
+
+
+@trade_query
+def bound_parameters(shop):
+    return shop.spark.sql(
+        "SELECT status, count(*) AS n FROM {orders} WHERE status IN (:first, :second)"
+        " AND created_at >= cast(:since AS timestamp_ntz) GROUP BY status",
+        args={"first": "successful", "second": "return", "since": "1996-01-01 00:00:00"},
+        orders=shop.orders,
+    )
+
+
+@trade_query
+def literal_rows(shop):
+    """Accounts per literal role, roles without accounts included."""
+    roles = sinks.literal_rows(shop.spark, ["id", "name"], list(enumerate(ROLES, start=1)))
+    users = shop.users.groupBy(F.col("role_id").alias("id")).agg(F.count(F.lit(1)).alias("users"))
+    return roles.join(users, "id", "left").withColumn("users", F.coalesce("users", F.lit(0)))
+
+
+def _scratch(spark) -> str:
+    return f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+
+
+@trade_query
+def append_rows(shop):
+    """Orders written status by status into one table, read back."""
+    path = _scratch(shop.spark)
+    for status in ORDER_STATUSES:
+        sinks.append_rows(shop.orders.where(F.col("status") == status), path)
+    out = shop.spark.read.parquet(path)
+    return out.groupBy("status").agg(F.count(F.lit(1)).alias("n"), F.sum("total_amount").alias("total"))
+
+
+@trade_query
+def truncate_reload(shop):
+    """All orders by status, then one status reloaded without its unpaid half: only that one changes."""
+    path = _scratch(shop.spark)
+    sinks.reload(shop.orders, path, partition_by="status")
+    sinks.reload(shop.orders.where("status = 'pending' and customer_id is not null"), path, partition_by="status")
+    out = shop.spark.read.parquet(path)
+    return out.groupBy("status").agg(F.count(F.lit(1)).alias("n"), F.sum("total_amount").alias("total"))
+
+
+@book_query
+def insert_select_backfill(shop):
+    """A payment per sale for a shop without payments; nothing is added where some exist."""
+    rows = lifecycle.payments_from_sales(shop.sales)
+    none, some = shop.sale_payments.where("amount < 0"), shop.sale_payments
+    return (
+        changes.insert_if_empty(none, rows).withColumn("target", F.lit("empty"))
+        .unionByName(changes.insert_if_empty(some, rows).withColumn("target", F.lit("filled")))
+    )
+
+
+@book_query
+def upsert_latest(shop):
+    """Codes per (user, purpose): sign-ups first, later views replace them and reset the attempts."""
+    def codes(kind):
+        return shop.events.where(F.col("event_type") == kind).select(
+            F.col("user_id").alias("identifier"), (F.col("k") % 3).alias("purpose"),
+            F.col("event_id").alias("payload"), (F.col("k") % 5).alias("attempts"), "ts",
+        )
+
+    current = ranking.latest_per_key(codes("signup"), ["identifier", "purpose"], ["ts", "payload"])
+    return changes.upsert_latest(
+        current, codes("view"), ["identifier", "purpose"], ["ts", "payload"], {"attempts": F.lit(0)}
+    )
+
+
+@trade_query
+def insert_missing(shop):
+    """Customers' phones that no staff account has."""
+    existing = shop.users.select("phone")
+    candidates = shop.customers.select(F.col("whatsapp_number").alias("phone"), "id", "name")
+    return changes.insert_missing(existing, candidates, ["phone"], ["id"])
+
+
+@trade_query
+def export_tables(shop):
+    """Rows of each exported table, read back from the export."""
+    folder = _scratch(shop.spark)
+    wanted = ["user_roles", "users", "customers", "categories", "subcategories", "products", "orders"]
+    paths = sinks.export_tables(shop, folder, "20240131_000000", wanted)
+    counted = [
+        shop.spark.read.parquet(p).select(F.lit(p.rsplit("/", 1)[1]).alias("file")) for p in paths
+    ]
+    pile = counted[0]
+    for c in counted[1:]:
+        pile = pile.unionByName(c)
+    return pile.groupBy("file").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def json_column(spark, sf):
+    parsed = testbed.raw(spark, sf, "events").select("event_id", F.from_json("props", "k int").alias("p"))
+    return parsed.select("event_id", F.col("p.k").alias("k"), F.to_json("p").alias("written"))
+
+
+@trade_query
+def gen_topup_products(shop):
+    return generate.topup_products(shop, target=None)
+
+
+@trade_query
+def gen_demo_orders(shop):
+    orders, _ = generate.demo_orders(shop, shop.users, AS_OF)
+    return orders
+
+
+@trade_query
+def gen_demo_lines(shop):
+    _, items = generate.demo_orders(shop, shop.users, AS_OF)
+    return items
+
+
+# --- projections, filters, predicates ---------------------------------------
+
+
+@trade_query
+def star_join(shop):
+    return rankings.with_names(shop.products, shop)
+
+
+@book_query
+def dynamic_filter(shop):
+    where = orders.sale_filters(role="Admin", staff_id=4, start="2024-01-05 00:00:00", end="2024-01-25 00:00:00")
+    return shop.sales.where(where).select("id", "staff_id", "total_amount", "created_at")
+
+
+@book_query
+def not_equal(shop):
+    return shop.sales.where("status <> 'voided'").select("id", "status")
+
+
+@trade_query
+def in_list(shop):
+    return shop.orders.where(F.col("status").isin("return", "cancelled")).select("id", "status")
+
+
+@trade_query
+def search_products(shop):
+    named = rankings.with_names(shop.products.where("is_active"), shop)
+    return catalog.search_products(named, "RinG").select("id", "name", "category_name", "subcategory_name")
+
+
+@trade_query
+def search_wildcards(shop):
+    """``%`` and ``_`` typed by the user work as wildcards."""
+    named = rankings.with_names(shop.products.where("is_active"), shop)
+    return catalog.search_products(named, "r_d%w").select("id", "name", "product_code")
+
+
+@trade_query
+def search_customers(shop):
+    return catalog.customers_list(shop, search="0001")
+
+
+@trade_query
+def customers_all(shop):
+    return catalog.customers_list(shop, active=False)
+
+
+@book_query
+def date_between(shop):
+    return shop.sales.where(daybook.on_days("2024-01-03", "2024-01-28")).select("id", "created_at")
+
+
+@book_query
+def ts_range(shop):
+    where = orders.sale_filters(start="2024-01-03", end="2024-01-28")
+    return shop.sales.where(where).select("id", "created_at")
+
+
+@trade_query
+def trailing_days(shop):
+    return shop.orders.where(rankings.since(AS_OF, 30)).select("id", "created_at")
+
+
+@trade_query
+def null_checks(shop):
+    return shop.orders.agg(
+        F.count(F.when(F.col("customer_id").isNotNull(), 1)).alias("retail"),
+        F.count(F.when(F.col("customer_id").isNull(), 1)).alias("staff"),
+    )
+
+
+@trade_query
+def active_flag(shop):
+    asked = catalog.active_flag(shop.products, "Admin", "0").withColumn("viewer", F.lit("Admin"))
+    public = catalog.active_flag(shop.products, None, "0").withColumn("viewer", F.lit("public"))
+    return asked.unionByName(public).select("viewer", "id", "is_active")
+
+
+@trade_query
+def stock_visibility(shop):
+    views = {
+        "public": catalog.stock_visibility(None, False),
+        "staff": catalog.stock_visibility("Staff", True),
+        "low": catalog.stock_visibility("Admin", True, low_stock=True),
+    }
+    return shop.products.agg(*[F.count(F.when(seen, 1)).alias(name) for name, seen in views.items()])
+
+
+@trade_query
+def low_stock(shop):
+    return catalog.product_list(shop, role="Admin", staff=True, low_stock=True).select("id", "name", "stock", "product_code")
+
+
+@trade_query
+def exclude_sentinels(shop):
+    """Accounts that are real people, customers and staff."""
+    customers = shop.customers.where(F.col("whatsapp_number") != ANONYMOUS_CUSTOMER).select("id", F.lit("customer").alias("kind"))
+    staff = shop.users.where(F.col("email") != ANONYMOUS_SELLER).select("id", F.lit("staff").alias("kind"))
+    return customers.unionByName(staff)
+
+
+@trade_query
+def regex_filter(shop):
+    return shop.products.where(F.col("product_code").rlike(text.DIGITS_PATTERN)).select("id", "product_code")
+
+
+@trade_query
+def mask_product_seller(shop):
+    return catalog.mask_columns(rankings.with_names(shop.products, shop), "product", "Seller")
+
+
+@trade_query
+def mask_product_staff(shop):
+    return catalog.mask_columns(shop.products, "product", "Staff")
+
+
+@trade_query
+def mask_analytics_staff(shop):
+    return catalog.mask_columns(shop.products, "analytics", "Staff")
+
+
+@trade_query
+def mask_wishlist_seller(shop):
+    return catalog.mask_columns(shop.products, "wishlist", "Seller")
+
+
+@trade_query
+def mask_order_items_public(shop):
+    return catalog.mask_columns(shop.order_items, "order_items", None)
+
+
+@trade_query
+def allowlist_projection(shop):
+    named = rankings.with_names(shop.products.where("is_active"), shop)
+    return catalog.allowlist(named, catalog.WHOLESALE_COLUMNS)
+
+
+@book_query
+def row_scope(shop):
+    """Sales each viewer may see: staff their own, managers and the rest of the office all."""
+    own = shop.sales.groupBy(F.col("staff_id").alias("id")).agg(F.count(F.lit(1)).alias("own"))
+    everything = shop.sales.select(F.count(F.lit(1))).scalar()
+    roles = shop.user_roles.select(F.col("id").alias("role_id"), F.col("name").alias("role"))
+    viewers = shop.users.join(roles, "role_id").select("id", "role").join(own, "id", "left")
+    visible = F.when(F.col("role") == "Staff", F.coalesce("own", F.lit(0))).otherwise(everything)
+    return viewers.select("id", "role", visible.alias("visible"))
+
+
+@book_query
+def domain_check(shop):
+    rules = {
+        "amount": F.col("amount") > 0,
+        "note": (F.col("reason") != "Other") | F.coalesce(text.is_filled(F.col("note")), F.lit(False)),
+        "reason": F.col("reason").isin(*CASH_OUT_REASONS),
+    }
+    checked = quality.domain_check(shop.cash_movements, rules)
+    return checked.select("id", "amount", "reason", F.concat_ws(",", "failed").alias("failed"))
+
+
+@trade_query
+def product_rules(shop):
+    """Discount within 0 to 100, stock a whole number of at least 1; rejected rows with reasons."""
+    rules = {
+        "discount": quality.within(F.col("discount_percent"), 0, 100),
+        "stock": quality.whole_at_least(F.col("stock"), 1),
+    }
+    _, rejected = quality.split_checked(quality.domain_check(shop.products, rules))
+    return rejected.select("id", "stock", F.concat_ws(",", "failed").alias("failed"))
+
+
+@trade_query
+def valid_email(shop):
+    mails = shop.customers.select("id", F.coalesce("email", "whatsapp_number").alias("email")).unionByName(
+        shop.users.select("id", F.concat(F.lit(" "), "email").alias("email"))
+    )
+    return mails.select("id", "email", text.valid_email(F.col("email")).alias("valid"))
+
+
+# --- joins ------------------------------------------------------------------
+
+
+@trade_query
+def fact_header_join(shop):
+    heads = shop.orders.where("status = 'successful'").select(F.col("id").alias("order_id"), "created_at")
+    return shop.order_items.join(heads, "order_id").select("id", "order_id", "product_id", "quantity", "created_at")
+
+
+@trade_query
+def dim_enrich(shop):
+    return rankings.with_names(shop.products.select("id", "category_id", "subcategory_id"), shop)
+
+
+@book_query
+def staff_customer_enrich(shop):
+    named = orders.with_staff_and_customer(shop.sales, shop)
+    return named.select("id", "staff_id", "staff_name", "customer_id", "customer_name")
+
+
+@trade_query
+def zero_preserving_rank(shop):
+    ranked = rankings.ranked_groups(shop, shop.subcategories, "subcategory_id", rankings.product_units(shop, AS_OF, 7))
+    return ranked.select("id", "name", "total_sold")
+
+
+@trade_query
+def role_filtered_join(shop):
+    return seller.seller_orders(shop).select("id", "user_id", "status", "total_amount")
+
+
+@trade_query
+def multi_party_coalesce(shop):
+    return orders.with_parties(shop.orders, shop).select(
+        "id", "customer_name", "customer_email", "customer_phone", "orderer_role"
+    )
+
+
+@trade_query
+def lookup_join(shop):
+    """Current price and stock beside every online line."""
+    return stock.lines_in_stock(shop.order_items, shop.products).select("id", "product_id", "quantity", "in_stock")
+
+
+@trade_query
+def nest_children(shop):
+    nested = nesting.nest_children(shop.orders, shop.order_items, "id", "order_id", ["product_id", "quantity"], "id")
+    return nested.select("id", "page", nesting.items_text(F.col("items"), "id", "quantity").alias("items"))
+
+
+@trade_query
+def key_conflicts(shop):
+    """Is each category name, product name or subcategory name free of other rows?"""
+    def judged(df, kind):
+        names = df.select("id", F.upper("name").alias("name"))
+        out = quality.key_conflicts(names, [(df, "name")], "name")
+        return out.select(F.lit(kind).alias("kind"), "id", "available")
+
+    return (
+        judged(shop.categories, "category").unionByName(judged(shop.subcategories, "subcategory"))
+        .unionByName(judged(shop.products, "product"))
+    )
+
+
+@trade_query
+def cross_table_conflicts(shop):
+    """Staff phones must be free among other staff and among customers."""
+    out = quality.key_conflicts(
+        shop.users.select("id", "phone"), [(shop.users, "phone"), (shop.customers, "whatsapp_number")], "phone"
+    )
+    return out.select("id", "phone", "available")
+
+
+@trade_query
+def duplicate_names(shop):
+    return quality.duplicate_keys(shop.products, text.key_of(F.col("name")))
+
+
+@trade_query
+def update_join(shop):
+    return lifecycle.with_line_codes(shop.order_items, shop.products).select("id", "order_id", "product_code")
+
+
+@trade_query
+def referential_checks(shop):
+    """What breaks, goes and stays when inactive categories are removed."""
+    kept = shop.categories.where("is_active")
+    subs = shop.subcategories.select("id", "category_id")
+    products = shop.products.select("id", "category_id")
+    return (
+        quality.orphans(subs, "category_id", kept).withColumn("kind", F.lit("orphan"))
+        .unionByName(quality.cascade(subs, "category_id", kept).withColumn("kind", F.lit("cascade")))
+        .unionByName(quality.set_null(products, "category_id", kept).withColumn("kind", F.lit("set_null")))
+    )
+
+
+@trade_query
+def wrong_parent(shop):
+    """Products whose subcategory belongs to another category, had they moved one category up."""
+    moved = shop.products.select("id", (F.col("category_id") % 25 + 1).alias("category_id"), "subcategory_id")
+    owner = shop.subcategories.select(F.col("id").alias("subcategory_id"), F.col("category_id").alias("owner"))
+    return moved.join(owner, "subcategory_id").where("owner <> category_id").select("id", "category_id", "owner")
+
+
+def _wishes(spark, sf):
+    toggles = testbed.events(spark, sf).where("event_type = 'view'").select(
+        F.when(F.col("user_id") % 2 == 0, "customer").otherwise("staff").alias("owner_type"),
+        F.col("user_id").alias("owner_id"), F.col("k").cast("bigint").alias("product_id"),
+        F.col("ts").alias("created_at"),
+    )
+    return toggles
+
+
+@query
+def wishlist_join(spark, sf):
+    shop = testbed.trade(spark, sf)
+    newest = ranking.latest_per_key(_wishes(spark, sf), ["owner_type", "owner_id", "product_id"], ["created_at"])
+    out = catalog.wishlist(shop, newest)
+    return out.select("owner_type", "owner_id", "product_id", "created_at", "name", "sale_price", "category_name", "category_slug")
+
+
+@query
+def first_source_wins(spark, sf):
+    """Who sent each event, by a phone number made of the user id."""
+    shop = testbed.trade(spark, sf)
+    requests = testbed.events(spark, sf).select(
+        "event_id", F.concat(F.lit("94"), F.lpad(F.col("user_id").cast("string"), 9, "0")).alias("login")
+    )
+    return identity.resolve(requests, "login", shop)
+
+
+# --- aggregations -----------------------------------------------------------
+
+
+@book_query
+def global_sum(shop):
+    return shop.sale_payments.agg(money_sum("amount").alias("paid"))
+
+
+@book_query
+def filtered_count(shop):
+    return shop.sales.agg(*[count_where(F.col("status") == s).alias(s) for s in SALE_STATUSES])
+
+
+@trade_query
+def status_breakdown(shop):
+    return dashboard.status_breakdown(shop.orders)
+
+
+@trade_query
+def sum_by_day(shop):
+    return dashboard.earned(shop).groupBy(F.to_date("created_at").alias("day")).agg(money_sum("total_amount").alias("revenue"))
+
+
+@trade_query
+def sum_of_product(shop):
+    units = shop.order_items.groupBy("product_id").agg(F.sum("quantity").cast("bigint").alias("units"))
+    costs = shop.products.select(F.col("id").alias("product_id"), "purchase_price")
+    return units.join(costs, "product_id").agg(
+        money_sum((F.col("units") * F.col("purchase_price")).cast("decimal(24,2)")).alias("cost")
+    )
+
+
+@book_query
+def conditional_agg(shop):
+    return shop.sales.groupBy("staff_id").agg(
+        *[count_where(F.col("status") == s).alias(f"{s}_count") for s in SALE_STATUSES],
+        *[money_sum("total_amount", F.col("status") == s).alias(f"{s}_total") for s in SALE_STATUSES],
+    )
+
+
+@trade_query
+def sum_by_day_staff(shop):
+    return (
+        daybook.with_staff(shop.sales.where("status = 'completed'"), shop)
+        .groupBy(F.to_date("created_at").alias("day"), "staff_id", "staff_name")
+        .agg(F.count(F.lit(1)).alias("n"), money_sum("total_amount").alias("total"))
+    )
+
+
+@book_query
+def staff_day_totals(shop):
+    return daybook.staff_sales(shop, FROM, TO).drop("staff_name")
+
+
+@trade_query
+def max_numeric_code(shop):
+    return generate.max_numeric_code(shop.products)
+
+
+@trade_query
+def all_rows_satisfy(shop):
+    back = F.col("returned_quantity") >= F.col("quantity")
+    return quality.all_rows_satisfy(shop.order_items, "order_id", back, "all_back")
+
+
+@trade_query
+def distinct_values(shop):
+    days = shop.sales.select(F.to_date("created_at").cast("string").alias("value"))
+    names = shop.products.select(F.col("name").alias("value"))
+    return days.unionByName(names).distinct()
+
+
+@trade_query
+def completeness(shop):
+    sections = {"contact": ["email", "phone"], "shop": ["shop_name", "city"], "status": ["status"]}
+    return quality.completeness(shop.users, sections, "id")
+
+
+@trade_query
+def column_fill(shop):
+    return quality.column_fill(shop.customers.select("id", "name", "whatsapp_number", "email"))
+
+
+@trade_query
+def existence_count(shop):
+    return generate.children_per_parent(shop.orders.select("id"), shop.order_items, "order_id")
+
+
+@book_query
+def residual_to_largest(shop):
+    """Payments of each sale scaled from the total to the subtotal."""
+    wholes = shop.sales.select(F.col("id").alias("sale_id"), "total_amount", "subtotal")
+    return allocation.scale_parts(shop.sale_payments, wholes, "sale_id", "method", "amount", "total_amount", "subtotal")
+
+
+# --- lists ------------------------------------------------------------------
+
+
+@trade_query
+def sales_list(shop):
+    out = orders.sales_list(shop)
+    return out.select("id", "staff_id", "staff_name", "customer_id", "customer_name", "total_amount", "status", "created_at")
+
+
+@book_query
+def sales_list_filtered(shop):
+    where = orders.sale_filters(role="Staff", me=3, staff_id=5, start="2024-01-10")
+    out = orders.sales_list(shop, where)
+    return out.select("id", "staff_id", "staff_name", "customer_name", "total_amount", "created_at")
+
+
+@trade_query
+def sale_detail(shop):
+    out = orders.sale_detail(shop)
+    return out.select(
+        "id", "staff_name", "customer_name", "total_amount", "status", "page",
+        nesting.items_text(F.col("items"), "id", "product_id", "quantity", "returned_quantity").alias("items"),
+    )
+
+
+@trade_query
+def orders_admin_list(shop):
+    out = orders.orders_admin_list(shop)
+    return out.select(
+        "id", "total_amount", "status", "created_at", "customer_name", "customer_email", "customer_phone",
+        "orderer_role", "page",
+        nesting.items_text(F.col("items"), "id", "product_code", "price", "quantity").alias("items"),
+    )
+
+
+@trade_query
+def my_orders(shop):
+    out = orders.my_orders(shop)
+    return out.select(
+        "party_type", "party_id", "id", "status", "total_amount", "page",
+        nesting.items_text(F.col("items"), "id", "product_name", "quantity").alias("items"),
+    )
+
+
+@trade_query
+def product_list(shop):
+    return catalog.product_list(shop)
+
+
+@trade_query
+def product_list_filtered(shop):
+    out = catalog.product_list(
+        shop, role="Seller", staff=True, category="brand-4", search="e", limit=25, offset=5
+    )
+    return out
+
+
+@trade_query
+def wholesale_list(shop):
+    return catalog.wholesale_list(shop, search="economy")
+
+
+@trade_query
+def users_list(shop):
+    return catalog.users_list(shop)
+
+
+@trade_query
+def users_pending(shop):
+    return catalog.users_list(shop, "pending")
+
+
+@trade_query
+def subcategory_list(shop):
+    return catalog.subcategory_list(shop)
+
+
+def _holds(shop):
+    return shop.events.where("event_type = 'view'").select(
+        F.col("event_id").alias("id"), "staff_id", F.col("user_id").alias("customer_id"),
+        F.concat(
+            F.lit('[{"product_id": '), "user_id", F.lit(', "quantity": '), "k",
+            F.lit('}, {"product_id": '), "event_id", F.lit(', "quantity": 1, "note": "gift"}]'),
+        ).alias("items"),
+        F.col("ts").alias("created_at"),
+    )
+
+
+@book_query
+def holds_list(shop):
+    out = orders.holds_list(_holds(shop), shop)
+    return out.select("id", "staff_id", "customer_name", "created_at", nesting.items_text(F.col("items"), "product_id", "quantity").alias("items"))
+
+
+@book_query
+def json_items(shop):
+    return orders.hold_lines(_holds(shop))
+
+
+# --- sorts, limits, sets ----------------------------------------------------
+
+
+@trade_query
+def multi_key_order(shop):
+    """Rank of every category under two keys, nulls first, as the list shows it."""
+    ranked = rankings.ranked_groups(shop, shop.categories, "category_id")
+    listed = running.position(
+        ranked.withColumn("_less", -F.col("total_sold")), [], ["_less", "name"], "rank",
+        F.floor(F.col("_less") / 1000),
+    )
+    return listed.select("id", "name", "total_sold", "rank")
+
+
+@trade_query
+def page(shop):
+    return ranking.page(shop.products.select("id", "created_at"), catalog.newest(), limit=40, offset=120)
+
+
+@trade_query
+def top_k(shop):
+    order = [F.col("total_amount").desc(), F.col("id")]
+    return ranking.top_k(shop.orders.select("id", "total_amount"), order, 25)
+
+
+@trade_query
+def priority_order(shop):
+    """Per role: the approved account if there is one, else any, lowest id first."""
+    first = F.when(F.col("status") == "approved", 0).otherwise(1)
+    rows = shop.users.select("role_id", "id", "name", "status", first.alias("priority"))
+    return ranking.earliest_per_key(rows, ["role_id"], ["priority", "id"])
+
+
+@book_query
+def arg_max(shop):
+    """Largest payment of each sale, the earliest on ties."""
+    rows = shop.sale_payments.select("sale_id", "id", "amount", (-F.col("amount")).alias("less"))
+    return ranking.earliest_per_key(rows, ["sale_id"], ["less", "id"]).select("sale_id", "id", "amount")
+
+
+@trade_query
+def union_all_channels(shop):
+    return dashboard.earned(shop)
+
+
+@trade_query
+def union_distinct(shop):
+    return identity.taken_identifiers(shop)
+
+
+@trade_query
+def set_difference(shop):
+    """Customers who never ordered online."""
+    buyers = shop.orders.select(F.col("customer_id").alias("id"))
+    return shop.customers.select("id", "name").join(buyers, "id", "left_anti")
+
+
+@book_query
+def permutation_check(shop):
+    """Does a user's list of event types name each of the five exactly once?"""
+    keys = ["click", "error", "purchase", "signup", "view"]
+    lists = shop.events.select(
+        F.concat_ws("-", "user_id", F.col("day").cast("string")).alias("list"), "event_type", F.col("k").alias("position")
+    )
+    return quality.permutation_check(lists, "list", "event_type", "position", keys)
+
+
+# --- windows ----------------------------------------------------------------
+
+
+@trade_query
+def line_numbers(shop):
+    out = orders.line_numbers(shop.order_items, "order_id", ["line_no", "id"], F.col("line_no"))
+    return out.select("order_id", "id", "number")
+
+
+@book_query
+def latest_per_key(shop):
+    return ranking.latest_per_key(
+        shop.events.select("user_id", "event_type", "ts", "event_id", "v"), ["user_id", "event_type"], ["ts", "event_id"]
+    )
+
+
+@trade_query
+def stock_ledger(shop):
+    return stock.stock_ledger(shop)
+
+
+@trade_query
+def share_of_total(shop):
+    value = F.col("price") * F.col("quantity")
+    return allocation.share_of_total(shop.sale_items, "sale_id", value, "share").select("id", "sale_id", "share")
+
+
+@book_query
+def cooldown(shop):
+    """Code requests per user and type, at most one a day."""
+    events = shop.events.select("user_id", "event_type", "ts", "event_id")
+    return accepted_requests(events, ["user_id", "event_type"], "ts", "event_id", seconds=86_400)
+
+
+# --- scalars ----------------------------------------------------------------
+
+
+@trade_query
+def discount_price(shop):
+    return shop.products.select(
+        "id", money.discount_price(F.col("sale_price"), F.col("discount_percent")).alias("discount_price")
+    )
+
+
+@trade_query
+def implied_discount_pct(shop):
+    return shop.products.select(
+        "id", money.implied_discount_percent(F.col("sale_price"), F.col("discount_price")).alias("percent"),
+        money.implied_discount_percent(F.col("sale_price"), F.col("purchase_price")).alias("margin"),
+    )
+
+
+@trade_query
+def scalar_basics(shop):
+    return shop.orders.select(
+        "id",
+        F.coalesce("shipping_name", F.lit("-")).alias("receiver"),
+        F.when(F.col("customer_id").isNull(), "staff").otherwise("customer").alias("party"),
+        F.to_date("created_at").alias("day"),
+        F.col("shipping_name").try_cast("bigint").alias("as_number"),
+        F.datediff(F.to_date(instant(AS_OF)), F.to_date("created_at")).alias("age_days"),
+        text.key_of(F.concat(F.lit("  "), "status", F.lit(" "))).alias("status_key"),
+    )
+
+
+@query
+def slugify(spark, sf):
+    return testbed.pages(spark, sf).select("page_id", text.slugify(F.col("url")).alias("slug"))
+
+
+@query
+def extract_url_params(spark, sf):
+    pages = testbed.pages(spark, sf)
+    picked = [F.concat_ws("|", text.query_parameter(F.col("url"), n)).alias(n) for n in ("page", "ref", "utm_source")]
+    return pages.select("page_id", *picked)
+
+
+@query
+def font_families(spark, sf):
+    """Families in a link made of the page's host and path, first of a name wins."""
+    host = F.regexp_extract("url", "//([^/]+)/", 1)
+    snippet = F.concat(
+        F.lit('<link href="https://fonts.test/css2?family='), F.replace(host, F.lit("."), F.lit("+")),
+        F.lit(":wght@400&family=Noto+Sans%20Mono:ital&family="), F.replace(host, F.lit("."), F.lit("+")),
+        F.lit(':wght@700" rel="stylesheet">'),
+    )
+    fonts = testbed.pages(spark, sf).select("page_id", F.posexplode(text.font_families(snippet)).alias("pos", "font"))
+    return fonts.select("page_id", "pos", "font.*")
+
+
+@query
+def page_links(spark, sf):
+    """Links of each page made absolute."""
+    hrefs = F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))
+    links = testbed.pages(spark, sf).select("page_id", F.posexplode(hrefs).alias("pos", "href"))
+    return links.select("page_id", "pos", text.absolute_url(F.col("href"), "https://shop.test/").alias("link"))
+
+
+@query
+def resolve_url(spark, sf):
+    pages = testbed.pages(spark, sf)
+    path = F.when(F.col("page_id") % 3 == 0, F.col("url")).otherwise(F.regexp_extract("url", "//[^/]+/(.*)$", 1))
+    return pages.select("page_id", text.absolute_url(path, "https://shop.test").alias("link"))
+
+
+@query
+def folder_id(spark, sf):
+    given = F.when(
+        F.col("page_id") % 2 == 0, F.concat("url", F.lit("/folders/a_"), "page_id", F.lit("?usp=x"))
+    ).otherwise(F.concat(F.lit(" id-"), "page_id", F.lit(" ")))
+    return testbed.pages(spark, sf).select("page_id", text.folder_id(given).alias("folder"))
+
+
+@trade_query
+def format_money(shop):
+    return shop.orders.select("id", money.format_money(F.col("total_amount")).alias("total"))
+
+
+@book_query
+def format_datetime(shop):
+    return shop.events.select("event_id", text.bill_datetime(F.col("ts")).alias("shown"))
+
+
+@book_query
+def timestamp_suffix(shop):
+    return shop.events.select("event_id", text.file_stamp(F.col("ts")).alias("stamp"))
+
+
+@trade_query
+def is_filled(shop):
+    return shop.customers.select("id", text.is_filled(F.col("email")).alias("filled"))
+
+
+@trade_query
+def scalar_math(shop):
+    p, q = F.col("price"), F.col("quantity")
+    return shop.order_items.select(
+        "id",
+        F.greatest(F.lit(0), q - 25).alias("over"),
+        F.least(q, F.lit(10)).alias("capped"),
+        F.ceil(p / 60).cast("bigint").alias("minutes"),
+        F.round(p, 0).cast("bigint").alias("whole"),
+        F.abs(q - 25).alias("distance"),
+    )
+
+
+@trade_query
+def net_qty(shop):
+    return shop.sale_items.select("id", money.net_quantity(F.col("quantity"), F.col("returned_quantity")).alias("net"))
+
+
+@trade_query
+def round2(shop):
+    return shop.order_items.select("id", money.round2(F.col("price") * F.expr("0.125")).cast("decimal(10,2)").alias("eighth"))
+
+
+@trade_query
+def stable_unit_hash(shop):
+    key = F.concat(F.lit("z:"), "slug")
+    return shop.products.select("id", hashing.fnv1a(key).alias("hash"), F.floor(hashing.stable_unit(key) * 100).alias("percentile"))
+
+
+@trade_query
+def bill_ratio(shop):
+    return shop.sales.select("id", money.bill_ratio_bp(F.col("total_amount"), F.col("subtotal")).alias("ratio"))
+
+
+@trade_query
+def item_label(shop):
+    return shop.order_items.select("id", text.item_label(F.col("product_code"), F.col("product_name")).alias("label"))
+
+
+@trade_query
+def weighted_pick(shop):
+    """A product for every customer, by popularity."""
+    weight = F.col("stock") % 8 + 1
+    slots = generate.weighted_slots(shop.products, "id", weight).withColumnRenamed("id", "product_id")
+    total = shop.products.select(F.sum(weight)).scalar()
+    return generate.weighted_pick(shop.customers.select("id"), F.col("id") * 7919, slots, total)
+
+
+@trade_query
+def order_bill_text(shop):
+    """The message of every customer order."""
+    items = orders.line_numbers(shop.order_items, "order_id", ["line_no", "id"], F.col("line_no"))
+    people = shop.customers.select(
+        F.col("id").alias("customer_id"), F.col("name").alias("sender_name"),
+        F.when(F.col("id") % 2 == 0, F.col("whatsapp_number")).alias("sender_phone"),
+    )
+    heads = shop.orders.join(people, "customer_id").withColumnRenamed("id", "order_id")
+    return orders.bill_text(heads, items)
+
+
+@trade_query
+def seller_bill_text(shop):
+    """The message of every seller order, at cost."""
+    heads = seller.seller_orders(shop).withColumnRenamed("id", "order_id")
+    people = shop.users.select(
+        F.col("id").alias("user_id"), F.col("name").alias("sender_name"), F.col("phone").alias("sender_phone"),
+        "shop_name", F.when(F.col("id") % 2 == 0, F.col("city")).alias("city"),
+    )
+    items = orders.line_numbers(shop.order_items, "order_id", ["line_no", "id"], F.col("line_no"))
+    return orders.bill_text(heads.join(people, "user_id"), items, seller=True)
+
+
+@query
+def rename_status(spark, sf):
+    renamed = changes.rename_values(F.col("o_orderstatus"), {"O": "pending", "P": "pending", "F": "successful"})
+    return testbed.raw(spark, sf, "orders").groupBy(renamed.alias("status")).agg(F.count(F.lit(1)).alias("n"))
+
+
+# --- state changes ----------------------------------------------------------
+
+
+@trade_query
+def price_lines(shop):
+    """Every online line at the price its order's party pays."""
+    cost = shop.order_items.join(pricing.is_seller_order(shop), "order_id", "left_semi")
+    online = shop.orders.select(F.col("id").alias("order_id"))
+    retail = (
+        shop.order_items.join(online, "order_id", "left_semi")
+        .join(pricing.is_seller_order(shop), "order_id", "left_anti")
+    )
+    cols = ["id", "order_id", "product_name", "product_code", "price", "quantity", "line_total"]
+    return (
+        pricing.price_lines(cost, shop.products, "cost").select(*cols)
+        .unionByName(pricing.price_lines(retail, shop.products, "retail").select(*cols))
+    )
+
+
+def _till_carts(shop):
+    priced = pricing.price_lines(shop.sale_items, shop.products, "till")
+    sales = shop.sales.select(F.col("id").alias("sale_id"), "status", "discount_amount", "balance_due")
+    return pricing.cart_totals(priced, "sale_id").join(sales, "sale_id").select(
+        "sale_id", "status", "subtotal",
+        F.when(F.col("sale_id") % 7 == 0, F.col("subtotal") + 1).otherwise(F.least("discount_amount", "subtotal")).alias("discount_amount"),
+        (F.col("sale_id") % 4 * F.expr("2.5")).alias("tax_percent"),
+        (F.col("sale_id") % 3 * 5).cast("decimal(5,2)").alias("service_charge_percent"),
+        F.when(F.col("sale_id") % 5 == 0, None).when(F.col("sale_id") % 5 == 1, F.lit(-1))
+        .otherwise(F.col("balance_due")).cast("decimal(20,2)").alias("amount_paid"),
+    )
+
+
+@trade_query
+def bill_totals(shop):
+    out = pricing.bill_totals(_till_carts(shop))
+    return out.drop("tax_percent", "service_charge_percent")
+
+
+def _reserved(shop):
+    heads = shop.orders.select(F.col("id").alias("order_id"), "created_at")
+    lines = shop.order_items.select("order_id", "id", "product_id", "quantity").join(heads, "order_id")
+    return stock.reserve_stock(
+        lines, shop.products, ["created_at", "order_id", "id"], F.date_trunc("year", "created_at")
+    )
+
+
+@trade_query
+def stock_check(shop):
+    """Order lines served in request order while stock lasts."""
+    return _reserved(shop).select("id", "order_id", "product_id", "quantity", "admitted")
+
+
+@trade_query
+def stock_check_carts(shop):
+    return stock.whole_carts(_reserved(shop), "order_id")
+
+
+def _status_requests(shop):
+    word = F.element_at(
+        F.array(*[F.lit(s) for s in (*ORDER_STATUSES, "shipped")]), (F.col("id") % 5 + 1).cast("int")
+    )
+    return shop.orders.select(F.col("id").alias("order_id"), word.alias("to_status"))
+
+
+@trade_query
+def order_transition(shop):
+    decided, _ = lifecycle.order_transitions(shop.orders, shop.order_items, shop.products, _status_requests(shop))
+    return decided
+
+
+@trade_query
+def order_transition_moves(shop):
+    _, moves = lifecycle.order_transitions(shop.orders, shop.order_items, shop.products, _status_requests(shop))
+    return moves
+
+
+@trade_query
+def resold_after_return(shop):
+    return lifecycle.resold_after_return(shop.orders, shop.order_items)
+
+
+def _return_requests(items, parent):
+    """Per line: bring back a third of it; every eleventh product asks for too much."""
+    third = F.floor(F.col("quantity") / 3)
+    asked = F.when(F.col("product_id") % 97 == 0, F.col("quantity") + 1).otherwise(third)
+    return items.select(parent, F.col("id").alias("line_id"), asked.cast("int").alias("quantity"))
+
+
+@trade_query
+def order_return(shop):
+    after, _, _ = lifecycle.order_returns(shop.orders, shop.order_items, _return_requests(shop.order_items, "order_id"))
+    return after
+
+
+@trade_query
+def order_return_refused(shop):
+    _, _, refused = lifecycle.order_returns(shop.orders, shop.order_items, _return_requests(shop.order_items, "order_id"))
+    return refused
+
+
+def _billed_sales(shop):
+    """Sales whose bill is that of their own lines."""
+    carts = pricing.cart_totals(
+        shop.sale_items.withColumn("line_total", (F.col("price") * F.col("quantity")).cast("decimal(20,2)")), "sale_id"
+    )
+    sales = shop.sales.select(F.col("id").alias("sale_id"), "status")
+    bills = pricing.bill_totals(
+        carts.join(sales, "sale_id").select(
+            "sale_id", "status", "subtotal",
+            F.round(F.col("subtotal") * (F.col("sale_id") % 5) * F.expr("0.01"), 2).alias("discount_amount"),
+            (F.col("sale_id") % 4 * F.expr("2.5")).alias("tax_percent"),
+            F.lit(0).alias("service_charge_percent"),
+            F.lit(None).cast("decimal(20,2)").alias("amount_paid"),
+        )
+    )
+    return bills.withColumnRenamed("sale_id", "id")
+
+
+def _unreturned(items):
+    return items.withColumn("returned_quantity", F.lit(0))
+
+
+@trade_query
+def sale_return(shop):
+    items = _unreturned(shop.sale_items)
+    after, _, _ = lifecycle.sale_returns(_billed_sales(shop), items, _return_requests(items, "sale_id"))
+    return after
+
+
+@trade_query
+def stock_movements(shop):
+    return stock.stock_movements(shop)
+
+
+@trade_query
+def stock_balance(shop):
+    return stock.stock_balance(shop)
+
+
+@trade_query
+def void_sales(shop):
+    requests = shop.sales.select((F.col("id") + 1).alias("sale_id"), F.lit(1).alias("voided_by"))
+    decided, _ = lifecycle.void_sales(shop.sales, shop.sale_items, requests)
+    return decided.select("sale_id", "outcome")
+
+
+@trade_query
+def void_restock(shop):
+    requests = shop.sales.select(F.col("id").alias("sale_id"), F.lit(1).alias("voided_by"))
+    _, back = lifecycle.void_sales(shop.sales, shop.sale_items, requests)
+    return back
+
+
+def _late_requests(shop):
+    """Late payments five times over, so that many no longer fit."""
+    late = shop.sale_payments.where("id <> sale_id")
+    return late.select("id", "sale_id", (F.col("amount") * 5).cast("decimal(10,2)").alias("amount"), "method", "created_at")
+
+
+@book_query
+def apply_payments(shop):
+    judged, _ = lifecycle.apply_payments(
+        shop.sales, _late_requests(shop), ["created_at", "id"], F.to_date("created_at")
+    )
+    return judged.select("id", "sale_id", "amount", "admitted")
+
+
+@book_query
+def apply_payments_sales(shop):
+    _, after = lifecycle.apply_payments(
+        shop.sales, _late_requests(shop), ["created_at", "id"], F.to_date("created_at")
+    )
+    return after
+
+
+@book_query
+def close_shifts(shop):
+    counted = shop.pos_shifts.where("status = 'open'").select(
+        F.col("id").alias("shift_id"), (F.col("opening_cash") + F.col("staff_id")).alias("counted_cash"),
+        instant(BOOK_AS_OF).alias("counted_at"),
+    )
+    return lifecycle.close_shifts(shop, counted)
+
+
+@trade_query
+def soft_delete_restore(shop):
+    """Products nobody ordered online go; everything ordered comes back."""
+    ordered = shop.order_items.select(F.col("product_id").alias("id"))
+    heads = shop.orders.where("status = 'successful'").select(F.col("id").alias("order_id"))
+    sold = shop.order_items.join(heads, "order_id", "left_semi").select(F.col("product_id").alias("id"))
+    unsold = shop.products.select("id").join(sold, "id", "left_anti")
+    gone = changes.set_active(shop.products, unsold, False)
+    return changes.set_active(gone, ordered, True).select("id", "is_active")
+
+
+@trade_query
+def partial_update(shop):
+    """One patch per customer: a new e-mail for some, none for others, the name left alone."""
+    patches = shop.customers.select(
+        "id",
+        (F.col("id") % 2 == 0).alias("has_email"),
+        F.when(F.col("id") % 4 == 0, F.concat(F.lit("new"), "id", F.lit("@mail.test"))).alias("email"),
+        (F.col("id") % 3 == 0).alias("has_name"),
+        F.upper("name").alias("name"),
+    )
+    return changes.partial_update(shop.customers, patches, "id", ["email", "name"]).select("id", "name", "email")
+
+
+@query
+def wishlist_toggle(spark, sf):
+    return changes.toggled_on(_wishes(spark, sf), ["owner_type", "owner_id", "product_id"])
+
+
+@query
+def approve_reject(spark, sf):
+    """Sign-up events decide on the seller accounts, the last one counts."""
+    shop = testbed.trade(spark, sf)
+    decisions = testbed.events(spark, sf).where("event_type = 'signup'").select(
+        (F.col("user_id") % 40).alias("id"), (F.col("k") % 2 == 0).alias("approve"), F.col("ts").alias("decided_at")
+    )
+    return changes.decide(shop.users, decisions).select("id", "status", "is_active")
+
+
+@book_query
+def backfills(shop):
+    return lifecycle.as_fully_paid(shop.sales).select("id", "total_amount", "amount_paid", "balance_due")
+
+
+@trade_query
+def backfill_legal_text(shop):
+    """Placeholder pages for shops that never wrote them, every seller having one row of settings."""
+    settings = shop.users.select(
+        "id", F.col("shop_name").alias("terms_content"), F.lit(None).cast("string").alias("return_policy_content"),
+        F.col("city").alias("privacy_policy_content"), F.col("phone").alias("about_content"),
+    )
+    return lifecycle.with_legal_text(settings)
+
+
+@trade_query
+def ensure_columns(shop):
+    """Customers in the current shape: renamed, a flag added, an old column dropped."""
+    old = shop.customers.select("id", F.col("name").alias("full_name"), "whatsapp_number", F.lit("x").alias("smtp_host"))
+    return changes.conform(
+        old, {"id": "bigint", "name": "string", "whatsapp_number": "string", "is_active": "boolean", "city": "string"},
+        defaults={"is_active": True}, renames={"full_name": "name"},
+    )
