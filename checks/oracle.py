@@ -200,6 +200,17 @@ BALCOLS = f"shift_id, {stamp('created_at', 'created_at')}, kind, id, {cents('del
 check("shift_cash_balance", f"SELECT {BALCOLS} FROM ({BALANCE})")
 check("cash_out_overdraw", f"""SELECT {BALCOLS}, {cents('-balance', 'short_by')}
         FROM ({BALANCE.replace('h.opening_cash + ', '')}) WHERE kind = 'out' AND balance < 0""")
+check("cash_out_decisions", """SELECT key AS shift_id, kind, ref AS id, delta, cast(ok AS int) AS admitted FROM walk""",
+      recursive=True, extra="""req AS MATERIALIZED (
+            SELECT shift_id AS key, kind, id AS ref, cast(round(delta * 100) AS bigint) AS delta,
+                   row_number() OVER (PARTITION BY shift_id ORDER BY created_at, kind, id) AS rn
+            FROM (SELECT shift_id, created_at, 'in' AS kind, id, amount AS delta FROM bk_valid WHERE method = 'cash'
+                  UNION ALL SELECT shift_id, created_at, 'out', id, -amount FROM bk_cash)),
+        walk AS (SELECT key, kind, ref, delta, rn, delta >= 0 AS ok, greatest(delta, 0) AS till FROM req WHERE rn = 1
+            UNION ALL
+            SELECT r.key, r.kind, r.ref, r.delta, r.rn, w.till + r.delta >= 0,
+                   CASE WHEN w.till + r.delta >= 0 THEN w.till + r.delta ELSE w.till END
+            FROM walk w JOIN req r ON r.key = w.key AND r.rn = w.rn + 1)""")
 
 # --- scans, sources, sinks --------------------------------------------------
 
@@ -787,3 +798,51 @@ check("backfill_legal_text", """SELECT id, coalesce(shop_name, 'Update Soon') AS
         'Update Soon' AS return_policy_content, coalesce(city, 'Update Soon') AS privacy_policy_content,
         coalesce(phone, 'Update Soon') AS about_content FROM sh_users""")
 check("ensure_columns", """SELECT id, name, whatsapp_number, 1 AS is_active, cast(NULL AS varchar) AS city FROM sh_customers""")
+
+# --- streams ----------------------------------------------------------------
+
+check("stream_x_report", f"""SELECT shift_id, count(*) FILTER (status = 'completed') AS transaction_count,
+        {cents("coalesce(sum(total_amount) FILTER (status = 'completed'), 0)", 'total_sales')},
+        {cents("coalesce(sum(discount_amount) FILTER (status = 'completed'), 0)", 'total_discount')},
+        {cents("coalesce(sum(balance_due) FILTER (status = 'completed'), 0)", 'total_balance_due')}
+        FROM bk_sales GROUP BY 1""")
+check("stream_revenue_by_day", f"""SELECT {day('created_at')}, {cents('sum(total_amount)', 'revenue')} FROM bk_sales
+        WHERE status = 'completed' GROUP BY 1""")
+check("stream_hot_products", """SELECT cast(until AS varchar) AS until, product_id, total_sold, rank FROM (
+        SELECT *, row_number() OVER (PARTITION BY until ORDER BY total_sold DESC, product_id) AS rank FROM (
+          SELECT day + 1 + cast(i AS int) AS until, user_id AS product_id, cast(sum(k) AS bigint) AS total_sold
+          FROM (SELECT * FROM bk_events WHERE event_type = 'purchase'), range(7) t(i) GROUP BY 1, 2)) WHERE rank <= 5""")
+check("stream_ttl_state", """SELECT user_id AS identifier, purpose, event_id, outcome FROM walk""", recursive=True,
+      extra="""req AS MATERIALIZED (SELECT user_id, CASE WHEN user_id % 2 = 0 THEN 'register' ELSE 'reset' END AS purpose,
+            event_id, cast(floor(epoch(ts)) AS bigint) AS now, event_type IN ('signup', 'view') AS asks, k % 4 = 0 AS correct,
+            row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM bk_events),
+        walk AS (SELECT user_id, purpose, event_id, rn, CASE WHEN asks THEN 'sent' ELSE 'none' END AS outcome,
+                CASE WHEN asks THEN now END AS made, 0 AS tried FROM req WHERE rn = 1
+            UNION ALL
+            SELECT user_id, purpose, event_id, rn, outcome,
+                CASE outcome WHEN 'sent' THEN now WHEN 'refused' THEN made WHEN 'wrong' THEN made END,
+                CASE outcome WHEN 'refused' THEN tried WHEN 'wrong' THEN tried + 1 ELSE 0 END
+            FROM (SELECT r.*, w.made, w.tried, CASE
+                    WHEN r.asks AND w.made IS NOT NULL AND r.now - w.made < 3600 THEN 'refused'
+                    WHEN r.asks THEN 'sent'
+                    WHEN w.made IS NULL THEN 'none'
+                    WHEN w.made + 36000 < r.now THEN 'expired'
+                    WHEN w.tried >= 2 THEN 'too many'
+                    WHEN NOT r.correct THEN 'wrong' ELSE 'ok' END AS outcome
+                  FROM walk w JOIN req r ON r.user_id = w.user_id AND r.rn = w.rn + 1))""")
+check("stream_dedupe", f"SELECT event_id, user_id, event_type, {cents('v', 'v')} FROM bk_events")
+check("stream_dedupe_upsert", f"""SELECT identifier, purpose, payload, {stamp('ts', 'ts')} FROM (
+        SELECT user_id AS identifier, k % 3 AS purpose, event_id AS payload, ts,
+               row_number() OVER (PARTITION BY user_id, k % 3 ORDER BY ts DESC, event_id DESC) AS rn
+        FROM bk_events WHERE event_type IN ('view', 'signup')) WHERE rn = 1""")
+check("stream_stock", """SELECT user_id AS product_id,
+        cast(sum(CASE WHEN event_type = 'purchase' THEN -(k // 10 + 1) ELSE 5 END) AS bigint) AS moved
+        FROM bk_events WHERE event_type IN ('purchase', 'signup') GROUP BY 1""")
+SESSIONS = f"""SELECT staff_id, {stamp('min(ts)', 'opened_at')}, {stamp('max(ts) + INTERVAL 4 HOUR', 'closed_at')},
+        count(*) AS events, max(ts) + INTERVAL 4 HOUR AS ends FROM (
+        SELECT *, sum(fresh) OVER (PARTITION BY staff_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS session FROM (
+          SELECT *, CASE WHEN ts > lag(ts) OVER (PARTITION BY staff_id ORDER BY ts, event_id) + INTERVAL 4 HOUR
+                         THEN 1 ELSE 0 END AS fresh FROM bk_events)) GROUP BY staff_id, session"""
+check("session_shifts", f"SELECT * EXCLUDE (ends) FROM ({SESSIONS})")
+check("stream_session_shifts", f"""SELECT * EXCLUDE (ends) FROM ({SESSIONS})
+        WHERE ends <= (SELECT max(ts) FROM bk_events) - INTERVAL 1 DAY""")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tillbook.operators.running import running
+from tillbook.operators.running import Running, running, running_all
 from tillbook.session import cut_lineage
 
 
@@ -79,3 +79,45 @@ def admit_in_order(
         pending = rest.where(~refused)
         if pending.isEmpty():
             return decided.drop("_room", "_need")
+
+
+def admit_with_inflows(
+    events: DataFrame,
+    opening: DataFrame,
+    key: str,
+    order: list[str],
+    delta: str,
+    bucket: Column,
+    opening_col: str = "opening",
+) -> DataFrame:
+    """Adds ``admitted`` to events that fill (delta >= 0) or draw on (delta < 0) a balance.
+
+    Fillings always count; a drawing is taken only if the balance covers it at
+    that moment, otherwise it changes nothing. Exact: each round bounds the
+    balance before every open drawing from above (no other open drawing
+    taken) and from below (all of them taken, restarted at 0 where that would
+    go negative, which the true balance never does), and settles the drawings
+    both bounds agree on. The earliest open drawing of a key is always settled,
+    most others are settled in the first rounds.
+    """
+    base = opening.select(F.col(key).alias("_k"), F.col(opening_col).alias("_opening"))
+    state = events.join(base, events[key] == F.col("_k")).drop("_k").withColumn(
+        "admitted", F.when(F.col(delta) >= 0, F.lit(True))
+    )
+    state = cut_lineage(state)
+    while True:
+        open_ = F.col("admitted").isNull()
+        sure = F.when(F.col("admitted"), F.col(delta)).otherwise(F.lit(0))
+        worst = F.when(open_, F.col(delta)).otherwise(sure)
+        bounds = [Running("_high", sure, inclusive=False), Running("_low", worst, inclusive=False)]
+        walked = running_all(state, [key], order, bounds, bucket)
+        walked = running(walked, [key], order, F.col("_opening") + F.col("_low"), "_dip", bucket, how="min")
+        high = F.col("_opening") + F.col("_high")
+        low = F.col("_opening") + F.col("_low") - F.least(F.lit(0), F.col("_dip"))
+        need = -F.col(delta)
+        verdict = (
+            F.when(~open_, F.col("admitted")).when(need <= low, F.lit(True)).when(need > high, F.lit(False))
+        )
+        state = cut_lineage(walked.withColumn("admitted", verdict).drop("_high", "_low", "_dip"))
+        if state.where("admitted is null").isEmpty():
+            return state.drop("_opening")

@@ -2,12 +2,23 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 _COMBINE = {"sum": F.sum, "max": F.max, "min": F.min}
 
 
+class Running(NamedTuple):
+    """One running column: its name, the value, how it combines, and whether it counts the row itself."""
+
+    out: str
+    value: Column
+    how: str = "sum"
+    inclusive: bool = True
+
+
 def running(
     df: DataFrame,
     keys: list[str],
@@ -18,7 +29,14 @@ def running(
     how: str = "sum",
     inclusive: bool = True,
 ) -> DataFrame:
-    """Running ``how`` of ``value`` per key in the given order.
+    """Running ``how`` of ``value`` per key in the given order; see ``running_all``."""
+    return running_all(df, keys, order, [Running(out, value, how, inclusive)], bucket)
+
+
+def running_all(
+    df: DataFrame, keys: list[str], order: list[str], columns: list[Running], bucket: Column
+) -> DataFrame:
+    """Adds running columns per key in the given order.
 
     ``bucket`` must grow with the order (a day or month of the leading
     timestamp, a range of the leading id). Each (key, bucket) is reduced first,
@@ -27,34 +45,40 @@ def running(
     all rows is spread over its buckets instead of landing in one task.
     The exclusive form yields null before the first row (0 for a sum).
     """
-    combine = _COMBINE[how]
-    spread = df.withColumn("_bucket", bucket).withColumn("_value", value)
+    n = range(len(columns))
+    spread = df.withColumn("_bucket", bucket).withColumns(
+        {f"_value{i}": columns[i].value for i in n}
+    )
     part_keys = [*keys, "_bucket"]
 
-    totals = spread.groupBy(*part_keys).agg(combine("_value").alias("_part"))
+    totals = spread.groupBy(*part_keys).agg(
+        *[_COMBINE[columns[i].how](f"_value{i}").alias(f"_part{i}") for i in n]
+    )
     before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    carried = totals.select(*part_keys, combine("_part").over(before).alias("_carried"))
+    carried = totals.select(
+        *[F.col(k).alias(f"_key{j}") for j, k in enumerate(part_keys)],
+        *[_COMBINE[columns[i].how](f"_part{i}").over(before).alias(f"_carried{i}") for i in n],
+    )
+    same = [F.col(k).eqNullSafe(F.col(f"_key{j}")) for j, k in enumerate(part_keys)]
+    joined = spread.join(carried, same, "left")
 
-    joined = _null_safe_left(spread, carried, part_keys)
-    end = Window.currentRow if inclusive else -1
-    inside = (
-        Window.partitionBy(*part_keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, end)
+    results = {}
+    for i, c in enumerate(columns):
+        end = Window.currentRow if c.inclusive else -1
+        inside = (
+            Window.partitionBy(*part_keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, end)
+        )
+        local, earlier = _COMBINE[c.how](f"_value{i}").over(inside), F.col(f"_carried{i}")
+        if c.how == "sum":
+            results[c.out] = F.coalesce(earlier, F.lit(0)) + F.coalesce(local, F.lit(0))
+        else:
+            results[c.out] = (F.greatest if c.how == "max" else F.least)(earlier, local)
+    return joined.withColumns(results).drop(
+        "_bucket", *[f"_key{j}" for j in range(len(part_keys))],
+        *[f"_value{i}" for i in n], *[f"_carried{i}" for i in n],
     )
-    local = combine("_value").over(inside)
-    if how == "sum":
-        result = F.coalesce(F.col("_carried"), F.lit(0)) + F.coalesce(local, F.lit(0))
-    else:
-        pick = F.greatest if how == "max" else F.least
-        result = pick(F.col("_carried"), local)
-    return joined.withColumn(out, result).drop("_bucket", "_value", "_carried")
 
 
 def position(df: DataFrame, keys: list[str], order: list[str], out: str, bucket: Column) -> DataFrame:
     """1-based position of a row within its key."""
     return running(df, keys, order, F.lit(1).cast("bigint"), out, bucket)
-
-
-def _null_safe_left(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
-    renamed = right.select(*[F.col(k).alias(f"_r{i}") for i, k in enumerate(keys)], "_carried")
-    cond = [F.col(k).eqNullSafe(F.col(f"_r{i}")) for i, k in enumerate(keys)]
-    return left.join(renamed, cond, "left").drop(*[f"_r{i}" for i in range(len(keys))])

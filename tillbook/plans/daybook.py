@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillbook.common import MONEY_SUM, count_where, day_literal, money_sum
+from tillbook.operators.admission import admit_with_inflows
 from tillbook.operators.ranking import latest_per_key
 from tillbook.operators.running import running
 from tillbook.sources.shop import Shop
@@ -263,3 +264,15 @@ def overdrawn_cash_outs(shop: Shop) -> DataFrame:
     return cash_balance(shop).where("kind = 'out' and balance < 0").withColumn(
         "short_by", (-F.col("balance")).cast(MONEY_SUM)
     )
+
+
+def settled_cash_events(shop: Shop) -> DataFrame:
+    """Every cash event with ``admitted``: cash-outs the till could cover when they were asked for.
+
+    A refused cash-out leaves the till as it was, so later ones may still fit.
+    """
+    opening = shop.pos_shifts.select(F.col("id").alias("shift_id"), F.col("opening_cash").alias("opening"))
+    return admit_with_inflows(
+        cash_events(shop), opening, "shift_id", ["created_at", "kind", "id"], "delta",
+        bucket=F.date_trunc("hour", "created_at"),
+    )

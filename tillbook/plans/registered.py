@@ -20,6 +20,8 @@ from tillbook.sources import generate, sinks, testbed
 from tillbook.sources.schema import (
     ANONYMOUS_CUSTOMER, ANONYMOUS_SELLER, CASH_OUT_REASONS, ORDER_STATUSES, ROLES, SALE_STATUSES,
 )
+from tillbook.streaming import codes, live, runner
+from tillbook.streaming import sources as stream_sources
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -277,6 +279,14 @@ def cash_out_overdraw(shop):
     return daybook.overdrawn_cash_outs(shop.replace(pos_shifts=empty))
 
 
+@book_query
+def cash_out_decisions(shop):
+    """Which cash-outs a till opened empty could cover, refused ones leaving it as it was."""
+    empty = shop.pos_shifts.withColumn("opening_cash", F.lit(0).cast("decimal(10,2)"))
+    out = daybook.settled_cash_events(shop.replace(pos_shifts=empty))
+    return out.select("shift_id", "kind", "id", "delta", "admitted")
+
+
 # --- scans, sources, sinks --------------------------------------------------
 
 
@@ -1443,3 +1453,80 @@ def ensure_columns(shop):
         old, {"id": "bigint", "name": "string", "whatsapp_number": "string", "is_active": "boolean", "city": "string"},
         defaults={"is_active": True}, renames={"full_name": "name"},
     )
+
+
+# --- streams ----------------------------------------------------------------
+
+
+def _event_stream(spark, sf):
+    return stream_sources.event_stream(spark, f"{sf}/events*.parquet")
+
+
+@query
+def stream_x_report(spark, sf):
+    report = live.x_report(live.event_sales(_event_stream(spark, sf)))
+    return runner.current(runner.run_available(report), ["shift_id"])
+
+
+@query
+def stream_revenue_by_day(spark, sf):
+    report = live.revenue_by_day(live.event_sales(_event_stream(spark, sf)))
+    return runner.current(runner.run_available(report), ["day"])
+
+
+@query
+def stream_hot_products(spark, sf):
+    units = live.trailing_units(live.event_items(_event_stream(spark, sf)))
+    return live.hottest(runner.current(runner.run_available(units), ["until", "product_id"]), 5)
+
+
+@query
+def stream_ttl_state(spark, sf):
+    """Codes by user: sign-ups, views and clicks ask for one, errors and purchases try one. Hours for minutes."""
+    events = stream_sources.with_event_time(_event_stream(spark, sf), "ts", "1 day").select(
+        F.col("user_id").alias("identifier"),
+        F.when(F.col("user_id") % 2 == 0, "register").otherwise("reset").alias("purpose"),
+        "event_id", "ts",
+        F.when(F.col("event_type").isin("signup", "view"), "request").otherwise("check").alias("kind"),
+        (F.col("k") % 4 == 0).alias("correct"),
+    )
+    outcomes = codes.code_outcomes(events, ttl=36_000, cooldown=3_600, attempts=2)
+    return runner.run_available(outcomes, mode="append").drop("version")
+
+
+@query
+def stream_dedupe(spark, sf):
+    """Events once each, though every file is read with each event twice."""
+    stream = _event_stream(spark, sf)
+    doubled = stream.withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2)))).drop("copy")
+    rows = runner.run_available(live.unique_events(doubled, ["event_id"]), mode="append")
+    return rows.select("event_id", "user_id", "event_type", "v")
+
+
+@query
+def stream_dedupe_upsert(spark, sf):
+    """Latest code per (user, purpose), kept by upserting each micro-batch."""
+    stream = _event_stream(spark, sf).where("event_type in ('view', 'signup')").select(
+        F.col("user_id").alias("identifier"), (F.col("k") % 3).alias("purpose"), F.col("event_id").alias("payload"), "ts"
+    )
+    rows = runner.run_available(stream, mode="append").drop("version")
+    return ranking.latest_per_key(rows, ["identifier", "purpose"], ["ts", "payload"])
+
+
+@query
+def stream_stock(spark, sf):
+    moved = live.stock(live.event_moves(_event_stream(spark, sf)))
+    return runner.current(runner.run_available(moved), ["product_id"])
+
+
+@query
+def session_shifts(spark, sf):
+    """Working sessions of staff, batch form of the session window."""
+    return live.working_sessions(testbed.events(spark, sf))
+
+
+@query
+def stream_session_shifts(spark, sf):
+    """The same from the stream: sessions the watermark has closed, three days before the end at least."""
+    rows = runner.run_available(live.working_sessions(_event_stream(spark, sf)), mode="append")
+    return rows.drop("version")
