@@ -147,22 +147,28 @@ def payments_by_shift(shop: Shop) -> DataFrame:
     return valid_payments(shop).groupBy("shift_id", "method").agg(money_sum("amount").alias("total"))
 
 
+def _with_cash(shifts: DataFrame, shop: Shop, received: DataFrame) -> DataFrame:
+    """Shifts with cash received (shift_id, cash_collected), cash taken out, and what should be there."""
+    zero = F.lit(0).cast(MONEY_SUM)
+    joined = (
+        shifts.withColumnRenamed("id", "shift_id").drop("expected_cash")
+        .join(received, "shift_id", "left").join(cash_out_per_shift(shop), "shift_id", "left")
+        .withColumn("cash_collected", F.coalesce("cash_collected", zero))
+        .withColumn("cash_out_total", F.coalesce("cash_out_total", zero))
+    )
+    expected = F.col("opening_cash") + F.col("cash_collected") - F.col("cash_out_total")
+    return joined.withColumn("expected_cash", expected.cast(MONEY_SUM))
+
+
 def expected_cash(shop: Shop) -> DataFrame:
     """Opening float plus cash received minus cash taken out, for every shift."""
-    cash = (
+    received = (
         valid_payments(shop).where("method = 'cash'")
         .groupBy("shift_id").agg(money_sum("amount").alias("cash_collected"))
     )
-    shifts = shop.pos_shifts.withColumnRenamed("id", "shift_id")
-    joined = shifts.join(cash, "shift_id", "left").join(cash_out_per_shift(shop), "shift_id", "left")
-    zero = F.lit(0).cast(MONEY_SUM)
-    return joined.select(
+    return _with_cash(shop.pos_shifts, shop, received).select(
         "shift_id", "staff_id", "status", "opening_cash", "opened_at", "closing_cash", "closed_at",
-        F.coalesce("cash_collected", zero).alias("cash_collected"),
-        F.coalesce("cash_out_total", zero).alias("cash_out_total"),
-    ).withColumn(
-        "expected_cash",
-        (F.col("opening_cash") + F.col("cash_collected") - F.col("cash_out_total")).cast(MONEY_SUM),
+        "cash_collected", "cash_out_total", "expected_cash",
     )
 
 
@@ -199,7 +205,8 @@ def x_report(shop: Shop, staff_id: int | None = None) -> DataFrame:
     Each fact table is reduced by shift once for all shifts together; the
     payments come as an array of (method, total), at most one per method.
     """
-    live = open_shifts(shop, staff_id).select(F.col("id").alias("shift_id"))
+    shifts = open_shifts(shop, staff_id)
+    live = shifts.select(F.col("id").alias("shift_id"))
     figures = (
         shop.sales.join(live, "shift_id", "left_semi").where(completed()).groupBy("shift_id")
         .agg(
@@ -211,10 +218,12 @@ def x_report(shop: Shop, staff_id: int | None = None) -> DataFrame:
     )
     paid = (
         payments_by_shift(shop).join(live, "shift_id", "left_semi").groupBy("shift_id")
-        .agg(F.sort_array(F.collect_list(F.struct("method", "total"))).alias("payments"))
+        .agg(
+            F.sort_array(F.collect_list(F.struct("method", "total"))).alias("payments"),
+            money_sum("total", F.col("method") == "cash").alias("cash_collected"),
+        )
     )
-    cash = own_rows(expected_cash(shop).where("status = 'open'"), staff_id)
-    report = with_staff(cash, shop).join(figures, "shift_id", "left").join(paid, "shift_id", "left")
+    report = with_staff(_with_cash(shifts, shop, paid), shop).join(figures, "shift_id", "left")
     zero = F.lit(0).cast(MONEY_SUM)
     return report.select(
         "shift_id", "staff_id", "staff_name", "opened_at", "opening_cash",

@@ -22,6 +22,8 @@ def build_session(app: str = "tillbook", master: str | None = None, **conf: str)
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
+        # checkpoints of an iterative job go when its DataFrames do
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
     if master:
         builder = builder.master(master)
@@ -30,7 +32,7 @@ def build_session(app: str = "tillbook", master: str | None = None, **conf: str)
     return builder.getOrCreate()
 
 
-def local_session(cores: int | str = 8, memory: str = "8g") -> SparkSession:
+def local_session(cores: int | str = 8, memory: str = "8g", **conf: str) -> SparkSession:
     """Local session for tests and the benchmark."""
     return build_session(
         "tillbook-local",
@@ -40,6 +42,9 @@ def local_session(cores: int | str = 8, memory: str = "8g") -> SparkSession:
             "spark.driver.memory": memory,
             "spark.ui.enabled": "false",
             "spark.sql.files.openCostInBytes": "262144",
+            # local partitions are small enough to collect lists in hash maps
+            "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "100000",
+            **conf,
         },
     )
 
@@ -55,13 +60,16 @@ def shared_dir(spark: SparkSession) -> str:
         return folder
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError(f"set {_CHECKPOINT_KEY} to a folder every executor can reach")
-    folder = tempfile.mkdtemp(prefix="tillbook-")
-    spark.conf.set(_CHECKPOINT_KEY, folder)
-    return folder
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="tillbook-"))
+    return context.getCheckpointDir()
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: an iterative job survives lost executors and keeps its plan short."""
     spark = df.sparkSession
-    spark.sparkContext.setCheckpointDir(shared_dir(spark))
+    folder = shared_dir(spark)
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(folder)
     return df.checkpoint(eager=True)

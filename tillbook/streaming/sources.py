@@ -7,12 +7,10 @@ from pyspark.sql import functions as F
 
 from tillbook.sources import testbed
 
-EVENT_SCHEMA = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
-
 
 def event_stream(spark: SparkSession, path: str, files_per_trigger: int | None = None) -> DataFrame:
     """Events as they arrive in files under ``path``, with the day book's columns."""
-    reader = spark.readStream.schema(EVENT_SCHEMA)
+    reader = spark.readStream.schema(testbed.SCHEMAS["events"])
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
     return testbed.day_events(reader.parquet(path))
