@@ -11,7 +11,8 @@ _OFFSET, _PRIME, _MASK = 2166136261, 16777619, 0xFFFFFFFF
 
 def fnv1a(key: Column) -> Column:
     """FNV-1a of an ASCII key as an unsigned 32-bit number in a bigint."""
-    codes = F.transform(F.split(key, ""), lambda ch: F.ascii(ch).cast("bigint"))
+    letters = F.filter(F.split(key, ""), lambda ch: ch != "")
+    codes = F.transform(letters, lambda ch: F.ascii(ch).cast("bigint"))
     return F.aggregate(
         codes,
         F.lit(_OFFSET).cast("bigint"),

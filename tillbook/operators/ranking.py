@@ -20,16 +20,17 @@ def top_k_or_fallback(
     rows and the facts behind the first ranking are read once. Columns missing
     on one side are null.
     """
-    both = (
-        top_k(first, first_order, k).withColumn("_source", F.lit(0))
-        .unionByName(
-            top_k(other, other_order, k).withColumn("_source", F.lit(1)), allowMissingColumns=True
-        )
+    def placed(df: DataFrame, order: list[Column], source: int) -> DataFrame:
+        place = F.row_number().over(Window.partitionBy(F.lit(source)).orderBy(*order))
+        return top_k(df, order, k).withColumn("_source", F.lit(source)).withColumn("_place", place)
+
+    both = placed(first, first_order, 0).unionByName(
+        placed(other, other_order, 1), allowMissingColumns=True
     )
-    chosen = Window.partitionBy(F.lit(0))
+    best = F.min("_source").over(Window.partitionBy(F.lit(0)))
     return (
-        both.withColumn("_best", F.min("_source").over(chosen))
-        .where("_source = _best").drop("_source", "_best")
+        both.withColumn("_best", best).where("_source = _best")
+        .orderBy("_place").drop("_source", "_best", "_place")
     )
 
 

@@ -80,11 +80,12 @@ def recent_orders(shop: Shop, limit: int = 10) -> DataFrame:
     """Newest retail orders; the customer's name is joined to the kept rows only."""
     known = shop.customers.select(F.col("id").alias("customer_id"))
     orders = retail_orders(shop).join(known, "customer_id", "left_semi")
-    newest = top_k(orders, [F.col("created_at").desc(), F.col("id").desc()], limit)
+    order = [F.col("created_at").desc(), F.col("id").desc()]
+    newest = top_k(orders, order, limit)
     names = shop.customers.select(F.col("id").alias("customer_id"), F.col("name").alias("customer_name"))
     return newest.join(names, "customer_id").select(
         "id", "total_amount", "status", "created_at", "customer_name"
-    )
+    ).orderBy(*order)
 
 
 @contextmanager

@@ -100,7 +100,7 @@ def top_products(
     if in_stock:
         products = products.where("stock > 0")
     ranked = products.join(units, products["id"] == units["product_id"]).drop("product_id")
-    return with_names(top_k(ranked, by_units(), limit), shop, subcategory)
+    return with_names(top_k(ranked, by_units(), limit), shop, subcategory).orderBy(*by_units())
 
 
 def _or_newest(shop: Shop, first: DataFrame, limit: int, featured: bool = False) -> DataFrame:

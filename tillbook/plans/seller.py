@@ -86,7 +86,7 @@ def top_products(shop: Shop, limit: int = 10) -> DataFrame:
     return best.join(names, "category_id", "left").select(
         "id", "name", "product_code", "purchase_price", "category_name", "total_sold",
         (F.col("total_sold") * F.col("purchase_price")).cast("decimal(20,2)").alias("total_cost"),
-    )
+    ).orderBy(*by_units())
 
 
 def seller_status(shop: Shop) -> DataFrame:
