@@ -797,6 +797,12 @@ check("backfills", f"""SELECT id, {cents('total_amount', 'total_amount')}, {cent
 check("backfill_legal_text", """SELECT id, coalesce(shop_name, 'Update Soon') AS terms_content,
         'Update Soon' AS return_policy_content, coalesce(city, 'Update Soon') AS privacy_policy_content,
         coalesce(phone, 'Update Soon') AS about_content FROM sh_users""")
+check("backfill_codes_by_slug", "SELECT id, coalesce(product_code, 'S' || id) AS product_code FROM sh_products")
+check("price_migration", f"""SELECT id, 0 AS purchase_price, {cents('sale_price', 'sale_price')}, pct AS discount_percent,
+        {cents('round(sale_price - sale_price * cast(pct * 0.01 AS decimal(7,2)) * 0.01, 2)', 'discount_price')}
+        FROM (SELECT id, sale_price, CASE WHEN discount_percent > 0 THEN {_implied('sale_price', 'discount_price')} ELSE 0 END AS pct
+              FROM sh_products)""")
+check("role_migration", """SELECT id, CASE id % 4 WHEN 0 THEN 3 WHEN 1 THEN 2 WHEN 2 THEN 1 ELSE 4 END AS role_id FROM sh_users""")
 check("ensure_columns", """SELECT id, name, whatsapp_number, 1 AS is_active, cast(NULL AS varchar) AS city FROM sh_customers""")
 
 # --- streams ----------------------------------------------------------------

@@ -10,9 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillbook.common import MONEY, money_sum
-from tillbook.functions.money import scaled
+from tillbook.functions.money import discount_price, implied_discount_percent, scaled
 from tillbook.operators.admission import admit_in_order
-from tillbook.operators.changes import fill_missing
+from tillbook.operators.changes import fill_missing, rename_values
 from tillbook.plans import daybook
 from tillbook.sources.schema import ORDER_STATUSES, PAYMENT_METHODS
 from tillbook.sources.shop import Shop
@@ -291,3 +291,28 @@ LEGAL_COLUMNS = ("terms_content", "return_policy_content", "privacy_policy_conte
 def with_legal_text(settings: DataFrame) -> DataFrame:
     filled = {c: F.coalesce(c, F.lit(PLACEHOLDER)) for c in LEGAL_COLUMNS}
     return settings.withColumns(filled)
+
+
+def migrate_prices(products: DataFrame) -> DataFrame:
+    """From (price, discount_price) to sale price, percent and the price the percent gives."""
+    percent = implied_discount_percent(F.col("price"), F.col("discount_price"))
+    kept = [c for c in products.columns if c not in ("price", "discount_price", "purchase_price")]
+    bought = F.col("purchase_price") if "purchase_price" in products.columns else F.lit(0)
+    return (
+        products.select(
+            *kept, bought.cast(MONEY).alias("purchase_price"),
+            F.col("price").cast(MONEY).alias("sale_price"), percent.alias("discount_percent"),
+        )
+        .withColumn("discount_price", discount_price(F.col("sale_price"), F.col("discount_percent")))
+    )
+
+
+# Old role words and the roles they became; any other word means Customer.
+OLD_ROLES = {"customer": "Customer", "seller": "Seller", "admin": "Admin", "superadmin": "SuperAdmin"}
+
+
+def role_ids(users: DataFrame, roles: DataFrame) -> DataFrame:
+    """Users with the role's id instead of its old word."""
+    named = rename_values(F.col("role"), OLD_ROLES, otherwise=F.lit("Customer"))
+    ids = roles.select(F.col("id").alias("role_id"), F.col("name").alias("_role"))
+    return users.withColumn("_role", named).join(ids, "_role").drop("_role", "role")

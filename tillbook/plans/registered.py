@@ -1289,7 +1289,7 @@ def resold_after_return(shop):
 
 
 def _return_requests(items, parent):
-    """Per line: bring back a third of it; every eleventh product asks for too much."""
+    """Per line: bring back a third of it; products numbered by multiples of 97 ask for too much."""
     third = F.floor(F.col("quantity") / 3)
     asked = F.when(F.col("product_id") % 97 == 0, F.col("quantity") + 1).otherwise(third)
     return items.select(parent, F.col("id").alias("line_id"), asked.cast("int").alias("quantity"))
@@ -1445,6 +1445,31 @@ def backfill_legal_text(shop):
     return lifecycle.with_legal_text(settings)
 
 
+@trade_query
+def backfill_codes_by_slug(shop):
+    """Codes for products without one, given by slug."""
+    codes = shop.products.select("slug", F.concat(F.lit("S"), "id").alias("product_code"))
+    return changes.fill_missing(shop.products, codes, "slug", "slug", ["product_code"]).select("id", "product_code")
+
+
+@trade_query
+def price_migration(shop):
+    """Products with one price and a discounted one, brought to price and percent."""
+    old = shop.products.select(
+        "id", F.col("sale_price").alias("price"),
+        F.when(F.col("discount_percent") > 0, F.col("discount_price")).alias("discount_price"),
+    )
+    return lifecycle.migrate_prices(old)
+
+
+@trade_query
+def role_migration(shop):
+    """Accounts with the role as a word, brought to the role's id; unknown words mean customer."""
+    words = F.array(*[F.lit(w) for w in ("seller", "admin", "superadmin", "guest")])
+    old = shop.users.select("id", F.element_at(words, (F.col("id") % 4 + 1).cast("int")).alias("role"))
+    return lifecycle.role_ids(old, shop.user_roles)
+
+
 @trade_query
 def ensure_columns(shop):
     """Customers in the current shape: renamed, a flag added, an old column dropped."""
