@@ -33,7 +33,7 @@ HEADLINES = [
     # checks
     "key_conflicts", "first_source_wins", "cooldown",
 ]
-RUNS = 3
+RUNS = 2
 
 
 def seconds(spark, name: str, sf_dir: str) -> float:

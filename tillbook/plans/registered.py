@@ -1249,7 +1249,7 @@ def _reserved(shop):
     heads = shop.orders.select(F.col("id").alias("order_id"), "created_at")
     lines = shop.order_items.select("order_id", "id", "product_id", "quantity").join(heads, "order_id")
     return stock.reserve_stock(
-        lines, shop.products, ["created_at", "order_id", "id"], F.date_trunc("year", "created_at")
+        lines, shop.products, ["created_at", "order_id", "id"], F.date_trunc("hour", "created_at")
     )
 
 
@@ -1369,7 +1369,7 @@ def _late_requests(shop):
 @book_query
 def apply_payments(shop):
     judged, _ = lifecycle.apply_payments(
-        shop.sales, _late_requests(shop), ["created_at", "id"], F.to_date("created_at")
+        shop.sales, _late_requests(shop), ["created_at", "id"], F.date_trunc("hour", "created_at")
     )
     return judged.select("id", "sale_id", "amount", "admitted")
 
@@ -1377,7 +1377,7 @@ def apply_payments(shop):
 @book_query
 def apply_payments_sales(shop):
     _, after = lifecycle.apply_payments(
-        shop.sales, _late_requests(shop), ["created_at", "id"], F.to_date("created_at")
+        shop.sales, _late_requests(shop), ["created_at", "id"], F.date_trunc("hour", "created_at")
     )
     return after
 

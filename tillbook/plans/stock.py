@@ -61,13 +61,16 @@ def stock_balance(shop: Shop) -> DataFrame:
     )
 
 
-def stock_ledger(shop: Shop) -> DataFrame:
-    """Stock after each movement, running per product through time."""
+def stock_ledger(shop: Shop, unit: str = "hour") -> DataFrame:
+    """Stock after each movement, running per product through time.
+
+    ``unit`` is the time span of one product that is walked in one piece.
+    """
     rank = F.array_position(F.array(*[F.lit(m) for m in MOVES]), F.col("kind"))
     moves = stock_movements(shop).withColumn("step", rank.cast("int"))
     walked = running(
         moves, ["product_id"], ["created_at", "step", "line_id"], F.col("delta"), "_moved",
-        bucket=F.date_trunc("year", "created_at"),
+        bucket=F.date_trunc(unit, "created_at"),
     )
     opening = shop.products.select(F.col("id").alias("product_id"), "stock")
     return walked.join(opening, "product_id").select(
