@@ -1001,7 +1001,7 @@ def permutation_check(shop):
 
 @trade_query
 def line_numbers(shop):
-    out = orders.line_numbers(shop.order_items, "order_id", ["line_no", "id"], F.col("line_no"))
+    out = orders.line_numbers(shop.order_items, "order_id", ["line_no", "id"], F.floor(F.col("line_no") / 10_000))
     return out.select("order_id", "id", "number")
 
 
@@ -1180,7 +1180,7 @@ def weighted_pick(shop):
 @trade_query
 def order_bill_text(shop):
     """The message of every customer order."""
-    items = orders.line_numbers(shop.order_items, "order_id", ["line_no", "id"], F.col("line_no"))
+    items = orders.line_numbers(shop.order_items, "order_id", ["line_no", "id"], F.floor(F.col("line_no") / 10_000))
     people = shop.customers.select(
         F.col("id").alias("customer_id"), F.col("name").alias("sender_name"),
         F.when(F.col("id") % 2 == 0, F.col("whatsapp_number")).alias("sender_phone"),
@@ -1197,7 +1197,7 @@ def seller_bill_text(shop):
         F.col("id").alias("user_id"), F.col("name").alias("sender_name"), F.col("phone").alias("sender_phone"),
         "shop_name", F.when(F.col("id") % 2 == 0, F.col("city")).alias("city"),
     )
-    items = orders.line_numbers(shop.order_items, "order_id", ["line_no", "id"], F.col("line_no"))
+    items = orders.line_numbers(shop.order_items, "order_id", ["line_no", "id"], F.floor(F.col("line_no") / 10_000))
     return orders.bill_text(heads.join(people, "user_id"), items, seller=True)
 
 
