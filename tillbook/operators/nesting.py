@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tillbook.session import cut_lineage
+
 PAGE_ROWS = 10_000
+# Up to this many large parents (two numbers each) are broadcast; more are joined by shuffle.
+BROADCAST_ROWS = 100_000
 
 
 def nest_children(
@@ -24,18 +28,12 @@ def nest_children(
     larger one comes as several rows, its children split by a hash of the sort
     field, so no task and no row ever holds an unbounded group. Parents without
     children get an empty array.
+
+    Runs a job: it counts the children per parent first, reading the key column
+    only, so that the wide rows need no join but for large parents and are
+    shuffled once.
     """
-    sizes = children.groupBy(child_key).agg(F.count(F.lit(1)).alias("_n"))
-    large = (
-        sizes.where(F.col("_n") > page_rows)
-        .select(F.col(child_key).alias("_big"), F.ceil(F.col("_n") * 2 / page_rows).alias("_pages"))
-    )
-    paged = children.join(large, children[child_key] == F.col("_big"), "left").withColumn(
-        "page",
-        F.when(F.col("_pages").isNull(), F.lit(0))
-        .otherwise(F.pmod(F.xxhash64(sort_field), F.col("_pages")))
-        .cast("int"),
-    )
+    paged = _paged(children, child_key, sort_field, page_rows).repartition(child_key, "page")
     entry = F.struct(sort_field, *[f for f in fields if f != sort_field])
     nested = (
         paged.groupBy(F.col(child_key).alias("_parent"), "page")
@@ -48,6 +46,24 @@ def nest_children(
     )
 
 
+def _paged(children: DataFrame, key: str, sort_field: str, page_rows: int) -> DataFrame:
+    sizes = children.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    large = cut_lineage(
+        sizes.where(F.col("_n") > page_rows)
+        .select(F.col(key).alias("_big"), F.ceil(F.col("_n") * 2 / page_rows).alias("_pages"))
+    )
+    found = large.count()
+    if found == 0:
+        return children.withColumn("page", F.lit(0))
+    if found <= BROADCAST_ROWS:
+        large = F.broadcast(large)
+    page = F.when(F.col("_pages").isNull(), F.lit(0)).otherwise(
+        F.pmod(F.xxhash64(sort_field), F.col("_pages"))
+    )
+    joined = children.join(large, children[key] == F.col("_big"), "left")
+    return joined.withColumn("page", page.cast("int")).drop("_big", "_pages")
+
+
 def items_text(items: Column, *fields: str) -> Column:
     """An array of structs as text, one ``a:b:c`` per entry, joined by ``|``."""
     def one(e):

@@ -171,8 +171,10 @@ def bill_text(
     )
     lines = (
         numbered.withColumn("page", F.floor((F.col("number") - 1) / page_rows).cast("int"))
+        .withColumn("_line", line).select(parent, "page", "number", "_line")
+        .repartition(parent, "page")  # collecting before the shuffle would not shrink anything
         .groupBy(parent, "page")
-        .agg(F.sort_array(F.collect_list(F.struct("number", line.alias("line")))).alias("_lines"))
+        .agg(F.sort_array(F.collect_list(F.struct("number", F.col("_line").alias("line")))).alias("_lines"))
         .select(parent, "page", F.concat_ws("\n", F.transform("_lines", lambda e: e["line"])).alias("_lines"))
     )
 
