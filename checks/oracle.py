@@ -279,6 +279,42 @@ check("gen_topup_products", f"""
              FROM sh_categories c LEFT JOIN sh_products p ON p.category_id = c.id
              WHERE c.is_active = 1 GROUP BY 1, 2)""")
 
+
+def chance(purpose: str, *keys: str) -> str:
+    return fnv(f"'42:{purpose}:' || " + " || ':' || ".join(keys))
+
+
+KEY = ("store_id", "ago", "n")
+HISTORY = f"""
+    stores AS (SELECT id AS store_id, unnest(range(0, 91)) AS ago FROM sh_users),
+    tickets AS (SELECT store_id, ago, unnest(range(1, {chance('orders', 'store_id', 'ago')} % 6 + 2)) AS n FROM stores),
+    heads AS (SELECT store_id || '-' || ago || '-' || n AS order_key, store_id,
+            timestamp '2001-08-01' + to_minutes(cast({chance('hour', *KEY)} % 24 * 60 + {chance('minute', *KEY)} % 60
+              - ago * 1440 AS int)) AS created_at,
+            {chance('status', *KEY)} % 100 AS s, {chance('lines', *KEY)} % 3 + 1 AS n_lines,
+            {chance('customer', *KEY)} % (SELECT count(*) FROM sh_customers) + 1 AS nth FROM tickets),
+    people AS (SELECT id AS customer_id, row_number() OVER (ORDER BY id) AS nth FROM sh_customers),
+    offer AS (SELECT *, cast(sum(w) OVER (ORDER BY id) AS bigint) AS upto
+              FROM (SELECT *, {chance('popularity', 'id')} % 8 + 1 AS w FROM sh_products WHERE is_active = 1)),
+    draws AS (SELECT order_key, n_lines, d,
+            {chance('product', 'order_key', 'd')} % (SELECT max(upto) FROM offer) AS slot FROM heads, range(1, 9) t(d)),
+    chosen AS (SELECT order_key, n_lines, id AS product_id, min(d) AS d FROM draws
+               JOIN offer ON slot < upto AND slot >= upto - w GROUP BY 1, 2, 3),
+    items AS (SELECT order_key, line_no, product_id, p.name AS product_name,
+            CASE WHEN p.discount_percent > 0 THEN round(p.sale_price - p.sale_price * p.discount_percent * 0.01, 0)
+                 ELSE p.sale_price END AS price,
+            cast({chance('units', 'order_key', 'product_id')} % 3 + 1 AS int) AS quantity
+        FROM (SELECT *, row_number() OVER (PARTITION BY order_key ORDER BY d) AS line_no FROM chosen) c
+        JOIN sh_products p ON p.id = c.product_id WHERE line_no <= n_lines)"""
+check("gen_demo_orders", f"""SELECT h.order_key, h.store_id, p.customer_id, {cents('t.total', 'total_amount')},
+        CASE WHEN s < 75 THEN 'successful' WHEN s < 85 THEN 'pending' WHEN s < 93 THEN 'cancelled' ELSE 'return' END AS status,
+        'cod' AS payment_method, {stamp('h.created_at', 'created_at')}
+        FROM heads h JOIN people p ON p.nth = h.nth
+        JOIN (SELECT order_key, sum(price * quantity) AS total FROM items GROUP BY 1) t ON t.order_key = h.order_key""",
+      extra=HISTORY)
+check("gen_demo_lines", f"""SELECT order_key, line_no, product_id, product_name, {cents('price', 'price')}, quantity
+        FROM items""", extra=HISTORY)
+
 # --- projections, filters, predicates ---------------------------------------
 
 check("star_join", f"SELECT {P_ALL}, {NAMES4} FROM sh_named")
