@@ -96,6 +96,13 @@ def test_keys_in_use(make, shop):
     assert table(both, "email", "available") == [("ann@MAIL.test", False), ("new@x.y", True)]
 
 
+def test_names_can_be_compared_without_accents(make):
+    names = make("id bigint, name string", "", (1, "Café"), (2, "cafe "), (3, "Bar"))
+    out = quality.key_conflicts(names, [(names, "name")], "name", normalise=text.folded_key)
+    assert table(out, "id", "available") == [(1, False), (2, False), (3, True)]
+    assert table(quality.key_conflicts(names, [(names, "name")], "name"), "id", "available")[0] == (1, True)
+
+
 def test_nested_lines_are_whole_even_when_paged(spark):
     parents = spark.range(4).selectExpr("id")
     children = spark.range(300).selectExpr(

@@ -21,7 +21,7 @@ def key_of(x: Column) -> Column:
 
 def folded_key(x: Column) -> Column:
     """Comparison key that also ignores accents."""
-    return F.trim(x).collate("UNICODE_CI_AI")
+    return F.collate(F.trim(x), "UNICODE_CI_AI")
 
 
 def is_filled(x: Column) -> Column:

@@ -31,10 +31,13 @@ def reload(df: DataFrame, path: str, partition_by: str | None = None) -> None:
 
 
 def save_by_month(df: DataFrame, path: str, ts: str = "created_at") -> None:
-    """Facts by month and sorted by time within files: date filters skip folders and row groups."""
+    """Facts by month and sorted by time within files: date filters skip folders and row groups.
+
+    Rows are split by sampled time ranges, so a busy day is written by several tasks.
+    """
     month = df.withColumn("month", F.date_format(ts, "yyyy-MM"))
     (
-        month.repartition("month", F.to_date(ts)).sortWithinPartitions("month", ts)
+        month.repartitionByRange("month", ts).sortWithinPartitions("month", ts)
         .write.mode("overwrite").partitionBy("month").parquet(path)
     )
 
