@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillbook.llm import bytebpe, sharding, topk
+from tillbook.llm import bytebpe, decontaminate, secrets, sharding, topk, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -42,6 +42,34 @@ def op2_exact_topk(spark, sf_dir):
     return topk.top_k(table(spark, sf_dir, "embeddings"), lambda id: id % 20 == 0, TOP)
 
 
+@query
+def op4_toxicity(spark, sf_dir):
+    return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op7_secrets(spark, sf_dir):
+    found = secrets.scan(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select(
+        "doc_id", *[count(kind.name) for kind in secrets.KINDS],
+        F.sha2(F.encode(secrets.written("base"), "UTF-8"), 256).alias("base_sha256"),
+        secrets.written(secrets.with_live("base", "live")).alias("spans"),
+    )
+
+
+@query
+def op9_decontamination(spark, sf_dir):
+    found = decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), keep=["doc_id"])
+    found = found.withColumn("n_hit", decontaminate.covered("spans").cast("long"))
+    return found.select(
+        "doc_id", F.col("n_words").cast("long").alias("n_words"), "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.encode(F.array_join(F.array_sort("items"), ","), "UTF-8"), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
 @query
 def op10_byte_bpe(spark, sf_dir):
     path, pattern = vocabulary()
@@ -54,7 +82,36 @@ def op10_byte_bpe(spark, sf_dir):
     )
 
 
+# --- SQL ---------------------------------------------------------------------
+
+_WORDS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
+
 ORACLE: dict[str, str] = {
+    "op9_decontamination": f"""
+        WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+        b AS (SELECT cast(item_id AS varchar) AS item, {_WORDS} AS w FROM benchmark),
+        bw AS (
+            SELECT DISTINCT item, least(10, len(w)) AS k, unnest(list_transform(
+                range(1, len(w) - least(10, len(w)) + 2),
+                lambda i: array_to_string(w[i : i + least(10, len(w)) - 1], ' '))) AS gram
+            FROM b WHERE len(w) > 0),
+        ks AS (SELECT DISTINCT k FROM bw),
+        dw AS (
+            SELECT doc_id, k, unnest(range(1, len(w) - k + 2)) AS i, w FROM d, ks WHERE len(w) >= k),
+        dg AS (SELECT doc_id, k, i, array_to_string(w[i : i + k - 1], ' ') AS gram FROM dw),
+        h AS (SELECT dg.doc_id, dg.k, dg.i, bw.item FROM dg JOIN bw USING (gram, k)),
+        p AS (
+            SELECT doc_id, count(DISTINCT pos) AS n_hit
+            FROM (SELECT doc_id, unnest(range(i, i + k)) AS pos FROM (SELECT DISTINCT doc_id, i, k FROM h))
+            GROUP BY doc_id),
+        it AS (
+            SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+            FROM (SELECT DISTINCT doc_id, item FROM h) GROUP BY doc_id)
+        SELECT d.doc_id, cast(len(w) AS bigint) AS n_words, coalesce(n_hit, 0) AS n_hit,
+               coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+               coalesce(n_hit, 0) > 0 AS contaminated
+        FROM d LEFT JOIN p USING (doc_id) LEFT JOIN it USING (doc_id)""",
     "op2_exact_topk": """
         WITH v AS (
             SELECT vec_id, list_transform(embedding, lambda x: cast(floor(64 * cast(x AS double)) AS double)) AS vec
