@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillbook.llm import bytebpe, decontaminate, secrets, sharding, topk, toxicity
+from tillbook.llm import bytebpe, decontaminate, neardup, secrets, sharding, topk, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -42,6 +42,11 @@ def op2_exact_topk(spark, sf_dir):
     return topk.top_k(table(spark, sf_dir, "embeddings"), lambda id: id % 20 == 0, TOP)
 
 
+@query
+def op3_minhash_neardup(spark, sf_dir):
+    return neardup.class_of_each(table(spark, sf_dir, "documents"))
+
+
 @query
 def op4_toxicity(spark, sf_dir):
     return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
