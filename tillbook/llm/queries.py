@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillbook.llm import bytebpe, decontaminate, neardup, secrets, sharding, topk, toxicity
+from tillbook.llm import automaton, bytebpe, decontaminate, neardup, secrets, sharding, suffixdedup, topk, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -52,6 +52,25 @@ def op4_toxicity(spark, sf_dir):
     return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def _removed(found, size):
+    total = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return ["doc_id", size, total.alias("n_removed")], F.sha2("kept", 256).alias("kept_sha256")
+
+
+@query
+def op5_substring_automaton(spark, sf_dir):
+    found = automaton.remove_repeats(table(spark, sf_dir, "documents"))
+    columns, kept = _removed(found, "n_words")
+    return found.select(*columns, kept)
+
+
+@query
+def op6_suffix_dedup(spark, sf_dir):
+    found = suffixdedup.remove_repeats(table(spark, sf_dir, "documents"))
+    columns, kept = _removed(found, "n_bytes")
+    return found.select(*columns, F.size("spans").cast("long").alias("n_spans"), kept)
+
+
 @query
 def op7_secrets(spark, sf_dir):
     found = secrets.scan(table(spark, sf_dir, "documents"), keep=["doc_id"])
