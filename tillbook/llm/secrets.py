@@ -118,11 +118,14 @@ def with_live(base, live):
     return F.array_sort(F.concat(base, marked))
 
 
-def redact(docs: DataFrame, *, text: str = "text", mark: str = "<secret>", **options) -> DataFrame:
-    """``docs`` with every live span replaced by ``mark``; rows and columns stay, overlaps get one mark."""
+def redact(docs: DataFrame, *, text: str = "text", mark: str = "<secret>", length: str | None = None, **options) -> DataFrame:
+    """``docs`` with every live span replaced by ``mark``; rows and columns stay, overlaps get one mark.
+
+    ``length``: a column that states the characters of the text; it follows a changed text, if ``docs`` has it.
+    """
     key = F.md5(F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8"))
-    found = scan(docs, keep=[key.alias("_key")], text=text, **options).where(F.size("live") > 0)
-    found = found.groupBy("_key").agg(F.first("live").alias("_live"))
+    found = scan(docs, keep=[key.alias("__key")], text=text, **options).where(F.size("live") > 0)
+    found = found.groupBy("__key").agg(F.first("live").alias("__live"))
     state = lambda out, at: F.struct(out.alias("out"), at.cast("int").alias("at"))
 
     def step(a, s):
@@ -130,7 +133,9 @@ def redact(docs: DataFrame, *, text: str = "text", mark: str = "<secret>", **opt
         further = state(a["out"], F.greatest(a["at"], s["end"]))
         return F.when(s["start"] < a["at"], further).otherwise(state(F.concat(a["out"], gap, F.lit(mark)), s["end"]))
 
-    kept = F.aggregate("_live", state(F.lit(""), F.lit(0)), step, lambda a: F.concat(a["out"], F.col(text).substr(a["at"] + 1, F.length(text))))
-    new = F.when(F.col("_live").isNull(), F.col(text)).otherwise(kept)
-    joined = docs.join(found, key == found["_key"], "left")
-    return joined.select(*[new.alias(c) if c == text else F.col(c) for c in docs.columns])
+    kept = F.aggregate("__live", state(F.lit(""), F.lit(0)), step, lambda a: F.concat(a["out"], F.col(text).substr(a["at"] + 1, F.length(text))))
+    changed = F.col("__live").isNotNull()
+    joined = docs.join(found, key == found["__key"], "left").withColumn(text, F.when(changed, kept).otherwise(F.col(text)))
+    if length in docs.columns:
+        joined = joined.withColumn(length, F.when(changed, F.length(text).cast(docs.schema[length].dataType)).otherwise(F.col(length)))
+    return joined.select(*docs.columns)
