@@ -739,22 +739,43 @@ check("stock_check_carts", """SELECT r.parent_id AS order_id, count(*) AS lines,
         cast(bool_and(f.ok) AS int) AS accepted FROM req r JOIN fold f ON f.key = r.key AND f.rn = r.rn GROUP BY 1""",
       extra=fold(STOCK_REQ), recursive=True)
 TRANSITION = """asked AS (SELECT id AS order_id, status AS from_status, total_amount,
+          created_at + to_days(cast(id % 7 AS int)) AS requested_at,
           ['pending','successful','return','cancelled','shipped'][cast(id % 5 AS int) + 1] AS to_status FROM sh_orders),
-        short AS (SELECT l.parent_id FROM sh_lines l JOIN sh_products p ON p.id = l.product_id
-                  WHERE p.stock < l.quantity GROUP BY 1),
+        req AS MATERIALIZED (
+          SELECT product_id AS key, order_id, line_id, delta,
+                 row_number() OVER (PARTITION BY product_id ORDER BY requested_at, order_id, line_id) AS rn
+          FROM (SELECT l.product_id, a.order_id, l.id AS line_id, a.requested_at,
+                       CASE WHEN a.to_status = 'successful' THEN -l.quantity
+                            ELSE greatest(0, l.quantity - l.returned_quantity) END AS delta
+                FROM asked a JOIN sh_lines l ON l.parent_id = a.order_id
+                WHERE a.to_status <> 'shipped' AND (a.to_status = 'successful') <> (a.from_status = 'successful'))
+          WHERE delta <> 0),
+        walk AS (
+          SELECT r.key, r.rn, r.order_id, p.stock + r.delta >= 0 OR r.delta > 0 AS ok,
+                 CASE WHEN p.stock + r.delta >= 0 OR r.delta > 0 THEN p.stock + r.delta ELSE p.stock END AS held
+          FROM req r JOIN sh_products p ON p.id = r.key WHERE r.rn = 1
+          UNION ALL
+          SELECT r.key, r.rn, r.order_id, w.held + r.delta >= 0 OR r.delta > 0,
+                 CASE WHEN w.held + r.delta >= 0 OR r.delta > 0 THEN w.held + r.delta ELSE w.held END
+          FROM walk w JOIN req r ON r.key = w.key AND r.rn = w.rn + 1),
+        short AS (SELECT DISTINCT order_id FROM walk WHERE NOT ok),
         judged AS (SELECT a.*, CASE WHEN to_status = 'shipped' THEN 'invalid status'
-            WHEN to_status = 'successful' AND from_status <> 'successful' AND s.parent_id IS NOT NULL THEN 'not enough stock'
-            ELSE 'ok' END AS outcome FROM asked a LEFT JOIN short s ON s.parent_id = a.order_id)"""
+            WHEN to_status = 'successful' AND from_status <> 'successful' AND s.order_id IS NOT NULL THEN 'not enough stock'
+            ELSE 'ok' END AS outcome FROM asked a LEFT JOIN short s ON s.order_id = a.order_id)"""
 check("order_transition", f"""SELECT order_id, to_status, from_status, outcome,
         CASE WHEN outcome = 'ok' THEN to_status ELSE from_status END AS status,
         {cents("CASE WHEN outcome = 'ok' AND from_status = 'successful' AND to_status = 'return' THEN 0 ELSE total_amount END", 'total_amount')}
-        FROM judged""", extra=TRANSITION)
+        FROM judged""", extra=TRANSITION, recursive=True)
+check("order_transition_lines", """SELECT l.id, l.parent_id AS order_id,
+        cast(CASE WHEN j.outcome = 'ok' AND j.from_status = 'successful' AND j.to_status = 'return' THEN l.quantity
+             ELSE l.returned_quantity END AS int) AS returned_quantity
+        FROM sh_lines l LEFT JOIN judged j ON j.order_id = l.parent_id""", extra=TRANSITION, recursive=True)
 check("order_transition_moves", """SELECT * FROM (SELECT j.order_id, l.id AS line_id, l.product_id,
           cast(CASE WHEN j.to_status = 'successful' THEN -l.quantity
                ELSE greatest(0, l.quantity - l.returned_quantity) END AS bigint) AS delta
         FROM judged j JOIN sh_lines l ON l.parent_id = j.order_id
         WHERE j.outcome = 'ok' AND (j.to_status = 'successful') <> (j.from_status = 'successful')) WHERE delta <> 0""",
-      extra=TRANSITION)
+      extra=TRANSITION, recursive=True)
 check("resold_after_return", f"""SELECT o.id, {cents('o.total_amount', 'total_amount')} FROM sh_orders o
         JOIN (SELECT parent_id FROM sh_lines GROUP BY 1 HAVING bool_and(returned_quantity >= quantity)) l ON l.parent_id = o.id
         WHERE o.status = 'successful'""")

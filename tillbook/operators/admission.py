@@ -81,9 +81,6 @@ def admit_in_order(
             return decided.drop("_room", "_need")
 
 
-FOLD_ROWS = 1_000
-
-
 def admit_with_inflows(
     events: DataFrame,
     opening: DataFrame,
@@ -92,62 +89,33 @@ def admit_with_inflows(
     delta: str,
     bucket: Column,
     opening_col: str = "opening",
-    fold_rows: int = FOLD_ROWS,
 ) -> DataFrame:
     """Adds ``admitted`` to events that fill (delta >= 0) or draw on (delta < 0) a balance.
 
     Fillings always count; a drawing is taken only if the balance covers it at
-    that moment, otherwise it changes nothing. Exact for any number of events:
-    keys with up to ``fold_rows`` of them are walked as one sorted array, the
-    larger ones are settled in rounds that never bring a key together.
+    that moment, otherwise it changes nothing. Exact for any number of events
+    and any opening balance, negative ones included. Events of a key without
+    opening are left out.
+
+    Works in rounds over all keys at once; no key is brought together. Each
+    round bounds the balance before every open drawing and settles those both
+    bounds agree on, at least the earliest open one of every key. Upper bound:
+    no other open drawing taken. Lower bound: all of them taken, but never below
+    the smaller of 0 and the opening balance, where no drawing can bring it.
     """
     base = opening.select(F.col(key).alias("_k"), F.col(opening_col).cast("decimal(20,2)").alias("_opening"))
-    sizes = events.groupBy(F.col(key).alias("_k")).agg(F.count(F.lit(1)).alias("_n"))
-    sized = events.join(sizes.join(base, "_k"), events[key] == F.col("_k")).drop("_k")
-    sized = cut_lineage(sized.withColumn(delta, F.col(delta).cast("decimal(20,2)")))
-    large = F.col("_n") > fold_rows
-    walked = _walk(sized.where(~large).drop("_n"), key, order, delta)
-    rest = sized.where(large).drop("_n")
-    if rest.isEmpty():
-        return walked
-    return walked.unionByName(_settle_in_rounds(rest, key, order, delta, bucket))
-
-
-def _walk(events: DataFrame, key: str, order: list[str], delta: str) -> DataFrame:
-    columns = [c for c in events.columns if c != "_opening"]
-    rest = [c for c in columns if c not in (key, *order)]
-    arrays = events.groupBy(key, "_opening").agg(
-        F.sort_array(F.collect_list(F.struct(*order, *rest))).alias("_events")
-    )
-    judged = F.array(F.struct(*[F.col(c) for c in (*order, *rest)], F.lit(True).alias("admitted")))
-    judged_type = events.select(judged.alias("t")).schema["t"].dataType
-
-    def step(state, event):
-        fits = (event[delta] >= 0) | (state["left"] + event[delta] >= 0)
-        left = F.when(fits, state["left"] + event[delta]).otherwise(state["left"]).cast("decimal(20,2)")
-        entry = F.struct(*[event[c].alias(c) for c in (*order, *rest)], fits.alias("admitted"))
-        return F.struct(left.alias("left"), F.array_append(state["done"], entry).alias("done"))
-
-    begin = F.struct(F.col("_opening").alias("left"), F.array().cast(judged_type).alias("done"))
-    done = F.aggregate("_events", begin, step, lambda state: state["done"])
-    return arrays.select(key, F.inline(done)).select(*columns, "admitted")
-
-
-def _settle_in_rounds(events: DataFrame, key: str, order: list[str], delta: str, bucket: Column) -> DataFrame:
-    """Each round bounds the balance before every open drawing and settles those both bounds agree on.
-
-    Upper bound: no other open drawing taken. Lower bound: all of them taken,
-    restarted at 0 where that would go negative, which the true balance never
-    does. The earliest open drawing of a key is settled in every round.
-    """
-    state = events.withColumn("admitted", F.when(F.col(delta) >= 0, F.lit(True)))
+    state = events.join(base, events[key] == F.col("_k")).drop("_k")
+    state = state.withColumn(delta, F.col(delta).cast("decimal(20,2)"))
+    state = state.withColumn("admitted", F.when(F.col(delta) >= 0, F.lit(True)))
     while True:
         open_ = F.col("admitted").isNull()
         sure = F.when(F.col("admitted"), F.col(delta)).otherwise(F.lit(0))
         worst = F.when(open_, F.col(delta)).otherwise(sure)
         bounds = [Running("_high", sure, inclusive=False), Running("_low", worst, inclusive=False)]
         walked = running_all(state, [key], order, bounds, bucket)
-        walked = running(walked, [key], order, F.col("_opening") + F.col("_low"), "_dip", bucket, how="min")
+        floor = F.least(F.lit(0), F.col("_opening"))
+        under = F.col("_opening") + F.col("_low") - floor
+        walked = running(walked, [key], order, under, "_dip", bucket, how="min")
         high = F.col("_opening") + F.col("_high")
         low = F.col("_opening") + F.col("_low") - F.least(F.lit(0), F.col("_dip"))
         need = -F.col(delta)

@@ -7,6 +7,8 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tillbook.session import cut_lineage
+
 _COMBINE = {"sum": F.sum, "max": F.max, "min": F.min}
 
 
@@ -25,7 +27,7 @@ def running(
     order: list[str],
     value: Column,
     out: str,
-    bucket: Column,
+    bucket: Column | None = None,
     how: str = "sum",
     inclusive: bool = True,
 ) -> DataFrame:
@@ -34,51 +36,60 @@ def running(
 
 
 def running_all(
-    df: DataFrame, keys: list[str], order: list[str], columns: list[Running], bucket: Column
+    df: DataFrame, keys: list[str], order: list[str], columns: list[Running], bucket: Column | None = None
 ) -> DataFrame:
     """Adds running columns per key in the given order.
 
     ``bucket`` must grow with the order (a day or month of the leading
-    timestamp, a range of the leading id). Each (key, bucket) is reduced first,
-    the short list of bucket results is accumulated per key, and rows are then
-    only windowed within their own bucket. So a key holding a large share of
-    all rows is spread over its buckets instead of landing in one task.
+    timestamp, a range of the leading id). Rows are windowed within their
+    (key, bucket) only; the last row of each has the bucket's result, and the
+    short list of these is accumulated per key and joined back. So a key holding
+    a large share of all rows is spread over its buckets instead of landing in
+    one task. Without keys, buckets are sampled ranges of the order, as many as
+    there are shuffle partitions, and ``bucket`` is not used.
     The exclusive form yields null before the first row (0 for a sum).
+
+    The windowed rows are checkpointed, so the input is read and moved once.
     """
     n = range(len(columns))
-    spread = df.withColumn("_bucket", bucket).withColumns(
-        {f"_value{i}": columns[i].value for i in n}
-    )
+    spread = df.withColumns({f"_value{i}": columns[i].value for i in n})
+    if keys:
+        spread = spread.withColumn("_bucket", bucket)
+    else:
+        spread = cut_lineage(spread.repartitionByRange(*order).withColumn("_bucket", F.spark_partition_id()))
     part_keys = [*keys, "_bucket"]
 
-    totals = spread.groupBy(*part_keys).agg(
-        *[_COMBINE[columns[i].how](f"_value{i}").alias(f"_part{i}") for i in n]
-    )
-    before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    carried = totals.select(
-        *[F.col(k).alias(f"_key{j}") for j, k in enumerate(part_keys)],
-        *[_COMBINE[columns[i].how](f"_part{i}").over(before).alias(f"_carried{i}") for i in n],
+    ordered = Window.partitionBy(*part_keys).orderBy(*order)
+    upto = ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    local = {"_last": F.lead(F.lit(True)).over(ordered).isNull()}
+    for i, c in enumerate(columns):
+        local[f"_part{i}"] = _COMBINE[c.how](f"_value{i}").over(upto)
+        if not c.inclusive:
+            local[f"_local{i}"] = _COMBINE[c.how](f"_value{i}").over(ordered.rowsBetween(Window.unboundedPreceding, -1))
+    walked = cut_lineage(spread.withColumns(local))
+
+    before = Window.partitionBy(*[f"_key{j}" for j in range(len(keys))]).orderBy(f"_key{len(keys)}")
+    before = before.rowsBetween(Window.unboundedPreceding, -1)
+    totals = walked.where("_last").select(
+        *[F.col(k).alias(f"_key{j}") for j, k in enumerate(part_keys)], *[F.col(f"_part{i}").alias(f"_total{i}") for i in n]
     )
+    carried = totals.withColumns({f"_carried{i}": _COMBINE[columns[i].how](f"_total{i}").over(before) for i in n})
     same = [F.col(k).eqNullSafe(F.col(f"_key{j}")) for j, k in enumerate(part_keys)]
-    joined = spread.join(carried, same, "left")
+    joined = walked.join(carried.drop(*[f"_total{i}" for i in n]), same, "left")
 
     results = {}
     for i, c in enumerate(columns):
-        end = Window.currentRow if c.inclusive else -1
-        inside = (
-            Window.partitionBy(*part_keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, end)
-        )
-        local, earlier = _COMBINE[c.how](f"_value{i}").over(inside), F.col(f"_carried{i}")
+        local, earlier = F.col(f"_part{i}" if c.inclusive else f"_local{i}"), F.col(f"_carried{i}")
         if c.how == "sum":
             results[c.out] = F.coalesce(earlier, F.lit(0)) + F.coalesce(local, F.lit(0))
         else:
             results[c.out] = (F.greatest if c.how == "max" else F.least)(earlier, local)
     return joined.withColumns(results).drop(
-        "_bucket", *[f"_key{j}" for j in range(len(part_keys))],
-        *[f"_value{i}" for i in n], *[f"_carried{i}" for i in n],
+        "_bucket", "_last", *[f"_key{j}" for j in range(len(part_keys))],
+        *[f"{name}{i}" for name in ("_value", "_part", "_local", "_carried") for i in n],
     )
 
 
-def position(df: DataFrame, keys: list[str], order: list[str], out: str, bucket: Column) -> DataFrame:
+def position(df: DataFrame, keys: list[str], order: list[str], out: str, bucket: Column | None = None) -> DataFrame:
     """1-based position of a row within its key."""
     return running(df, keys, order, F.lit(1).cast("bigint"), out, bucket)

@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 
 from tillbook.common import MONEY, money_sum
 from tillbook.functions.money import discount_price, implied_discount_percent, scaled
-from tillbook.operators.admission import admit_in_order
+from tillbook.operators.admission import admit_in_order, admit_with_inflows
 from tillbook.operators.changes import fill_missing, rename_values
 from tillbook.plans import daybook
+from tillbook.session import cut_lineage
 from tillbook.sources.schema import ORDER_STATUSES, PAYMENT_METHODS
 from tillbook.sources.shop import Shop
 
@@ -21,30 +22,46 @@ from tillbook.sources.shop import Shop
 def order_transitions(
     orders: DataFrame, items: DataFrame, products: DataFrame, requests: DataFrame
 ) -> tuple[DataFrame, DataFrame]:
-    """Status requests (order_id, to_status), one per order, against current stock.
+    """Status requests (order_id, to_status, requested_at), one per order, in the order they were made.
 
     Returns the requests with outcome, new status and new total, and the stock
-    movements of the accepted ones. Approving needs every line's product to
-    hold the line's quantity and takes it. Leaving ``successful`` gives back
-    what has not come back yet; to ``return`` it also empties the order.
+    movements of the accepted ones. Approving takes every line's quantity from
+    what its product still holds at that moment. Leaving ``successful`` gives back
+    what has not come back yet; to ``return`` it also empties the order. Without
+    ``requested_at`` requests go by order id.
+
+    Each product serves its lines in request order; an order with any line it
+    can't serve is refused. The refused order's other lines stay reserved for
+    it in this batch, so stock never goes below zero, but a later order may be
+    refused that serial processing would still serve.
     """
     current = orders.select(
         F.col("id").alias("order_id"), F.col("status").alias("from_status"), "total_amount"
     )
     asked = requests.join(current, "order_id", "left")
+    when = F.col("requested_at") if "requested_at" in requests.columns else F.lit(None).cast("timestamp_ntz")
+    known = F.col("to_status").isin(*ORDER_STATUSES) & F.col("from_status").isNotNull()
+    approving = known & (F.col("to_status") == "successful") & (F.col("from_status") != "successful")
+    leaving = known & (F.col("from_status") == "successful") & (F.col("to_status") != "successful")
+
     lines = items.where("product_id is not null").select(
         "order_id", F.col("id").alias("line_id"), "product_id", "quantity", "returned_quantity"
     )
-    stock = products.select(F.col("id").alias("product_id"), "stock")
-    approving = (F.col("to_status") == "successful") & (F.col("from_status") != "successful")
-    leaving = (F.col("from_status") == "successful") & (F.col("to_status") != "successful")
-
-    short = (
-        asked.where(approving).select("order_id").join(lines, "order_id")
-        .join(stock, "product_id", "left")
-        .groupBy("order_id")
-        .agg(F.bool_or(F.coalesce(F.col("stock") < F.col("quantity"), F.lit(True))).alias("_short"))
+    outstanding = F.greatest(F.lit(0), F.col("quantity") - F.col("returned_quantity"))
+    moving = asked.where(approving | leaving).select("order_id", when.alias("_when"), approving.alias("_takes"))
+    events = (
+        lines.join(moving, "order_id")
+        .withColumn("delta", F.when(F.col("_takes"), -F.col("quantity")).otherwise(outstanding).cast("bigint"))
+        .where("delta <> 0").drop("quantity", "returned_quantity")
     )
+    stock = products.select(F.col("id").alias("product_id"), F.col("stock").alias("opening"))
+    # one reading of the events for the decision, the refusals and the movements
+    served = cut_lineage(admit_with_inflows(
+        events, events.select("product_id").distinct().join(stock, "product_id", "left").fillna({"opening": 0}),
+        "product_id", ["_when", "order_id", "line_id"], "delta",
+        F.coalesce(F.unix_millis(F.col("_when").cast("timestamp")), F.col("order_id")),
+    ))
+    short = served.where("not admitted").select("order_id").distinct().withColumn("_short", F.lit(True))
     outcome = (
         F.when(~F.col("to_status").isin(*ORDER_STATUSES), "invalid status")
         .when(F.col("from_status").isNull(), "order not found")
@@ -57,13 +74,8 @@ def order_transitions(
     decided = decided.withColumn(
         "status", F.when(ok, F.col("to_status")).otherwise(F.col("from_status"))
     ).withColumn("total_amount", F.when(emptied, F.lit(0).cast(MONEY)).otherwise(F.col("total_amount")))
-
-    moved = decided.where(ok & (approving | leaving)).select("order_id", "from_status", "to_status")
-    outstanding = F.greatest(F.lit(0), F.col("quantity") - F.col("returned_quantity"))
-    moves = (
-        lines.join(moved, "order_id")
-        .withColumn("delta", F.when(approving, -F.col("quantity")).otherwise(outstanding).cast("bigint"))
-        .where("delta <> 0").select("order_id", "line_id", "product_id", "delta")
+    moves = served.join(short, "order_id", "left_anti").select(
+        "order_id", "line_id", "product_id", F.col("delta").cast("bigint").alias("delta")
     )
     return decided, moves
 

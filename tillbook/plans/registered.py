@@ -1268,13 +1268,22 @@ def _status_requests(shop):
     word = F.element_at(
         F.array(*[F.lit(s) for s in (*ORDER_STATUSES, "shipped")]), (F.col("id") % 5 + 1).cast("int")
     )
-    return shop.orders.select(F.col("id").alias("order_id"), word.alias("to_status"))
+    # asked for within a week of the order
+    when = F.timestamp_add("DAY", (F.col("id") % 7).cast("int"), F.col("created_at"))
+    return shop.orders.select(F.col("id").alias("order_id"), word.alias("to_status"), when.alias("requested_at"))
 
 
 @trade_query
 def order_transition(shop):
     decided, _ = lifecycle.order_transitions(shop.orders, shop.order_items, shop.products, _status_requests(shop))
-    return decided
+    return decided.drop("requested_at")
+
+
+@trade_query
+def order_transition_lines(shop):
+    decided, _ = lifecycle.order_transitions(shop.orders, shop.order_items, shop.products, _status_requests(shop))
+    lines = lifecycle.lines_after_transition(shop.order_items, decided)
+    return lines.select("id", "order_id", "returned_quantity")
 
 
 @trade_query
