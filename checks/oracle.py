@@ -410,7 +410,7 @@ def _items(fields: str) -> str:
     return f"""(SELECT parent_id, string_agg({fields}, '|' ORDER BY id) AS items FROM sh_lines GROUP BY 1)"""
 
 
-check("nest_children", f"""SELECT o.id, 0 AS page, coalesce(i.items, '') AS items FROM sh_orders o
+check("nest_children", f"""SELECT o.id, coalesce(i.items, '') AS items FROM sh_orders o
         LEFT JOIN {_items("concat_ws(':', id, quantity)")} i ON i.parent_id = o.id""")
 
 
@@ -511,15 +511,15 @@ check("sales_list_filtered", f"""SELECT s.id, s.staff_id, u.name AS staff_name,
         WHERE s.staff_id = 3 AND s.created_at >= timestamp '2024-01-10'
         ORDER BY s.created_at DESC, s.id DESC LIMIT 200""")
 check("sale_detail", f"""SELECT s.id, u.name AS staff_name, c.name AS customer_name,
-        {cents('s.total_amount', 'total_amount')}, s.status, 0 AS page, coalesce(i.items, '') AS items
+        {cents('s.total_amount', 'total_amount')}, s.status, coalesce(i.items, '') AS items
         FROM sh_sales s JOIN sh_users u ON u.id = s.staff_id LEFT JOIN sh_customers c ON c.id = s.customer_id
         LEFT JOIN {_items("concat_ws(':', id, product_id, quantity, returned_quantity)")} i ON i.parent_id = s.id""")
 check("orders_admin_list", f"""SELECT o.id, {cents('o.total_amount', 'total_amount')}, o.status,
-        {stamp('o.created_at', 'created_at')}, {PARTY_COLS}, 0 AS page, coalesce(i.items, '') AS items {PARTY}
+        {stamp('o.created_at', 'created_at')}, {PARTY_COLS}, coalesce(i.items, '') AS items {PARTY}
         LEFT JOIN {_items("concat_ws(':', id, product_code, price, quantity)")} i ON i.parent_id = o.id""")
 check("my_orders", f"""SELECT CASE WHEN o.customer_id IS NOT NULL THEN 'customer' ELSE 'staff' END AS party_type,
         coalesce(o.customer_id, o.user_id) AS party_id, o.id, o.status, {cents('o.total_amount', 'total_amount')},
-        0 AS page, coalesce(i.items, '') AS items FROM sh_orders o
+        coalesce(i.items, '') AS items FROM sh_orders o
         LEFT JOIN {_items("concat_ws(':', id, product_name, quantity)")} i ON i.parent_id = o.id""")
 check("product_list", f"SELECT {_without({'product_code', 'purchase_price'})}, {NAMES4} FROM sh_named WHERE is_active = 1 AND stock > 0")
 check("product_list_filtered", f"""SELECT * FROM (SELECT {_without({'product_code'} | RETAIL3)}, {NAMES4} FROM sh_named
@@ -684,13 +684,13 @@ check("weighted_pick", """SELECT c.id, w.product_id FROM
 
 
 def _bill(title: str, who: str, extra_head: str, note: str, total: str, people: str, where: str) -> str:
-    return f"""SELECT o.id AS order_id, 0 AS page, concat_ws(chr(10), '*Shop - {title}*', '', '*Order ID:* #' || o.id,
+    return f"""SELECT o.id AS order_id, concat_ws(chr(10), '*Shop - {title}*', '', '*Order ID:* #' || o.id,
           '*{who}:* ' || p.sender_name, '*Contact:* ' || p.sender_phone, {extra_head}
           '*Date:* ' || strftime(o.created_at, '%d %b %Y, %I:%M %p'), repeat('-', 24), l.lines, repeat('-', 24),
           '*{total}: ' || {RS.format('o.total_amount')} || '*', '',
           'Our staff will contact you soon. Thanks for your patience.') AS message
         FROM {where} o JOIN {people}
-        JOIN (SELECT parent_id, string_agg(n || '. ' || coalesce('#' || product_code, product_name) || chr(10) || '    '
+        LEFT JOIN (SELECT parent_id, string_agg(n || '. ' || coalesce('#' || product_code, product_name) || chr(10) || '    '
                 || quantity || ' x ' || {RS.format('price')} || '{note} = ' || {RS.format('price * quantity')},
                 chr(10) ORDER BY n) AS lines
               FROM (SELECT *, row_number() OVER (PARTITION BY parent_id ORDER BY line_no, id) AS n FROM sh_lines)

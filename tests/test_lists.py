@@ -103,19 +103,22 @@ def test_names_can_be_compared_without_accents(make):
     assert table(quality.key_conflicts(names, [(names, "name")], "name"), "id", "available")[0] == (1, True)
 
 
-def test_nested_lines_are_whole_even_when_paged(spark):
+def test_nested_lines_are_whole_and_sorted(spark):
     parents = spark.range(4).selectExpr("id")
     children = spark.range(300).selectExpr(
         "case when id < 200 then 1 else 2 + id % 2 end as parent", "id as child", "id * 2 as q"
     )
-    out = nesting.nest_children(parents, children, "id", "parent", ["q"], "child", page_rows=60).collect()
-    sizes = {}
-    for r in out:
-        assert len(r["items"]) <= 60
-        assert [e.child for e in r["items"]] == sorted(e.child for e in r["items"])
-        sizes[r.id] = sizes.get(r.id, 0) + len(r["items"])
-    assert sizes == {0: 0, 1: 200, 2: 50, 3: 50}
-    assert len([r for r in out if r.id == 1]) > 1 and len([r for r in out if r.id == 2]) == 1
+    out = nesting.nest_children(parents, children, "id", "parent", ["q"], "child").collect()
+    assert {r.id: [e.child for e in r["items"]] for r in out} == {
+        0: [], 1: list(range(200)), 2: list(range(200, 300, 2)), 3: list(range(201, 300, 2))}
+    assert len(out) == 4
+
+
+def test_a_large_parent_is_one_row(spark):
+    parents = spark.range(2).selectExpr("id")
+    children = spark.range(25_000).selectExpr("0 as parent", "25000 - id as child")
+    first, second = sorted(nesting.nest_children(parents, children, "id", "parent", [], "child").collect())
+    assert [e.child for e in first["items"]] == list(range(1, 25_001)) and second["items"] == []
 
 
 def test_bill_drops_absent_lines_and_keeps_blank_ones(make):

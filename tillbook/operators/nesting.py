@@ -5,12 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tillbook.session import cut_lineage
-
-PAGE_ROWS = 10_000
-# Up to this many large parents (two numbers each) are broadcast; more are joined by shuffle.
-BROADCAST_ROWS = 100_000
-
 
 def nest_children(
     parents: DataFrame,
@@ -20,48 +14,23 @@ def nest_children(
     fields: list[str],
     sort_field: str,
     out: str = "items",
-    page_rows: int = PAGE_ROWS,
 ) -> DataFrame:
-    """Left-joins the children of each parent as a sorted array of structs.
-
-    A parent with up to ``page_rows`` children is one row with ``page`` 0. A
-    larger one comes as several rows, its children split by a hash of the sort
-    field, so no task and no row ever holds an unbounded group. Parents without
-    children get an empty array.
+    """Left-joins the children of each parent as one whole array of structs, sorted by ``sort_field``.
 
-    Runs a job: it counts the children per parent first, reading the key column
-    only, so that the wide rows need no join but for large parents and are
-    shuffled once.
+    Parents without children get an empty array. The children move once, by
+    their parent. An array is one value of one row; where a parent may have more
+    children than a row can hold, use ``with_parent``, which keeps them as rows.
     """
-    paged = _paged(children, child_key, sort_field, page_rows).repartition(child_key, "page")
     entry = F.struct(sort_field, *[f for f in fields if f != sort_field])
-    nested = (
-        paged.groupBy(F.col(child_key).alias("_parent"), "page")
-        .agg(F.sort_array(F.collect_list(entry)).alias(out))
-    )
+    nested = children.groupBy(F.col(child_key).alias("_parent")).agg(F.sort_array(F.collect_list(entry)).alias(out))
     joined = parents.join(nested, parents[parent_key] == F.col("_parent"), "left").drop("_parent")
-    empty = F.array().cast(nested.schema[out].dataType)
-    return joined.withColumn(out, F.coalesce(out, empty)).withColumn(
-        "page", F.coalesce("page", F.lit(0))
-    )
+    return joined.withColumn(out, F.coalesce(out, F.array().cast(nested.schema[out].dataType)))
 
 
-def _paged(children: DataFrame, key: str, sort_field: str, page_rows: int) -> DataFrame:
-    sizes = children.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    large = cut_lineage(
-        sizes.where(F.col("_n") > page_rows)
-        .select(F.col(key).alias("_big"), F.ceil(F.col("_n") * 2 / page_rows).alias("_pages"))
-    )
-    found = large.count()
-    if found == 0:
-        return children.withColumn("page", F.lit(0))
-    if found <= BROADCAST_ROWS:
-        large = F.broadcast(large)
-    page = F.when(F.col("_pages").isNull(), F.lit(0)).otherwise(
-        F.pmod(F.xxhash64(sort_field), F.col("_pages"))
-    )
-    joined = children.join(large, children[key] == F.col("_big"), "left")
-    return joined.withColumn("page", page.cast("int")).drop("_big", "_pages")
+def with_parent(parents: DataFrame, children: DataFrame, parent_key: str, child_key: str, columns: list[str]) -> DataFrame:
+    """The children as rows, each with ``columns`` of its parent."""
+    own = parents.select(F.col(parent_key).alias("_parent"), *columns)
+    return children.join(own, children[child_key] == F.col("_parent")).drop("_parent")
 
 
 def items_text(items: Column, *fields: str) -> Column:

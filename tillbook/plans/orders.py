@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tillbook.common import all_of, instant
 from tillbook.functions.money import format_money
 from tillbook.functions.text import bill_datetime, is_filled, item_label
-from tillbook.operators.nesting import PAGE_ROWS, nest_children
+from tillbook.operators.nesting import nest_children
 from tillbook.operators.ranking import top_k
 from tillbook.operators.running import position
 from tillbook.plans.catalog import hidden_columns
@@ -22,20 +22,25 @@ CLOSING = "Our staff will contact you soon. Thanks for your patience."
 
 
 def with_parties(orders: DataFrame, shop: Shop) -> DataFrame:
-    """Who placed the order: staff or customer name, e-mail, phone and role."""
+    """Who placed the order: staff or customer name, e-mail, phone and role.
+
+    An order has one of the two; where a key is null, the order's own id stands
+    in as a number that no party has, so these orders don't meet in one task.
+    """
+    nobody = -1 - F.col("id")
+    orders_keyed = orders.withColumn("_user", F.coalesce("user_id", nobody)).withColumn("_customer", F.coalesce("customer_id", nobody))
     users = shop.users.select(
-        F.col("id").alias("user_id"), F.col("name").alias("_u_name"), F.col("email").alias("_u_email"),
+        F.col("id").alias("_user"), F.col("name").alias("_u_name"), F.col("email").alias("_u_email"),
         F.col("phone").alias("_u_phone"), "role_id",
     )
     roles = shop.user_roles.select(F.col("id").alias("role_id"), F.col("name").alias("_role"))
+    # the role is the user's own, so it is joined before the orders are
+    users = users.join(roles, "role_id", "left").drop("role_id")
     customers = shop.customers.select(
-        F.col("id").alias("customer_id"), F.col("name").alias("_c_name"),
+        F.col("id").alias("_customer"), F.col("name").alias("_c_name"),
         F.col("email").alias("_c_email"), F.col("whatsapp_number").alias("_c_phone"),
     )
-    joined = (
-        orders.join(users, "user_id", "left").join(roles, "role_id", "left")
-        .join(customers, "customer_id", "left")
-    )
+    joined = orders_keyed.join(users, "_user", "left").join(customers, "_customer", "left")
     return joined.select(
         *orders.columns,
         F.coalesce("_u_name", "_c_name").alias("customer_name"),
@@ -47,22 +52,31 @@ def with_parties(orders: DataFrame, shop: Shop) -> DataFrame:
 
 def orders_admin_list(shop: Shop) -> DataFrame:
     """Every order with its party and its lines, newest first."""
-    nested = nest_children(shop.orders, shop.order_items, "id", "order_id", ITEM_FIELDS, "id")
-    return with_parties(nested, shop).orderBy(F.col("created_at").desc(), F.col("id").desc(), "page")
+    nested = nest_children(with_parties(shop.orders, shop), shop.order_items, "id", "order_id", ITEM_FIELDS, "id")
+    return nested.orderBy(F.col("created_at").desc(), F.col("id").desc())
+
+
+def lines_of(lines: DataFrame, headers: DataFrame, parent: str) -> DataFrame:
+    """The lines of these headers only."""
+    return lines.join(headers.select(F.col("id").alias(parent)), parent, "left_semi")
 
 
-def my_orders(shop: Shop, role: str | None = None) -> DataFrame:
-    """All parties' own orders with lines; the party is (party_type, party_id).
+def my_orders(shop: Shop, role: str | None = None, party: tuple[str, int] | None = None) -> DataFrame:
+    """Own orders with lines, of all parties or of one; the party is (party_type, party_id).
 
-    A caller with one party in mind filters on it, which reaches the scan. The
-    product code shows to managers only.
+    For one party only its orders' lines are nested. The product code shows to
+    managers only.
     """
     fields = [f for f in ITEM_FIELDS if f not in hidden_columns("order_items", role)]
     orders = shop.orders.withColumn(
         "party_type", F.when(F.col("customer_id").isNotNull(), "customer").otherwise("staff")
     ).withColumn("party_id", F.coalesce("customer_id", "user_id"))
-    nested = nest_children(orders, shop.order_items, "id", "order_id", fields, "id")
-    return nested.orderBy("party_type", "party_id", F.col("created_at").desc(), F.col("id").desc(), "page")
+    lines = shop.order_items
+    if party is not None:
+        orders = orders.where((F.col("party_type") == party[0]) & (F.col("party_id") == party[1]))
+        lines = lines_of(lines, orders, "order_id")
+    nested = nest_children(orders, lines, "id", "order_id", fields, "id")
+    return nested.orderBy("party_type", "party_id", F.col("created_at").desc(), F.col("id").desc())
 
 
 def with_staff_and_customer(sales: DataFrame, shop: Shop) -> DataFrame:
@@ -115,10 +129,13 @@ def sales_list(
     return with_staff_and_customer(top_k(sales, order, limit), shop).orderBy(*order)
 
 
-def sale_detail(shop: Shop) -> DataFrame:
-    """Every sale with names and lines."""
-    nested = nest_children(shop.sales, shop.sale_items, "id", "sale_id", ITEM_FIELDS, "id")
-    return with_staff_and_customer(nested, shop)
+def sale_detail(shop: Shop, where: Column | None = None) -> DataFrame:
+    """Sales with names and lines: all of them, or those that match; then only their lines are nested."""
+    sales, lines = shop.sales, shop.sale_items
+    if where is not None:
+        sales = sales.where(where)
+        lines = lines_of(lines, sales, "sale_id")
+    return nest_children(with_staff_and_customer(sales, shop), lines, "id", "sale_id", ITEM_FIELDS, "id")
 
 
 HOLD_ITEMS = "array<struct<product_id: bigint, quantity: int>>"
@@ -154,14 +171,12 @@ def bill_text(
     parent: str = "order_id",
     shop_name: str = "Shop",
     seller: bool = False,
-    page_rows: int = PAGE_ROWS,
 ) -> DataFrame:
-    """The order as a message: header, numbered lines, total. Empty lines stay, absent ones drop.
+    """The order as one message: header, numbered lines, total. Empty lines stay, absent ones drop.
 
     ``orders`` carries order_id, total_amount, created_at, sender_name,
     sender_phone and, for sellers, shop_name and city; ``numbered`` the lines
-    with their number. An order with more than ``page_rows`` lines comes as
-    several pages in line order, the header on each.
+    with their number. An order without lines has header and total only.
     """
     note = " (cost)" if seller else ""
     line = F.concat(
@@ -170,12 +185,10 @@ def bill_text(
         F.lit(f"{note} = "), format_money(F.col("price") * F.col("quantity")),
     )
     lines = (
-        numbered.withColumn("page", F.floor((F.col("number") - 1) / page_rows).cast("int"))
-        .withColumn("_line", line).select(parent, "page", "number", "_line")
-        .repartition(parent, "page")  # collecting before the shuffle would not shrink anything
-        .groupBy(parent, "page")
+        numbered.select(parent, "number", line.alias("_line"))
+        .groupBy(parent)
         .agg(F.sort_array(F.collect_list(F.struct("number", F.col("_line").alias("line")))).alias("_lines"))
-        .select(parent, "page", F.concat_ws("\n", F.transform("_lines", lambda e: e["line"])).alias("_lines"))
+        .select(parent, F.concat_ws("\n", F.transform("_lines", lambda e: e["line"])).alias("_lines"))
     )
 
     def labelled(label: str, col: str) -> Column:
@@ -195,6 +208,6 @@ def bill_text(
         F.lit("*Total (Cost Price): " if seller else "*Total: "), format_money(F.col("total_amount")), F.lit("*")
     )
     tail = [F.lit(DIVIDER), total, F.lit(""), F.lit(CLOSING)]
-    return orders.join(lines, parent).select(
-        parent, "page", F.concat_ws("\n", *head, F.col("_lines"), *tail).alias("message")
+    return orders.join(lines, parent, "left").select(
+        parent, F.concat_ws("\n", *head, F.col("_lines"), *tail).alias("message")
     )

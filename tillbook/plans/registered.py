@@ -651,7 +651,7 @@ def lookup_join(shop):
 @trade_query
 def nest_children(shop):
     nested = nesting.nest_children(shop.orders, shop.order_items, "id", "order_id", ["product_id", "quantity"], "id")
-    return nested.select("id", "page", nesting.items_text(F.col("items"), "id", "quantity").alias("items"))
+    return nested.select("id", nesting.items_text(F.col("items"), "id", "quantity").alias("items"))
 
 
 @trade_query
@@ -850,7 +850,7 @@ def sales_list_filtered(shop):
 def sale_detail(shop):
     out = orders.sale_detail(shop)
     return out.select(
-        "id", "staff_name", "customer_name", "total_amount", "status", "page",
+        "id", "staff_name", "customer_name", "total_amount", "status",
         nesting.items_text(F.col("items"), "id", "product_id", "quantity", "returned_quantity").alias("items"),
     )
 
@@ -860,7 +860,7 @@ def orders_admin_list(shop):
     out = orders.orders_admin_list(shop)
     return out.select(
         "id", "total_amount", "status", "created_at", "customer_name", "customer_email", "customer_phone",
-        "orderer_role", "page",
+        "orderer_role",
         nesting.items_text(F.col("items"), "id", "product_code", "price", "quantity").alias("items"),
     )
 
@@ -869,7 +869,7 @@ def orders_admin_list(shop):
 def my_orders(shop):
     out = orders.my_orders(shop)
     return out.select(
-        "party_type", "party_id", "id", "status", "total_amount", "page",
+        "party_type", "party_id", "id", "status", "total_amount",
         nesting.items_text(F.col("items"), "id", "product_name", "quantity").alias("items"),
     )
 
