@@ -245,7 +245,7 @@ check("export_tables", "UNION ALL ".join(
     f"SELECT 'data_{n}_20240131_000000' AS file, count(*) AS n FROM {v} "
     for n, v in [("user_roles", "sh_roles"), ("users", "sh_users"), ("customers", "sh_customers"),
                  ("categories", "sh_categories"), ("subcategories", "sh_subcategories"),
-                 ("products", "sh_products"), ("orders", "sh_orders")]))
+                 ("products", "sh_products"), ("orders", "sh_orders"), ("order_items", "sh_lines")]))
 check("json_column", "SELECT event_id, k, '{\"k\":' || k || '}' AS written FROM bk_events")
 
 
@@ -256,10 +256,6 @@ def fnv(expr: str) -> str:
     )
 
 
-SUFFIXES = (
-    "['Deluxe Edition','Classic Set','Mini Version','Pro Kit','Starter Pack','Family Pack','Limited Edition',"
-    "'Value Pack','Premium Set','Travel Edition']"
-)
 check("gen_topup_products", f"""
     SELECT category_id, name, trim(regexp_replace(lower(name), '[^a-z0-9]+', '-', 'g'), '-') || '-' || code AS slug,
            code AS product_code, cost * 100 AS purchase_price,
@@ -269,12 +265,13 @@ check("gen_topup_products", f"""
            cast({fnv("code || ':stock'")} % 56 + 5 AS int) AS stock,
            cast({fnv("code || ':featured'")} % 10 = 0 AS int) AS featured, 1 AS is_active
     FROM (SELECT *, {fnv("code || ':cost'")} % 14501 + 500 AS cost, {fnv("code || ':markup'")} % 31 + 130 AS markup
-          FROM (SELECT category_id, cname || ' ' || {SUFFIXES}[cast((n + i) % 10 AS int) + 1] AS name,
+          FROM (SELECT category_id, cname || ' ' || w.words[cast((n + i) % len(w.words) AS int) + 1] AS name,
                        cast(greatest(2000, top + 1) + row_number() OVER (ORDER BY category_id, i) - 1 AS varchar) AS code
                 FROM (SELECT s.category_id, s.cname, s.n, unnest(range(0, m.most - s.n)) AS i,
                              (SELECT max(cast(product_code AS bigint)) FROM sh_products
                               WHERE regexp_full_match(product_code, '[0-9]+')) AS top
-                      FROM sizes s, (SELECT max(n) AS most FROM sizes) m)))""",
+                      FROM sizes s, (SELECT max(n) AS most FROM sizes) m),
+                     (SELECT list(p_type ORDER BY p_type) AS words FROM (SELECT DISTINCT p_type FROM part)) w))""",
     extra="""sizes AS (SELECT c.id AS category_id, c.name AS cname, count(p.id) AS n
              FROM sh_categories c LEFT JOIN sh_products p ON p.category_id = c.id
              WHERE c.is_active = 1 GROUP BY 1, 2)""")
@@ -297,7 +294,7 @@ HISTORY = f"""
     offer AS (SELECT *, cast(sum(w) OVER (ORDER BY id) AS bigint) AS upto
               FROM (SELECT *, {chance('popularity', 'id')} % 8 + 1 AS w FROM sh_products WHERE is_active = 1)),
     draws AS (SELECT order_key, n_lines, d,
-            {chance('product', 'order_key', 'd')} % (SELECT max(upto) FROM offer) AS slot FROM heads, range(1, 9) t(d)),
+            {chance('product', 'order_key', 'd')} % (SELECT max(upto) FROM offer) AS slot FROM heads, range(1, 65) t(d)),
     chosen AS (SELECT order_key, n_lines, id AS product_id, min(d) AS d FROM draws
                JOIN offer ON slot < upto AND slot >= upto - w GROUP BY 1, 2, 3),
     items AS (SELECT order_key, line_no, product_id, p.name AS product_name,

@@ -75,7 +75,7 @@ def test_literal_rows(spark):
 
 
 def test_topup_fills_every_category(trade):
-    new = generate.topup_products(trade, 20)
+    new = generate.topup_products(trade, ["Small", "Large", "Blue"], 20)
     sizes = trade.products.select("category_id").unionByName(new.select("category_id"))
     active = trade.categories.where("is_active").select(F.col("id").alias("category_id"))
     low = sizes.join(active, "category_id", "left_semi").groupBy("category_id").count().agg(F.min("count")).first()[0]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,14 +16,25 @@ ABSOLUTE_URL_PATTERN = r"(?i)^https?://"
 FOLDER_PATTERN = r"/folders/([a-zA-Z0-9_-]+)"
 
 
-def key_of(x: Column) -> Column:
-    """Comparison key of a name: case and outer blanks do not matter."""
-    return F.lower(F.trim(x))
+def _plain_letters() -> dict[str, str]:
+    """Accented Latin letters and the letters they are without their accents, by canonical decomposition."""
+    codes = (*range(0xC0, 0x250), *range(0x1E00, 0x1F00))
+    plain = {chr(c): unicodedata.normalize("NFD", chr(c))[0] for c in codes}
+    return {letter: base for letter, base in plain.items() if base.isascii()}
+
+
+_PLAIN = _plain_letters()
 
 
-def folded_key(x: Column) -> Column:
-    """Comparison key that also ignores accents."""
-    return F.collate(F.trim(x), "UNICODE_CI_AI")
+def fold(x: Column) -> Column:
+    """Text for comparing: case and accents, combined or as separate marks, do not matter."""
+    bare = F.regexp_replace(x, r"\p{Mn}+", "")
+    return F.lower(F.translate(bare, "".join(_PLAIN), "".join(_PLAIN.values())))
+
+
+def key_of(x: Column) -> Column:
+    """Comparison key of a name: case, accents and outer blanks do not matter."""
+    return fold(F.trim(x))
 
 
 def is_filled(x: Column) -> Column:
@@ -38,8 +51,9 @@ def slugify(x: Column) -> Column:
 
 
 def contains_pattern(needle: str, *cols: Column) -> Column:
-    """True where any column holds ``needle``; ``%`` and ``_`` in it stay wildcards."""
-    return any_of([F.coalesce(c.ilike(f"%{needle}%"), F.lit(False)) for c in cols])
+    """True where any column holds ``needle``, whatever case and accents; ``%`` and ``_`` in it stay wildcards."""
+    wanted = fold(F.lit(f"%{needle}%"))
+    return any_of([F.coalesce(F.like(fold(c), wanted), F.lit(False)) for c in cols])
 
 
 def item_label(code: Column, name: Column) -> Column:

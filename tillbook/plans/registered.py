@@ -392,8 +392,7 @@ def insert_missing(shop):
 def export_tables(shop):
     """Rows of each exported table, read back from the export."""
     folder = _scratch(shop.spark)
-    wanted = ["user_roles", "users", "customers", "categories", "subcategories", "products", "orders"]
-    paths = sinks.export_tables(shop, folder, "20240131_000000", wanted)
+    paths = sinks.export_tables(shop, folder, "20240131_000000")
     counted = [
         shop.spark.read.parquet(p).select(F.lit(p.rsplit("/", 1)[1]).alias("file")) for p in paths
     ]
@@ -409,9 +408,11 @@ def json_column(spark, sf):
     return parsed.select("event_id", F.col("p.k").alias("k"), F.to_json("p").alias("written"))
 
 
-@trade_query
-def gen_topup_products(shop):
-    return generate.topup_products(shop, target=None)
+@query
+def gen_topup_products(spark, sf):
+    """Names are the category's with a part type, of which there are a few."""
+    types = testbed.raw(spark, sf, "part").select("p_type").distinct().orderBy("p_type").collect()
+    return generate.topup_products(testbed.trade(spark, sf), [t["p_type"] for t in types], target=None)
 
 
 @trade_query
@@ -453,7 +454,7 @@ def in_list(shop):
 @trade_query
 def search_products(shop):
     named = rankings.with_names(shop.products.where("is_active"), shop)
-    return catalog.search_products(named, "RinG").select("id", "name", "category_name", "subcategory_name")
+    return catalog.search_products(named, "RïnG").select("id", "name", "category_name", "subcategory_name")
 
 
 @trade_query
@@ -658,7 +659,8 @@ def nest_children(shop):
 def key_conflicts(shop):
     """Is each category name, product name or subcategory name free of other rows?"""
     def judged(df, kind):
-        names = df.select("id", F.upper("name").alias("name"))
+        # as typed by someone else: upper case, and with accents
+        names = df.select("id", F.translate(F.upper("name"), "AEIOUN", "ÁÈÎÖÚÑ").alias("name"))
         out = quality.key_conflicts(names, [(df, "name")], "name")
         return out.select(F.lit(kind).alias("kind"), "id", "available")
 
@@ -889,7 +891,7 @@ def product_list_filtered(shop):
 
 @trade_query
 def wholesale_list(shop):
-    return catalog.wholesale_list(shop, search="economy")
+    return catalog.wholesale_list(shop, search="ÉconomY")
 
 
 @trade_query
@@ -937,8 +939,7 @@ def multi_key_order(shop):
     """Rank of every category under two keys, nulls first, as the list shows it."""
     ranked = rankings.ranked_groups(shop, shop.categories, "category_id")
     listed = running.position(
-        ranked.withColumn("_less", -F.col("total_sold")), [], ["_less", "name"], "rank",
-        F.floor(F.col("_less") / 1000),
+        ranked.withColumn("_less", -F.col("total_sold")), [], ["_less", "name"], "rank"
     )
     return listed.select("id", "name", "total_sold", "rank")
 
