@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 
 # Texts handled together, in bytes; bounds a worker's arrays.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
