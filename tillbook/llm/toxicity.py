@@ -156,7 +156,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id: str = "doc_id", text: str = "
 
     rows = cut_lineage(sample(docs, labels, id=id, text=text, label=label).mapInArrow(features, "features array<long>, label int"))
     positive, total = rows.agg(F.coalesce(F.sum("label"), F.lit(0)), F.count("label")).first()
-    prior = float(np.log((positive + 0.5) / (total - positive + 0.5)))
+    prior = float(np.log((positive + 0.5) / (total - positive + 1.0)))
     if not 0 < positive < total:
         return Model(np.zeros(0, np.uint64), np.zeros(0), prior)
 
