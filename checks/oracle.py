@@ -817,12 +817,25 @@ check("void_sales", """SELECT r.id + 1 AS sale_id, CASE WHEN s.id IS NULL THEN '
 check("void_restock", """SELECT l.product_id, cast(sum(l.quantity - l.returned_quantity) AS bigint) AS restored
         FROM sh_lines l JOIN sh_sales s ON s.id = l.parent_id
         WHERE s.status = 'completed' AND l.quantity > l.returned_quantity GROUP BY 1""")
-PAY_REQ = """SELECT l.sale_id AS key, l.id AS ref, cast(round(l.amount * 5 * 100) AS bigint) AS q,
+PAY_REQ = """SELECT a.*, CASE WHEN a.amount <= 0 THEN 'invalid amount' WHEN a.method = 'barter' THEN 'invalid method'
+            WHEN h.shift_id IS NULL THEN 'no open shift' WHEN s.id IS NULL THEN 'sale not found'
+            WHEN s.status <> 'completed' THEN 'sale not completed' END AS fault,
+        CASE WHEN fault IS NULL THEN amount ELSE 0 END AS q, h.shift_id,
         CASE WHEN s.status = 'completed' THEN cast(round(s.balance_due * 100) AS bigint) ELSE 0 END AS room,
-        row_number() OVER (PARTITION BY l.sale_id ORDER BY l.created_at, l.id) AS rn
-        FROM bk_late l JOIN bk_sales s ON s.id = l.sale_id"""
-check("apply_payments", """SELECT r.ref AS id, r.key AS sale_id, r.q AS amount, cast(f.ok AS int) AS admitted
+        row_number() OVER (PARTITION BY a.key ORDER BY a.created_at, a.ref) AS rn
+        FROM (SELECT CASE WHEN id % 13 = 0 THEN -id ELSE sale_id END AS key, id AS ref,
+                     CASE WHEN id % 17 = 0 THEN 0 ELSE cast(round(amount * 5 * 100) AS bigint) END AS amount,
+                     CASE WHEN id % 11 = 0 THEN 'barter' ELSE method END AS method,
+                     staff_id + CASE WHEN id % 3 = 0 THEN 1000 ELSE 0 END AS staff_id, created_at FROM bk_late) a
+        LEFT JOIN bk_sales s ON s.id = a.key
+        LEFT JOIN (SELECT staff_id, arg_max(id, (opened_at, id)) AS shift_id FROM bk_shifts WHERE status = 'open' GROUP BY 1) h
+               ON h.staff_id = a.staff_id"""
+check("apply_payments", """SELECT r.ref AS id, r.key AS sale_id, r.amount, cast(f.ok AS int) AS admitted,
+        CASE WHEN NOT f.ok THEN coalesce(r.fault, 'more than the balance due') END AS reason
         FROM req r JOIN fold f ON f.key = r.key AND f.rn = r.rn""", extra=fold(PAY_REQ), recursive=True)
+check("apply_payments_rows", f"""SELECT r.ref AS id, r.key AS sale_id, r.shift_id, r.staff_id, r.amount, r.method,
+        {stamp('r.created_at', 'created_at')}
+        FROM req r JOIN fold f ON f.key = r.key AND f.rn = r.rn WHERE f.ok""", extra=fold(PAY_REQ), recursive=True)
 check("apply_payments_sales", f"""SELECT s.id AS sale_id, s.status, {cents('s.total_amount', 'total_amount')},
         cast(round(s.amount_paid * 100) AS bigint) + coalesce(p.paid, 0) AS amount_paid,
         cast(round(s.balance_due * 100) AS bigint) - coalesce(p.paid, 0) AS balance_due

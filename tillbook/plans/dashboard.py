@@ -76,11 +76,11 @@ def top_subcategories(shop: Shop, limit: int = 5, units: DataFrame | None = None
     return _top_groups(shop, shop.subcategories, "subcategory_id", limit, units)
 
 
-def recent_orders(shop: Shop, limit: int = 10, keys_checked: bool = False) -> DataFrame:
+def recent_orders(shop: Shop, limit: int = 10, keys_checked: bool = True) -> DataFrame:
     """Newest retail orders; the customer's name is joined to the kept rows only.
 
-    ``keys_checked``: every order's customer is known to exist (see
-    ``quality.orphans``), so orders need no join before the top-k.
+    The shop enforces that an order's customer exists. Where that is in doubt
+    (see ``quality.orphans``), ``keys_checked=False`` leaves orphans out first.
     """
     orders = retail_orders(shop)
     if not keys_checked:

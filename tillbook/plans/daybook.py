@@ -52,9 +52,11 @@ def z_payments(shop: Shop, start: str, end: str, staff_id: int | None = None) ->
 
     Counts by the payment's date and any sale not voided, so it does not
     reconcile with the totals when a balance is paid on a later day. The staff
-    filter is that of the sale.
+    filter is that of the sale. A sale is made before it is paid, so later ones
+    are not read.
     """
-    sales = own_rows(shop.sales, staff_id).where("status <> 'voided'")
+    made = F.to_date("created_at") <= day_literal(end)
+    sales = own_rows(shop.sales.where(made), staff_id).where("status <> 'voided'")
     return (
         shop.sale_payments.where(on_days(start, end))
         .join(sales.select(F.col("id").alias("sale_id")), "sale_id", "left_semi")
@@ -98,8 +100,13 @@ def z_days(
     return days.select("day", *filled).orderBy(F.col("day").desc())
 
 
-def cash_out_per_shift(shop: Shop) -> DataFrame:
-    return shop.cash_movements.groupBy("shift_id").agg(money_sum("amount").alias("cash_out_total"))
+def of_shifts(facts: DataFrame, shifts: DataFrame | None) -> DataFrame:
+    """The facts of these shifts (id) only, before anything is aggregated or joined."""
+    return facts if shifts is None else facts.join(shifts.select(F.col("id").alias("shift_id")), "shift_id", "left_semi")
+
+
+def cash_out_per_shift(shop: Shop, shifts: DataFrame | None = None) -> DataFrame:
+    return of_shifts(shop.cash_movements, shifts).groupBy("shift_id").agg(money_sum("amount").alias("cash_out_total"))
 
 
 def with_staff(df: DataFrame, shop: Shop) -> DataFrame:
@@ -114,7 +121,7 @@ def z_shifts(shop: Shop, start: str, end: str, staff_id: int | None = None) -> D
     days' ``total_cash_out`` goes by the movement's own date.
     """
     shifts = own_rows(shop.pos_shifts.where(on_days(start, end, "opened_at")), staff_id)
-    out = cash_out_per_shift(shop).withColumnRenamed("shift_id", "id")
+    out = cash_out_per_shift(shop, shifts).withColumnRenamed("shift_id", "id")
     return (
         with_staff(shifts, shop).join(out, "id", "left")
         .withColumn("cash_out_total", F.coalesce("cash_out_total", F.lit(0)).cast(MONEY_SUM))
@@ -136,23 +143,27 @@ def staff_sales(shop: Shop, start: str, end: str) -> DataFrame:
     return with_staff(figures, shop).orderBy(F.col("day").desc(), F.col("total_sales").desc(), "staff_id")
 
 
-def valid_payments(shop: Shop) -> DataFrame:
-    """Payments on sales that were not voided."""
+def valid_payments(shop: Shop, shifts: DataFrame | None = None) -> DataFrame:
+    """Payments, of all shifts or of these, on sales that were not voided.
+
+    A plain join, as sales have one row per id: the few payments of a few shifts
+    can then be the side that is broadcast.
+    """
     kept = shop.sales.where("status <> 'voided'").select(F.col("id").alias("sale_id"))
-    return shop.sale_payments.join(kept, "sale_id", "left_semi")
+    return of_shifts(shop.sale_payments, shifts).join(kept, "sale_id")
 
 
-def payments_by_shift(shop: Shop) -> DataFrame:
+def payments_by_shift(shop: Shop, shifts: DataFrame | None = None) -> DataFrame:
     """Sum per shift and method, the payment's own shift."""
-    return valid_payments(shop).groupBy("shift_id", "method").agg(money_sum("amount").alias("total"))
+    return valid_payments(shop, shifts).groupBy("shift_id", "method").agg(money_sum("amount").alias("total"))
 
 
-def _with_cash(shifts: DataFrame, shop: Shop, received: DataFrame) -> DataFrame:
+def _with_cash(shifts: DataFrame, shop: Shop, received: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
     """Shifts with cash received (shift_id, cash_collected), cash taken out, and what should be there."""
     zero = F.lit(0).cast(MONEY_SUM)
     joined = (
         shifts.withColumnRenamed("id", "shift_id").drop("expected_cash")
-        .join(received, "shift_id", "left").join(cash_out_per_shift(shop), "shift_id", "left")
+        .join(received, "shift_id", "left").join(cash_out_per_shift(shop, wanted), "shift_id", "left")
         .withColumn("cash_collected", F.coalesce("cash_collected", zero))
         .withColumn("cash_out_total", F.coalesce("cash_out_total", zero))
     )
@@ -160,13 +171,13 @@ def _with_cash(shifts: DataFrame, shop: Shop, received: DataFrame) -> DataFrame:
     return joined.withColumn("expected_cash", expected.cast(MONEY_SUM))
 
 
-def expected_cash(shop: Shop) -> DataFrame:
-    """Opening float plus cash received minus cash taken out, for every shift."""
+def expected_cash(shop: Shop, shifts: DataFrame | None = None) -> DataFrame:
+    """Opening float plus cash received minus cash taken out, for every shift or for these."""
     received = (
-        valid_payments(shop).where("method = 'cash'")
+        valid_payments(shop, shifts).where("method = 'cash'")
         .groupBy("shift_id").agg(money_sum("amount").alias("cash_collected"))
     )
-    return _with_cash(shop.pos_shifts, shop, received).select(
+    return _with_cash(shop.pos_shifts if shifts is None else shifts, shop, received, shifts).select(
         "shift_id", "staff_id", "status", "opening_cash", "opened_at", "closing_cash", "closed_at",
         "cash_collected", "cash_out_total", "expected_cash",
     )
@@ -185,6 +196,12 @@ def open_shifts(shop: Shop, staff_id: int | None = None) -> DataFrame:
     return own_rows(shop.pos_shifts.where("status = 'open'"), staff_id)
 
 
+def open_shift_ids(shifts: DataFrame) -> DataFrame:
+    """(staff_id, shift_id): the latest open shift of each staff member."""
+    latest = latest_per_key(shifts.where("status = 'open'"), ["staff_id"], ["opened_at", "id"])
+    return latest.select("staff_id", F.col("id").alias("shift_id"))
+
+
 def current_shift(shop: Shop) -> DataFrame:
     """The latest open shift of each staff member."""
     return latest_per_key(open_shifts(shop), ["staff_id"], ["opened_at", "id"])
@@ -217,13 +234,13 @@ def x_report(shop: Shop, staff_id: int | None = None) -> DataFrame:
         )
     )
     paid = (
-        payments_by_shift(shop).join(live, "shift_id", "left_semi").groupBy("shift_id")
+        payments_by_shift(shop, shifts).groupBy("shift_id")
         .agg(
             F.sort_array(F.collect_list(F.struct("method", "total"))).alias("payments"),
             money_sum("total", F.col("method") == "cash").alias("cash_collected"),
         )
     )
-    report = with_staff(_with_cash(shifts, shop, paid), shop).join(figures, "shift_id", "left")
+    report = with_staff(_with_cash(shifts, shop, paid, shifts), shop).join(figures, "shift_id", "left")
     zero = F.lit(0).cast(MONEY_SUM)
     return report.select(
         "shift_id", "staff_id", "staff_name", "opened_at", "opening_cash",

@@ -228,21 +228,34 @@ def void_sales(
 
 
 def apply_payments(
-    sales: DataFrame, requests: DataFrame, order: list[str], bucket: Column
+    sales: DataFrame, requests: DataFrame, order: list[str], bucket: Column, shifts: DataFrame | None = None
 ) -> tuple[DataFrame, DataFrame]:
     """Payments (id, sale_id, amount, method, …) taken in order: (requests judged, sales after).
 
     A payment must be positive, of a known method, on a completed sale, and at
     most the balance left by the payments accepted before it. A refused payment
-    uses up nothing.
+    uses up nothing and has a ``reason``. With ``shifts``, whoever takes it
+    (``staff_id``) must also have a shift open, whose id the request then carries.
     """
-    cents = (F.col("amount") * 100).cast("bigint")
-    valid = F.col("method").isin(*PAYMENT_METHODS) & (F.col("amount") > 0)
-    asked = requests.withColumn("_cents", F.when(valid, cents).otherwise(F.lit(0).cast("bigint")))
-    room = sales.where("status = 'completed'").select(
-        F.col("id").alias("sale_id"), (F.col("balance_due") * 100).cast("bigint").alias("capacity")
+    if shifts is not None:
+        open_ = daybook.open_shift_ids(shifts)
+        requests = requests.drop("shift_id").join(open_, "staff_id", "left")
+    status = sales.select(
+        F.col("id").alias("sale_id"), F.col("status").alias("_status"), (F.col("balance_due") * 100).cast("bigint").alias("capacity")
     )
-    judged = admit_in_order(asked, room, "sale_id", order, "_cents", bucket).drop("_cents")
+    asked = requests.join(status.drop("capacity"), "sale_id", "left").withColumn(
+        "reason",
+        F.when(~F.coalesce(F.col("amount") > 0, F.lit(False)), "invalid amount")
+        .when(~F.coalesce(F.col("method").isin(*PAYMENT_METHODS), F.lit(False)), "invalid method")
+        .when(F.col("shift_id").isNull() if shifts is not None else F.lit(False), "no open shift")
+        .when(F.col("_status").isNull(), "sale not found")
+        .when(F.col("_status") != "completed", "sale not completed"),
+    ).drop("_status")
+    cents = F.when(F.col("reason").isNull(), (F.col("amount") * 100).cast("bigint")).otherwise(F.lit(0).cast("bigint"))
+    room = status.where("_status = 'completed'").drop("_status")
+    judged = admit_in_order(asked.withColumn("_cents", cents), room, "sale_id", order, "_cents", bucket).drop("_cents")
+    over = F.when(~F.col("admitted"), F.coalesce("reason", F.lit("more than the balance due")))
+    judged = judged.withColumn("reason", over)
     paid = judged.where("admitted").groupBy("sale_id").agg(money_sum("amount").alias("_paid"))
     after = (
         sales.withColumnRenamed("id", "sale_id").join(paid, "sale_id", "left")
@@ -256,15 +269,25 @@ def apply_payments(
     return judged, after
 
 
+def payment_rows(judged: DataFrame) -> DataFrame:
+    """The payments that the accepted requests become."""
+    return judged.where("admitted").select("id", "sale_id", "shift_id", "staff_id", "amount", "method", "created_at")
+
+
 def close_shifts(shop: Shop, counted: DataFrame) -> DataFrame:
     """Closes the open shifts that were counted (shift_id, counted_cash, counted_at).
 
     Every shift comes back; closed ones carry the counted and the expected cash.
     """
-    sums = daybook.expected_cash(shop).join(
-        counted.select("shift_id", "counted_cash", "counted_at"), "shift_id", "left"
-    )
+    counted = counted.select("shift_id", "counted_cash", "counted_at")
+    shifts = shop.pos_shifts.withColumnRenamed("id", "shift_id").drop("expected_cash").join(counted, "shift_id", "left")
     closing = (F.col("status") == "open") & (F.col("counted_cash") >= 0)
+    # only the shifts that close now are worked out
+    wanted = shifts.where(closing).withColumnRenamed("shift_id", "id")
+    due = daybook.expected_cash(shop, wanted).select("shift_id", "expected_cash")
+    out = daybook.cash_out_per_shift(shop)
+    sums = shifts.join(due, "shift_id", "left").join(out, "shift_id", "left")
+    sums = sums.withColumn("cash_out_total", F.coalesce("cash_out_total", F.lit(0)).cast("decimal(20,2)"))
     return sums.select(
         "shift_id", "staff_id", "opening_cash",
         F.when(closing, F.col("counted_cash")).otherwise(F.col("closing_cash")).cast(MONEY).alias("closing_cash"),

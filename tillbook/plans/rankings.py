@@ -27,7 +27,8 @@ def combined_items(
     """Sold lines of both channels as (product_id, quantity, created_at).
 
     Status and date filters sit on the headers, below the joins, and reach the
-    files. ``net`` counts what was kept instead of what was sold.
+    files. Lines that carry their header's ``created_at``, as ``sinks.dated_lines``
+    writes them, are filtered by it too. ``net`` counts what was kept instead of what was sold.
     """
 
     def channel(headers: DataFrame, lines: DataFrame, parent: str, status: str) -> DataFrame:
@@ -35,6 +36,8 @@ def combined_items(
             F.col("id").alias(parent), "created_at"
         )
         units = net_quantity(F.col("quantity"), F.col("returned_quantity")) if net else F.col("quantity")
+        if "created_at" in lines.columns:
+            lines = lines.where(since(as_of, days))
         return (
             lines.where(F.col("product_id").isNotNull()).select(parent, "product_id", units.alias("quantity"))
             .join(kept, parent)

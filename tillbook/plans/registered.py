@@ -1373,21 +1373,37 @@ def void_restock(shop):
 def _late_requests(shop):
     """Late payments five times over, so that many no longer fit."""
     late = shop.sale_payments.where("id <> sale_id")
-    return late.select("id", "sale_id", (F.col("amount") * 5).cast("decimal(10,2)").alias("amount"), "method", "created_at")
+    # some of a kind that the till does not know, some on sales that do not exist
+    method = F.when(F.col("id") % 11 == 0, "barter").otherwise(F.col("method"))
+    sale = F.when(F.col("id") % 13 == 0, -F.col("id")).otherwise(F.col("sale_id"))
+    amount = F.when(F.col("id") % 17 == 0, 0).otherwise(F.col("amount") * 5)
+    return late.select(
+        "id", sale.alias("sale_id"), amount.cast("decimal(10,2)").alias("amount"), method.alias("method"),
+        # taken by twice as many people as have a shift open
+        (F.col("staff_id") + F.when(F.col("id") % 3 == 0, 1000).otherwise(0)).alias("staff_id"), "created_at",
+    )
 
 
 @book_query
 def apply_payments(shop):
     judged, _ = lifecycle.apply_payments(
-        shop.sales, _late_requests(shop), ["created_at", "id"], F.date_trunc("hour", "created_at")
+        shop.sales, _late_requests(shop), ["created_at", "id"], F.date_trunc("hour", "created_at"), shop.pos_shifts
+    )
+    return judged.select("id", "sale_id", "amount", "admitted", "reason")
+
+
+@book_query
+def apply_payments_rows(shop):
+    judged, _ = lifecycle.apply_payments(
+        shop.sales, _late_requests(shop), ["created_at", "id"], F.date_trunc("hour", "created_at"), shop.pos_shifts
     )
-    return judged.select("id", "sale_id", "amount", "admitted")
+    return lifecycle.payment_rows(judged)
 
 
 @book_query
 def apply_payments_sales(shop):
     _, after = lifecycle.apply_payments(
-        shop.sales, _late_requests(shop), ["created_at", "id"], F.date_trunc("hour", "created_at")
+        shop.sales, _late_requests(shop), ["created_at", "id"], F.date_trunc("hour", "created_at"), shop.pos_shifts
     )
     return after
 

@@ -42,6 +42,11 @@ def save_by_month(df: DataFrame, path: str, ts: str = "created_at") -> None:
     )
 
 
+def dated_lines(lines: DataFrame, headers: DataFrame, parent: str) -> DataFrame:
+    """Lines with their header's ``created_at``, to be saved by month: a report on a few days then reads few of them."""
+    return lines.join(headers.select(F.col("id").alias(parent), "created_at"), parent)
+
+
 def save_bucketed(shop: Shop, database: str, buckets: int, tables: Iterable[str] = tuple(BUCKET_KEYS)) -> None:
     """Managed copies of the facts, bucketed and sorted by the header's id.
 
