@@ -830,6 +830,72 @@ PAY_REQ = """SELECT a.*, CASE WHEN a.amount <= 0 THEN 'invalid amount' WHEN a.me
         LEFT JOIN bk_sales s ON s.id = a.key
         LEFT JOIN (SELECT staff_id, arg_max(id, (opened_at, id)) AS shift_id FROM bk_shifts WHERE status = 'open' GROUP BY 1) h
                ON h.staff_id = a.staff_id"""
+SALES = fold("""SELECT product_id AS key, line_id AS ref, cart_id, quantity AS q, p.stock AS room,
+          row_number() OVER (PARTITION BY product_id ORDER BY heads.created_at, cart_id, line_id) AS rn
+        FROM cart_lines JOIN heads USING (cart_id) JOIN sh_products p ON p.id = product_id WHERE fault IS NULL""").replace(
+    "req AS MATERIALIZED", """cart_lines AS (
+          SELECT parent_id AS cart_id, id AS line_id, product_id,
+                 CASE WHEN parent_id % 31 = 0 AND quantity % 2 = 0 THEN 0 ELSE cast(ceil(quantity / 10) AS int) END AS quantity
+          FROM sh_lines WHERE parent_id % 29 > 0),
+        sized AS (SELECT cart_id, bool_or(quantity <= 0) AS bad FROM cart_lines GROUP BY 1),
+        shift AS (SELECT staff_id, arg_max(id, (opened_at, id)) AS shift_id FROM bk_shifts WHERE status = 'open' GROUP BY 1),
+        heads AS (
+          SELECT c.*, shift_id, CASE WHEN z.cart_id IS NULL THEN 'no items' WHEN method = 'barter' THEN 'invalid method'
+                 WHEN shift_id IS NULL THEN 'no open shift' WHEN z.bad THEN 'invalid item' END AS fault
+          FROM (SELECT id AS cart_id, CASE WHEN id % 19 = 0 THEN id ELSE staff_id END AS staff_id, customer_id, created_at,
+                       CASE WHEN id % 4 > 0 THEN discount_amount ELSE 0 END AS discount,
+                       CASE WHEN id % 3 = 0 THEN 2 ELSE 5 END AS tax,
+                       CASE WHEN id % 5 = 0 THEN balance_due END AS paid,
+                       CASE WHEN id % 23 = 0 THEN 'barter' WHEN id % 2 = 0 THEN 'card' ELSE 'cash' END AS method
+                FROM sh_sales) c
+          LEFT JOIN sized z USING (cart_id) LEFT JOIN shift USING (staff_id)),
+        req AS MATERIALIZED""") + """,
+        judged AS (SELECT h.*, coalesce(h.fault, CASE WHEN NOT w.ok THEN 'not enough stock' END) AS reason
+          FROM heads h LEFT JOIN (SELECT r.cart_id, bool_and(f.ok) AS ok FROM req r JOIN fold f ON f.key = r.key AND f.rn = r.rn
+                                  GROUP BY 1) w USING (cart_id)),
+        sold AS (SELECT l.*, p.name, p.product_code,
+                 CASE WHEN p.discount_percent > 0 THEN p.discount_price ELSE p.sale_price END AS price
+          FROM cart_lines l JOIN judged j ON j.cart_id = l.cart_id AND j.reason IS NULL JOIN sh_products p ON p.id = l.product_id),
+        billed AS (
+          SELECT *, CASE WHEN paid IS NULL THEN total ELSE least(paid, total) END AS settled
+          FROM (SELECT *, after + after * tax * 0.01 + after * 0.025 AS total
+                FROM (SELECT j.*, s.subtotal, greatest(0, s.subtotal - j.discount) AS after FROM judged j
+                      JOIN (SELECT cart_id, cast(sum(price * quantity) AS decimal(20,2)) AS subtotal FROM sold GROUP BY 1) s USING (cart_id)
+                      WHERE j.reason IS NULL)))"""
+check("create_sales", f"""SELECT cart_id AS id, shift_id, staff_id, customer_id, {cents('subtotal', 'subtotal')},
+        {cents('discount', 'discount_amount')}, tax * 100 AS tax_percent, 250 AS service_charge_percent,
+        {cents('round(total, 2)', 'total_amount')}, {cents('round(settled, 2)', 'amount_paid')},
+        {cents('round(total - settled, 2)', 'balance_due')}, method AS payment_method, 'completed' AS status,
+        {stamp('created_at', 'created_at')} FROM billed""", extra=SALES, recursive=True)
+check("create_sales_items", f"""SELECT line_id AS id, cart_id AS sale_id, product_id, name AS product_name, product_code,
+        {cents('price', 'price')}, quantity, 0 AS returned_quantity FROM sold""", extra=SALES, recursive=True)
+check("create_sales_payments", f"""SELECT cart_id AS sale_id, shift_id, staff_id, {cents('round(settled, 2)', 'amount')},
+        method, {stamp('created_at', 'created_at')} FROM billed WHERE round(settled, 2) > 0""", extra=SALES, recursive=True)
+check("create_sales_moves", "SELECT product_id, cast(-sum(quantity) AS bigint) AS moved FROM sold GROUP BY 1",
+      extra=SALES, recursive=True)
+check("create_sales_refused", "SELECT cart_id, reason FROM judged WHERE reason IS NOT NULL", extra=SALES, recursive=True)
+
+ASKED = """cart_lines AS (
+          SELECT parent_id AS cart_id, id AS line_id, CASE WHEN parent_id % 17 = 0 THEN -product_id ELSE product_id END AS product_id,
+                 CASE WHEN quantity < 5 THEN 1 ELSE cast(ceil(quantity / 8) AS int) END AS quantity
+          FROM sh_lines WHERE parent_id % 29 > 0),
+        judged AS (SELECT o.id AS cart_id, CASE WHEN f.cart_id IS NULL THEN 'no items' WHEN f.unknown THEN 'product not found'
+              WHEN f.short THEN 'not enough stock' END AS reason
+          FROM sh_orders o LEFT JOIN (SELECT l.cart_id, bool_or(p.id IS NULL) AS unknown, bool_or(p.stock < l.quantity) AS short
+              FROM cart_lines l LEFT JOIN sh_products p ON p.id = l.product_id GROUP BY 1) f ON f.cart_id = o.id),
+        placed AS (SELECT l.*, p.name, p.product_code,
+                 CASE WHEN s.id IS NOT NULL THEN p.purchase_price ELSE p.discount_price END AS price
+          FROM cart_lines l JOIN judged j ON j.cart_id = l.cart_id AND j.reason IS NULL JOIN sh_products p ON p.id = l.product_id
+          LEFT JOIN sh_seller_orders s ON s.id = l.cart_id)"""
+check("place_orders", f"""SELECT o.id, o.user_id, o.customer_id, {cents('t.total', 'total_amount')}, 'pending' AS status,
+        'cod' AS payment_method, coalesce(o.shipping_name, u.name, c.name) AS shipping_name,
+        coalesce(u.phone, c.whatsapp_number) AS shipping_phone, cast(NULL AS varchar) AS shipping_address,
+        {stamp('o.created_at', 'created_at')}
+        FROM sh_orders o JOIN (SELECT cart_id, sum(price * quantity) AS total FROM placed GROUP BY 1) t ON t.cart_id = o.id
+        LEFT JOIN sh_users u ON u.id = o.user_id LEFT JOIN sh_customers c ON c.id = o.customer_id""", extra=ASKED)
+check("place_orders_items", f"""SELECT line_id AS id, cart_id AS order_id, product_id, name AS product_name, product_code,
+        {cents('price', 'price')}, quantity, 0 AS returned_quantity FROM placed""", extra=ASKED)
+check("place_orders_refused", "SELECT cart_id, reason FROM judged WHERE reason IS NOT NULL", extra=ASKED)
 check("apply_payments", """SELECT r.ref AS id, r.key AS sale_id, r.amount, cast(f.ok AS int) AS admitted,
         CASE WHEN NOT f.ok THEN coalesce(r.fault, 'more than the balance due') END AS reason
         FROM req r JOIN fold f ON f.key = r.key AND f.rn = r.rn""", extra=fold(PAY_REQ), recursive=True)

@@ -10,24 +10,30 @@ from tillbook.functions.money import percent_of, round2, unit_price
 from tillbook.sources.shop import Shop
 
 
-def price_lines(lines: DataFrame, products: DataFrame, mode: str) -> DataFrame:
+MODES = ("retail", "till", "cost")
+
+
+def price_lines(lines: DataFrame, products: DataFrame, mode: str | Column) -> DataFrame:
     """Adds name, code, unit price and line total from the product's current prices.
 
-    ``mode``: ``retail`` (online), ``till`` (POS) or ``cost`` (sellers). Lines
-    of unknown products drop out; ``quantity`` of 0 or null counts as 1 online.
+    ``mode``: ``retail`` (online), ``till`` (POS) or ``cost`` (sellers), for all
+    lines or as a column of the lines. Lines of unknown products drop out;
+    ``quantity`` of 0 or null counts as 1 online.
     """
+    mode = F.lit(mode) if isinstance(mode, str) else mode
     priced = products.select(
         F.col("id").alias("product_id"),
         F.col("name").alias("product_name"),
         "product_code",
-        unit_price(mode).cast(MONEY).alias("price"),
+        *[unit_price(m).cast(MONEY).alias(f"_{m}") for m in MODES],
     )
     own = [c for c in lines.columns if c not in ("product_name", "product_code", "price")]
     units = F.col("quantity")
-    if mode != "till":
-        units = F.when(F.coalesce(units, F.lit(0)) == 0, F.lit(1)).otherwise(units)
+    units = F.when((mode != "till") & (F.coalesce(units, F.lit(0)) == 0), F.lit(1)).otherwise(units)
+    price = F.coalesce(*[F.when(mode == m, F.col(f"_{m}")) for m in MODES])
     return (
         lines.select(*own).withColumn("quantity", units).join(priced, "product_id")
+        .withColumn("price", price).drop(*[f"_{m}" for m in MODES])
         .withColumn("line_total", (F.col("price") * F.col("quantity")).cast("decimal(20,2)"))
     )
 
@@ -68,8 +74,10 @@ def bill_totals(carts: DataFrame) -> DataFrame:
     )
 
 
-def is_seller_order(shop: Shop) -> DataFrame:
-    """Ids of orders priced at cost, those placed by a seller."""
-    from tillbook.plans.seller import seller_orders
+def price_modes(shop: Shop) -> DataFrame:
+    """(order_id, mode) of every order: sellers pay cost, others retail."""
+    from tillbook.plans.seller import users_in_role
 
-    return seller_orders(shop).select(F.col("id").alias("order_id"))
+    sellers = users_in_role(shop, "Seller").select(F.col("id").alias("user_id"), F.lit("cost").alias("mode"))
+    orders = shop.orders.select(F.col("id").alias("order_id"), "user_id").join(sellers, "user_id", "left")
+    return orders.select("order_id", F.coalesce("mode", F.lit("retail")).alias("mode"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from decimal import Decimal
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,7 +14,7 @@ from tillbook.functions import hashing, money, text
 from tillbook.operators import allocation, changes, nesting, quality, ranking, running
 from tillbook.operators.cooldown import accepted_requests
 from tillbook.plans import (
-    catalog, dashboard, daybook, identity, lifecycle, orders, pricing, rankings, seller, stock,
+    catalog, checkout, dashboard, daybook, identity, lifecycle, orders, pricing, rankings, seller, stock,
 )
 from tillbook.session import shared_dir
 from tillbook.sources import generate, sinks, testbed
@@ -1214,17 +1215,90 @@ def rename_status(spark, sf):
 @trade_query
 def price_lines(shop):
     """Every online line at the price its order's party pays."""
-    cost = shop.order_items.join(pricing.is_seller_order(shop), "order_id", "left_semi")
-    online = shop.orders.select(F.col("id").alias("order_id"))
-    retail = (
-        shop.order_items.join(online, "order_id", "left_semi")
-        .join(pricing.is_seller_order(shop), "order_id", "left_anti")
+    lines = nesting.with_parent(pricing.price_modes(shop), shop.order_items, "order_id", "order_id", ["mode"])
+    return pricing.price_lines(lines, shop.products, F.col("mode")).select(
+        "id", "order_id", "product_name", "product_code", "price", "quantity", "line_total"
     )
-    cols = ["id", "order_id", "product_name", "product_code", "price", "quantity", "line_total"]
-    return (
-        pricing.price_lines(cost, shop.products, "cost").select(*cols)
-        .unionByName(pricing.price_lines(retail, shop.products, "retail").select(*cols))
+
+
+def _new_carts(spark, sf):
+    """The till's sales asked for anew: (shop, carts, lines), with all that can be wrong with them."""
+    shop = testbed.trade(spark, sf)
+    shop = shop.replace(pos_shifts=testbed.daybook(spark, sf).pos_shifts)
+    id_ = F.col("id")
+    carts = shop.sales.select(
+        id_.alias("cart_id"), F.when(id_ % 19 == 0, id_).otherwise(F.col("staff_id")).alias("staff_id"), "customer_id", "created_at",
+        F.when(id_ % 4 > 0, F.col("discount_amount")).alias("discount_amount"),
+        F.when(id_ % 3 == 0, F.lit(2)).cast("decimal(5,2)").alias("tax_percent"),
+        F.lit(None).cast("decimal(5,2)").alias("service_charge_percent"),
+        F.when(id_ % 5 == 0, F.col("balance_due")).alias("amount_paid"),
+        F.when(id_ % 23 == 0, "barter").when(id_ % 2 == 0, "card").alias("payment_method"),
+    )
+    lines = shop.sale_items.where(id_.isNotNull() & (F.col("sale_id") % 29 > 0)).select(
+        F.col("sale_id").alias("cart_id"), id_.alias("line_id"), "product_id",
+        F.when((F.col("sale_id") % 31 == 0) & (F.col("quantity") % 2 == 0), 0).otherwise(F.ceil(F.col("quantity") / 10)).cast("int").alias("quantity"),
     )
+    return shop, carts, lines
+
+
+def _rung_up(spark, sf):
+    shop, carts, lines = _new_carts(spark, sf)
+    return checkout.create_sales(shop, carts, lines, checkout.TillSettings(tax_percent=Decimal(5), service_percent=Decimal("2.5")))
+
+
+@query
+def create_sales(spark, sf):
+    return _rung_up(spark, sf).sales
+
+
+@query
+def create_sales_items(spark, sf):
+    return _rung_up(spark, sf).items
+
+
+@query
+def create_sales_payments(spark, sf):
+    return _rung_up(spark, sf).payments
+
+
+@query
+def create_sales_moves(spark, sf):
+    moves = _rung_up(spark, sf).moves
+    return moves.groupBy("product_id").agg(F.sum("delta").cast("bigint").alias("moved"))
+
+
+@query
+def create_sales_refused(spark, sf):
+    return _rung_up(spark, sf).refused
+
+
+def _asked_orders(shop):
+    id_ = F.col("id")
+    carts = shop.orders.select(
+        id_.alias("cart_id"), "user_id", "customer_id", "created_at", "shipping_name",
+        F.lit(None).cast("string").alias("shipping_phone"), F.lit(None).cast("string").alias("shipping_address"),
+    )
+    lines = shop.order_items.where(F.col("order_id") % 29 > 0).select(
+        F.col("order_id").alias("cart_id"), id_.alias("line_id"),
+        F.when(F.col("order_id") % 17 == 0, -F.col("product_id")).otherwise(F.col("product_id")).alias("product_id"),
+        F.when(F.col("quantity") < 5, 0).otherwise(F.ceil(F.col("quantity") / 8)).cast("int").alias("quantity"),
+    )
+    return checkout.place_orders(shop, carts, lines)
+
+
+@trade_query
+def place_orders(shop):
+    return _asked_orders(shop).orders
+
+
+@trade_query
+def place_orders_items(shop):
+    return _asked_orders(shop).items
+
+
+@trade_query
+def place_orders_refused(shop):
+    return _asked_orders(shop).refused
 
 
 def _till_carts(shop):
