@@ -4,16 +4,22 @@ from __future__ import annotations
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from tests.conftest import SF
-from tillbook.plans import daybook, rankings, stock
+from tillbook.operators import running
+from tillbook.plans import daybook, orders, rankings, stock
 from tillbook.plans.registered import QUERIES
+from tillbook.session import cut_lineage
 from tillbook.sources import shop as shops
 from tillbook.sources import testbed
 
 # these run jobs while they are built, or run a stream
 EAGER = {
     "append_rows", "truncate_reload", "export_tables", "stock_check", "stock_check_carts", "apply_payments",
-    "apply_payments_sales", "cooldown", "cash_out_decisions",
+    "apply_payments_sales", "apply_payments_rows", "cooldown", "cash_out_decisions", "order_transition",
+    "order_transition_lines", "order_transition_moves", "create_sales", "create_sales_items", "create_sales_payments",
+    "create_sales_moves", "create_sales_refused", "place_orders", "place_orders_items", "place_orders_refused",
 }
 
 
@@ -41,6 +47,35 @@ def test_no_query_crosses_rows_or_leaves_the_jvm(spark):
             assert banned not in text, (name, banned)
 
 
+def test_the_wanted_shifts_meet_the_facts_first(spark):
+    """Payments and movements are cut to the open shifts before they are joined or summed."""
+    text = plan(daybook.x_report(testbed.daybook(spark, SF)))
+    optimised = daybook.x_report(testbed.daybook(spark, SF))._jdf.queryExecution().optimizedPlan().toString()
+    assert text and optimised.count("LeftSemi") >= 3
+
+
+def test_running_reads_and_moves_its_input_once(spark, monkeypatch):
+    """What is checkpointed has one scan and one exchange; the rest joins a short list to it."""
+    made = []
+    monkeypatch.setattr(running, "cut_lineage", lambda df: made.append(plan(df)) or cut_lineage(df))
+    lines = spark.read.parquet(f"{SF}/lineitem.parquet")
+    running.position(lines, ["l_orderkey"], ["l_linenumber"], "n", F.col("l_linenumber")).count()
+    assert len(made) == 1 and made[0].count("FileScan") == 1 and made[0].count("Exchange") == 1
+    running.position(lines, [], ["l_orderkey", "l_linenumber"], "n").count()
+    assert all("SinglePartition" not in text for text in made)
+
+
+def test_lists_move_their_lines_once(spark):
+    shop = testbed.trade(spark, SF)
+    text = plan(orders.orders_admin_list(shop))
+    after = text[: text.index("collect_list")]
+    # lines by order, and the nested lists once more for the final sort
+    assert after.count("rangepartitioning") == 1
+    lines = [part for part in text.split("Exchange hashpartitioning") if "collect_list" in part]
+    assert len(lines) <= 3
+    assert plan(orders.my_orders(shop, party=("customer", 5))).count("LeftSemi") == 1
+
+
 def test_ranking_filters_and_columns_reach_the_files(spark):
     text = plan(rankings.product_units(testbed.trade(spark, SF), "2001-08-01 00:00:00", 7))
     assert text.count("GreaterThanOrEqual(o_orderdate,2001-07-25T00:00)") == 2

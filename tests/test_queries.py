@@ -12,16 +12,17 @@ import pytest
 import __spark_entry__ as entry
 from checks.compare import connect, duck_rows, spark_rows
 from tests.conftest import SF
+from tillbook.plans.registered import QUERIES
 
 SAMPLE = [
     "best_selling", "hot_subcategories", "featured_categories_ranked", "top_k_or_fallback", "units_by_entity",
     "dash_revenue", "seller_totals", "z_days", "z_payments", "x_report", "expected_cash", "shift_cash_balance",
     "orders_admin_list", "product_list_filtered", "search_wildcards", "key_conflicts", "update_join",
     "first_source_wins", "residual_to_largest", "line_numbers", "stock_ledger", "stock_check", "bill_totals",
-    "order_transition", "order_return", "sale_return", "apply_payments", "cooldown", "cash_out_decisions",
+    "order_transition", "order_transition_moves", "create_sales", "create_sales_refused", "place_orders", "order_return", "sale_return", "apply_payments", "cooldown", "cash_out_decisions",
     "gen_topup_products", "order_bill_text", "font_families", "stable_unit_hash", "stream_ttl_state",
 ]
-NAMES = list(entry.queries()) if os.environ.get("FULL_CHECK") else SAMPLE
+NAMES = list(QUERIES) if os.environ.get("FULL_CHECK") else SAMPLE
 
 
 @pytest.fixture(scope="module")
@@ -30,7 +31,7 @@ def duck():
 
 
 def test_every_query_has_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(QUERIES) <= set(entry.oracle_sql()) and set(entry.oracle_sql()) <= set(entry.queries())
 
 
 @pytest.mark.parametrize("name", NAMES)
