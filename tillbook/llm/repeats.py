@@ -7,8 +7,12 @@ positions at the same offset, with ``depth`` further numbers inside the window.
 1. Sample: the marked suffixes are ranked to that depth, one bucket at a time.
    A suffix whose rank has no tie in the corpus takes its surroundings out: no
    window there can be repeated. What is left are the suffixes with long ties.
-2. These suffixes are sorted to window depth, again one bucket at a time, each
-   bucket small enough for one task; the earliest of each class is its first.
+2. (``merge``) Neighbouring suffixes that share their anchor, the smallest hash
+   in the window, are one stretch. Equal stretches tie as wholes: all but the
+   earliest are settled. If all stretches of an anchor are equal, the earliest
+   is settled as well, as equal windows have equal anchors.
+3. The suffixes still open are sorted to window depth, again one bucket at a time,
+   each bucket small enough for one task; the earliest of each class is its first.
 
 Buckets are value ranges of 64-bit fingerprints, so they are even, and a block of
 texts sends each distinct value once, so no value gathers more rows than there
@@ -29,12 +33,18 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillbook.llm.words import Rolling, chunks, text_bytes
+from tillbook.llm.words import Rolling, chunks, mix, text_bytes
 from tillbook.session import cut_lineage
 
+# Text of one block, in bytes.
+BLOCK_BYTES = 1 << 20
 # Sample keys of one bucket, on average; a bucket is sorted in memory.
 BUCKET_KEYS = 500_000
 _LAST = np.iinfo(np.int64).max
+# Bits of a position within a block; texts up to 2**28 numbers.
+PLACE_BITS = 28
+# What a bucket says of a key: no other, first of several, later than an equal one, to be told by its windows.
+ALONE, FIRST, LATER, OPEN = 0, 1, 2, 3
 
 _BLOCK = "bytes long, ids binary, nulls binary, offsets binary, blob binary"
 
@@ -58,13 +68,17 @@ class Scheme:
 
 
 def pack(docs: DataFrame, *, id: str, text: str) -> DataFrame:
-    """Blocks of about a megabyte of text, by id within the block; checkpointed, so blocks stay as they are."""
+    """Blocks of about a megabyte of text, by id within the block.
+
+    Checkpointed, so blocks stay as they are, and dealt by block number, so the
+    answers can be joined to them without moving the texts again.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=3)
         for batch in batches:
             sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)
-            for part in chunks(sizes):
+            for part in chunks(sizes, BLOCK_BYTES):
                 own = batch.slice(part.start, part.stop - part.start)
                 ids = own.column(0).fill_null(_LAST).to_numpy(zero_copy_only=False)
                 nulls = own.column(0).is_null().to_numpy(zero_copy_only=False)
@@ -74,7 +88,8 @@ def pack(docs: DataFrame, *, id: str, text: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([x]) for x in row], ["bytes", "ids", "nulls", "offsets", "blob"])
 
     rows = docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(run, _BLOCK)
-    return cut_lineage(rows.withColumn("block", F.monotonically_increasing_id()))
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return cut_lineage(rows.withColumn("block", F.monotonically_increasing_id()).repartition(parts, "block"))
 
 
 class Block:
@@ -124,7 +139,68 @@ class Suffixes:
         hit = self.at[flagged]
         first = np.maximum(hit - (self.scheme.period - 1), self.offsets[:-1][self.text[hit]])
         depth = np.cumsum(np.bincount(first, minlength=self.n + 1) - np.bincount(hit + 1, minlength=self.n + 1))
-        self.start = np.flatnonzero((depth[: self.n] > 0) & (self.left >= self.scheme.window))
+        self.settled = np.zeros(0, np.int64)
+        self._open((depth[: self.n] > 0) & (self.left >= self.scheme.window))
+
+    def merge(self) -> None:
+        """Puts windows together to stretches with a common anchor; those without an open window are left out."""
+        window, depth = self.scheme.window, self.scheme.depth
+        span = window - depth + 1
+        whole = np.flatnonzero(self.left >= depth)
+        value = np.full(self.n, ~np.uint64(0))
+        place = np.uint64((1 << PLACE_BITS) - 1)
+        value[whole] = (self.rolling.at(whole, depth) & ~place) | whole.astype(np.uint64)
+        width = 1
+        while width < span:  # smallest of the next ``width`` positions, up to ``span``
+            step = min(width, span - width)
+            upto = max(0, self.n - step)
+            value[:upto] = np.minimum(value[:upto], value[step : step + upto])
+            width += step
+        at = np.flatnonzero(self.left >= window)
+        anchor = (value[at] & place).astype(np.int64)
+        new = np.ones(len(at), bool)
+        new[1:] = (anchor[1:] != anchor[:-1]) | (at[1:] != at[:-1] + 1)
+        head = np.flatnonzero(new)
+        last = np.append(head[1:], len(at)) - 1 if len(head) else head
+        is_open = np.zeros(self.n + 1, np.int64)
+        is_open[self.start + 1] = 1
+        opened = np.cumsum(is_open)
+        use = opened[at[last] + 1] > opened[at[head]]
+        self.from_, self.to, anchor = at[head[use]], at[last[use]], anchor[head[use]]
+        self.anchors = self.rolling.at(anchor, depth)
+        self.stretches = mix(self.rolling.at(self.from_, self.to - self.from_ + window) ^ (anchor - self.from_).astype(np.uint64))
+        order = np.lexsort((self.from_, self.stretches, self.anchors))
+        fresh = np.ones(len(order), bool)
+        fresh[1:] = (self.anchors[order[1:]] != self.anchors[order[:-1]]) | (self.stretches[order[1:]] != self.stretches[order[:-1]])
+        self.earliest = np.zeros(len(order), bool)
+        self.earliest[order[fresh]] = True
+        mine = np.flatnonzero(self.earliest)
+        self.told = mine[np.argsort(self.bucket_of(self.anchors[mine]), kind="stable")]
+
+    def sorted_stretches(self, ids: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """(bucket, anchors, stretches, ids) of every distinct stretch, where it starts first in the block."""
+        anchors, stretches, owner = self.anchors[self.told], self.stretches[self.told], ids[self.text[self.from_[self.told]]]
+        edges = np.searchsorted(self.bucket_of(anchors), np.arange(self.buckets + 1))
+        for bucket in np.flatnonzero(np.diff(edges)):
+            part = slice(edges[bucket], edges[bucket + 1])
+            yield int(bucket), anchors[part], stretches[part], owner[part]
+
+    def settle(self, code: np.ndarray) -> None:
+        """Takes the answers on stretches, in the order sent; leaves the windows open that need their own."""
+        own = np.full(len(self.from_), LATER, np.uint8)
+        own[self.told] = code
+        was = np.zeros(self.n + 1, bool)
+        was[self.start] = True
+        flags = []
+        for wanted in (LATER, OPEN):
+            use = own == wanted
+            depth = np.bincount(self.from_[use], minlength=self.n + 2) - np.bincount(self.to[use] + 1, minlength=self.n + 2)
+            flags.append((np.cumsum(depth)[: self.n] > 0))
+        self.settled = np.flatnonzero(flags[0])
+        self._open(flags[1] & was[: self.n])
+
+    def _open(self, flags: np.ndarray) -> None:
+        self.start = np.flatnonzero(flags)
         keys, first, self.same, self.times = np.unique(
             self.rolling.at(self.start, self.scheme.window), return_index=True, return_inverse=True, return_counts=True)
         self.first = first
@@ -161,7 +237,6 @@ class Suffixes:
         return np.cumsum(depth)[: self.n] > 0
 
 
-ALONE, FIRST, LATER = 0, 1, 2
 Numbers = Callable[[Block], tuple[np.ndarray, np.ndarray]]
 
 
@@ -185,6 +260,27 @@ def _tied(table: pa.Table) -> pa.Table:
     return pa.table({"block": table["block"], "bucket": table["bucket"], "tied": pa.array(bits, pa.binary()), "n": pa.array(np.diff(edges), pa.int32())})
 
 
+def _settled(table: pa.Table) -> pa.Table:
+    """One bucket of stretches: for each sent, alone or first, later, or open if its anchor has other stretches too."""
+    anchors, stretches, ids = (
+        np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in table[name]])
+        for name, kind in (("anchors", np.uint64), ("stretches", np.uint64), ("ids", np.int64))
+    )
+    sizes = [x.as_buffer().size // 8 for x in table["ids"]]
+    order = np.lexsort((np.repeat(table["block"].to_numpy(), sizes), ids, stretches, anchors))
+    other = np.ones(len(order), bool)
+    other[1:] = anchors[order[1:]] != anchors[order[:-1]]
+    new = other.copy()
+    new[1:] |= stretches[order[1:]] != stretches[order[:-1]]
+    kinds = np.add.reduceat(new.astype(np.int64), np.flatnonzero(other))
+    several = np.repeat(kinds > 1, np.diff(np.append(np.flatnonzero(other), len(order))))
+    codes = np.empty(len(order), np.uint8)
+    codes[order] = np.where(~new, LATER, np.where(several, OPEN, FIRST))
+    edges = np.cumsum([0, *sizes])
+    out = [codes[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:])]
+    return pa.table({"block": table["block"], "bucket": table["bucket"], "codes": pa.array(out, pa.binary())})
+
+
 def _firsts(table: pa.Table) -> pa.Table:
     """One bucket of windows: for each key sent, alone, first, or later and then the id of the first."""
     parts = [np.frombuffer(x.as_buffer(), np.uint64) for x in table["keys"]]
@@ -219,6 +315,8 @@ class Reader:
     def suffixes(self, row: dict) -> tuple[Block, Suffixes, np.ndarray, np.ndarray, np.ndarray]:
         """Block, its suffixes, and per window left: later, id of the first, is a first."""
         block, own = _narrowed(self.scheme, self.numbers, self.buckets, row)
+        if "stretches" in row:
+            _settle(own, row)
         answers = row["answers"] or []
         code = np.concatenate([np.frombuffer(a["codes"], np.uint8) for a in answers] or [np.zeros(0, np.uint8)])
         ref = np.zeros(len(code), np.int64)
@@ -234,8 +332,13 @@ def _narrowed(scheme: Scheme, numbers: Numbers, buckets: int, row: dict) -> tupl
     return block, own
 
 
-def search(blocks: DataFrame, scheme: Scheme, numbers: Numbers) -> tuple[DataFrame, Reader, int]:
-    """Runs both steps; gives the blocks with their answers, a reader of them, and how many windows are first of several."""
+def _settle(own: Suffixes, row: dict) -> None:
+    own.merge()
+    own.settle(np.concatenate([*(np.frombuffer(a["codes"], np.uint8) for a in row["stretches"] or []), np.zeros(0, np.uint8)]))
+
+
+def search(blocks: DataFrame, scheme: Scheme, numbers: Numbers, *, merge: bool = False) -> tuple[DataFrame, Reader, int]:
+    """Runs the steps; gives the blocks with their answers, a reader of them, and how many windows are first of several."""
     buckets = scheme.buckets(blocks.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0])
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -249,16 +352,32 @@ def search(blocks: DataFrame, scheme: Scheme, numbers: Numbers) -> tuple[DataFra
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):
             block, own = _narrowed(scheme, numbers, buckets, row)
+            if merge:
+                _settle(own, row)
             found = list(own.sorted_windows(block.ids))
             yield pa.RecordBatch.from_arrays(
                 [pa.array([b for b, _, _ in found], pa.int32()), pa.array([block.block] * len(found), pa.int64()),
                  pa.array([k.tobytes() for _, k, _ in found], pa.binary()), pa.array([i.tobytes() for _, _, i in found], pa.binary())],
                 ["bucket", "block", "keys", "ids"])
 
+    def stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in _rows(batches):
+            block, own = _narrowed(scheme, numbers, buckets, row)
+            own.merge()
+            found = list(own.sorted_stretches(block.ids))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([x[0] for x in found], pa.int32()), pa.array([block.block] * len(found), pa.int64()),
+                 *(pa.array([x[k].tobytes() for x in found], pa.binary()) for k in (1, 2, 3))],
+                ["bucket", "block", "anchors", "stretches", "ids"])
+
     gathered = lambda df, name, *columns: df.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("bucket", *columns))).alias(name))
     ties = blocks.mapInArrow(sample, "bucket int, block long, keys binary").groupBy("bucket").applyInArrow(_tied, "block long, bucket int, tied binary, n int")
     ties = cut_lineage(gathered(ties, "ties", "tied", "n"))
     narrowed = blocks.join(ties, "block", "left")
+    if merge:
+        sent = narrowed.mapInArrow(stretches, "bucket int, block long, anchors binary, stretches binary, ids binary")
+        settled = sent.groupBy("bucket").applyInArrow(_settled, "block long, bucket int, codes binary")
+        narrowed = narrowed.join(cut_lineage(gathered(settled, "stretches", "codes")), "block", "left")
     sent = narrowed.mapInArrow(windows, "bucket int, block long, keys binary, ids binary")
     answers = sent.groupBy("bucket").applyInArrow(_firsts, "block long, bucket int, codes binary, refs binary, firsts int")
     answers = cut_lineage(gathered(answers, "answers", "codes", "refs", "firsts"))

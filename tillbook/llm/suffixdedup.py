@@ -32,12 +32,12 @@ def remove_repeats(docs: DataFrame, *, id: str = "doc_id", text: str = "text") -
     are ignored; an empty table gives no rows. Memory of a task: one bucket of
     keys, or one block of about a megabyte, or a longer text if there is one.
     """
-    answered, reader, _ = search(pack(docs, id=id, text=text), Scheme(LENGTH, PERIOD, COVER, 1.0), _numbers)
+    answered, reader, _ = search(pack(docs, id=id, text=text), Scheme(LENGTH, PERIOD, COVER, 1.0), _numbers, merge=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):
             block, own, later, _, _ = reader.suffixes(row)
-            gone = own.cover(own.start[later])
+            gone = own.cover(np.concatenate([own.settled, own.start[later]]))
             start, end = runs(gone, own.text)
             base = block.offsets[:-1]
             pairs = pa.StructArray.from_arrays(
