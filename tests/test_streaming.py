@@ -33,8 +33,9 @@ def test_batches_add_up_to_the_batch_result(spark, many_files):
 def test_stock_and_units_match_the_batch(spark, many_files):
     events = testbed.events(spark, SF)
     stream = sources.event_stream(spark, many_files, files_per_trigger=2)
-    moved = runner.current(runner.run_available(live.stock(live.event_moves(stream))), ["product_id"])
-    assert table(moved) == table(live.stock(live.event_moves(events)))
+    products = events.select("user_id").distinct().selectExpr("user_id as id", "cast(user_id % 7 as int) as stock")
+    moved = runner.current(runner.run_available(live.stock(live.event_moves(stream), products)), ["product_id"])
+    assert table(moved) == table(live.stock(live.event_moves(events), products))
     units = runner.run_available(live.trailing_units(live.event_items(stream), delay="40 days"))
     batch = live.trailing_units(live.event_items(events))
     assert table(runner.current(units, ["until", "product_id"])) == table(batch)

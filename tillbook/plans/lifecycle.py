@@ -114,47 +114,45 @@ def _apply_returns(
     ``requests``: parent, line_id, quantity. A request covers one parent and is
     refused as a whole. Non-positive quantities are ignored.
     """
-    asked = (
-        requests.where("quantity > 0").groupBy(parent, "line_id")
-        .agg(F.sum("quantity").cast("bigint").alias("_asked"))
+    asked = requests.groupBy(F.col(parent).alias("_asker"), F.col("line_id").alias("_line")).agg(
+        F.coalesce(F.sum(F.when(F.col("quantity") > 0, F.col("quantity"))), F.lit(0)).cast("bigint").alias("_asked")
     )
-    known = items.select(
-        F.col(parent).alias("_owner"), F.col("id").alias("line_id"),
-        (F.col("quantity") - F.col("returned_quantity")).alias("_left"),
-    )
-    checked = asked.join(known, "line_id", "left")
-    foreign = F.col("_owner").isNull() | (F.col("_owner") != F.col(parent))
-    faults = checked.groupBy(parent).agg(
-        F.bool_or(foreign).alias("_foreign"),
-        F.bool_or(F.coalesce(F.col("_asked") > F.col("_left"), F.lit(False))).alias("_over"),
-    )
-    status = headers.select(F.col("id").alias(parent), F.col("status").alias("_status"))
-    verdict = (
-        requests.select(parent).distinct().join(status, parent, "left").join(faults, parent, "left")
-        .withColumn(
+    concerned = requests.select(parent).distinct()
+    lines = items.join(concerned, parent, "left_semi")
+    # lines of these parents and what is asked of them, each once; a line asked of another parent finds no match
+    met = lines.join(asked, (lines[parent] == F.col("_asker")) & (lines["id"] == F.col("_line")), "full").withColumn(
+        "_parent", F.coalesce(parent, "_asker")
+    ).withColumn("came_back", F.coalesce("_asked", F.lit(0).cast("bigint")))
+    met = cut_lineage(met.drop("_asker", "_line", "_asked"))
+
+    known = F.col("id").isNotNull()
+    left = F.col("quantity") - F.col("returned_quantity")
+    after = left - F.col("came_back")
+    status = headers.select(F.col("id").alias("_parent"), F.col("status").alias("_status"))
+    verdict = cut_lineage(
+        met.groupBy("_parent").agg(
+            F.bool_or(~known & (F.col("came_back") > 0)).alias("_foreign"),
+            F.coalesce(F.bool_or(F.col("came_back") > left), F.lit(False)).alias("_over"),
+            money_sum(F.col("price") * F.col("came_back"), known).alias("returned_value"),
+            money_sum(F.col("price") * after, known).alias("remaining_value"),
+            F.bool_and(F.when(known, after <= 0)).alias("all_back"),
+        ).join(status, "_parent", "left").withColumn(
             "reason",
             F.when(F.col("_status").isNull(), "not found")
             .when(F.col("_status") != open_status, "not open for returns")
-            .when(F.coalesce("_foreign", F.lit(False)), "invalid item")
-            .when(F.coalesce("_over", F.lit(False)), "more than remaining"),
+            .when(F.col("_foreign"), "invalid item")
+            .when(F.col("_over"), "more than remaining"),
         )
     )
-    refused = verdict.where("reason is not null").select(parent, "reason")
-    accepted = verdict.where("reason is null").select(parent)
-
-    asked_ok = asked.join(accepted, parent, "left_semi").select("line_id", "_asked")
+    refused = verdict.where("reason is not null").select(F.col("_parent").alias(parent), "reason")
+    # a parent without any line has no figures
+    accepted = verdict.where("reason is null and all_back is not null")
     touched = (
-        items.join(accepted, parent, "left_semi").join(asked_ok, items["id"] == asked_ok["line_id"], "left")
-        .drop("line_id")
-        .withColumn("came_back", F.coalesce("_asked", F.lit(0)))
+        met.where(known).join(accepted.select("_parent"), "_parent", "left_semi")
         .withColumn("returned_quantity", F.col("returned_quantity") + F.col("came_back"))
-        .drop("_asked")
-    )
-    figures = touched.groupBy(parent).agg(
-        money_sum(F.col("price") * F.col("came_back")).alias("returned_value"),
-        money_sum(F.col("price") * (F.col("quantity") - F.col("returned_quantity"))).alias("remaining_value"),
-        F.bool_and(F.col("returned_quantity") >= F.col("quantity")).alias("all_back"),
+        .select(*items.columns, "came_back")
     )
+    figures = accepted.select(F.col("_parent").alias(parent), "returned_value", "remaining_value", "all_back")
     return touched, figures, refused
 
 

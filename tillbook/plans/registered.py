@@ -1634,13 +1634,12 @@ def stream_dedupe_upsert(spark, sf):
     stream = _event_stream(spark, sf).where("event_type in ('view', 'signup')").select(
         F.col("user_id").alias("identifier"), (F.col("k") % 3).alias("purpose"), F.col("event_id").alias("payload"), "ts"
     )
-    rows = runner.run_available(stream, mode="append").drop("version")
-    return ranking.latest_per_key(rows, ["identifier", "purpose"], ["ts", "payload"])
+    return runner.run_upsert(stream, ["identifier", "purpose"], ["ts", "payload"])
 
 
 @query
 def stream_stock(spark, sf):
-    moved = live.stock(live.event_moves(_event_stream(spark, sf)))
+    moved = live.stock(live.event_moves(_event_stream(spark, sf)), testbed.trade(spark, sf).products)
     return runner.current(runner.run_available(moved), ["product_id"])
 
 
@@ -1652,6 +1651,6 @@ def session_shifts(spark, sf):
 
 @query
 def stream_session_shifts(spark, sf):
-    """The same from the stream: sessions the watermark has closed, three days before the end at least."""
-    rows = runner.run_available(live.working_sessions(_event_stream(spark, sf)), mode="append")
-    return rows.drop("version")
+    """The same from the stream, those still open when it stops included."""
+    rows = runner.run_available(live.working_sessions(_event_stream(spark, sf)), mode="complete")
+    return runner.newest(rows)

@@ -51,9 +51,13 @@ def unique_events(events: DataFrame, keys: list[str], ts: str = "ts", delay: str
     return with_event_time(events, ts, delay).dropDuplicatesWithinWatermark(keys)
 
 
-def stock(moves: DataFrame) -> DataFrame:
-    """Net movement per product so far; run in update mode and add the opening stock."""
-    return moves.groupBy("product_id").agg(F.sum("delta").cast("bigint").alias("moved"))
+def stock(moves: DataFrame, products: DataFrame) -> DataFrame:
+    """Net movement and balance per product so far; run in update mode. State has a row per product."""
+    moved = moves.groupBy("product_id").agg(F.sum("delta").cast("bigint").alias("moved"))
+    opening = products.select(F.col("id").alias("product_id"), "stock")
+    return moved.join(opening, "product_id").select(
+        "product_id", "moved", (F.col("stock") + F.col("moved")).cast("bigint").alias("balance")
+    )
 
 
 def working_sessions(events: DataFrame, gap: str = "4 hours", delay: str = "1 day") -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tillbook.operators.ranking import latest_per_key
@@ -33,6 +34,39 @@ def run_available(stream: DataFrame, mode: str = "update", folder: str | None =
     return spark.read.schema(schema).parquet(f"{folder}/out")
 
 
+def run_upsert(stream: DataFrame, keys: list[str], order: list[str], folder: str | None = None) -> DataFrame:
+    """Keeps the latest row of each key in a table that every micro-batch is merged into; returns the table.
+
+    Each batch writes the table's next version from the last one, so a batch that
+    is run again makes the same version. Every version is the whole table: for
+    large ones use a table format with MERGE in place of the write.
+    """
+    spark = stream.sparkSession
+    folder = folder or f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+
+    def merge(batch: DataFrame, batch_id: int) -> None:
+        rows = batch
+        if batch_id > 0:
+            rows = batch.unionByName(batch.sparkSession.read.schema(stream.schema).parquet(f"{folder}/out/{batch_id - 1}"))
+        latest_per_key(rows, keys, order).write.mode("overwrite").parquet(f"{folder}/out/{batch_id}")
+
+    query = (
+        stream.writeStream.option("checkpointLocation", f"{folder}/checkpoint")
+        .foreachBatch(merge).trigger(availableNow=True).start()
+    )
+    query.awaitTermination()
+    last = query.lastProgress["batchId"] if query.lastProgress else -1
+    made = [p["batchId"] for p in query.recentProgress if p["numInputRows"] > 0] or [last]
+    if max(made) < 0:
+        return spark.createDataFrame([], stream.schema)
+    return spark.read.schema(stream.schema).parquet(f"{folder}/out/{max(made)}")
+
+
+def newest(rows: DataFrame) -> DataFrame:
+    """The last version as a whole: what a complete-mode result table holds now."""
+    return rows.join(rows.agg(F.max("version").alias("version")), "version").drop("version")
+
+
 def current(rows: DataFrame, keys: list[str]) -> DataFrame:
     """The latest version of each key: what an update-mode result table holds now."""
     return latest_per_key(rows, keys, ["version"]).drop("version")
