@@ -201,15 +201,20 @@ class Suffixes:
 
     def _open(self, flags: np.ndarray) -> None:
         self.start = np.flatnonzero(flags)
-        keys, first, self.same, self.times = np.unique(
-            self.rolling.at(self.start, self.scheme.window), return_index=True, return_inverse=True, return_counts=True)
-        self.first = first
-        # sent by bucket and, within it, by position: the ids then come in runs
-        self.sent = np.lexsort((first, self.bucket_of(keys)))
-        self.windows = keys
+        self.distinct = None
+
+    def _windows(self) -> None:
+        """The distinct windows at ``start``, only once no more of them can be left out."""
+        if self.distinct is None:
+            self.distinct = np.unique(
+                self.rolling.at(self.start, self.scheme.window), return_index=True, return_inverse=True, return_counts=True)
+            self.windows, self.first, self.same, self.times = self.distinct
+            # sent by bucket and, within it, by position: the ids then come in runs
+            self.sent = np.lexsort((self.first, self.bucket_of(self.windows)))
 
     def sorted_windows(self, ids: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(bucket, keys, ids) of every distinct window left, where it starts first in the block."""
+        self._windows()
         keys = self.windows[self.sent]
         owner = ids[self.text[self.start[self.first[self.sent]]]] if len(keys) else np.zeros(0, np.int64)
         edges = np.searchsorted(self.bucket_of(keys), np.arange(self.buckets + 1))
@@ -219,6 +224,7 @@ class Suffixes:
 
     def answered(self, code: np.ndarray, ref: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Per window left: is it later than an equal one, the id that holds the first, and is it a first with later ones."""
+        self._windows()
         by_key, ref_of = np.zeros(len(self.windows), np.uint8), np.zeros(len(self.windows), np.int64)
         by_key[self.sent], ref_of[self.sent] = code, ref
         local = np.arange(len(self.start)) == self.first[self.same] if len(self.start) else np.zeros(0, bool)
