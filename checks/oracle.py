@@ -796,6 +796,12 @@ check("order_return", f"""SELECT parent_id AS order_id, {cents('remaining', 'tot
       extra=_returns("sh_orders", "successful", "returned_quantity"))
 check("order_return_refused", "SELECT parent_id AS order_id, reason FROM verdict WHERE reason IS NOT NULL",
       extra=_returns("sh_orders", "successful", "returned_quantity"))
+RETURNED = """SELECT a.id, a.parent_id AS {0}, cast(returned_quantity + back AS bigint) AS returned_quantity,
+        cast(back AS bigint) AS came_back FROM asked a JOIN verdict v ON v.parent_id = a.parent_id AND v.reason IS NULL"""
+check("order_return_lines", RETURNED.format("order_id"), extra=_returns("sh_orders", "successful", "returned_quantity"))
+check("sale_return_lines", RETURNED.format("sale_id") + " JOIN sh_sales s ON s.id = a.parent_id", extra=_returns("sh_sales", "completed", "0"))
+check("sale_return_refused", "SELECT v.parent_id AS sale_id, reason FROM verdict v WHERE reason IS NOT NULL",
+      extra=_returns("sh_sales", "completed", "0"))
 check("sale_return", """SELECT b.id AS sale_id, sub - gone AS subtotal, total AS total_amount, total - paid AS balance_due, status
         FROM (SELECT b.id, b.sub, b.paid, cast(round(f.gone * 100) AS bigint) AS gone,
                 CASE WHEN f.all_back THEN 'returned' ELSE 'completed' END AS status,

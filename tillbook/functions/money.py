@@ -60,6 +60,7 @@ def scaled(amount: Column, part: Column, whole: Column) -> Column:
 
 
 def _cents(x: Column) -> Column:
+    """Whole cents of amounts below a million million; products of two still fit a decimal."""
     return (x * 100).cast("decimal(14,0)")
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 from pyspark.sql import Column
@@ -74,8 +75,13 @@ def file_stamp(ts: Column) -> Column:
 
 
 def query_parameter(text: Column, name: str) -> Column:
-    """All decoded values of ``name=`` in a text, in order, as an array."""
-    raw = F.regexp_extract_all(text, F.lit(f"{name}=([^&\"'\\s]+)"), F.lit(1))
+    """All decoded values of the parameter ``name`` in a text, in order, as an array.
+
+    The name is taken as it is and stands at the start, or after ``?``, ``&`` or ``;``
+    (as in ``&amp;``), a quote or a blank: ``ref`` isn't found in ``xref``.
+    """
+    begins = r"(?:^|[?&;\"'\s])"
+    raw = F.regexp_extract_all(text, F.lit(f"{begins}{re.escape(name)}=([^&\"'\\s]+)"), F.lit(1))
     # a plus sign is part of the value here, so it is kept through the decoding
     return F.transform(raw, lambda v: F.try_url_decode(F.replace(v, F.lit("+"), F.lit("%2B"))))
 

@@ -1391,6 +1391,12 @@ def order_return_refused(shop):
     return refused
 
 
+@trade_query
+def order_return_lines(shop):
+    _, lines, _ = lifecycle.order_returns(shop.orders, shop.order_items, _return_requests(shop.order_items, "order_id"))
+    return lines.select("id", "order_id", "returned_quantity", "came_back")
+
+
 def _billed_sales(shop):
     """Sales whose bill is that of their own lines."""
     carts = pricing.cart_totals(
@@ -1420,6 +1426,20 @@ def sale_return(shop):
     return after
 
 
+@trade_query
+def sale_return_lines(shop):
+    items = _unreturned(shop.sale_items)
+    _, lines, _ = lifecycle.sale_returns(_billed_sales(shop), items, _return_requests(items, "sale_id"))
+    return lines.select("id", "sale_id", "returned_quantity", "came_back")
+
+
+@trade_query
+def sale_return_refused(shop):
+    items = _unreturned(shop.sale_items)
+    _, _, refused = lifecycle.sale_returns(_billed_sales(shop), items, _return_requests(items, "sale_id"))
+    return refused
+
+
 @trade_query
 def stock_movements(shop):
     return stock.stock_movements(shop)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,6 +24,8 @@ def build_session(app: str = "tillbook", master: str | None = None, **conf: str)
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
+        # lists are collected in hash maps up to so many keys of a task before they are sorted
+        .config("spark.sql.objectHashAggregate.sortBased.fallbackThreshold", "100000")
         # checkpoints of an iterative job go when its DataFrames do
         .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
@@ -42,8 +46,6 @@ def local_session(cores: int | str = 8, memory: str = "8g", **conf: str) -> Spar
             "spark.driver.memory": memory,
             "spark.ui.enabled": "false",
             "spark.sql.files.openCostInBytes": "262144",
-            # local partitions are small enough to collect lists in hash maps
-            "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "100000",
             **conf,
         },
     )
@@ -53,7 +55,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``.
 
     Every executor must be able to reach it, so a machine-local folder is made
-    only when the session itself is local and nothing is configured.
+    only when the session itself is local and nothing is configured; it goes
+    when the process ends.
     """
     folder = spark.conf.get(_CHECKPOINT_KEY, None)
     if folder:
@@ -62,7 +65,9 @@ def shared_dir(spark: SparkSession) -> str:
         raise ValueError(f"set {_CHECKPOINT_KEY} to a folder every executor can reach")
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="tillbook-"))
+        own = tempfile.mkdtemp(prefix="tillbook-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        context.setCheckpointDir(own)
     return context.getCheckpointDir()
 
 
