@@ -17,14 +17,17 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructField, StructType
 
+from tillbook.llm.words import chunks
+
 # Characters handed to the library at once; bounds a worker's memory.
 CHUNK_CHARS = 400_000
 # The memo of a worker is emptied beyond so many pieces; longer pieces are never kept.
-MEMO_PIECES = 400_000
+MEMO_PIECES = 200_000
 MEMO_CHARS = 64
 # Characters whose classes all versions of Unicode in use agree on. A text with any other is split by the
 # tokenizers library itself, which is slower but has the tables that the pattern's ranks go with.
@@ -98,18 +101,6 @@ def byte_table(path: str) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(token for token, _ in by_id), np.uint8), begins
 
 
-def chunks(texts: list[str], limit: int) -> Iterator[slice]:
-    """Runs of texts of about ``limit`` characters; a longer text is a run of its own."""
-    start = size = 0
-    for i, text in enumerate(texts):
-        if size and size + len(text) > limit:
-            yield slice(start, i)
-            start, size = i, 0
-        size += len(text)
-    if start < len(texts):
-        yield slice(start, len(texts))
-
-
 def ragged(begins: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Indices begins[i], begins[i] + 1, ... of every run, end to end."""
     ends = np.cumsum(lengths)
@@ -132,9 +123,9 @@ def encode(df: DataFrame, vocabulary: str, pattern: str, *, keep: list[str], tex
         begins = byte_table(vocabulary)[1]
         widths = np.diff(begins)
         for batch in batches:
-            texts = batch.column(batch.num_columns - 1).to_pylist()
-            for part in chunks(texts, CHUNK_CHARS):
-                found = own.ids(texts[part])
+            texts = batch.column(batch.num_columns - 1)
+            for part in chunks(pc.utf8_length(texts).to_pylist(), CHUNK_CHARS):
+                found = own.ids(texts.slice(part.start, part.stop - part.start).to_pylist())
                 counts = np.array([len(ids) for ids in found], np.int64)
                 flat = np.concatenate([np.array(ids, np.int32) for ids in found]) if found else np.zeros(0, np.int32)
                 offsets = np.zeros(len(found) + 1, np.int64)

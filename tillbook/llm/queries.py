@@ -20,7 +20,12 @@ def query(fn: Callable[[SparkSession, str], DataFrame]):
     return fn
 
 
+# Rows that Spark hands to Python at once; the usual 10,000 whole texts take too much of a worker's memory.
+ROWS_AT_ONCE = "1000"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ROWS_AT_ONCE)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
