@@ -53,7 +53,7 @@ def test_naming_a_group_counts_less_with_the_penalty(spark, labelled, docs_of, m
         score = {r.doc_id: r.p for r in scored}
         return abs(score[1] - score[2]), score[1] - score[3]
 
-    (plain_change, plain_rise), (change, rise) = gap(0.0), gap(1.0)
+    (plain_change, plain_rise), (change, rise) = gap(0.0), gap(4.0)
     assert change < 0.5 * plain_change and rise < plain_rise
 
 

@@ -22,9 +22,11 @@ from tillbook.session import cut_lineage
 
 # The classifier is fitted on at most so many labelled rows, the first by a hash of the id.
 SAMPLE_ROWS = 12_000
-# Features it may use, and the fewest sampled texts that a feature must be in.
+# Features it may use, the fewest sampled texts that a feature must be in, and its least log-likelihood ratio:
+# of a hundred thousand features that say nothing, about one reaches it.
 MOST_FEATURES = 1_500
 LEAST_TEXTS = 3
+LEAST_GAIN = 10.0
 # Lengths of the word beginnings that count as features, in bytes.
 BEGINNINGS = (4, 5)
 HOLD_OUT = 5
@@ -168,7 +170,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id: str = "doc_id", text: str = "
     share = positive / total
     gain = lambda seen, expected: F.when(seen > 0, seen * F.log(seen / expected)).otherwise(0.0)
     chosen = counts.select("feature", (gain(p, n * share) + gain(n - p, n * (1 - share))).alias("gain"))
-    chosen = chosen.orderBy(F.desc("gain"), "feature").limit(MOST_FEATURES).toPandas()["feature"].to_numpy(np.int64).view(np.uint64)
+    chosen = chosen.where(F.col("gain") >= LEAST_GAIN).orderBy(F.desc("gain"), "feature").limit(MOST_FEATURES).toPandas()["feature"].to_numpy(np.int64).view(np.uint64)
 
     groups = [_of_terms(terms) for terms in IDENTITY_TERMS]
     terms = np.concatenate([f for group in groups for f in group])
@@ -207,7 +209,7 @@ def _swapped(texts: list[np.ndarray], kept: np.ndarray, groups: list[list[np.nda
     return out
 
 
-def _train(texts, swapped, labels, size: int, prior: float, *, steps: int = 400, penalty: float = 1.0, decay: float = 2e-4):
+def _train(texts, swapped, labels, size: int, prior: float, *, steps: int = 400, penalty: float = 4.0, decay: float = 2e-4):
     """Adam on the mean log loss + penalty * mean squared change of the log-odds + decay * squared weights."""
 
     def flat(lists):
