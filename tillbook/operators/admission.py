@@ -24,7 +24,8 @@ def admit_in_order(
     ``quantity`` and the capacity are whole numbers (units or cents); requests
     of 0 or less, and requests for a key without capacity row, are refused.
 
-    Works in rounds over all keys at once. With capacity R left, a request is
+    Keys that can serve everything asked of them are done at once. The others are
+    served in rounds over all keys together. With capacity R left, a request is
     large when it needs more than R/2. Until either the small requests have
     used more than half of R or the first large request fits, every small one
     is admitted and every large one refused. That deciding row is admitted
@@ -43,6 +44,13 @@ def admit_in_order(
     refused = (F.col("_need") <= 0) | (F.col("_need") > F.col("_room")) | F.col("_need").isNull()
     decided = pending.where(refused).withColumn("admitted", F.lit(False))
     pending = pending.where(~refused)
+    # keys that can serve all that is asked of them need no rounds
+    whole = pending.groupBy(F.col(key).alias("_k")).agg(F.sum("_need").alias("_all"))
+    sized = cut_lineage(pending.join(whole, pending[key] == F.col("_k")).drop("_k"))
+    decided = decided.unionByName(sized.where("_all <= _room").drop("_all").withColumn("admitted", F.lit(True)))
+    pending = sized.where("_all > _room").drop("_all")
+    if pending.isEmpty():
+        return decided.drop("_room", "_need")
 
     while True:
         small = F.col("_need") * 2 <= F.col("_room")
