@@ -949,8 +949,12 @@ check("ensure_columns", """SELECT id, name, whatsapp_number, 1 AS is_active, cas
 check("stream_x_report", f"""SELECT shift_id, count(*) FILTER (status = 'completed') AS transaction_count,
         {cents("coalesce(sum(total_amount) FILTER (status = 'completed'), 0)", 'total_sales')},
         {cents("coalesce(sum(discount_amount) FILTER (status = 'completed'), 0)", 'total_discount')},
-        {cents("coalesce(sum(balance_due) FILTER (status = 'completed'), 0)", 'total_balance_due')}
-        FROM bk_sales GROUP BY 1""")
+        {cents("coalesce(sum(balance_due) FILTER (status = 'completed'), 0)", 'total_balance_due')},
+        {cents("coalesce(sum(amount_paid) FILTER (payment_method = 'cash' AND status <> 'voided'), 0)", 'cash_collected')},
+        {cents("coalesce(sum(cash_out), 0)", 'cash_out_total')}
+        FROM (SELECT shift_id, status, total_amount, discount_amount, balance_due, amount_paid, payment_method,
+                     cast(NULL AS decimal(10,2)) AS cash_out FROM bk_sales
+              UNION ALL SELECT shift_id, NULL, NULL, NULL, NULL, NULL, NULL, amount FROM bk_cash) GROUP BY 1""")
 check("stream_revenue_by_day", f"""SELECT {day('created_at')}, {cents('sum(total_amount)', 'revenue')} FROM bk_sales
         WHERE status = 'completed' GROUP BY 1""")
 check("stream_hot_products", """SELECT cast(until AS varchar) AS until, product_id, total_sold, rank FROM (

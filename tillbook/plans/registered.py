@@ -1609,7 +1609,8 @@ def _event_stream(spark, sf):
 
 @query
 def stream_x_report(spark, sf):
-    report = live.x_report(live.event_sales(_event_stream(spark, sf)))
+    events = _event_stream(spark, sf)
+    report = live.x_report(live.event_sales(events), live.event_cash_outs(events))
     return runner.current(runner.run_available(report), ["shift_id"])
 
 

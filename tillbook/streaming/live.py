@@ -10,14 +10,28 @@ from tillbook.sources import testbed
 from tillbook.streaming.sources import with_event_time
 
 
-def x_report(sales: DataFrame) -> DataFrame:
-    """Figures of each shift so far; run in update mode."""
-    done = F.col("status") == "completed"
-    return sales.groupBy("shift_id").agg(
+SALE_COLUMNS = "status total_amount discount_amount balance_due amount_paid payment_method".split()
+
+
+def x_report(sales: DataFrame, cash_outs: DataFrame | None = None) -> DataFrame:
+    """Figures of each shift so far, with the cash its sales brought and what was taken out; run in update mode.
+
+    Cash counts what was paid with a sale that is not voided. State has a row per
+    shift.
+    """
+    rows = sales.select("shift_id", *SALE_COLUMNS, F.lit(None).cast("decimal(10,2)").alias("cash_out"))
+    if cash_outs is not None:
+        none = [F.lit(None).cast(sales.schema[c].dataType).alias(c) for c in SALE_COLUMNS]
+        rows = rows.unionByName(cash_outs.select("shift_id", *none, F.col("amount").alias("cash_out")))
+    done = F.coalesce(F.col("status") == "completed", F.lit(False))
+    cash = F.coalesce((F.col("payment_method") == "cash") & (F.col("status") != "voided"), F.lit(False))
+    return rows.groupBy("shift_id").agg(
         count_where(done).alias("transaction_count"),
         money_sum("total_amount", done).alias("total_sales"),
         money_sum("discount_amount", done).alias("total_discount"),
         money_sum("balance_due", done).alias("total_balance_due"),
+        money_sum("amount_paid", cash).alias("cash_collected"),
+        money_sum("cash_out").alias("cash_out_total"),
     )
 
 
@@ -93,3 +107,7 @@ def event_items(events: DataFrame) -> DataFrame:
 
 def event_sales(events: DataFrame) -> DataFrame:
     return testbed.book_sales(events)
+
+
+def event_cash_outs(events: DataFrame) -> DataFrame:
+    return testbed.book_cash_movements(events)
