@@ -88,8 +88,21 @@ def pack(docs: DataFrame, *, id: str, text: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([x]) for x in row], ["bytes", "ids", "nulls", "offsets", "blob"])
 
     rows = docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(run, _BLOCK)
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return cut_lineage(rows.withColumn("block", F.monotonically_increasing_id()).repartition(parts, "block"))
+    return _dealt(rows.withColumn("block", F.monotonically_increasing_id()), "block")
+
+
+def _dealt(rows: DataFrame, key: str) -> DataFrame:
+    """Checkpoints rows by ``key`` so that joins on it find them in place.
+
+    Spark keeps the partitioning of a checkpoint only where it is planned in advance.
+    """
+    conf = rows.sparkSession.conf
+    adaptive = conf.get("spark.sql.adaptive.enabled")
+    conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        return cut_lineage(rows.repartition(int(conf.get("spark.sql.shuffle.partitions")), key))
+    finally:
+        conf.set("spark.sql.adaptive.enabled", adaptive)
 
 
 class Block:
