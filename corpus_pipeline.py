@@ -16,27 +16,32 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents that the classifier, fitted on the labelled ones, scores 0.5 or more."""
+    queries.prepare(spark)
     model = toxicity.fit(docs, queries.table(spark, sf_dir, "labels"))
     return docs.where(toxicity.score_of(model)(F.col("text")) < 0.5)
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near duplicates stays, the one with the smallest id."""
+    queries.prepare(spark)
     return neardup.keep_one(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a benchmark window go."""
+    queries.prepare(spark)
     return decontaminate.clean(docs, queries.table(spark, sf_dir, "benchmark"))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Live secrets are replaced in the text, and its length is stated anew; documents stay."""
+    queries.prepare(spark)
     return secrets.redact(docs, length="n_chars")
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of every document with the byte offset after each token, and whether decoding gives the text back."""
+    queries.prepare(spark)
     path, pattern = queries.vocabulary()
     ids = bytebpe.encode(docs, path, pattern, keep=["doc_id", F.md5(F.coalesce("text", F.lit(""))).alias("text_md5")])
     decoded = bytebpe.decode(ids.drop("ends"), path, keep=["doc_id", "text_md5"])

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
+import zipfile
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import tillbook
 from tillbook.llm import automaton, bytebpe, decontaminate, neardup, secrets, sharding, suffixdedup, topk, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,8 +30,26 @@ def query(fn: Callable[[SparkSession, str], DataFrame]):
 ROWS_AT_ONCE = "1000"
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+_SHIPPED: set[str] = set()
+
+
+def prepare(spark: SparkSession) -> None:
+    """Sends this package to the executors, once, and keeps their batches small."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ROWS_AT_ONCE)
+    context = spark.sparkContext
+    if context.applicationId not in _SHIPPED:
+        root = Path(tillbook.__file__).resolve().parent
+        folder = tempfile.mkdtemp(prefix="tillbook-code-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        with zipfile.ZipFile(f"{folder}/tillbook-code.zip", "w") as archive:
+            for file in sorted(root.rglob("*.py")):
+                archive.write(file, file.relative_to(root.parent))
+        context.addPyFile(archive.filename)
+        _SHIPPED.add(context.applicationId)
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    prepare(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
