@@ -125,12 +125,15 @@ class Suffixes:
     def __init__(self, scheme: Scheme, numbers: np.ndarray, offsets: np.ndarray, buckets: int):
         self.scheme, self.offsets, self.buckets = scheme, offsets, buckets
         self.n = len(numbers)
+        # 32 bits are enough for positions within a block, and faster
+        small = offsets.astype(np.int32)
+        place = np.arange(self.n, dtype=np.int32)
         self.text = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-        self.left = offsets[1:][self.text] - np.arange(self.n)
+        self.left = np.repeat(small[1:], np.diff(offsets)) - place
         self.rolling = Rolling(numbers)
         marked = np.zeros(scheme.period, bool)
         marked[list(scheme.cover)] = True
-        inside = np.arange(self.n) - offsets[:-1][self.text]
+        inside = place - np.repeat(small[:-1], np.diff(offsets))
         self.at = np.flatnonzero(marked[inside % scheme.period] & (self.left >= scheme.depth))
         keys = self.rolling.at(self.at, scheme.depth)
         self.keys, self.own, self.count = np.unique(keys, return_inverse=True, return_counts=True)
@@ -159,10 +162,11 @@ class Suffixes:
         """Puts windows together to stretches with a common anchor; those without an open window are left out."""
         window, depth = self.scheme.window, self.scheme.depth
         span = window - depth + 1
-        whole = np.flatnonzero(self.left >= depth)
-        value = np.full(self.n, ~np.uint64(0))
         place = np.uint64((1 << PLACE_BITS) - 1)
-        value[whole] = (self.rolling.at(whole, depth) & ~place) | whole.astype(np.uint64)
+        value = np.full(self.n, ~np.uint64(0))
+        rough = self.rolling.rough(depth)
+        value[: len(rough)] = (rough & ~place) | np.arange(len(rough), dtype=np.uint64)
+        value[self.left < depth] = ~np.uint64(0)
         width = 1
         while width < span:  # smallest of the next ``width`` positions, up to ``span``
             step = min(width, span - width)

@@ -48,6 +48,10 @@ class Rolling:
         self.sums = np.zeros(len(values) + 1, np.uint64)
         np.cumsum(values * up[: len(values)], out=self.sums[1:])
 
+    def rough(self, length: int) -> np.ndarray:
+        """Of every slice of one length, numbers whose high bits are good enough to compare."""
+        return (self.sums[length:] - self.sums[: max(0, len(self.sums) - length)]) * self.down[: max(0, len(self.sums) - length)]
+
     def at(self, start: np.ndarray, length: np.ndarray | int) -> np.ndarray:
         return mix((self.sums[start + length] - self.sums[start]) * self.down[start])
 
