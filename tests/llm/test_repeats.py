@@ -48,10 +48,6 @@ def block_bytes(request, monkeypatch):
     monkeypatch.setattr(repeats, "BLOCK_BYTES", request.param)
 
 
-def small(spark):
-    return spark.conf.get("spark.sql.shuffle.partitions")
-
-
 def test_cover_has_every_difference():
     for module in (automaton, suffixdedup):
         assert {(a - b) % module.PERIOD for a in module.COVER for b in module.COVER} == set(range(module.PERIOD))

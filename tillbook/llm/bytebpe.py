@@ -27,7 +27,7 @@ from tillbook.llm.words import chunks
 # Characters handed to the library at once; bounds a worker's memory.
 CHUNK_CHARS = 400_000
 # The memo of a worker is emptied beyond so many pieces; longer pieces are never kept.
-MEMO_PIECES = 200_000
+MEMO_PIECES = 300_000
 MEMO_CHARS = 64
 # Characters whose classes all versions of Unicode in use agree on. A text with any other is split by the
 # tokenizers library itself, which is slower but has the tables that the pattern's ranks go with.
