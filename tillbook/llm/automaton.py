@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillbook.llm.repeats import Block, Scheme, Suffixes, _rows, pack, runs, search
+from tillbook.llm.repeats import Block, Scheme, Suffixes, block_rows, pack, runs, search
 from tillbook.llm.words import Rolling, byte_numbers, mix, not_space, word_spans
 from tillbook.session import cut_lineage
 
@@ -171,7 +171,7 @@ def remove_repeats(docs: DataFrame, *, id: str = "doc_id", text: str = "text") -
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["block", "shard", "reference", "text", "start", "n", "words"]
         kinds = [pa.int64(), pa.int32(), pa.bool_(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
-        for row in _rows(batches):
+        for row in block_rows(batches):
             block, own, later, refs, first = reader.suffixes(row)
             rows = [(block.block, *piece) for piece in _pieces(block, own, later, refs, first, shards)]
             columns = list(zip(*rows)) or [()] * len(names)
@@ -191,7 +191,7 @@ def remove_repeats(docs: DataFrame, *, id: str = "doc_id", text: str = "text") -
     gone = gone.groupBy("block").agg(F.collect_list(F.struct("text", "start", "end")).alias("gone"))
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row in _rows(batches):
+        for row in block_rows(batches):
             block = Block(row)
             starts, ends, offsets = _words(block)
             depth = np.zeros(len(starts) + 1, np.int64)

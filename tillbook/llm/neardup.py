@@ -226,7 +226,7 @@ def links(texts: DataFrame, *, similarity: float, size: int) -> DataFrame:
     return met.mapInArrow(_verified(similarity), "a binary, b binary")
 
 
-def classes(docs: DataFrame, *, id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, size: int = SHINGLE) -> DataFrame:
+def classes(docs: DataFrame, *, text: str = "text", similarity: float = SIMILARITY, size: int = SHINGLE) -> DataFrame:
     """(node, class): for every text with another in its class, the class's root; node identifies the text."""
     rows = docs.select(node_of(F.col(text)).alias("node"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     # equal texts meet before anything is computed from them twice
@@ -246,7 +246,7 @@ def class_of_each(docs: DataFrame, *, id: str = "doc_id", text: str = "text", **
     equal ids the first. Rows with the same id and text count each. Other columns
     are ignored; an empty table gives no rows.
     """
-    found = cut_lineage(classes(docs, id=id, text=text, **options))
+    found = cut_lineage(classes(docs, text=text, **options))
     rows = docs.select(F.col(id).alias(id), node_of(F.col(text)).alias("node"))
     rows = cut_lineage(rows.withColumn("_row", F.monotonically_increasing_id()))
     rows = rows.join(found, "node", "left").withColumn("class", F.coalesce("class", "node"))
@@ -259,7 +259,7 @@ def class_of_each(docs: DataFrame, *, id: str = "doc_id", text: str = "text", **
 
 def keep_one(docs: DataFrame, *, id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` with one row left of each class; columns unchanged."""
-    found = cut_lineage(classes(docs, id=id, text=text, **options))
+    found = cut_lineage(classes(docs, text=text, **options))
     columns = docs.columns
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_doc"), node_of(F.col(text)).alias("node"), F.col(id).alias("_id"))
     order = F.struct(F.col("_id").isNull(), F.col("_id"))

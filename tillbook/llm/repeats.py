@@ -263,7 +263,7 @@ class Suffixes:
 Numbers = Callable[[Block], tuple[np.ndarray, np.ndarray]]
 
 
-def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+def block_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
     for batch in batches:
         for i in range(batch.num_rows):
             yield {name: batch.column(j)[i].as_py() for j, name in enumerate(batch.schema.names)}
@@ -365,7 +365,7 @@ def search(blocks: DataFrame, scheme: Scheme, numbers: Numbers, *, merge: bool =
     buckets = scheme.buckets(blocks.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0])
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row in _rows(batches):
+        for row in block_rows(batches):
             block = Block(row)
             found = list(Suffixes(scheme, *numbers(block), buckets).sample())
             yield pa.RecordBatch.from_arrays(
@@ -373,7 +373,7 @@ def search(blocks: DataFrame, scheme: Scheme, numbers: Numbers, *, merge: bool =
                 ["bucket", "block", "keys"])
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row in _rows(batches):
+        for row in block_rows(batches):
             block, own = _narrowed(scheme, numbers, buckets, row)
             if merge:
                 _settle(own, row)
@@ -384,7 +384,7 @@ def search(blocks: DataFrame, scheme: Scheme, numbers: Numbers, *, merge: bool =
                 ["bucket", "block", "keys", "ids"])
 
     def stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row in _rows(batches):
+        for row in block_rows(batches):
             block, own = _narrowed(scheme, numbers, buckets, row)
             own.merge()
             found = list(own.sorted_stretches(block.ids))

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tillbook.llm.repeats import Block, Scheme, _rows, pack, runs, search
+from tillbook.llm.repeats import Block, Scheme, block_rows, pack, runs, search
 from tillbook.llm.words import byte_numbers
 
 LENGTH = 100
@@ -35,7 +35,7 @@ def remove_repeats(docs: DataFrame, *, id: str = "doc_id", text: str = "text") -
     answered, reader, _ = search(pack(docs, id=id, text=text), Scheme(LENGTH, PERIOD, COVER, 1.0), _numbers, merge=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row in _rows(batches):
+        for row in block_rows(batches):
             block, own, later, _, _ = reader.suffixes(row)
             gone = own.cover(np.concatenate([own.settled, own.start[later]]))
             start, end = runs(gone, own.text)
