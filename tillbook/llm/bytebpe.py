@@ -72,6 +72,8 @@ class Pieces:
 
     def __init__(self, own, split, pattern, unsettled):
         self.own, self.split, self.pattern, self.unsettled, self.memo = own, split, pattern, unsettled, {}
+        # one object per id for all that the memo holds
+        self.numbers = tuple(range(own.get_vocab_size()))
 
     def pieces(self, text: str) -> list[str]:
         if self.unsettled.search(text):
@@ -86,7 +88,7 @@ class Pieces:
         new = list({piece for pieces in split for piece in pieces if piece not in known})
         found = dict(zip(new, (e.ids for e in self.own.encode_batch_fast(new, add_special_tokens=False))))
         out = [list(chain.from_iterable([known[p] if p in known else found[p] for p in pieces])) for pieces in split]
-        known.update((piece, ids) for piece, ids in found.items() if len(piece) <= MEMO_CHARS)
+        known.update((piece, tuple(self.numbers[i] for i in ids)) for piece, ids in found.items() if len(piece) <= MEMO_CHARS)
         return out
 
 
@@ -108,20 +110,12 @@ def ragged(begins: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(total) + np.repeat(begins - (ends - lengths), lengths)
 
 
-def encode(df: DataFrame, vocabulary: str, pattern: str, *, keep: list[str], text: str = "text") -> DataFrame:
-    """Columns ``keep``, ``ids`` (array of int) and ``ends`` (byte offset after each token).
-
-    A null or empty text has no tokens. Repeated rows stay. Columns not kept are
-    left out; ``keep`` must not hold ``ids`` or ``ends``.
-    """
-    rows = df.select(*keep, F.coalesce(F.col(text), F.lit("")).alias("_text"))
-    lists = [StructField(name, ArrayType(IntegerType())) for name in ("ids", "ends")]
-    schema = StructType([*rows.drop("_text").schema.fields, *lists])
+def _encoder(vocabulary: str, pattern: str, ends: bool):
+    """Replaces the last column, a text, by its ids and, if asked for, the byte offset after each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = tokenizer(vocabulary, pattern)
-        begins = byte_table(vocabulary)[1]
-        widths = np.diff(begins)
+        widths = np.diff(byte_table(vocabulary)[1])
         for batch in batches:
             texts = batch.column(batch.num_columns - 1)
             for part in chunks(pc.utf8_length(texts).to_pylist(), CHUNK_CHARS):
@@ -130,20 +124,20 @@ def encode(df: DataFrame, vocabulary: str, pattern: str, *, keep: list[str], tex
                 flat = np.concatenate([np.array(ids, np.int32) for ids in found]) if found else np.zeros(0, np.int32)
                 offsets = np.zeros(len(found) + 1, np.int64)
                 np.cumsum(counts, out=offsets[1:])
-                reached = np.concatenate([[0], np.cumsum(widths[flat])])
-                ends = reached[1:] - np.repeat(reached[offsets[:-1]], counts)
+                lists = [flat]
+                if ends:
+                    reached = np.concatenate([[0], np.cumsum(widths[flat])])
+                    lists.append(reached[1:] - np.repeat(reached[offsets[:-1]], counts))
                 at = pa.array(offsets, pa.int32())
                 columns = [c.slice(part.start, part.stop - part.start) for c in batch.columns[:-1]]
-                columns += [pa.ListArray.from_arrays(at, pa.array(v, pa.int32())) for v in (flat, ends)]
-                yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names[:-1], "ids", "ends"])
+                columns += [pa.ListArray.from_arrays(at, pa.array(v, pa.int32())) for v in lists]
+                yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names[:-1], "ids", "ends"][: len(columns)])
 
-    return rows.mapInArrow(run, schema)
+    return run
 
 
-def decode(df: DataFrame, vocabulary: str, *, keep: list[str], ids: str = "ids") -> DataFrame:
-    """Columns ``keep``, the ids and ``decoded`` (binary). No ids, or null, give no bytes."""
-    rows = df.select(*keep, F.coalesce(F.col(ids), F.array().cast("array<int>")).alias(ids))
-    schema = StructType([*rows.schema.fields, StructField("decoded", BinaryType())])
+def _decoder(vocabulary: str):
+    """Adds the bytes of the last column, the ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, begins = byte_table(vocabulary)
@@ -156,4 +150,38 @@ def decode(df: DataFrame, vocabulary: str, *, keep: list[str], ids: str = "ids")
                 out.append(table[ragged(begins[own], widths[own])].tobytes())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], [*batch.schema.names, "decoded"])
 
-    return rows.mapInArrow(run, schema)
+    return run
+
+
+IDS, ENDS, DECODED = (
+    StructField(name, kind) for name, kind in
+    (("ids", ArrayType(IntegerType())), ("ends", ArrayType(IntegerType())), ("decoded", BinaryType()))
+)
+
+
+def _texts(df: DataFrame, keep: list, text: str) -> tuple[DataFrame, list[StructField]]:
+    rows = df.select(*keep, F.coalesce(F.col(text), F.lit("")).alias("_text"))
+    return rows, rows.schema.fields[:-1]
+
+
+def encode(df: DataFrame, vocabulary: str, pattern: str, *, keep: list, text: str = "text") -> DataFrame:
+    """Columns ``keep``, ``ids`` (array of int) and ``ends`` (byte offset after each token).
+
+    A null or empty text has no tokens. Repeated rows stay. Columns not kept are
+    left out; ``keep`` must not hold ``ids`` or ``ends``.
+    """
+    rows, kept = _texts(df, keep, text)
+    return rows.mapInArrow(_encoder(vocabulary, pattern, True), StructType([*kept, IDS, ENDS]))
+
+
+def decode(df: DataFrame, vocabulary: str, *, keep: list, ids: str = "ids") -> DataFrame:
+    """Columns ``keep``, the ids and ``decoded`` (binary). No ids, or null, give no bytes."""
+    rows = df.select(*keep, F.coalesce(F.col(ids), F.array().cast("array<int>")).alias(ids))
+    return rows.mapInArrow(_decoder(vocabulary), StructType([*rows.schema.fields, DECODED]))
+
+
+def round_trip(df: DataFrame, vocabulary: str, pattern: str, *, keep: list, text: str = "text") -> DataFrame:
+    """Columns ``keep``, ``ids`` and ``decoded``: ``encode`` and ``decode`` in one Python worker."""
+    rows, kept = _texts(df, keep, text)
+    encoder, decoder = _encoder(vocabulary, pattern, False), _decoder(vocabulary)
+    return rows.mapInArrow(lambda batches: decoder(encoder(batches)), StructType([*kept, IDS, DECODED]))

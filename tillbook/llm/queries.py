@@ -126,8 +126,7 @@ def op9_decontamination(spark, sf_dir):
 @query
 def op10_byte_bpe(spark, sf_dir):
     path, pattern = vocabulary()
-    ids = bytebpe.encode(table(spark, sf_dir, "documents"), path, pattern, keep=["doc_id"])
-    return bytebpe.decode(ids, path, keep=["doc_id"]).select(
+    return bytebpe.round_trip(table(spark, sf_dir, "documents"), path, pattern, keep=["doc_id"]).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
