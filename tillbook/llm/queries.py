@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import tillbook
-from tillbook.llm import automaton, bytebpe, decontaminate, neardup, secrets, sharding, suffixdedup, topk, toxicity
+from tillbook.llm import automaton, bytebpe, decontaminate, neardup, pii, secrets, sharding, suffixdedup, topk, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -111,6 +111,17 @@ def op7_secrets(spark, sf_dir):
     )
 
 
+@query
+def op8_pii(spark, sf_dir):
+    found = pii.scan(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select(
+        "doc_id", *[count(kind) for kind in pii.KINDS],
+        F.sha2(F.encode(secrets.written("base"), "UTF-8"), 256).alias("base_sha256"),
+        secrets.written("spans").alias("spans"),
+    )
+
+
 @query
 def op9_decontamination(spark, sf_dir):
     found = decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), keep=["doc_id"])
