@@ -5,7 +5,7 @@ import random
 
 import pytest
 
-from tillbook.llm import topk
+from tillbook.llm import queries, topk
 
 
 def brute(rows, k, scale=64):
@@ -49,3 +49,26 @@ def test_fewer_rows_than_k_and_none(spark):
 def test_large_components_stay_exact(spark):
     rows = [(0, [2.0**22, 3.0]), (1, [2.0**22, 1.0]), (2, [2.0**22, 2.0])]
     assert found(spark, rows, 2) == brute(rows, 2)
+
+
+@pytest.mark.parametrize("blocks", [(4096, 512), (37, 3)])
+def test_query_takes_every_row_of_a_repeated_id(spark, monkeypatch, tmp_path, blocks):
+    import duckdb
+
+    monkeypatch.setattr(topk, "ROWS_IN_BLOCK", blocks[0])
+    monkeypatch.setattr(topk, "QUERIES_IN_BLOCK", blocks[1])
+    rnd = random.Random(2)
+    rows = [(rnd.choice([7, 20, i]), [rnd.uniform(-1, 1) for _ in range(4)]) for i in range(150)]
+    rows += [(40, [1.0] * 4), (40, [1.0] * 4), (41, [1.0] * 4), (41, [1.0] * 4), (41, [1.0] * 4)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3).write.parquet(f"{tmp_path}/embeddings.parquet")
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    want = duck.execute(queries.ORACLE["op2_exact_topk"]).fetchall()
+    got = [tuple(r) for r in queries.QUERIES["op2_exact_topk"](spark, str(tmp_path)).collect()]
+    assert sorted(got) == sorted(want) and len({r[2] for r in want if r[0] == 20}) < 20
+
+
+def test_every_row_of_an_id_with_vectors_of_two_lengths(spark):
+    df = spark.createDataFrame([(0, [1.0]), (0, [1.0, 1.0]), (1, [2.0]), (2, [1.0, 2.0]), (3, [4.0])], "vec_id long, embedding array<float>")
+    out = topk.top_k(df, lambda id: id % 20 == 0, 2, every_row=True).collect()
+    assert sorted(tuple(r) for r in out) == [(0, 1, 3, 16384), (0, 2, 2, 12288)]

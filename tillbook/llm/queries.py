@@ -68,7 +68,7 @@ def op1_sharding(spark, sf_dir):
 
 @query
 def op2_exact_topk(spark, sf_dir):
-    return topk.top_k(table(spark, sf_dir, "embeddings"), lambda id: id % 20 == 0, TOP)
+    return topk.top_k(table(spark, sf_dir, "embeddings"), lambda id: id % 20 == 0, TOP, every_row=True)
 
 
 @query

@@ -35,13 +35,15 @@ EXACT = float(1 << 53)
 _PAIRS = "query_id long, vec_id long, score long"
 
 
-def integer_vectors(df: DataFrame, *, id: str, vector: str, scale: int) -> DataFrame:
-    """(vec_id, vec): components floor(scale * x) as long; rows that take no part are gone."""
+def integer_vectors(df: DataFrame, *, id: str, vector: str, scale: int, every_row: bool) -> DataFrame:
+    """(vec_id, vec, _row): components floor(scale * x) as long; rows that take no part are gone."""
     rows = df.select(F.col(id).cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("vec"))
     bad = F.exists("vec", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     rows = rows.where(F.col("vec_id").isNotNull() & F.col("vec").isNotNull()).where(~bad)
     rows = rows.select("vec_id", F.transform("vec", lambda x: F.floor(x * F.lit(scale)).cast("long")).alias("vec"))
-    return rows.groupBy("vec_id").agg(F.min("vec").alias("vec"))
+    if every_row:  # the number deals the rows of one id to several blocks
+        return rows.withColumn("_row", F.monotonically_increasing_id())
+    return rows.groupBy("vec_id").agg(F.min("vec").alias("vec")).withColumn("_row", F.lit(0))
 
 
 def _products(queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
@@ -138,17 +140,18 @@ def _emit(kind, k: int):
     return run
 
 
-def top_k(df: DataFrame, is_query, k: int, *, id: str = "vec_id", vector: str = "embedding", scale: int = 64) -> DataFrame:
+def top_k(df: DataFrame, is_query, k: int, *, id: str = "vec_id", vector: str = "embedding", scale: int = 64, every_row: bool = False) -> DataFrame:
     """The k best rows of every query row: query_id, rank (from 1), vec_id, score.
 
     ``is_query`` is a function from the id column to a condition. Score: inner
     product of floor(scale * x). Ties go to the smaller id; fewer than k other
     rows give them all. Rows without an id, with a null vector or with null or
-    non-finite components take no part; repeated ids count once, with the
-    smallest vector. Vectors are compared with those of the same length only.
+    non-finite components take no part. Repeated ids count once, with the
+    smallest vector; with ``every_row`` each row is a candidate of all other ids,
+    and a repeated query id has the k best of all its rows' pairs. Vectors are compared with those of the same length only.
     Columns of other names are ignored. No queries or an empty table give no rows.
     """
-    vectors = integer_vectors(df, id=id, vector=vector, scale=scale).withColumn("_dim", F.size("vec"))
+    vectors = integer_vectors(df, id=id, vector=vector, scale=scale, every_row=every_row).withColumn("_dim", F.size("vec"))
     wanted = is_query(F.col("vec_id"))
     sizes = vectors.groupBy("_dim").agg(F.count("*").alias("n"), F.count_if(wanted).alias("q")).where("q > 0").collect()
     parts = [_top_k_of(vectors.where(F.col("_dim") == s["_dim"]).drop("_dim"), wanted, k, s["n"], s["q"]) for s in sizes]
@@ -158,14 +161,21 @@ def top_k(df: DataFrame, is_query, k: int, *, id: str = "vec_id", vector: str =
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
+    if every_row and len(parts) > 1:  # rows of one id may differ in length
+        best = out.withColumn("rank", F.row_number().over(_by_score()))
+        out = best.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
     return out
 
 
+def _by_score():
+    return Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+
+
 def _top_k_of(vectors: DataFrame, wanted, k: int, n: int, q: int) -> DataFrame:
     n_row, n_query = math.ceil(n / ROWS_IN_BLOCK), math.ceil(q / QUERIES_IN_BLOCK)
-    rows = _packed(vectors.withColumn("_rb", F.pmod(F.xxhash64("vec_id"), F.lit(n_row)).cast("int")), "_rb", ["vec_id", "vec"])
-    queries = vectors.where(wanted).withColumn("_qb", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(n_query)).cast("int"))
-    by_score = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    rows = _packed(vectors.withColumn("_rb", F.pmod(F.xxhash64("vec_id", "_row"), F.lit(n_row)).cast("int")), "_rb", ["vec_id", "vec"])
+    queries = vectors.where(wanted).withColumn("_qb", F.pmod(F.xxhash64("vec_id", "_row", F.lit(1)), F.lit(n_query)).cast("int"))
+    by_score = _by_score()
 
     first = _met(_packed(queries, "_qb", ["vec_id", "vec"]), rows, n_query, n_row).mapInArrow(_emit(leaders, k), _PAIRS)
     cutoff = (
