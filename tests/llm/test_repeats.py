@@ -6,9 +6,10 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from tillbook.llm import automaton, repeats, suffixdedup
+from tillbook.llm import automaton, repeats, suffixdedup, words
 
 
 def brute(rows, units, window):
@@ -92,3 +93,37 @@ def test_automaton_finds_longest_matches():
     inside = lambda s: any(w[i : i + len(s)] == s for w in words for i in range(len(w)))
     for end, matched in enumerate(own.matching(stream), 1):
         assert inside(stream[end - matched : end]) and (matched == end or not inside(stream[end - matched - 1 : end]))
+
+
+@pytest.mark.parametrize("bits", [28, 9, 7])
+def test_texts_longer_than_positions_fit(monkeypatch, prose, bits):
+    """Anchors are found in runs of 2**bits numbers; here a few hundred stand for the 2**28 of a real text."""
+    monkeypatch.setattr(repeats, "PLACE_BITS", bits)
+    scheme = repeats.Scheme(suffixdedup.LENGTH, suffixdedup.PERIOD, suffixdedup.COVER, 1.0)
+    shared = [prose(i, 60).encode() for i in range(3)]
+    raw = b"".join(prose(100 + i, 5 + 13 * i % 40).encode() + shared[i % 3][: 150 + 37 * i % 200] for i in range(24)) + b"a" * 700
+    own = repeats.Suffixes(scheme, words.byte_numbers()[np.frombuffer(raw, np.uint8)], np.array([0, 40, len(raw)]), 8)
+    ids = np.array([1, 2])
+    own.narrow(np.zeros(len(own.keys), bool))
+    own.merge()
+    equal = {}
+    for start, end, anchor in zip(own.from_, own.to, own.anchors):
+        for i in range(start, end + 1):
+            assert equal.setdefault(raw[i : i + scheme.window], anchor) == anchor, i
+    column = lambda parts: pa.array([x.tobytes() for x in parts], pa.binary())
+    told = [np.zeros(0, np.uint8)]
+    for bucket, *parts in own.sorted_stretches(ids):
+        table = pa.table({"block": [0], "bucket": [bucket], **{n: column([x]) for n, x in zip(("anchors", "stretches", "ids"), parts)}})
+        told.append(np.frombuffer(repeats._settled(table)["codes"][0].as_py(), np.uint8))
+    own.settle(np.concatenate(told))
+    none = np.zeros(0, np.uint8)
+    sent = [len(keys) for _, keys, _ in own.sorted_windows(ids)]
+    later, _, _ = own.answered(np.concatenate([none, *(np.full(n, repeats.ALONE, np.uint8) for n in sent)]), np.zeros(sum(sent), np.int64), ids)
+    gone = own.cover(np.concatenate([own.settled, own.start[later]]))
+    want, seen = np.zeros(len(raw), bool), set()
+    for a, b in ((0, 40), (40, len(raw))):
+        for i in range(a, b - scheme.window + 1):
+            if raw[i : i + scheme.window] in seen:
+                want[i : i + scheme.window] = True
+            seen.add(raw[i : i + scheme.window])
+    assert want.any() and gone.tolist() == want.tolist()

@@ -41,7 +41,7 @@ BLOCK_BYTES = 1 << 20
 # Sample keys of one bucket, on average; a bucket is sorted in memory.
 BUCKET_KEYS = 500_000
 _LAST = np.iinfo(np.int64).max
-# Bits of a position within a block; texts up to 2**28 numbers.
+# Bits of a position within a run of numbers whose anchors are looked for together.
 PLACE_BITS = 28
 # What a bucket says of a key: no other, first of several, later than an equal one, to be told by its windows.
 ALONE, FIRST, LATER, OPEN = 0, 1, 2, 3
@@ -163,18 +163,25 @@ class Suffixes:
         window, depth = self.scheme.window, self.scheme.depth
         span = window - depth + 1
         place = np.uint64((1 << PLACE_BITS) - 1)
-        value = np.full(self.n, ~np.uint64(0))
-        rough = self.rolling.rough(depth)
-        value[: len(rough)] = (rough & ~place) | np.arange(len(rough), dtype=np.uint64)
-        value[self.left < depth] = ~np.uint64(0)
-        width = 1
-        while width < span:  # smallest of the next ``width`` positions, up to ``span``
-            step = min(width, span - width)
-            upto = max(0, self.n - step)
-            value[:upto] = np.minimum(value[:upto], value[step : step + upto])
-            width += step
         at = np.flatnonzero(self.left >= window)
-        anchor = (value[at] & place).astype(np.int64)
+        anchor = np.zeros(len(at), np.int64)
+        rough = self.rolling.rough(depth)
+        # runs overlap by a span, so every window lies whole in the run that has its start
+        each = (1 << PLACE_BITS) - span + 1
+        for begin in range(0, self.n, each):
+            size = min(each + span - 1, self.n - begin)
+            value = np.full(size, ~np.uint64(0))
+            own = rough[begin : begin + size]
+            value[: len(own)] = (own & ~place) | np.arange(len(own), dtype=np.uint64)
+            value[self.left[begin : begin + size] < depth] = ~np.uint64(0)
+            width = 1
+            while width < span:  # smallest of the next ``width`` positions, up to ``span``
+                step = min(width, span - width)
+                upto = max(0, size - step)
+                value[:upto] = np.minimum(value[:upto], value[step : step + upto])
+                width += step
+            first, last = np.searchsorted(at, [begin, begin + each])
+            anchor[first:last] = (value[at[first:last] - begin] & place).astype(np.int64) + begin
         new = np.ones(len(at), bool)
         new[1:] = (anchor[1:] != anchor[:-1]) | (at[1:] != at[:-1] + 1)
         head = np.flatnonzero(new)
