@@ -40,13 +40,13 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Ids of every document, and whether decoding gives the text back."""
+    """Ids of every document, the byte offset after each, and whether decoding gives the text back."""
     queries.prepare(spark)
     path, pattern = queries.vocabulary()
     keep = ["doc_id", F.md5(F.coalesce("text", F.lit(""))).alias("text_md5")]
     decoded = bytebpe.round_trip(docs, path, pattern, keep=keep)
     return decoded.select(
-        "doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", (F.md5("decoded") == F.col("text_md5")).alias("round_trip"))
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", "ends", (F.md5("decoded") == F.col("text_md5")).alias("round_trip"))
 
 
 STAGES: list[tuple[str, Stage]] = [

@@ -6,6 +6,7 @@ import public_tokenizers
 import pytest
 import tiktoken
 
+import corpus_pipeline
 from tillbook.llm import bytebpe, queries
 
 PATH, PATTERN = queries.vocabulary()
@@ -39,3 +40,16 @@ def test_round_trip_with_offsets(docs_of, reference, monkeypatch):
     for r in bytebpe.decode(ids, PATH, keep=["doc_id"]).collect():
         assert bytes(r.decoded) == (texts[r.doc_id] or "").encode()
     assert bytebpe.encode(docs_of((1, "a")).limit(0), PATH, PATTERN, keep=["doc_id"]).count() == 0
+
+
+def test_offsets_come_with_the_round_trip(spark, tmp_path, docs_of, reference):
+    texts = ["", None, "naïve 日本語 text", "\U0001f600" * 30, "same", "same", "x" * 500]
+    docs = docs_of(*enumerate(texts))
+    rows = corpus_pipeline.token_ids(spark, docs, str(tmp_path)).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        tokens = [reference.decode_single_token_bytes(i) for i in r.ids]
+        assert r.ends == [sum(map(len, tokens[: n + 1])) for n in range(len(tokens))] and r.round_trip
+    for r in bytebpe.round_trip(docs, PATH, PATTERN, keep=["doc_id"]).collect():
+        raw = (texts[r.doc_id] or "").encode()
+        assert r.ends[-1:] == ([len(raw)] if raw else []) and bytes(r.decoded) == raw

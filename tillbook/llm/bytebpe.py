@@ -110,8 +110,8 @@ def ragged(begins: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(total) + np.repeat(begins - (ends - lengths), lengths)
 
 
-def _encoder(vocabulary: str, pattern: str, ends: bool):
-    """Replaces the last column, a text, by its ids and, if asked for, the byte offset after each."""
+def _encoder(vocabulary: str, pattern: str):
+    """Replaces the last column, a text, by its ids and the byte offset after each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = tokenizer(vocabulary, pattern)
@@ -124,26 +124,24 @@ def _encoder(vocabulary: str, pattern: str, ends: bool):
                 flat = np.concatenate([np.array(ids, np.int32) for ids in found]) if found else np.zeros(0, np.int32)
                 offsets = np.zeros(len(found) + 1, np.int64)
                 np.cumsum(counts, out=offsets[1:])
-                lists = [flat]
-                if ends:
-                    reached = np.concatenate([[0], np.cumsum(widths[flat])])
-                    lists.append(reached[1:] - np.repeat(reached[offsets[:-1]], counts))
+                reached = np.concatenate([[0], np.cumsum(widths[flat])])
+                lists = [flat, reached[1:] - np.repeat(reached[offsets[:-1]], counts)]
                 at = pa.array(offsets, pa.int32())
                 columns = [c.slice(part.start, part.stop - part.start) for c in batch.columns[:-1]]
                 columns += [pa.ListArray.from_arrays(at, pa.array(v, pa.int32())) for v in lists]
-                yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names[:-1], "ids", "ends"][: len(columns)])
+                yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names[:-1], "ids", "ends"])
 
     return run
 
 
-def _decoder(vocabulary: str):
-    """Adds the bytes of the last column, the ids."""
+def _decoder(vocabulary: str, ids: str):
+    """Adds the bytes of a column of ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, begins = byte_table(vocabulary)
         widths = np.diff(begins)
         for batch in batches:
-            lists = batch.column(batch.num_columns - 1)
+            lists = batch.column(batch.schema.names.index(ids))
             out = []
             for i in range(len(lists)):
                 own = lists[i].values.to_numpy(zero_copy_only=False)
@@ -171,17 +169,17 @@ def encode(df: DataFrame, vocabulary: str, pattern: str, *, keep: list, text: st
     left out; ``keep`` must not hold ``ids`` or ``ends``.
     """
     rows, kept = _texts(df, keep, text)
-    return rows.mapInArrow(_encoder(vocabulary, pattern, True), StructType([*kept, IDS, ENDS]))
+    return rows.mapInArrow(_encoder(vocabulary, pattern), StructType([*kept, IDS, ENDS]))
 
 
 def decode(df: DataFrame, vocabulary: str, *, keep: list, ids: str = "ids") -> DataFrame:
     """Columns ``keep``, the ids and ``decoded`` (binary). No ids, or null, give no bytes."""
     rows = df.select(*keep, F.coalesce(F.col(ids), F.array().cast("array<int>")).alias(ids))
-    return rows.mapInArrow(_decoder(vocabulary), StructType([*rows.schema.fields, DECODED]))
+    return rows.mapInArrow(_decoder(vocabulary, ids), StructType([*rows.schema.fields, DECODED]))
 
 
 def round_trip(df: DataFrame, vocabulary: str, pattern: str, *, keep: list, text: str = "text") -> DataFrame:
-    """Columns ``keep``, ``ids`` and ``decoded``: ``encode`` and ``decode`` in one Python worker."""
+    """Columns ``keep``, ``ids``, ``ends`` and ``decoded``: ``encode`` and ``decode`` in one Python worker."""
     rows, kept = _texts(df, keep, text)
-    encoder, decoder = _encoder(vocabulary, pattern, False), _decoder(vocabulary)
-    return rows.mapInArrow(lambda batches: decoder(encoder(batches)), StructType([*kept, IDS, DECODED]))
+    encoder, decoder = _encoder(vocabulary, pattern), _decoder(vocabulary, "ids")
+    return rows.mapInArrow(lambda batches: decoder(encoder(batches)), StructType([*kept, IDS, ENDS, DECODED]))
