@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from tillbook.session import shared_dir
+from tillbook.session import cut_lineage, shared_dir
 
 LEAST_SHARE = 0.1
 # Copies of a host's winning paths; a host's pages meet them in as many places.
@@ -367,7 +367,8 @@ def extract(pages: DataFrame, *, keep: list, url: str = "url", html: str = "html
         import uuid
 
         folder = f"{shared_dir(spark)}/paths-{uuid.uuid4().hex}"
-        winning_paths(votes(pages, url=url, html=html)).write.parquet(folder)
+        # cut here, as the totals need the counts twice
+        winning_paths(cut_lineage(votes(pages, url=url, html=html))).write.parquet(folder)
         paths = spark.read.schema("host string, paths array<string>").parquet(folder)
     salted = paths.select(F.col("host").alias("__host"), F.col("paths").alias("__won"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("__salt"))
     source = F.coalesce(F.col(html), F.lit(""))
