@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import tillbook
-from tillbook.llm import automaton, bytebpe, decontaminate, hostpaths, neardup, pii, secrets, sharding, suffixdedup, topk, toxicity
+from tillbook.llm import automaton, bytebpe, decontaminate, hostpaths, neardup, pii, secrets, sharding, suffixdedup, topk, toxicity, turns
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -145,6 +145,11 @@ def op10_byte_bpe(spark, sf_dir):
     )
 
 
+@query
+def op12_turn_repair(spark, sf_dir):
+    return turns.repair(turns.damage(table(spark, sf_dir, "conversations")))
+
+
 @query
 def op13_host_paths(spark, sf_dir):
     return hostpaths.extract(table(spark, sf_dir, "pages"), keep=["page_id", "url"])
