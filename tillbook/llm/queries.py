@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import tillbook
-from tillbook.llm import automaton, bytebpe, decontaminate, hostpaths, neardup, pii, secrets, sharding, suffixdedup, topk, toxicity, turns
+from tillbook.llm import automaton, bond, bytebpe, decontaminate, hostpaths, neardup, pii, secrets, sharding, suffixdedup, topk, toxicity, turns
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -145,6 +145,13 @@ def op10_byte_bpe(spark, sf_dir):
     )
 
 
+@query
+def op11_hard_negatives(spark, sf_dir):
+    label = F.col("label").cast("long")
+    rows = table(spark, sf_dir, "embeddings").withColumn("label", F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label))
+    return bond.hard_negatives(rows, lambda id: id % 100 == 0)
+
+
 @query
 def op12_turn_repair(spark, sf_dir):
     return turns.repair(turns.damage(table(spark, sf_dir, "conversations")))
@@ -185,6 +192,28 @@ ORACLE: dict[str, str] = {
                coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
                coalesce(n_hit, 0) > 0 AS contaminated
         FROM d LEFT JOIN p USING (doc_id) LEFT JOIN it USING (doc_id)""",
+    "op11_hard_negatives": """
+        WITH v AS (
+            SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, len(embedding) AS n,
+                   list_transform(embedding, lambda x: cast(floor(256 * cast(x AS double)) AS double)) AS vec
+            FROM embeddings
+            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND label IS NOT NULL
+              AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (
+            SELECT a.vec_id AS anchor_id, c.vec_id AS vec_id, a.label = c.label AS same,
+                   cast(CASE WHEN a.n = 0 THEN 0 ELSE list_dot_product(a.vec, c.vec) END AS bigint) AS score
+            FROM v a JOIN v c ON a.vec_id <> c.vec_id AND a.n = c.n WHERE a.vec_id % 100 = 0),
+        p AS (
+            SELECT anchor_id, vec_id AS positive_id, score AS positive_score,
+                   row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) AS w
+            FROM s WHERE same),
+        r AS (
+            SELECT p.*, s.vec_id AS negative_id, s.score AS negative_score,
+                   row_number() OVER (PARTITION BY p.anchor_id, w ORDER BY s.score DESC, s.vec_id) AS rank
+            FROM p JOIN s USING (anchor_id)
+            WHERE w <= 5 AND NOT s.same AND 80 * positive_score <= 100 * s.score AND s.score <= positive_score)
+        SELECT anchor_id, positive_id, cast(rank AS int) AS rank, negative_id, positive_score, negative_score
+        FROM r WHERE rank <= 5""",
     "op2_exact_topk": """
         WITH v AS (
             SELECT vec_id, list_transform(embedding, lambda x: cast(floor(64 * cast(x AS double)) AS double)) AS vec
