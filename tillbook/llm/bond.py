@@ -33,6 +33,7 @@ from tillbook.session import cut_lineage
 ROWS_IN_BLOCK = 4096
 ANCHORS_IN_CHUNK = 256
 CHUNKS_TOGETHER = 64
+MOST_TASKS = 50_000
 # Sums below it are exact in double arithmetic; blocks that can exceed it are scored in whole numbers of any size.
 EXACT = float(1 << 53)
 # Parts in which the columns are read.
@@ -162,7 +163,9 @@ def _scan(blocks: DataFrame, anchors: DataFrame, n_blocks: int, some, same: bool
         no_windows.alias("windows"))
     all_blocks = F.filter(F.sequence(F.lit(0), F.lit(n_blocks - 1)), some)
     come = chunks.select(F.explode(all_blocks).alias("block"), lane.alias("lane"), F.lit(1).alias("kind"), "*")
-    stream = held.unionByName(come).repartition("block", "lane").sortWithinPartitions("block", "lane", "kind")
+    # small in bytes, long in work: as many tasks as there are blocks to hold
+    tasks = min(MOST_TASKS, n_blocks * (last_lane + 1))
+    stream = held.unionByName(come).repartition(tasks, "block", "lane").sortWithinPartitions("block", "lane", "kind")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place, own = None, {}
