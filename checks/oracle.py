@@ -732,33 +732,47 @@ STOCK_REQ = """SELECT l.product_id AS key, l.id AS ref, l.parent_id, l.quantity
 check("stock_check", """SELECT r.ref AS id, r.parent_id AS order_id, r.key AS product_id, r.q AS quantity,
         cast(f.ok AS int) AS admitted FROM req r JOIN fold f ON f.key = r.key AND f.rn = r.rn""",
       extra=fold(STOCK_REQ), recursive=True)
-check("stock_check_carts", """SELECT r.parent_id AS order_id, count(*) AS lines, count(*) FILTER (NOT f.ok) AS failed,
-        cast(bool_and(f.ok) AS int) AS accepted FROM req r JOIN fold f ON f.key = r.key AND f.rn = r.rn GROUP BY 1""",
-      extra=fold(STOCK_REQ), recursive=True)
+
+
+def serial(lines: str) -> str:
+    """Requests of several lines (ref, moment, key, need, delta), one after the other, each as a whole: their ref and ``ok``.
+
+    The stock of all products goes along as one list.
+    """
+    return f"""places AS MATERIALIZED (SELECT id, row_number() OVER (ORDER BY id) AS place, stock FROM sh_products),
+        req AS MATERIALIZED (
+          SELECT ref, row_number() OVER (ORDER BY any_value(moment), ref) AS rn,
+                 list({{'p': cast(place AS int), 'n': need, 'd': delta}}) AS ls
+          FROM (SELECT ref, any_value(moment) AS moment, place, max(need) AS need, cast(sum(delta) AS int) AS delta
+                FROM ({lines}) JOIN places ON id = key GROUP BY ref, place) GROUP BY ref),
+        serial AS (
+          SELECT cast(0 AS bigint) AS rn, cast(NULL AS bigint) AS ref, true AS ok,
+                 (SELECT list(cast(stock AS int) ORDER BY place) FROM places) AS held
+          UNION ALL
+          SELECT rn, ref, ok, CASE WHEN ok THEN list_reduce(
+                     list_prepend({{'s': held, 'p': 0, 'd': 0}}, list_transform(ls, lambda l: {{'s': []::int[], 'p': l.p, 'd': l.d}})),
+                     lambda a, l: {{'s': a.s[1:l.p - 1] || [a.s[l.p] + l.d] || a.s[l.p + 1:], 'p': 0, 'd': 0}}).s ELSE held END
+          FROM (SELECT r.rn, r.ref, len(list_filter(r.ls, lambda l: l.n > w.held[l.p])) = 0 AS ok, r.ls, w.held
+                FROM serial w JOIN req r ON r.rn = w.rn + 1))"""
+
+
+check("stock_check_carts", """SELECT parent_id AS order_id, count(*) AS lines, cast(any_value(ok) AS int) AS accepted
+        FROM sh_lines JOIN serial ON ref = parent_id GROUP BY 1""", recursive=True, extra=serial(
+    "SELECT l.parent_id AS ref, o.created_at AS moment, l.product_id AS key, l.quantity AS need, -l.quantity AS delta"
+    " FROM sh_lines l JOIN sh_orders o ON o.id = l.parent_id"))
 TRANSITION = """asked AS (SELECT id AS order_id, status AS from_status, total_amount,
           created_at + to_days(cast(id % 7 AS int)) AS requested_at,
           ['pending','successful','return','cancelled','shipped'][cast(id % 5 AS int) + 1] AS to_status FROM sh_orders),
-        req AS MATERIALIZED (
-          SELECT product_id AS key, order_id, line_id, delta,
-                 row_number() OVER (PARTITION BY product_id ORDER BY requested_at, order_id, line_id) AS rn
-          FROM (SELECT l.product_id, a.order_id, l.id AS line_id, a.requested_at,
-                       CASE WHEN a.to_status = 'successful' THEN -l.quantity
-                            ELSE greatest(0, l.quantity - l.returned_quantity) END AS delta
-                FROM asked a JOIN sh_lines l ON l.parent_id = a.order_id
-                WHERE a.to_status <> 'shipped' AND (a.to_status = 'successful') <> (a.from_status = 'successful'))
-          WHERE delta <> 0),
-        walk AS (
-          SELECT r.key, r.rn, r.order_id, p.stock + r.delta >= 0 OR r.delta > 0 AS ok,
-                 CASE WHEN p.stock + r.delta >= 0 OR r.delta > 0 THEN p.stock + r.delta ELSE p.stock END AS held
-          FROM req r JOIN sh_products p ON p.id = r.key WHERE r.rn = 1
-          UNION ALL
-          SELECT r.key, r.rn, r.order_id, w.held + r.delta >= 0 OR r.delta > 0,
-                 CASE WHEN w.held + r.delta >= 0 OR r.delta > 0 THEN w.held + r.delta ELSE w.held END
-          FROM walk w JOIN req r ON r.key = w.key AND r.rn = w.rn + 1),
-        short AS (SELECT DISTINCT order_id FROM walk WHERE NOT ok),
+        """ + serial("""SELECT * FROM (
+              SELECT a.order_id AS ref, a.requested_at AS moment, l.product_id AS key,
+                     CASE WHEN a.to_status = 'successful' THEN l.quantity END AS need,
+                     CASE WHEN a.to_status = 'successful' THEN -l.quantity
+                          ELSE greatest(0, l.quantity - l.returned_quantity) END AS delta
+              FROM asked a JOIN sh_lines l ON l.parent_id = a.order_id
+              WHERE a.to_status <> 'shipped' AND (a.to_status = 'successful') <> (a.from_status = 'successful'))""") + """,
         judged AS (SELECT a.*, CASE WHEN to_status = 'shipped' THEN 'invalid status'
-            WHEN to_status = 'successful' AND from_status <> 'successful' AND s.order_id IS NOT NULL THEN 'not enough stock'
-            ELSE 'ok' END AS outcome FROM asked a LEFT JOIN short s ON s.order_id = a.order_id)"""
+            WHEN to_status = 'successful' AND from_status <> 'successful' AND NOT coalesce(s.ok, true) THEN 'not enough stock'
+            ELSE 'ok' END AS outcome FROM asked a LEFT JOIN serial s ON s.ref = a.order_id)"""
 check("order_transition", f"""SELECT order_id, to_status, from_status, outcome,
         CASE WHEN outcome = 'ok' THEN to_status ELSE from_status END AS status,
         {cents("CASE WHEN outcome = 'ok' AND from_status = 'successful' AND to_status = 'return' THEN 0 ELSE total_amount END", 'total_amount')}
@@ -836,10 +850,7 @@ PAY_REQ = """SELECT a.*, CASE WHEN a.amount <= 0 THEN 'invalid amount' WHEN a.me
         LEFT JOIN bk_sales s ON s.id = a.key
         LEFT JOIN (SELECT staff_id, arg_max(id, (opened_at, id)) AS shift_id FROM bk_shifts WHERE status = 'open' GROUP BY 1) h
                ON h.staff_id = a.staff_id"""
-SALES = fold("""SELECT product_id AS key, line_id AS ref, cart_id, quantity AS q, p.stock AS room,
-          row_number() OVER (PARTITION BY product_id ORDER BY heads.created_at, cart_id, line_id) AS rn
-        FROM cart_lines JOIN heads USING (cart_id) JOIN sh_products p ON p.id = product_id WHERE fault IS NULL""").replace(
-    "req AS MATERIALIZED", """cart_lines AS (
+SALES = """cart_lines AS (
           SELECT parent_id AS cart_id, id AS line_id, product_id,
                  CASE WHEN parent_id % 31 = 0 AND quantity % 2 = 0 THEN 0 ELSE cast(ceil(quantity / 10) AS int) END AS quantity
           FROM sh_lines WHERE parent_id % 29 > 0),
@@ -855,10 +866,10 @@ SALES = fold("""SELECT product_id AS key, line_id AS ref, cart_id, quantity AS q
                        CASE WHEN id % 23 = 0 THEN 'barter' WHEN id % 2 = 0 THEN 'card' ELSE 'cash' END AS method
                 FROM sh_sales) c
           LEFT JOIN sized z USING (cart_id) LEFT JOIN shift USING (staff_id)),
-        req AS MATERIALIZED""") + """,
-        judged AS (SELECT h.*, coalesce(h.fault, CASE WHEN NOT w.ok THEN 'not enough stock' END) AS reason
-          FROM heads h LEFT JOIN (SELECT r.cart_id, bool_and(f.ok) AS ok FROM req r JOIN fold f ON f.key = r.key AND f.rn = r.rn
-                                  GROUP BY 1) w USING (cart_id)),
+        """ + serial("""SELECT cart_id AS ref, heads.created_at AS moment, product_id AS key, quantity AS need, -quantity AS delta
+              FROM cart_lines JOIN heads USING (cart_id) WHERE fault IS NULL""") + """,
+        judged AS (SELECT h.*, coalesce(h.fault, CASE WHEN NOT s.ok THEN 'not enough stock' END) AS reason
+          FROM heads h LEFT JOIN serial s ON s.ref = h.cart_id),
         sold AS (SELECT l.*, p.name, p.product_code,
                  CASE WHEN p.discount_percent > 0 THEN p.discount_price ELSE p.sale_price END AS price
           FROM cart_lines l JOIN judged j ON j.cart_id = l.cart_id AND j.reason IS NULL JOIN sh_products p ON p.id = l.product_id),

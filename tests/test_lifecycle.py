@@ -150,10 +150,23 @@ def test_stock_balance_is_opening_plus_movements(make, shop_of, products):
 
 
 def test_whole_carts(make, products):
+    """A refused cart leaves its other lines to later carts."""
+    held = {r.id: r.stock for r in products.collect()}
     lines = make("cart bigint, id bigint, product_id bigint, quantity int", "",
-                 (1, 1, 2, 2), (2, 2, 2, 2), (2, 3, 1, 1), (3, 4, 2, 1))
-    kept = stock.reserve_stock(lines, products, ["id"], F.floor(F.col("id") / 2))
-    assert table(stock.whole_carts(kept, "cart")) == [(1, 1, 0, True), (2, 2, 1, False), (3, 1, 0, True)]
+                 (1, 1, 2, held[2] - 1), (2, 2, 2, 2), (2, 3, 1, held[1]), (3, 4, 2, 1), (4, 5, 1, held[1]), (5, 6, 77, 1))
+    out = stock.whole_carts(lines, products, "cart", ["cart"], F.floor(F.col("cart") / 2))
+    assert table(out) == [(1, 1, True), (2, 2, False), (3, 1, True), (4, 1, True), (5, 1, False)]
+
+
+def test_a_refused_order_leaves_its_stock_to_the_next(make):
+    products = make("products", "id name stock", (1, "a", 5), (2, "b", 1))
+    orders = make("orders", "id status total_amount", (1, "pending", 1), (2, "pending", 1), (3, "successful", 1), (4, "pending", 1))
+    items = make("order_items", "id order_id product_id quantity returned_quantity",
+                 (1, 1, 1, 5, 0), (2, 1, 2, 2, 0), (3, 2, 1, 4, 0), (4, 3, 2, 2, 1), (5, 4, 2, 2, 0))
+    asked = make("order_id bigint, to_status string", "", (1, "successful"), (2, "successful"), (3, "cancelled"), (4, "successful"))
+    decided, moves = lifecycle.order_transitions(orders, items, products, asked)
+    assert table(decided, "order_id", "outcome") == [(1, "not enough stock"), (2, "ok"), (3, "ok"), (4, "ok")]
+    assert table(moves, "line_id", "delta") == [(3, -4), (4, 1), (5, -2)]
 
 
 def test_parts_add_up_after_rounding(make):

@@ -8,7 +8,8 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from tillbook.operators.admission import admit_in_order, admit_with_inflows
+from tillbook.operators import admission
+from tillbook.operators.admission import admit_in_order, admit_whole, admit_with_inflows
 from tillbook.operators.cooldown import accepted_requests
 from tillbook.operators.running import Running, position, running_all
 
@@ -39,6 +40,13 @@ def test_running_matches_a_loop(spark):
     assert got == want
 
 
+def test_rows_without_a_key(spark):
+    df = spark.createDataFrame([(1, None, 1, 5), (2, None, 2, 6), (3, 7, 1, 8), (4, None, 11, 9)], "id long, k long, t long, v long")
+    args = (df, ["k"], ["t"], [Running("total", F.col("v"))], F.floor(F.col("t") / 10))
+    assert {r.id: r.total for r in running_all(*args).collect()} == {1: 5, 2: 11, 3: 8, 4: 9}
+    assert {r.id: r.total for r in running_all(*args, null_keys=False).collect()} == {3: 8}
+
+
 def test_positions_over_the_whole_table(spark):
     df = spark.range(500).selectExpr("id * 3 as id")
     got = {r.id: r.n for r in position(df, [], ["id"], "n", F.floor(F.col("id") / 100)).collect()}
@@ -82,6 +90,61 @@ def test_admission_with_inflows_matches_a_loop(spark, seed):
     assert got == want
 
 
+def serve(lines, stock):
+    """Whole requests one after the other, as a plain loop: lines (request, time, key, delta)."""
+    left, requests, out = dict(stock), {}, {}
+    for r, t, k, d in lines:
+        requests.setdefault((t, r), []).append((k, d))
+    for (_, r), own in sorted(requests.items()):
+        out[r] = all(d >= 0 or -d <= left.get(k, 0) for k, d in own)
+        if out[r]:
+            for k, d in own:
+                left[k] = left.get(k, 0) + d
+    return out
+
+
+@pytest.mark.parametrize(("seed", "batch", "requests"), [(11, 20_000, 250), (12, 60, 250), (13, 0, 30)])
+def test_whole_requests_match_a_loop(spark, monkeypatch, seed, batch, requests):
+    """Requests over several keys, a key in a third of the lines, keys twice in a request, fills between, unknown keys."""
+    monkeypatch.setattr(admission, "ROWS_OF_ALL", batch)
+    rnd, lines = random.Random(seed), []
+    for r in range(requests):
+        t, fills = rnd.randrange(60), rnd.random() < 0.15
+        for _ in range(rnd.choice([1, 1, 2, 3, 5])):
+            k = 0 if rnd.random() < 0.34 else rnd.randrange(14)
+            lines.append((r, t, k, rnd.randrange(4) if fills else -rnd.choice([1, 1, 2, 3, 9])))
+    stock = [(k, rnd.choice([0, 2, 6, 25])) for k in range(13)]
+    out = admit_whole(
+        spark.createDataFrame(lines, "r long, t long, k long, d long"), spark.createDataFrame(stock, "k long, opening long"),
+        "r", "k", ["t", "r"], "d", F.floor(F.col("t") / 20))
+    got = {x.r: x.admitted for x in out.collect()}
+    want = serve(lines, stock)
+    assert got == want and out.count() == len(want) and 0 < sum(want.values()) < requests
+
+
+def test_nothing_to_serve(spark):
+    none = spark.createDataFrame([], "r long, t long, k long, d long")
+    assert admit_whole(none, spark.createDataFrame([(1, 2)], "k long, opening long"), "r", "k", ["t", "r"], "d", F.col("t")).collect() == []
+
+
+def test_a_long_till_takes_few_rounds(spark, monkeypatch):
+    """100,000 doubtful cash-outs and payments of one key: rounds by batches, not by events."""
+    rounds = []
+    real = admission.cut_lineage
+    monkeypatch.setattr(admission, "cut_lineage", lambda df: rounds.append(1) or real(df))
+    events = spark.range(100_000).select(
+        F.lit(1).alias("k"), F.col("id").alias("t"),
+        F.when(F.col("id") % 3 == 0, 5 + F.col("id") % 11).otherwise(-(F.col("id") * 7919 % 23) - 1).alias("d"))
+    opening = spark.createDataFrame([(1, 0)], "k int, opening long")
+    got = {r.t: r.admitted for r in admit_with_inflows(events, opening, "k", ["t"], "d", F.floor(F.col("t") / 5000)).collect()}
+    till, want = 0, {}
+    for i in range(100_000):
+        d = 5 + i % 11 if i % 3 == 0 else -(i * 7919 % 23) - 1
+        want[i] = till + d >= 0
+        till += d if want[i] else 0
+    assert got == want and 0 < sum(not x for x in want.values()) and len(rounds) <= 10
+
+
 def test_cooldown_matches_a_loop(spark):
     start = datetime(2024, 1, 1, 23, 58)
     rows, rnd = hot_rows(6, 500, 5)

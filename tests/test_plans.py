@@ -54,15 +54,39 @@ def test_the_wanted_shifts_meet_the_facts_first(spark):
     assert text and optimised.count("LeftSemi") >= 3
 
 
-def test_running_reads_and_moves_its_input_once(spark, monkeypatch):
-    """What is checkpointed has one scan and one exchange; the rest joins a short list to it."""
+@pytest.fixture
+def not_adaptive(spark):
+    """Reused exchanges show in the plan only then."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    yield
+    spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_running_only_plans_and_moves_its_input_once(spark, monkeypatch, not_adaptive):
+    """No job while the plan is made; one scan and one wide exchange, read for the rows and for the buckets' results."""
+    monkeypatch.setattr(running, "cut_lineage", lambda df: pytest.fail("a job"))
+    lines = spark.read.parquet(f"{SF}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_quantity")
+    text = plan(running.running(
+        lines, ["l_orderkey"], ["l_linenumber"], F.col("l_quantity"), "n", F.col("l_linenumber"), null_keys=False))
+    assert text.count("FileScan") == 1 and text.count("ReusedExchange") == 1
+    assert text.count("Exchange hashpartitioning(l_orderkey") == 1
+    for query in ("stock_ledger", "shift_cash_balance", "line_numbers"):
+        own = plan(QUERIES[query](spark, SF))
+        assert own.count("ReusedExchange") >= 1 and "SinglePartition" not in own, query
+    ledger = stock.stock_ledger(testbed.trade(spark, SF))
+    wide = [x for x in plan(ledger).split("Exchange hashpartitioning(") if x.startswith("product_id") and "_bucket" in x[:40]]
+    assert len(wide) == 1
+    # a filter on the key reaches the files, also those of the openings
+    text = plan(ledger.where("product_id = 5"))
+    assert text.count("EqualTo(l_partkey,5)") == 2 and text.count("EqualTo(p_partkey,5)") >= 1
+
+
+def test_running_without_keys_uses_ranges(spark, monkeypatch):
     made = []
     monkeypatch.setattr(running, "cut_lineage", lambda df: made.append(plan(df)) or cut_lineage(df))
     lines = spark.read.parquet(f"{SF}/lineitem.parquet")
-    running.position(lines, ["l_orderkey"], ["l_linenumber"], "n", F.col("l_linenumber")).count()
-    assert len(made) == 1 and made[0].count("FileScan") == 1 and made[0].count("Exchange") == 1
     running.position(lines, [], ["l_orderkey", "l_linenumber"], "n").count()
-    assert all("SinglePartition" not in text for text in made)
+    assert len(made) == 1 and "SinglePartition" not in made[0] and made[0].count("FileScan") == 1
 
 
 def test_lists_move_their_lines_once(spark):

@@ -1,13 +1,36 @@
-"""Requests served in order while a per-key capacity lasts."""
+"""Requests served one after the other while balances last, without walking a large key in one task.
+
+A request draws on one or more keys at once and is taken as a whole or not at
+all; a refused one leaves every balance as it was. Where every request has one
+key, keys of up to ``ROWS_OF_KEY`` rows are served one by one, each by itself.
+
+All others are settled in rounds. In a round, the balance that a request would
+find has an upper bound (none of the earlier open requests is taken) and a lower
+one (all are); both are running sums per key. A request that fits under all
+lower bounds is taken, one that exceeds an upper bound is refused, and the
+earliest open ones, whose bounds meet, are always decided. From the second round
+on, a bounded number of the earliest open rows is also served one by one, so
+that long chains of doubtful requests don't make as many rounds.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tillbook.operators.running import Running, running, running_all
+from tillbook.operators.running import Running, running_all
 from tillbook.session import cut_lineage
 
+# Rows served one by one: of every key at once, or of all keys where requests tie them together.
+ROWS_OF_KEY = 10_000
+ROWS_OF_ALL = 20_000
+
+_AMOUNT = "decimal(20,2)"
+
 
 def admit_in_order(
     requests: DataFrame,
@@ -21,72 +44,13 @@ def admit_in_order(
     """Adds ``admitted``: each request is taken in order if it still fits, otherwise skipped.
 
     Exact for skipped requests too: a request that is refused uses nothing.
-    ``quantity`` and the capacity are whole numbers (units or cents); requests
-    of 0 or less, and requests for a key without capacity row, are refused.
-
-    Keys that can serve everything asked of them are done at once. The others are
-    served in rounds over all keys together. With capacity R left, a request is
-    large when it needs more than R/2. Until either the small requests have
-    used more than half of R or the first large request fits, every small one
-    is admitted and every large one refused. That deciding row is admitted
-    itself and leaves less than R/2. So the rounds are bounded by the bits of
-    the largest capacity, whatever the number of requests, and each round is
-    one distributed running sum.
+    Requests of 0 or less, and requests for a key without capacity row, are
+    refused. ``order`` tells the requests of a key apart.
     """
-    order_key = F.struct(*[F.col(c) for c in order])
-    room = capacity.select(F.col(key).alias("_k"), F.col(capacity_col).cast("bigint").alias("_room"))
-    pending = (
-        requests.join(room, requests[key] == F.col("_k"), "left").drop("_k")
-        .withColumn("_room", F.coalesce("_room", F.lit(0).cast("bigint")))
-        .withColumn("_need", F.col(quantity).cast("bigint"))
-    )
-    pending = cut_lineage(pending)
-    refused = (F.col("_need") <= 0) | (F.col("_need") > F.col("_room")) | F.col("_need").isNull()
-    decided = pending.where(refused).withColumn("admitted", F.lit(False))
-    pending = pending.where(~refused)
-    # keys that can serve all that is asked of them need no rounds
-    whole = pending.groupBy(F.col(key).alias("_k")).agg(F.sum("_need").alias("_all"))
-    sized = cut_lineage(pending.join(whole, pending[key] == F.col("_k")).drop("_k"))
-    decided = decided.unionByName(sized.where("_all <= _room").drop("_all").withColumn("admitted", F.lit(True)))
-    pending = sized.where("_all > _room").drop("_all")
-    if pending.isEmpty():
-        return decided.drop("_room", "_need")
-
-    while True:
-        small = F.col("_need") * 2 <= F.col("_room")
-        walked = running(
-            pending, [key], order, F.when(small, F.col("_need")).otherwise(F.lit(0)), "_used", bucket
-        )
-        # _used already counts a small row itself, but not a large one
-        after = F.when(small, F.col("_used")).otherwise(F.col("_used") + F.col("_need"))
-        decisive = F.when(small, F.col("_used") * 2 > F.col("_room")).otherwise(after <= F.col("_room"))
-        walked = cut_lineage(
-            walked.withColumn("_order", order_key).withColumn("_after", after)
-            .withColumn("_small", small).withColumn("_decisive", decisive)
-        )
-        turning = (
-            walked.where("_decisive").groupBy(F.col(key).alias("_k"))
-            .agg(
-                F.min("_order").alias("_turn"),
-                F.min_by("_after", "_order").alias("_spent"),
-            )
-        )
-        marked = walked.join(turning, walked[key] == F.col("_k"), "left").drop("_k")
-        done = F.col("_turn").isNull() | (F.col("_order") <= F.col("_turn"))
-        helper = ["_used", "_order", "_after", "_small", "_decisive", "_turn", "_spent"]
-        decided = decided.unionByName(
-            marked.where(done)
-            .withColumn("admitted", F.col("_small") | F.col("_decisive") & (F.col("_order") == F.col("_turn")))
-            .drop(*helper)
-        )
-        rest = (
-            marked.where(~done).withColumn("_room", F.col("_room") - F.col("_spent")).drop(*helper)
-        )
-        rest = cut_lineage(rest)
-        decided = decided.unionByName(rest.where(refused).withColumn("admitted", F.lit(False)))
-        pending = rest.where(~refused)
-        if pending.isEmpty():
-            return decided.drop("_room", "_need")
+    need = F.col(quantity).cast(_AMOUNT)
+    asked = requests.where(need > 0).select(key, *order, need.alias("_need"), (-need).alias("_delta"), bucket.alias("_span"))
+    room = capacity.select(F.col(key), F.col(capacity_col).cast(_AMOUNT).alias("_base"))
+    return _with_decisions(requests, _settle(asked.join(room, key), key, order, None), key, order)
 
 
 def admit_with_inflows(
@@ -103,33 +67,154 @@ def admit_with_inflows(
     Fillings always count; a drawing is taken only if the balance covers it at
     that moment, otherwise it changes nothing. Exact for any number of events
     and any opening balance, negative ones included. Events of a key without
-    opening are left out.
+    opening are left out. ``order`` tells the events of a key apart. There is at
+    most one round for ``ROWS_OF_KEY`` drawings of the longest key, and two more.
+    """
+    change = F.col(delta).cast(_AMOUNT)
+    base = opening.select(F.col(key), F.col(opening_col).cast(_AMOUNT).alias("_base"))
+    known = events.join(base.select(key), key, "left_semi")
+    rows = events.select(key, *order, F.when(change < 0, -change).alias("_need"), change.alias("_delta"), bucket.alias("_span"))
+    return _with_decisions(known, _settle(rows.join(base, key), key, order, None), key, order, open_only=delta)
 
-    Works in rounds over all keys at once; no key is brought together. Each
-    round bounds the balance before every open drawing and settles those both
-    bounds agree on, at least the earliest open one of every key. Upper bound:
-    no other open drawing taken. Lower bound: all of them taken, but never below
-    the smaller of 0 and the opening balance, where no drawing can bring it.
+
+def admit_whole(
+    lines: DataFrame,
+    opening: DataFrame,
+    request: str,
+    key: str,
+    order: list[str],
+    delta: str,
+    bucket: Column,
+    opening_col: str = "opening",
+) -> DataFrame:
+    """(request, admitted): requests of several lines, each taken or refused as a whole, in ``order``.
+
+    A line fills (delta >= 0) or draws on (delta < 0) the balance of its key. A
+    request that only fills is always taken; another is taken if the balance of
+    every key it draws on covers each of its lines there, as the shop checks
+    them line by line; all lines then count together, so that lines of one key
+    may take its balance below zero. Keys without opening have 0. ``order`` is
+    the same in all lines of a request and ends with what tells requests apart.
+    """
+    change = F.col(delta).cast(_AMOUNT)
+    each = lines.withColumns({"_change": change, "_span": bucket}).groupBy(request, key, *[c for c in order if c != request], "_span").agg(
+        F.max(F.when(F.col("_change") < 0, -F.col("_change"))).alias("_need"), F.sum("_change").cast(_AMOUNT).alias("_delta"))
+    base = opening.select(F.col(key), F.col(opening_col).cast(_AMOUNT).alias("_base"))
+    rows = each.join(base, key, "left").withColumn("_base", F.coalesce("_base", F.lit(0).cast(_AMOUNT)))
+    fills = lines.groupBy(request).agg(F.bool_and(change >= 0).alias("_fills")).where("_fills").select(request, F.lit(True).alias("admitted"))
+    return fills.unionByName(_settle(rows, key, order, request))
+
+
+def _with_decisions(rows: DataFrame, decided: DataFrame, key: str, order: list[str], open_only: str | None = None) -> DataFrame:
+    """``rows`` with ``admitted`` from the decisions; others are refused, or with ``open_only`` taken if they don't draw."""
+    names = [key, *order]
+    found = decided.select(*[F.col(c).alias(f"_at{i}") for i, c in enumerate(names)], "admitted")
+    same = [F.col(c).eqNullSafe(F.col(f"_at{i}")) for i, c in enumerate(names)]
+    other = F.lit(False) if open_only is None else F.coalesce(F.col(open_only) >= 0, F.lit(False))
+    return rows.join(found, same, "left").withColumn("admitted", F.coalesce("admitted", other)).select(*rows.columns, "admitted")
+
+
+def _settle(rows: DataFrame, key: str, order: list[str], request: str | None) -> DataFrame:
+    """Decisions on the rows with a need: by (key, order), or by request.
+
+    ``rows``: key, order, request, _span (bucket), _base (the key's balance), _need
+    (null: always counts) and _delta. One row per key and request.
     """
-    base = opening.select(F.col(key).alias("_k"), F.col(opening_col).cast("decimal(20,2)").alias("_opening"))
-    state = events.join(base, events[key] == F.col("_k")).drop("_k")
-    state = state.withColumn(delta, F.col(delta).cast("decimal(20,2)"))
-    state = state.withColumn("admitted", F.when(F.col(delta) >= 0, F.lit(True)))
+    decisions: list[DataFrame] = []
+    if request is None:
+        long = cut_lineage(rows.groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") > ROWS_OF_KEY).select(key))
+        decisions.append(_serve(rows.join(long, key, "left_anti").withColumn("_rows", F.lit(1).cast("bigint")), key, order, None))
+        if long.isEmpty():
+            return decisions[0]
+        rows = rows.join(long, key, "left_semi")
+    first = len(decisions)
+    state = rows.withColumn("_open", F.col("_need").isNotNull())
+    if request is not None:
+        sizes = rows.groupBy(request).agg(F.count("*").alias("_rows"), F.count("_need").alias("_draws"))
+        # lines that fill wait for the request's other lines
+        state = state.join(sizes, request).withColumn("_open", F.col("_draws") > 0).drop("_draws")
+    whose = [key, *order] if request is None else [request]
+    bounds = [
+        Running("_sure", F.when(~F.col("_open"), F.col("_delta")).otherwise(0), inclusive=False),
+        # of what is open, only the drawings lower what others find at the least, only the fillings raise it at the most
+        Running("_least", F.when(F.col("_open"), F.least("_delta", F.lit(0))).otherwise(0), inclusive=False),
+    ]
+    if request is None:
+        bounds.append(Running("_nth", F.when(F.col("_open"), 1).otherwise(0).cast("bigint"), inclusive=False))
+    else:
+        bounds.append(Running("_most", F.when(F.col("_open"), F.greatest("_delta", F.lit(0))).otherwise(0), inclusive=False))
     while True:
-        open_ = F.col("admitted").isNull()
-        sure = F.when(F.col("admitted"), F.col(delta)).otherwise(F.lit(0))
-        worst = F.when(open_, F.col(delta)).otherwise(sure)
-        bounds = [Running("_high", sure, inclusive=False), Running("_low", worst, inclusive=False)]
-        walked = running_all(state, [key], order, bounds, bucket)
-        floor = F.least(F.lit(0), F.col("_opening"))
-        under = F.col("_opening") + F.col("_low") - floor
-        walked = running(walked, [key], order, under, "_dip", bucket, how="min")
-        high = F.col("_opening") + F.col("_high")
-        low = F.col("_opening") + F.col("_low") - F.least(F.lit(0), F.col("_dip"))
-        need = -F.col(delta)
-        verdict = (
-            F.when(~open_, F.col("admitted")).when(need <= low, F.lit(True)).when(need > high, F.lit(False))
-        )
-        state = cut_lineage(walked.withColumn("admitted", verdict).drop("_high", "_low", "_dip"))
-        if state.where("admitted is null").isEmpty():
-            return state.drop("_opening")
+        walked = running_all(state, [key], order, bounds, F.col("_span"), null_keys=False).where("_open")
+        walked = cut_lineage(walked.withColumn("_base", (F.col("_base") + F.col("_sure")).cast(_AMOUNT)).drop("_sure", "_open"))
+        if walked.isEmpty():
+            break
+        most = F.lit(0) if request is None else F.col("_most")
+        fits, never = F.col("_need") <= F.col("_base") + F.col("_least"), F.col("_need") > F.col("_base") + most
+        if request is None:
+            judged = walked.withColumn("admitted", F.when(fits, True).when(never, False))
+        else:
+            verdict = walked.groupBy(request).agg(
+                F.bool_and(F.coalesce(fits, F.lit(True))).alias("_fits"), F.bool_or(F.coalesce(never, F.lit(False))).alias("_never"))
+            verdict = verdict.select(request, F.when(F.col("_fits"), True).when(F.col("_never"), False).alias("admitted"))
+            judged = walked.join(verdict, request)
+        if len(decisions) > first:
+            # the earliest open rows: of every key, or whole requests of all keys, which then are tied to each other
+            some = walked.where(F.col("_nth") < ROWS_OF_KEY) if request is None else walked.orderBy(*order, key).limit(ROWS_OF_ALL)
+            served = _serve(some.withColumn("_rows", F.lit(1).cast("bigint")) if request is None else some, key, order, request)
+            names = [F.col(c).alias(f"_at{i}") for i, c in enumerate(whose)]
+            same = [F.col(c).eqNullSafe(F.col(f"_at{i}")) for i, c in enumerate(whose)]
+            judged = judged.join(served.select(*names, F.col("admitted").alias("_served")), same, "left")
+            judged = judged.withColumn("admitted", F.coalesce("_served", "admitted")).select(*walked.columns, "admitted")
+        judged = judged.drop("_least", "_most", "_nth")
+        decided = judged.where("admitted is not null").select(*whose, "admitted")
+        decisions.append(decided if request is None else decided.distinct())
+        # what was taken counts in the next round, what was refused is gone
+        state = judged.where("admitted is null or admitted").withColumn("_open", F.col("admitted").isNull()).drop("admitted")
+    if not decisions:  # nothing draws
+        return rows.limit(0).select(*whose, F.lit(False).alias("admitted"))
+    return reduce(DataFrame.unionByName, decisions)
+
+
+def _serve(some: DataFrame, key: str, order: list[str], request: str | None) -> DataFrame:
+    """Exact decisions on rows that hold all open ones up to a place, served one by one; requests cut off are left out."""
+    names = [key, *order] if request is None else [request]
+    if request is None:
+        dealt = some.repartition(key).sortWithinPartitions(key, *order)
+    else:
+        dealt = some.repartition(1).sortWithinPartitions(*order, key)
+    held = dealt.select(*names, "_need", "_delta", "_base", F.col(key).alias("_key"), "_rows")
+    n = len(names)
+    by_key = request is None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # what was taken of a key here; _base counts all that was decided before
+        moved: dict = {}
+        open_rows: list = []
+        current = key_now = None
+
+        def serve():
+            nonlocal moved
+            ok = all(need is None or need <= base + moved.get(k, 0) for k, need, _, base in open_rows)
+            if ok:
+                for k, _, delta, _ in open_rows:
+                    moved[k] = moved.get(k, 0) + delta
+            return ok
+
+        for batch in batches:
+            schema = pa.schema([*[batch.schema.field(i) for i in range(n)], pa.field("admitted", pa.bool_())])
+            values = [c.to_pylist() for c in batch.columns]
+            out: list[tuple] = []
+            for row in zip(*values):
+                name, (need, delta, base, k, size) = row[:n], row[n:]
+                if name != current:
+                    open_rows = []
+                    current = name
+                    if by_key and k != key_now:
+                        moved, key_now = {}, k
+                open_rows.append((k, need, delta, base))
+                if len(open_rows) == size:
+                    out.append((*name, serve()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out) if out else [[]] * (n + 1), schema)], schema=schema)
+
+    fields = ", ".join(f"`{c}` {held.schema[c].dataType.simpleString()}" for c in names)
+    return held.mapInArrow(run, f"{fields}, admitted boolean")

@@ -33,7 +33,7 @@ def accepted_requests(
     )
     rows = running(
         seen, keys, ["second"], F.col("second"), "_before",
-        F.floor(F.col("second") / DAY_SECONDS), how="max", inclusive=False,
+        F.floor(F.col("second") / DAY_SECONDS), how="max", inclusive=False, null_keys=False,
     )
     free = F.col("_before").isNull() | (F.col("second") - F.col("_before") >= seconds)
     rows = cut_lineage(rows.withColumn("_start", free.cast("int")).drop("_before"))
@@ -72,7 +72,7 @@ def _successors(rows: DataFrame, keys: list[str], seconds: int) -> DataFrame:
     )
     looked_up = running(
         points, keys, ["_back", "_due"], F.col("_at"), "_next",
-        F.floor(F.col("_back") / DAY_SECONDS), how="min",
+        F.floor(F.col("_back") / DAY_SECONDS), how="min", null_keys=False,
     )
     return looked_up.where("_due = 1 and _next is not null and _next % 2 = 0").select(
         *keys, "second", F.call_function("div", F.col("_next"), F.lit(2)).alias("next")

@@ -57,8 +57,8 @@ def create_sales(shop: Shop, carts: DataFrame, lines: DataFrame, till: TillSetti
     left null come from the settings, a null method is cash, a null payment is
     the whole total. ``lines``: cart_id, line_id, product_id, quantity.
 
-    A cart is sold as a whole or refused with the first reason that holds; stock
-    goes to lines in cart order (see ``stock.reserve_stock``).
+    A cart is sold as a whole or refused with the first reason that holds; carts
+    are served one after the other (see ``stock.whole_carts``).
     """
     method = F.coalesce("payment_method", F.lit("cash"))
     sizes = lines.groupBy("cart_id").agg(
@@ -78,16 +78,15 @@ def create_sales(shop: Shop, carts: DataFrame, lines: DataFrame, till: TillSetti
     )
     heads = cut_lineage(heads)
     asked = with_parent(heads.where("reason is null"), lines, "cart_id", "cart_id", ["created_at"])
-    served = cut_lineage(stock.reserve_stock(
-        asked, shop.products, ["created_at", "cart_id", "line_id"], F.date_trunc("hour", "created_at")
-    ))
-    whole = stock.whole_carts(served, "cart_id").select("cart_id", "accepted")
+    asked = cut_lineage(asked)
+    whole = cut_lineage(stock.whole_carts(asked, shop.products, "cart_id", ["created_at", "cart_id"], F.date_trunc("hour", "created_at")))
+    whole = whole.select("cart_id", "accepted")
     judged = heads.join(whole, "cart_id", "left").withColumn(
         "reason", F.coalesce("reason", F.when(~F.col("accepted"), "not enough stock"))
     )
     sold = judged.where("reason is null").drop("reason", "accepted")
 
-    kept = served.join(whole.where("accepted"), "cart_id", "left_semi")
+    kept = asked.join(whole.where("accepted"), "cart_id", "left_semi")
     mode = "cost" if till.display_price == "cost" else "till"
     priced = pricing.price_lines(kept.select("cart_id", "line_id", "product_id", "quantity"), shop.products, mode)
     priced = cut_lineage(priced)

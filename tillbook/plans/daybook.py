@@ -276,7 +276,7 @@ def cash_balance(shop: Shop) -> DataFrame:
     """Till balance after each cash event, running within the shift."""
     events = running(
         cash_events(shop), ["shift_id"], ["created_at", "kind", "id"], F.col("delta"), "moved",
-        bucket=F.date_trunc("hour", "created_at"),
+        bucket=F.date_trunc("hour", "created_at"), null_keys=False,
     )
     opening = shop.pos_shifts.select(F.col("id").alias("shift_id"), "opening_cash")
     return events.join(opening, "shift_id").select(

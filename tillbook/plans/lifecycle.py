@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tillbook.common import MONEY, money_sum
 from tillbook.functions.money import discount_price, implied_discount_percent, scaled
-from tillbook.operators.admission import admit_in_order, admit_with_inflows
+from tillbook.operators.admission import admit_in_order, admit_whole
 from tillbook.operators.changes import fill_missing, rename_values
 from tillbook.plans import daybook
 from tillbook.session import cut_lineage
@@ -30,10 +30,10 @@ def order_transitions(
     what has not come back yet; to ``return`` it also empties the order. Without
     ``requested_at`` requests go by order id.
 
-    Each product serves its lines in request order; an order with any line it
-    can't serve is refused. The refused order's other lines stay reserved for
-    it in this batch, so stock never goes below zero, but a later order may be
-    refused that serial processing would still serve.
+    Orders are taken one after the other, each as a whole: one with any line that
+    its product can't serve is refused and leaves all stock as it was. As in the
+    shop, lines of one product are checked one by one against what it holds
+    before the order.
     """
     current = orders.select(
         F.col("id").alias("order_id"), F.col("status").alias("from_status"), "total_amount"
@@ -56,12 +56,12 @@ def order_transitions(
     )
     stock = products.select(F.col("id").alias("product_id"), F.col("stock").alias("opening"))
     # one reading of the events for the decision, the refusals and the movements
-    served = cut_lineage(admit_with_inflows(
-        events, events.select("product_id").distinct().join(stock, "product_id", "left").fillna({"opening": 0}),
-        "product_id", ["_when", "order_id", "line_id"], "delta",
+    events = cut_lineage(events)
+    served = cut_lineage(admit_whole(
+        events, stock, "order_id", "product_id", ["_when", "order_id"], "delta",
         F.coalesce(F.unix_millis(F.col("_when").cast("timestamp")), F.col("order_id")),
     ))
-    short = served.where("not admitted").select("order_id").distinct().withColumn("_short", F.lit(True))
+    short = served.where("not admitted").select("order_id", F.lit(True).alias("_short"))
     outcome = (
         F.when(~F.col("to_status").isin(*ORDER_STATUSES), "invalid status")
         .when(F.col("from_status").isNull(), "order not found")
@@ -74,7 +74,7 @@ def order_transitions(
     decided = decided.withColumn(
         "status", F.when(ok, F.col("to_status")).otherwise(F.col("from_status"))
     ).withColumn("total_amount", F.when(emptied, F.lit(0).cast(MONEY)).otherwise(F.col("total_amount")))
-    moves = served.join(short, "order_id", "left_anti").select(
+    moves = events.join(short, "order_id", "left_anti").select(
         "order_id", "line_id", "product_id", F.col("delta").cast("bigint").alias("delta")
     )
     return decided, moves

@@ -1320,23 +1320,24 @@ def bill_totals(shop):
     return out.drop("tax_percent", "service_charge_percent")
 
 
-def _reserved(shop):
+def _stock_requests(shop):
     heads = shop.orders.select(F.col("id").alias("order_id"), "created_at")
-    lines = shop.order_items.select("order_id", "id", "product_id", "quantity").join(heads, "order_id")
-    return stock.reserve_stock(
-        lines, shop.products, ["created_at", "order_id", "id"], F.date_trunc("hour", "created_at")
-    )
+    return shop.order_items.select("order_id", "id", "product_id", "quantity").join(heads, "order_id")
 
 
 @trade_query
 def stock_check(shop):
     """Order lines served in request order while stock lasts."""
-    return _reserved(shop).select("id", "order_id", "product_id", "quantity", "admitted")
+    served = stock.reserve_stock(
+        _stock_requests(shop), shop.products, ["created_at", "order_id", "id"], F.date_trunc("month", "created_at"))
+    return served.select("id", "order_id", "product_id", "quantity", "admitted")
 
 
 @trade_query
 def stock_check_carts(shop):
-    return stock.whole_carts(_reserved(shop), "order_id")
+    """Orders served one after the other, each as a whole or not at all."""
+    return stock.whole_carts(
+        _stock_requests(shop), shop.products, "order_id", ["created_at", "order_id"], F.date_trunc("month", "created_at"))
 
 
 def _status_requests(shop):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tillbook.operators.admission import admit_in_order
+from tillbook.operators.admission import admit_in_order, admit_whole
 from tillbook.operators.running import running
 from tillbook.sources.shop import Shop
 
@@ -70,7 +70,7 @@ def stock_ledger(shop: Shop, unit: str = "hour") -> DataFrame:
     moves = stock_movements(shop).withColumn("step", rank.cast("int"))
     walked = running(
         moves, ["product_id"], ["created_at", "step", "line_id"], F.col("delta"), "_moved",
-        bucket=F.date_trunc(unit, "created_at"),
+        bucket=F.date_trunc(unit, "created_at"), null_keys=False,
     )
     opening = shop.products.select(F.col("id").alias("product_id"), "stock")
     return walked.join(opening, "product_id").select(
@@ -93,17 +93,20 @@ def reserve_stock(
     """Adds ``admitted``: lines served in request order while their product lasts.
 
     Products are independent of each other: a line that fits is served even if
-    another line of its cart is not. Strict serial processing would put such a
-    cart's lines back before looking at the next cart; see ``whole_carts``.
+    another line of its cart is not. For carts sold as a whole see ``whole_carts``.
     """
     capacity = products.select(F.col("id").alias("product_id"), F.col("stock").alias("capacity"))
     return admit_in_order(lines, capacity, "product_id", order, "quantity", bucket)
 
 
-def whole_carts(reserved: DataFrame, cart: str) -> DataFrame:
-    """All-or-nothing: carts whose every line was admitted, and the others with their failures."""
-    return reserved.groupBy(cart).agg(
-        F.count(F.lit(1)).alias("lines"),
-        F.count(F.when(~F.col("admitted"), 1)).alias("failed"),
-        F.bool_and("admitted").alias("accepted"),
-    )
+def whole_carts(lines: DataFrame, products: DataFrame, cart: str, order: list[str], bucket: Column) -> DataFrame:
+    """(cart, lines, accepted): carts served one after the other, each as a whole or not at all.
+
+    A cart is refused if any line asks for more than its product then holds, and
+    leaves all stock to later carts. ``order`` is the same in a cart's lines and
+    ends with the cart.
+    """
+    opening = products.select(F.col("id").alias("product_id"), F.col("stock").alias("opening"))
+    taken = admit_whole(lines.withColumn("_taken", -F.col("quantity")), opening, cart, "product_id", order, "_taken", bucket)
+    sizes = lines.groupBy(cart).agg(F.count(F.lit(1)).alias("lines"))
+    return sizes.join(taken, cart).select(cart, "lines", F.col("admitted").alias("accepted"))
