@@ -69,16 +69,17 @@ def test_running_only_plans_and_moves_its_input_once(spark, monkeypatch, not_ada
     text = plan(running.running(
         lines, ["l_orderkey"], ["l_linenumber"], F.col("l_quantity"), "n", F.col("l_linenumber"), null_keys=False))
     assert text.count("FileScan") == 1 and text.count("ReusedExchange") == 1
-    assert text.count("Exchange hashpartitioning(l_orderkey") == 1
+    assert text.count("- Exchange hashpartitioning(l_orderkey") == 1
     for query in ("stock_ledger", "shift_cash_balance", "line_numbers"):
         own = plan(QUERIES[query](spark, SF))
         assert own.count("ReusedExchange") >= 1 and "SinglePartition" not in own, query
     ledger = stock.stock_ledger(testbed.trade(spark, SF))
-    wide = [x for x in plan(ledger).split("Exchange hashpartitioning(") if x.startswith("product_id") and "_bucket" in x[:40]]
+    wide = [x for x in plan(ledger).split("- Exchange hashpartitioning(") if x.startswith("product_id") and "_bucket" in x[:40]]
     assert len(wide) == 1
     # a filter on the key reaches the files, also those of the openings
     text = plan(ledger.where("product_id = 5"))
-    assert text.count("EqualTo(l_partkey,5)") == 2 and text.count("EqualTo(p_partkey,5)") >= 1
+    for key in ("l_", "p_"):
+        assert text.count(f"FileScan parquet [{key}") == text.count(f"EqualTo({key}partkey,5)") > 0
 
 
 def test_running_without_keys_uses_ranges(spark, monkeypatch):

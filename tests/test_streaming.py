@@ -48,6 +48,48 @@ def test_repeats_are_dropped(spark, many_files):
     assert out.count() == out.select("event_id").distinct().count() == testbed.events(spark, SF).count()
 
 
+def parquet_files(folder):
+    return {str(f.relative_to(folder)): f.stat().st_mtime_ns for f in folder.rglob("*.parquet")}
+
+
+def test_upsert_writes_only_what_it_touches(spark, tmp_path):
+    source, folder = tmp_path / "in", tmp_path / "table"
+    schema = "k long, t long, v string"
+
+    def add(*rows):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(source))
+        return runner.run_upsert(spark.readStream.schema(schema).parquet(str(source)), ["k"], ["t"], str(folder), buckets=8)
+
+    assert add(*[(i, 1, "a") for i in range(40)]).count() == 40
+    before = parquet_files(folder / "out")
+    out = add((3, 2, "b"), (3, 1, "late"), (99, 1, "new"))
+    after = parquet_files(folder / "out")
+    assert {r.k: r.v for r in out.collect()} == {**{i: "a" for i in range(40)}, 3: "b", 99: "new"}
+    assert before.items() <= after.items()
+    touched = {name.split("_bucket=")[1].split("/")[0] for name in after.keys() - before.keys()}
+    assert 1 <= len(touched) <= 2
+    # a batch that is run again starts from what was there before it
+    again = runner._versions(spark, str(folder), before=1)
+    assert set(again.values()) == {0} and len(again) == 8
+
+
+def test_upsert_with_more_batches_than_progress_keeps(spark, many_files):
+    stream = sources.event_stream(spark, many_files, files_per_trigger=1).select("user_id", "event_id", "ts")
+    out = runner.run_upsert(stream, ["user_id"], ["ts", "event_id"], buckets=4)
+    events = testbed.events(spark, SF)
+    want = {}
+    for r in sorted(events.select("user_id", "ts", "event_id").collect(), key=lambda r: (r.ts, r.event_id)):
+        want[r.user_id] = r.event_id
+    assert {r.user_id: r.event_id for r in out.collect()} == want
+
+
+def test_ranks_kept_in_the_stream(spark, many_files):
+    units = live.trailing_units(live.event_items(sources.event_stream(spark, many_files, files_per_trigger=1)), delay="40 days")
+    got = runner.run_top(units, ["until"], ["product_id"], "total_sold", 3)
+    batch = live.hottest(live.trailing_units(live.event_items(testbed.events(spark, SF))), 3)
+    assert table(got, "until", "product_id", "total_sold", "rank") == table(batch, "until", "product_id", "total_sold", "rank")
+
+
 def loop(events, ttl, cooldown, attempts):
     state, out = {}, {}
     for eid, key, ts, kind, correct in sorted(events, key=lambda e: (e[2], e[0])):

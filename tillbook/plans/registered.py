@@ -1624,7 +1624,7 @@ def stream_revenue_by_day(spark, sf):
 @query
 def stream_hot_products(spark, sf):
     units = live.trailing_units(live.event_items(_event_stream(spark, sf)))
-    return live.hottest(runner.current(runner.run_available(units), ["until", "product_id"]), 5)
+    return runner.run_top(units, ["until"], ["product_id"], "total_sold", 5)
 
 
 @query

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -12,6 +14,11 @@ from tillbook.operators.ranking import latest_per_key
 from tillbook.session import shared_dir
 
 
+# Buckets of a merged table; a micro-batch writes those that it touches.
+BUCKETS = 64
+_LIST = "bucket int, version long"
+
+
 def start_versions(stream: DataFrame, out: str, checkpoint: str, mode: str = "update"):
     """Writes each micro-batch as its own version, once: a retried batch replaces its folder."""
 
@@ -34,32 +41,93 @@ def run_available(stream: DataFrame, mode: str = "update", folder: str | None =
     return spark.read.schema(schema).parquet(f"{folder}/out")
 
 
-def run_upsert(stream: DataFrame, keys: list[str], order: list[str], folder: str | None = None) -> DataFrame:
-    """Keeps the latest row of each key in a table that every micro-batch is merged into; returns the table.
+def run_merged(
+    stream: DataFrame, bucket_by: list[str], combine: Callable[[DataFrame], DataFrame], folder: str | None = None,
+    buckets: int = BUCKETS, mode: str = "update",
+) -> DataFrame:
+    """Merges every micro-batch into a table, bucket by bucket, and returns the table.
 
-    Each batch writes the table's next version from the last one, so a batch that
-    is run again makes the same version. Every version is the whole table: for
-    large ones use a table format with MERGE in place of the write.
+    Rows lie in ``buckets`` buckets by the hash of ``bucket_by``. ``combine``
+    gets the rows of the touched buckets, old ones with ``_batch`` false and the
+    batch's with true, and gives the rows that stay; it must not mix rows that
+    differ in ``bucket_by``. Only touched buckets are written, each as a version
+    named by the batch; a small list says which buckets a
+    batch wrote. A batch that is run again starts from the versions before it and
+    replaces its own, so nothing counts twice. Older versions stay in the folder.
     """
     spark = stream.sparkSession
     folder = folder or f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    schema = T.StructType([*stream.schema.fields, T.StructField("_bucket", T.IntegerType())])
+    if _versions(spark, folder) is None:
+        spark.createDataFrame([], _LIST).write.mode("overwrite").parquet(f"{folder}/list/batch=-1")
 
     def merge(batch: DataFrame, batch_id: int) -> None:
-        rows = batch
-        if batch_id > 0:
-            rows = batch.unionByName(batch.sparkSession.read.schema(stream.schema).parquet(f"{folder}/out/{batch_id - 1}"))
-        latest_per_key(rows, keys, order).write.mode("overwrite").parquet(f"{folder}/out/{batch_id}")
+        own = batch.sparkSession
+        dealt = batch.withColumn("_bucket", F.pmod(F.xxhash64(*bucket_by), F.lit(buckets)).cast("int")).persist()
+        try:
+            touched = [r["_bucket"] for r in dealt.select("_bucket").distinct().collect()]  # at most ``buckets``
+            if not touched:
+                return
+            known = _versions(own, folder, before=batch_id)
+            rows = dealt.withColumn("_batch", F.lit(True))
+            old = [_path(folder, known[b], b) for b in touched if b in known]
+            if old:
+                held = own.read.schema(schema).option("basePath", f"{folder}/out").parquet(*old).select(schema.names)
+                rows = rows.unionByName(held.withColumn("_batch", F.lit(False)))
+            combine(rows).select(*schema.names).write.mode("overwrite").partitionBy("_bucket").parquet(f"{folder}/out/version={batch_id}")
+            own.createDataFrame([(b, batch_id) for b in touched], _LIST).coalesce(1).write.mode("overwrite").parquet(f"{folder}/list/batch={batch_id}")
+        finally:
+            dealt.unpersist()
 
     query = (
-        stream.writeStream.option("checkpointLocation", f"{folder}/checkpoint")
+        stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint")
         .foreachBatch(merge).trigger(availableNow=True).start()
     )
     query.awaitTermination()
-    last = query.lastProgress["batchId"] if query.lastProgress else -1
-    made = [p["batchId"] for p in query.recentProgress if p["numInputRows"] > 0] or [last]
-    if max(made) < 0:
+    now = _versions(spark, folder)
+    if not now:
         return spark.createDataFrame([], stream.schema)
-    return spark.read.schema(stream.schema).parquet(f"{folder}/out/{max(made)}")
+    paths = [_path(folder, version, b) for b, version in sorted(now.items())]
+    return spark.read.schema(schema).option("basePath", f"{folder}/out").parquet(*paths).select(*stream.columns)
+
+
+def _path(folder: str, version: int, bucket: int) -> str:
+    return f"{folder}/out/version={version}/_bucket={bucket}"
+
+
+def _versions(spark: SparkSession, folder: str, before: int | None = None) -> dict[int, int] | None:
+    """The newest version of every bucket, of those before a batch; None if the table was never begun."""
+    try:
+        made = spark.read.schema(_LIST).parquet(f"{folder}/list")
+    except AnalysisException as error:
+        if error.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
+    if before is not None:
+        made = made.where(F.col("version") < before)
+    return {r["bucket"]: r["version"] for r in made.groupBy("bucket").agg(F.max("version").alias("version")).collect()}
+
+
+def run_upsert(stream: DataFrame, keys: list[str], order: list[str], folder: str | None = None, buckets: int = BUCKETS) -> DataFrame:
+    """Keeps the latest row of each key in a table that every micro-batch is merged into; see ``run_merged``."""
+    return run_merged(stream, keys, lambda rows: latest_per_key(rows.drop("_batch"), keys, order), folder, buckets, mode="append")
+
+
+def run_top(stream: DataFrame, window: list[str], key: list[str], score: str, k: int, folder: str | None = None) -> DataFrame:
+    """The k rows with the highest score of each window, ranked, kept while the stream runs.
+
+    ``stream`` gives the new score of every key that changed, in update mode.
+    Scores must not fall: then a key that is not among the k can only come in
+    with a change of its own, and k rows per window are all that is kept.
+    """
+    by_score = Window.partitionBy(*window).orderBy(F.col(score).desc(), *key)
+
+    def best(rows: DataFrame) -> DataFrame:
+        newest_of_key = latest_per_key(rows, [*window, *key], ["_batch", score])
+        return newest_of_key.withColumn("_rank", F.row_number().over(by_score)).where(F.col("_rank") <= k)
+
+    kept = run_merged(stream, window, best, folder)
+    return kept.withColumn("rank", F.row_number().over(by_score))
 
 
 def newest(rows: DataFrame) -> DataFrame:
