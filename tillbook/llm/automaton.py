@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillbook.llm.repeats import Block, Scheme, Suffixes, block_rows, pack, runs, search
-from tillbook.llm.words import Rolling, byte_numbers, mix, not_space, word_spans
+from tillbook.llm.words import Rolling, byte_numbers, mix, not_space, word_spans, word_hashes
 from tillbook.session import cut_lineage
 
 WINDOW = 20
@@ -95,7 +95,7 @@ def _words(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def _numbers(block: Block) -> tuple[np.ndarray, np.ndarray]:
     starts, ends, offsets = _words(block)
-    return Rolling(byte_numbers()[block.raw]).at(starts, ends - starts), offsets
+    return word_hashes(block.raw, Rolling(byte_numbers()[block.raw]), starts, ends), offsets
 
 
 def _joined(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

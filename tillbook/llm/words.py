@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -11,6 +12,9 @@ import pyarrow as pa
 # Texts handled together, in bytes; bounds a worker's arrays.
 CHUNK_BYTES = 1 << 18
 
+# Sums modulo 2**64 are equal for some long sequences that differ, whatever the base; words of so many bytes have a digest.
+LONG_WORD = 256
+
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 _SHIFT = (np.uint64(30), np.uint64(27), np.uint64(31))
@@ -115,6 +119,14 @@ def letters() -> np.ndarray:
     return table
 
 
+def word_hashes(raw: np.ndarray, rolling: Rolling, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of words of ``raw``, whose bytes ``rolling`` has."""
+    hashes = rolling.at(starts, ends - starts)
+    for i in np.flatnonzero(ends - starts >= LONG_WORD):
+        hashes[i] = int.from_bytes(hashlib.blake2b(raw[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
+    return hashes
+
+
 class Words:
     """All words of a run of texts: spans in bytes, text numbers, and 64-bit hashes."""
 
@@ -128,7 +140,7 @@ class Words:
         self.starts, self.ends, self.text = word_spans(folded, self.offsets, is_word)
         self.lengths = self.ends - self.starts
         self.rolling = Rolling(byte_numbers()[folded])
-        self.hashes = self.rolling.at(self.starts, self.lengths)
+        self.hashes = word_hashes(folded, self.rolling, self.starts, self.ends)
         # where each text's words begin
         self.first = np.searchsorted(self.text, np.arange(len(self.offsets)))
 
