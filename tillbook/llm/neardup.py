@@ -251,7 +251,8 @@ def class_of_each(docs: DataFrame, *, id: str = "doc_id", text: str = "text", **
     rows = cut_lineage(rows.withColumn("_row", F.monotonically_increasing_id()))
     rows = rows.join(found, "node", "left").withColumn("class", F.coalesce("class", "node"))
     first = F.min(F.struct(F.col(id).isNull().alias("none"), F.col(id).alias("id"), F.col("_row").alias("row")))
-    whole = rows.groupBy("class").agg(first.alias("first"), F.count("*").alias("class_size"))
+    # cut, so that both sides of the join are dealt for it alone and Spark can split a large class
+    whole = cut_lineage(rows.groupBy("class").agg(first.alias("first"), F.count("*").alias("class_size")))
     return rows.join(whole, "class").select(
         id, F.col("first.id").alias("class_id"), "class_size", (F.col("_row") == F.col("first.row")).alias("kept")
     )
@@ -264,8 +265,8 @@ def keep_one(docs: DataFrame, *, id: str = "doc_id", text: str = "text", **optio
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_doc"), node_of(F.col(text)).alias("node"), F.col(id).alias("_id"))
     order = F.struct(F.col("_id").isNull(), F.col("_id"))
     texts = whole.groupBy("node").agg(F.min_by("_doc", order).alias("_doc"), F.min("_id").alias("_id"))
-    ids = docs.select(node_of(F.col(text)).alias("node"), F.col(id).alias("_id")).join(found, "node")
-    ids = ids.groupBy("class", "node").agg(F.min("_id").alias("_id"))
+    # equal texts are one row before they meet anything
+    ids = docs.select(node_of(F.col(text)).alias("node"), F.col(id).alias("_id")).groupBy("node").agg(F.min("_id").alias("_id")).join(found, "node")
     stay = ids.groupBy("class").agg(F.min_by("node", F.struct(F.col("_id").isNull(), F.col("_id"), F.col("node"))).alias("stay"))
     gone = ids.join(stay, "class").where("node <> stay").select("node")
     return texts.join(gone, "node", "left_anti").select("_doc.*")
