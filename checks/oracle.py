@@ -966,6 +966,18 @@ check("stream_x_report", f"""SELECT shift_id, count(*) FILTER (status = 'complet
         FROM (SELECT shift_id, status, total_amount, discount_amount, balance_due, amount_paid, payment_method,
                      cast(NULL AS decimal(10,2)) AS cash_out FROM bk_sales
               UNION ALL SELECT shift_id, NULL, NULL, NULL, NULL, NULL, NULL, amount FROM bk_cash) GROUP BY 1""")
+check("stream_shift_reports", f"""SELECT h.id AS shift_id, {cents('h.opening_cash', 'opening_cash')}, h.status,
+        coalesce(f.n, 0) AS transaction_count, {cents('coalesce(f.t, 0)', 'total_sales')},
+        {cents('coalesce(f.dis, 0)', 'total_discount')}, {cents('coalesce(f.b, 0)', 'total_balance_due')},
+        coalesce(p.payments, '') AS payments, {cents('h.cash_collected', 'cash_collected')},
+        {cents('h.cash_out_total', 'cash_out_total')}, {cents('h.closing_cash', 'closing_cash')},
+        {cents('h.expected_cash', 'expected_cash')}, {cents('h.closing_cash - h.expected_cash', 'variance')}
+        FROM bk_expected h
+        LEFT JOIN (SELECT shift_id, count(*) AS n, sum(total_amount) AS t, sum(discount_amount) AS dis,
+                          sum(balance_due) AS b FROM bk_sales WHERE status = 'completed' GROUP BY 1) f ON f.shift_id = h.id
+        LEFT JOIN (SELECT shift_id, string_agg(method || ':' || cast(round(t * 100) AS bigint), '|' ORDER BY method) AS payments
+                   FROM (SELECT shift_id, method, sum(amount) AS t FROM bk_valid GROUP BY 1, 2) GROUP BY 1) p
+               ON p.shift_id = h.id""")
 check("stream_revenue_by_day", f"""SELECT {day('created_at')}, {cents('sum(total_amount)', 'revenue')} FROM bk_sales
         WHERE status = 'completed' GROUP BY 1""")
 check("stream_hot_products", """SELECT cast(until AS varchar) AS until, product_id, total_sold, rank FROM (

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from tests.conftest import SF, table
 from tillbook.sources import testbed
-from tillbook.streaming import codes, live, runner, sources
+from tillbook.plans import daybook
+from tillbook.streaming import codes, live, runner, shifts, sources
 
 
 @pytest.fixture(scope="module")
@@ -132,3 +133,106 @@ def test_codes_over_several_batches(spark, tmp_path):
     got = {r.event_id: r.outcome for r in runner.run_available(codes.code_outcomes(stream), mode="append").collect()}
     assert got == loop(rows, codes.TTL_SECONDS, codes.COOLDOWN_SECONDS, codes.MAX_ATTEMPTS)
     assert set(got.values()) >= {"sent", "refused", "none", "wrong", "ok"}
+
+
+def in_files(df, at, folder, n=5):
+    """The rows in n files by time, oldest first, read as a stream of one file a batch."""
+    for i in range(n):
+        part = df.where(F.floor((F.dayofmonth(at) - 1) / 6) == i)
+        part.coalesce(1).write.mode("append").parquet(str(folder))
+    return df.sparkSession.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(folder))
+
+
+REPORT = "shift_id opening_cash transaction_count total_sales total_discount total_balance_due payments cash_collected cash_out_total expected_cash".split()
+
+
+def test_shift_reports_with_late_payments(spark, tmp_path):
+    shop = testbed.daybook(spark, SF)
+    closed = shop.pos_shifts.where("status = 'closed'")
+    late = shop.sale_payments.join(shop.sales.selectExpr("id as sale_id", "shift_id as sold_in"), "sale_id")
+    assert late.where("shift_id <> sold_in").count() > 20
+    stream = shifts.entries(
+        in_files(shop.pos_shifts.select("id", "opening_cash", "opened_at"), "opened_at", tmp_path / "openings"),
+        in_files(shop.sales, "created_at", tmp_path / "sales"),
+        in_files(shop.sale_payments, "created_at", tmp_path / "payments"),
+        in_files(shop.cash_movements, "created_at", tmp_path / "cash"),
+        in_files(closed.select("id", "closing_cash", "closed_at"), F.date_sub("closed_at", 1), tmp_path / "closings"),
+        reach="40 days",
+    )
+    kept, left = shifts.follow(stream, folder=str(tmp_path / "table"), buckets=2)
+    got = shifts.reports(kept, left)
+    assert table(got.where("status = 'open'"), *REPORT) == table(daybook.x_report(shop), *REPORT)
+    figures = ["shift_id", "cash_collected", "cash_out_total", "expected_cash"]
+    assert table(got, *figures, "status") == table(daybook.expected_cash(shop), *figures, "status")
+    assert table(got.where("status = 'closed'"), "shift_id", "variance") == table(daybook.shift_variance(shop), "shift_id", "variance")
+    # what is still held: shifts that are open or closed within a day and the bucket's newest event
+    newest = shop.sales.agg(F.max("created_at")).scalar()
+    recent = closed.where(F.col("closed_at") >= F.lit(newest) - F.expr("interval 3 days")).count()
+    assert kept.select("shift_id").distinct().count() <= recent + got.where("status = 'open'").count()
+    handed_over = left.where("closed_at is not null").select("shift_id")
+    assert handed_over.count() == handed_over.distinct().count() > 200
+
+
+def test_late_entries_correct_what_was_handed_over(spark, make, tmp_path):
+    def add(n, **tables):
+        for name, (columns, rows) in tables.items():
+            make(columns, "", *rows).coalesce(1).write.mode("append").parquet(f"{tmp_path}/{name}")
+
+    kinds = {
+        "openings": "id bigint, opening_cash decimal(10,2), opened_at timestamp_ntz",
+        "closings": "id bigint, closing_cash decimal(10,2), closed_at timestamp_ntz",
+        "sales": "id bigint, shift_id bigint, status string, total_amount decimal(10,2), discount_amount decimal(10,2), balance_due decimal(10,2), created_at timestamp_ntz",
+        "payments": "id bigint, sale_id bigint, shift_id bigint, amount decimal(10,2), method string, created_at timestamp_ntz",
+        "cash": "id bigint, shift_id bigint, amount decimal(10,2), created_at timestamp_ntz",
+    }
+
+    def run(**rows):
+        add(0, **{name: (kinds[name], rows.get(name, [])) for name in kinds})
+        streams = [spark.readStream.schema(kinds[n]).parquet(f"{tmp_path}/{n}") for n in ("openings", "sales", "payments", "cash", "closings")]
+        kept, left = shifts.follow(shifts.entries(*streams), folder=f"{tmp_path}/table", buckets=1)
+        return kept, left, {r.shift_id: r for r in shifts.reports(kept, left).collect()}
+
+    kept, left, got = run(
+        openings=[(1, 100, "2024-01-01 08:00:00"), (2, 50, "2024-01-02 08:00:00")],
+        sales=[(1, 1, "completed", 30, 0, 10, "2024-01-01 09:00:00"), (2, 1, "voided", 5, 0, 0, "2024-01-01 09:30:00")],
+        payments=[(1, 1, 1, 20, "cash", "2024-01-01 09:00:00"), (2, 2, 1, 5, "cash", "2024-01-01 09:30:00"), (3, 9, 1, 7, "cash", "2024-01-01 09:40:00")],
+    )
+    assert got[1].status == "open" and (got[1].cash_collected, got[1].expected_cash) == (20, 120)
+    assert left.count() == 0 and got[2].payments == []
+    # paid in the second shift towards a sale of the first, which closes
+    kept, left, got = run(
+        payments=[(4, 1, 2, 4, "cash", "2024-01-02 10:00:00"), (5, 1, 2, 6, "card", "2024-01-02 10:00:00")],
+        closings=[(1, 118, "2024-01-01 18:00:00")],
+        cash=[(1, 2, 3, "2024-01-02 19:00:00")],
+    )
+    assert (got[1].status, got[1].variance, got[1].total_balance_due) == ("closed", -2, 10)
+    assert [tuple(p) for p in got[2].payments] == [("card", 6), ("cash", 4)] and got[2].expected_cash == 51
+    assert {r.shift_id for r in kept.collect()} == {2} and {r.shift_id for r in left.collect()} == {1}
+    # too late for the open table, and then the other one closes too: the bucket is empty
+    kept, left, got = run(cash=[(2, 1, 8, "2024-01-01 12:00:00")])
+    assert got[1].cash_out_total == 8 and {r.shift_id for r in kept.collect()} == {2}
+    kept, left, got = run(closings=[(2, 51, "2024-01-02 20:00:00")], cash=[(3, 2, 0, "2024-01-04 20:00:00")])
+    assert kept.count() == 0 and got[2].variance == 0
+    kept, left, got = run(openings=[(3, 10, "2024-01-05 08:00:00")])
+    assert kept.count() == 1 and sorted(got) == [1, 2, 3]
+
+
+def test_sessions_leave_when_over(spark, many_files, tmp_path):
+    events = testbed.events(spark, SF)
+    stream = sources.event_stream(spark, many_files, files_per_trigger=1)
+    going_on, over = shifts.sessions(stream, folder=str(tmp_path), buckets=2)
+    assert table(going_on.unionByName(over)) == table(live.working_sessions(events))
+    last = events.agg(F.max("ts")).scalar()
+    assert 0 < going_on.count() < over.count() and going_on.where(F.col("closed_at") < F.lit(last) - F.expr("interval 2 days")).count() == 0
+
+
+def test_sessions_meet_at_the_gap(spark, tmp_path):
+    at = datetime(2024, 1, 1)
+    rows = [(1, at + timedelta(minutes=m)) for m in (0, 240, 481, 481, 700)] + [(2, at)]
+    for n, part in enumerate((rows[2:4], rows[:2] + rows[4:])):  # the second batch comes before the first one's events
+        spark.createDataFrame(part, "staff_id long, ts timestamp").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema("staff_id long, ts timestamp").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    going_on, over = shifts.sessions(stream, folder=f"{tmp_path}/table")
+    batch = live.working_sessions(spark.createDataFrame(rows, "staff_id long, ts timestamp"))
+    assert over.count() == 0 and table(going_on) == table(batch)
+    assert [r[3] for r in table(going_on)] == [2, 3, 1]

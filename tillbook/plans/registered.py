@@ -21,7 +21,7 @@ from tillbook.sources import generate, sinks, testbed
 from tillbook.sources.schema import (
     ANONYMOUS_CUSTOMER, ANONYMOUS_SELLER, CASH_OUT_REASONS, ORDER_STATUSES, ROLES, SALE_STATUSES,
 )
-from tillbook.streaming import codes, live, runner
+from tillbook.streaming import codes, live, runner, shifts
 from tillbook.streaming import sources as stream_sources
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -1615,6 +1615,28 @@ def stream_x_report(spark, sf):
     return runner.current(runner.run_available(report), ["shift_id"])
 
 
+def _as_stream(df: DataFrame) -> DataFrame:
+    """A table as it comes in: written to the shared folder, read as a stream of files."""
+    path = _scratch(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.readStream.schema(df.schema).parquet(path)
+
+
+@query
+def stream_shift_reports(spark, sf):
+    """Every shift followed from its opening until it is handed over, with late payments."""
+    shop, events = testbed.daybook(spark, sf), _event_stream(spark, sf)
+    till = shop.pos_shifts
+    openings, closings = _as_stream(till.select("id", "opening_cash", "opened_at")), _as_stream(
+        till.where("status = 'closed'").select("id", "closing_cash", "closed_at")
+    )
+    entries = shifts.entries(
+        openings, live.event_sales(events), _as_stream(shop.sale_payments), live.event_cash_outs(events), closings
+    )
+    pay = F.transform("payments", lambda p: F.concat_ws(":", p["method"], (p["total"] * 100).cast("bigint").cast("string")))
+    return shifts.reports(*shifts.follow(entries)).withColumn("payments", F.concat_ws("|", pay))
+
+
 @query
 def stream_revenue_by_day(spark, sf):
     report = live.revenue_by_day(live.event_sales(_event_stream(spark, sf)))
@@ -1673,6 +1695,6 @@ def session_shifts(spark, sf):
 
 @query
 def stream_session_shifts(spark, sf):
-    """The same from the stream, those still open when it stops included."""
-    rows = runner.run_available(live.working_sessions(_event_stream(spark, sf)), mode="complete")
-    return runner.newest(rows)
+    """The same from the stream: sessions that are over, and those still going on when it stops."""
+    going_on, over = shifts.sessions(_event_stream(spark, sf))
+    return going_on.unionByName(over)

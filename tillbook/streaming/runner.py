@@ -6,7 +6,7 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -16,7 +16,7 @@ from tillbook.session import shared_dir
 
 # Buckets of a merged table; a micro-batch writes those that it touches.
 BUCKETS = 64
-_LIST = "bucket int, version long"
+_LIST = "bucket int, version long, filled boolean"
 
 
 def start_versions(stream: DataFrame, out: str, checkpoint: str, mode: str = "update"):
@@ -43,7 +43,7 @@ def run_available(stream: DataFrame, mode: str = "update", folder: str | None =
 
 def run_merged(
     stream: DataFrame, bucket_by: list[str], combine: Callable[[DataFrame], DataFrame], folder: str | None = None,
-    buckets: int = BUCKETS, mode: str = "update",
+    buckets: int = BUCKETS, mode: str = "update", leave: Column | None = None,
 ) -> DataFrame:
     """Merges every micro-batch into a table, bucket by bucket, and returns the table.
 
@@ -54,12 +54,19 @@ def run_merged(
     named by the batch; a small list says which buckets a
     batch wrote. A batch that is run again starts from the versions before it and
     replaces its own, so nothing counts twice. Older versions stay in the folder.
+    Rows for which ``leave`` is true go to the folder ``left``, once, and are not
+    merged again; it may use windows within ``_bucket``. See ``run_closing``.
     """
     spark = stream.sparkSession
     folder = folder or f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     schema = T.StructType([*stream.schema.fields, T.StructField("_bucket", T.IntegerType())])
     if _versions(spark, folder) is None:
         spark.createDataFrame([], _LIST).write.mode("overwrite").parquet(f"{folder}/list/batch=-1")
+        if leave is not None:
+            spark.createDataFrame([], stream.schema).write.mode("overwrite").parquet(f"{folder}/left/version=-1")
+
+    def write(rows: DataFrame, batch_id: int) -> None:
+        rows.write.mode("overwrite").partitionBy("_bucket").parquet(f"{folder}/out/version={batch_id}")
 
     def merge(batch: DataFrame, batch_id: int) -> None:
         own = batch.sparkSession
@@ -74,8 +81,21 @@ def run_merged(
             if old:
                 held = own.read.schema(schema).option("basePath", f"{folder}/out").parquet(*old).select(schema.names)
                 rows = rows.unionByName(held.withColumn("_batch", F.lit(False)))
-            combine(rows).select(*schema.names).write.mode("overwrite").partitionBy("_bucket").parquet(f"{folder}/out/version={batch_id}")
-            own.createDataFrame([(b, batch_id) for b in touched], _LIST).coalesce(1).write.mode("overwrite").parquet(f"{folder}/list/batch={batch_id}")
+            merged = combine(rows).select(*schema.names)
+            filled = set(touched)
+            if leave is None:
+                write(merged, batch_id)
+            else:
+                merged = merged.withColumn("_leaves", F.coalesce(leave, F.lit(False))).persist()
+                try:
+                    gone = merged.where("_leaves").select(*stream.columns)
+                    gone.write.mode("overwrite").parquet(f"{folder}/left/version={batch_id}")
+                    stay = merged.where("not _leaves").select(*schema.names)
+                    write(stay, batch_id)
+                    filled = {r["_bucket"] for r in stay.select("_bucket").distinct().collect()}
+                finally:
+                    merged.unpersist()
+            own.createDataFrame([(b, batch_id, b in filled) for b in touched], _LIST).coalesce(1).write.mode("overwrite").parquet(f"{folder}/list/batch={batch_id}")
         finally:
             dealt.unpersist()
 
@@ -96,7 +116,7 @@ def _path(folder: str, version: int, bucket: int) -> str:
 
 
 def _versions(spark: SparkSession, folder: str, before: int | None = None) -> dict[int, int] | None:
-    """The newest version of every bucket, of those before a batch; None if the table was never begun."""
+    """The newest version of every bucket that has rows, of those before a batch; None if the table was never begun."""
     try:
         made = spark.read.schema(_LIST).parquet(f"{folder}/list")
     except AnalysisException as error:
@@ -105,7 +125,24 @@ def _versions(spark: SparkSession, folder: str, before: int | None = None) -> di
         raise
     if before is not None:
         made = made.where(F.col("version") < before)
-    return {r["bucket"]: r["version"] for r in made.groupBy("bucket").agg(F.max("version").alias("version")).collect()}
+    latest = made.groupBy("bucket").agg(F.max(F.struct("version", "filled")).alias("now")).where("now.filled")
+    return {r["bucket"]: r["version"] for r in latest.select("bucket", "now.version").collect()}
+
+
+def run_closing(
+    stream: DataFrame, bucket_by: list[str], combine: Callable[[DataFrame], DataFrame], leave: Column,
+    folder: str | None = None, buckets: int = BUCKETS,
+) -> tuple[DataFrame, DataFrame]:
+    """A merged table that rows leave when they are over: (the rows still in it, the rows that left, each once).
+
+    So the table is as large as what is open, however long the stream runs. A
+    late row of something that has left is merged by itself and leaves as a
+    correction, so combining what left gives whole results.
+    """
+    spark = stream.sparkSession
+    folder = folder or f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    kept = run_merged(stream, bucket_by, combine, folder, buckets, mode="append", leave=leave)
+    return kept, spark.read.schema(stream.schema).parquet(f"{folder}/left/*")
 
 
 def run_upsert(stream: DataFrame, keys: list[str], order: list[str], folder: str | None = None, buckets: int = BUCKETS) -> DataFrame:
