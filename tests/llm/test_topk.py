@@ -72,3 +72,33 @@ def test_every_row_of_an_id_with_vectors_of_two_lengths(spark):
     df = spark.createDataFrame([(0, [1.0]), (0, [1.0, 1.0]), (1, [2.0]), (2, [1.0, 2.0]), (3, [4.0])], "vec_id long, embedding array<float>")
     out = topk.top_k(df, lambda id: id % 20 == 0, 2, every_row=True).collect()
     assert sorted(tuple(r) for r in out) == [(0, 1, 3, 16384), (0, 2, 2, 12288)]
+
+
+def test_blocks_out_of_reach_are_left_out(spark, monkeypatch):
+    """Only blocks whose bound reaches a cutoff meet the queries, and the rows are the same."""
+    monkeypatch.setattr(topk, "ROWS_IN_BLOCK", 40)
+    monkeypatch.setattr(topk, "QUERIES_IN_BLOCK", 8)
+    monkeypatch.setattr(topk, "LEADERS", 6)
+    met, real = [], topk._reachable
+
+    def reachable(queries, rows, n_row):
+        pairs = real(queries, rows, n_row)
+        met.append((pairs.count(), queries.select("_qb").distinct().count() * n_row))
+        return pairs
+
+    monkeypatch.setattr(topk, "_reachable", reachable)
+    rnd = random.Random(3)
+    rows = []
+    for i in range(600):
+        size = 10.0 if i < 60 else 0.5
+        rows.append((i, [math.floor(size * rnd.uniform(0.5, 1) * 2**16) / 2**16 for _ in range(6)]))
+    assert found(spark, rows, 5) == brute(rows, 5)
+    assert met[0][0] < met[0][1] / 2
+
+
+def test_negative_cutoffs_and_zero_vectors_keep_every_block(spark, monkeypatch):
+    monkeypatch.setattr(topk, "ROWS_IN_BLOCK", 10)
+    monkeypatch.setattr(topk, "LEADERS", 2)
+    rows = [(i, [0.0, 0.0, 0.0]) for i in range(0, 40, 2)] + [(i, [-1.0 * (i % 5), 0.5, 1.0]) for i in range(1, 60, 2)]
+    rows += [(60, [3.0, -2.0, -1.0]), (80, [0.0, 0.0, 0.0])]
+    assert found(spark, rows, 7) == brute(rows, 7)

@@ -3,17 +3,21 @@
 The components are dealt to ``LISTS`` lists; a list's local score of a row is
 the inner product over its own components, and the score is the sum over lists.
 
-1. Every block of rows gives, for each query, the rows that lead any of its
-   lists, with their whole scores. The k-th best of them is a safe cutoff: no
-   row below it can be among the k best.
-2. The cutoff goes back to the blocks with the queries. A row whose score
-   reaches the cutoff has a local score of at least cutoff / lists in some
-   list, so only rows with such an entry are collected.
+1. Every block of rows names, for each list, the rows with the largest norms in
+   it. These alone meet the queries; they give local score lists and from them
+   whole scores. The k-th best is a safe cutoff: no row below it can be among
+   the k best.
+2. The cutoff goes to the blocks with the queries. By the largest norms of a
+   block and list, no row of it can score more than the sum over lists of both
+   norms' products; a block meets only query blocks that can reach a cutoff. A
+   row whose score reaches the cutoff has a local score of at least
+   cutoff / lists in some list, so only rows with such an entry are collected.
 3. Their remaining local scores are resolved exactly, what falls below the
    cutoff goes, and the k best over all blocks are kept.
 
-Queries and rows meet block by block on (query block, row block); every block
-has a bounded number of rows, and no more than k rows leave it per query.
+Rows are dealt to blocks by bands of their norm, so that the bounds are tight;
+every block has a bounded number of rows, and no more than k rows leave it per
+query. A block of rows is shuffled once, the queries go to it.
 """
 
 from __future__ import annotations
@@ -29,6 +33,13 @@ from pyspark.sql import functions as F
 LISTS = 4
 ROWS_IN_BLOCK = 4096
 QUERIES_IN_BLOCK = 512
+# Rows per block and list that phase 1 sees.
+LEADERS = 32
+# Bands of norms per doubling.
+BANDS = 4
+# The bounds are in doubles; a block is left out only if it misses by more than rounding.
+ROUNDING = 1e-9
+MOST_TASKS = 20_000
 # Sums below it are exact in double arithmetic.
 EXACT = float(1 << 53)
 
@@ -54,10 +65,22 @@ def _products(queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
     return queries @ rows.T
 
 
+def _edges(dim: int) -> list[tuple[int, int]]:
+    """The components of every list: from, to."""
+    return [(dim * i // LISTS, dim * (i + 1) // LISTS) for i in range(LISTS)]
+
+
 def _local(queries: np.ndarray, rows: np.ndarray) -> list[np.ndarray]:
     """The local scores of every list."""
-    edges = np.linspace(0, queries.shape[1], LISTS + 1).astype(int)
-    return [_products(queries[:, a:b], rows[:, a:b]) for a, b in zip(edges[:-1], edges[1:])]
+    return [_products(queries[:, a:b], rows[:, a:b]) for a, b in _edges(queries.shape[1])]
+
+
+def _norms(dim: int) -> list:
+    """Columns with the norm of a vector in every list."""
+    def of(a: int, b: int):
+        return F.sqrt(F.aggregate(F.slice("vec", a + 1, b - a), F.lit(0.0), lambda s, x: s + x.cast("double") * x))
+
+    return [of(a, b) for a, b in _edges(dim)]
 
 
 def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
@@ -71,18 +94,31 @@ def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
 
 
 def leaders(qids, queries, ids, rows, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """Phase 1 of one block: per query the best of the rows that lead a list, with whole scores."""
-    local = _local(queries, rows)
-    whole = sum(local)
-    some = min(k + 1, len(ids))  # one more, as the query itself may lead
-    heads = [np.argpartition(-part, some - 1, axis=1)[:, :some] for part in local] if some else []
+    """Phase 1 of one block: per query the k best of its leading rows, with whole scores."""
+    whole = sum(_local(queries, rows))
     for i, qid in enumerate(qids):
-        at = np.unique(np.concatenate([head[i] for head in heads])) if heads else np.zeros(0, int)
-        at = at[ids[at] != qid]
+        at = np.flatnonzero(ids != qid)
         at = at[_best(whole[i, at], ids[at], k)]
         yield qid, ids[at], whole[i, at]
 
 
+def _leading(rows: np.ndarray) -> np.ndarray:
+    """Positions of the rows of a block that have the largest norms in some list."""
+    some = min(LEADERS, len(rows))
+    squares = [(rows[:, a:b].astype(np.float64) ** 2).sum(axis=1) for a, b in _edges(rows.shape[1])]
+    return np.unique(np.concatenate([np.argpartition(-s, some - 1)[:some] for s in squares]))
+
+
+def _lead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each block cut to its leading rows."""
+    for batch in batches:
+        numbers, ids, vecs = (batch.column(name) for name in ("_rb", "_rb_vec_id", "_rb_vec"))
+        for i in range(batch.num_rows):
+            at = pa.array(_leading(_matrix(vecs, i)))
+            kept = [pa.array([col[i].values.take(at)], col.type) for col in (ids, vecs)]
+            yield pa.RecordBatch.from_arrays([numbers.slice(i, 1), *kept], ["_rb", "_rb_vec_id", "_rb_vec"])
+
+
 def survivors(qids, queries, cutoffs, ids, rows, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """Phases 2 and 3 of one block: rows with an entry of at least cutoff / lists, resolved."""
     local = _local(queries, rows)
@@ -105,11 +141,10 @@ def _packed(rows: DataFrame, block: str, columns: list[str]) -> DataFrame:
     )
 
 
-def _met(queries: DataFrame, rows: DataFrame, n_query: int, n_row: int) -> DataFrame:
-    """Every query block with every row block, by an equi-join on both numbers."""
-    left = queries.withColumn("_rb", F.explode(F.sequence(F.lit(0), F.lit(n_row - 1))))
-    right = rows.withColumn("_qb", F.explode(F.sequence(F.lit(0), F.lit(n_query - 1))))
-    return left.join(right.hint("merge"), ["_qb", "_rb"])
+def _met(pairs: DataFrame, queries: DataFrame, rows: DataFrame, tasks: int) -> DataFrame:
+    """The blocks of every pair (_qb, _rb); queries are copied to the row blocks, rows move once."""
+    sent = pairs.join(queries, "_qb").repartition(tasks, "_rb")
+    return sent.join(rows.repartition(tasks, "_rb").hint("merge"), "_rb")
 
 
 def _matrix(lists: pa.Array, i: int) -> np.ndarray:
@@ -150,11 +185,20 @@ def top_k(df: DataFrame, is_query, k: int, *, id: str = "vec_id", vector: str =
     smallest vector; with ``every_row`` each row is a candidate of all other ids,
     and a repeated query id has the k best of all its rows' pairs. Vectors are compared with those of the same length only.
     Columns of other names are ignored. No queries or an empty table give no rows.
+    Scores and their sums must fit 64 bits; larger ones wrap.
     """
     vectors = integer_vectors(df, id=id, vector=vector, scale=scale, every_row=every_row).withColumn("_dim", F.size("vec"))
+    square = F.aggregate("vec", F.lit(0.0), lambda s, x: s + x.cast("double") * x)
+    vectors = vectors.withColumn("_band", F.floor(F.log2(1 + F.sqrt(square)) * BANDS).cast("int"))
     wanted = is_query(F.col("vec_id"))
-    sizes = vectors.groupBy("_dim").agg(F.count("*").alias("n"), F.count_if(wanted).alias("q")).where("q > 0").collect()
-    parts = [_top_k_of(vectors.where(F.col("_dim") == s["_dim"]).drop("_dim"), wanted, k, s["n"], s["q"]) for s in sizes]
+    sizes: dict[int, dict[int, tuple[int, int]]] = {}
+    counted = vectors.groupBy("_dim", "_band").agg(F.count("*").alias("n"), F.count_if(wanted).alias("q"))
+    for s in counted.collect():  # a few hundred bands per length
+        sizes.setdefault(s["_dim"], {})[s["_band"]] = (s["n"], s["q"])
+    parts = [
+        _top_k_of(vectors.where(F.col("_dim") == dim), wanted, k, dim, bands)
+        for dim, bands in sorted(sizes.items()) if any(q for _, q in bands.values())
+    ]
     if not parts:
         spark = df.sparkSession
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
@@ -171,21 +215,53 @@ def _by_score():
     return Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
 
 
-def _top_k_of(vectors: DataFrame, wanted, k: int, n: int, q: int) -> DataFrame:
-    n_row, n_query = math.ceil(n / ROWS_IN_BLOCK), math.ceil(q / QUERIES_IN_BLOCK)
-    rows = _packed(vectors.withColumn("_rb", F.pmod(F.xxhash64("vec_id", "_row"), F.lit(n_row)).cast("int")), "_rb", ["vec_id", "vec"])
-    queries = vectors.where(wanted).withColumn("_qb", F.pmod(F.xxhash64("vec_id", "_row", F.lit(1)), F.lit(n_query)).cast("int"))
+def _top_k_of(vectors: DataFrame, wanted, k: int, dim: int, bands: dict[int, tuple[int, int]]) -> DataFrame:
+    n_query = math.ceil(sum(q for _, q in bands.values()) / QUERIES_IN_BLOCK)
+    first, n_row = {}, 0
+    for band, (n, _) in sorted(bands.items()):
+        first[band] = (n_row, math.ceil(n / ROWS_IN_BLOCK))
+        n_row += first[band][1]
+    of_band = [F.create_map(*[F.lit(x) for band, at in first.items() for x in (band, at[i])])[F.col("_band")] for i in (0, 1)]
+    block = (of_band[0] + F.pmod(F.xxhash64("vec_id", "_row"), of_band[1])).cast("int")
+    normed = vectors.withColumn("_norms", F.array(*_norms(dim)))
+    dealt = normed.withColumn("_rb", block)
+    rows = _packed(dealt, "_rb", ["vec_id", "vec"])
+    queries = normed.where(wanted).withColumn("_qb", F.pmod(F.xxhash64("vec_id", "_row", F.lit(1)), F.lit(n_query)).cast("int"))
     by_score = _by_score()
+    tasks = min(2 * n_row, MOST_TASKS)
+    every = queries.select("_qb").distinct().withColumn("_rb", F.explode(F.sequence(F.lit(0), F.lit(n_row - 1))))
 
-    first = _met(_packed(queries, "_qb", ["vec_id", "vec"]), rows, n_query, n_row).mapInArrow(_emit(leaders, k), _PAIRS)
+    heads = rows.mapInArrow(_lead, rows.schema)
+    seen = _met(every, _packed(queries, "_qb", ["vec_id", "vec"]), heads, tasks).mapInArrow(_emit(leaders, k), _PAIRS)
     cutoff = (
-        first.withColumn("_r", F.row_number().over(by_score)).where(F.col("_r") == k)
+        seen.withColumn("_r", F.row_number().over(by_score)).where(F.col("_r") == k)
         .select(F.col("query_id").alias("vec_id"), F.col("score").cast("double").alias("cutoff"))
     )
     # fewer than k others: everything is collected
     cut = queries.join(cutoff, "vec_id", "left").fillna({"cutoff": float("-inf")})
-    second = _met(_packed(cut, "_qb", ["vec_id", "vec", "cutoff"]), rows, n_query, n_row).mapInArrow(_emit(survivors, k), _PAIRS)
+    pairs = _reachable(cut, dealt, n_row)
+    second = _met(pairs, _packed(cut, "_qb", ["vec_id", "vec", "cutoff"]), rows, tasks).mapInArrow(_emit(survivors, k), _PAIRS)
     return (
         second.withColumn("rank", F.row_number().over(by_score)).where(F.col("rank") <= k)
         .select("query_id", "rank", "vec_id", "score")
     )
+
+
+def _reachable(queries: DataFrame, rows: DataFrame, n_row: int) -> DataFrame:
+    """Pairs of blocks (_qb, _rb) in which some row may reach some query's cutoff.
+
+    A query reaches its cutoff only if the sum over lists of its norm times the
+    block's largest norm does; each query block keeps its largest norms as
+    shares of cutoff / lists.
+    """
+    def largest(df: DataFrame, block: str, name: str, share) -> DataFrame:
+        return df.groupBy(block).agg(F.array(*[F.max(share(F.col("_norms")[i])) for i in range(LISTS)]).alias(name))
+
+    asked = largest(
+        queries, "_qb", "_shares",
+        lambda norm: F.when(F.col("cutoff") > 0, norm * LISTS / F.col("cutoff")).otherwise(F.lit(float("inf"))),
+    ).withColumn("_rb", F.explode(F.sequence(F.lit(0), F.lit(n_row - 1))))
+    held = largest(rows, "_rb", "_most", lambda norm: norm)
+    both = F.zip_with("_shares", "_most", lambda share, most: share * most)
+    reach = F.aggregate(both, F.lit(0.0), lambda s, x: s + x)  # infinity times nothing is NaN, which is above all
+    return asked.join(held, "_rb").where(reach >= LISTS * (1 - ROUNDING)).select("_qb", "_rb")
