@@ -67,6 +67,12 @@ def _hot(dim: str, key: str, cols: str) -> str:
 CAT, SUB = "g.id, g.name, g.slug, g.is_active", "g.id, g.category_id, g.name, g.slug, g.is_active"
 check("hot_categories", _hot("sh_categories", "category_id", CAT))
 check("hot_subcategories", _hot("sh_subcategories", "subcategory_id", SUB))
+# from a table per day; the rows are the same
+for name, same in (
+    ("featured_from_days", "featured_products"), ("hot_categories_from_days", "hot_categories"),
+    ("hot_subcategories_from_days", "hot_subcategories"),
+):
+    ORACLE[name] = ORACLE[same]
 check(
     "featured_categories_ranked",
     f"""SELECT {CAT}, {stamp('g.created_at', 'created_at')},

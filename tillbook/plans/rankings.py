@@ -22,22 +22,24 @@ def since(as_of: str | None, days: int | None) -> Column:
 
 
 def combined_items(
-    shop: Shop, as_of: str | None = None, days: int | None = None, net: bool = False
+    shop: Shop, as_of: str | None = None, days: int | None = None, net: bool = False, when: Column | None = None
 ) -> DataFrame:
     """Sold lines of both channels as (product_id, quantity, created_at).
 
     Status and date filters sit on the headers, below the joins, and reach the
     files. Lines that carry their header's ``created_at``, as ``sinks.dated_lines``
-    writes them, are filtered by it too. ``net`` counts what was kept instead of what was sold.
+    writes them, are filtered by it too. ``net`` counts what was kept instead of what was sold;
+    ``when`` is a further condition on ``created_at``.
     """
+    dated = since(as_of, days) if when is None else since(as_of, days) & when
 
     def channel(headers: DataFrame, lines: DataFrame, parent: str, status: str) -> DataFrame:
-        kept = headers.where((F.col("status") == status) & since(as_of, days)).select(
+        kept = headers.where((F.col("status") == status) & dated).select(
             F.col("id").alias(parent), "created_at"
         )
         units = net_quantity(F.col("quantity"), F.col("returned_quantity")) if net else F.col("quantity")
         if "created_at" in lines.columns:
-            lines = lines.where(since(as_of, days))
+            lines = lines.where(dated)
         return (
             lines.where(F.col("product_id").isNotNull()).select(parent, "product_id", units.alias("quantity"))
             .join(kept, parent)

@@ -14,7 +14,8 @@ from tillbook.functions import hashing, money, text
 from tillbook.operators import allocation, changes, nesting, quality, ranking, running
 from tillbook.operators.cooldown import accepted_requests
 from tillbook.plans import (
-    catalog, checkout, dashboard, daybook, identity, lifecycle, orders, pricing, rankings, seller, stock,
+    catalog, checkout, dashboard, daybook, identity, lifecycle, orders, pricing, rankings, rollups, seller,
+    stock,
 )
 from tillbook.session import shared_dir
 from tillbook.sources import generate, sinks, testbed
@@ -90,6 +91,32 @@ def hot_subcategories(shop):
     return rankings.hot_subcategories(shop, AS_OF)
 
 
+def _rolled_units(shop):
+    """Units of the last week from a table per day, written before the tills' last three days came in."""
+    path = _scratch(shop.spark)
+    late = F.col("created_at") >= instant(AS_OF) - F.expr("INTERVAL 3 DAYS")
+    rollups.refresh_units(shop.replace(sales=shop.sales.where(~late)), path)
+    changed = shop.sales.where(late).select(F.to_date("created_at").alias("day")).distinct()
+    rollups.refresh_units(shop, path, [r["day"] for r in changed.collect()])
+    return rollups.units_since(shop, path, AS_OF)
+
+
+@trade_query
+def featured_from_days(shop):
+    out = rankings.featured_products(shop, AS_OF, units=_rolled_units(shop))
+    return out.select(*PRODUCT, "category_name", "subcategory_name", "total_sold")
+
+
+@trade_query
+def hot_categories_from_days(shop):
+    return rankings.hot_categories(shop, AS_OF, units=_rolled_units(shop))
+
+
+@trade_query
+def hot_subcategories_from_days(shop):
+    return rankings.hot_subcategories(shop, AS_OF, units=_rolled_units(shop))
+
+
 @trade_query
 def featured_categories_ranked(shop):
     return rankings.featured_categories_ranked(shop)
