@@ -1,8 +1,10 @@
 from __future__ import annotations
 
 import random
+import tracemalloc
 from datetime import datetime, timedelta
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -135,6 +137,51 @@ def test_codes_over_several_batches(spark, tmp_path):
     assert set(got.values()) >= {"sent", "refused", "none", "wrong", "ok"}
 
 
+def test_codes_followed_over_several_batches(spark, tmp_path):
+    """The same in a merged table: outcomes of a loop, and the codes that it holds at the end; expired ones go."""
+    rnd = random.Random(11)
+    start, rows = datetime(2024, 1, 1), []
+    for i in range(600):
+        ts = start + timedelta(seconds=i * 37 + rnd.randrange(30) + (90_000 if i >= 450 else 0))
+        rows.append((i, rnd.choice([None, *range(5)]) if i < 450 else 0, ts, rnd.choice(["request", "check", "check"]), rnd.random() < 0.3))
+    schema = "event_id long, identifier long, ts timestamp, kind string, correct boolean"
+    for n in range(4):
+        spark.createDataFrame(rows[n * 150:(n + 1) * 150], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    spark.createDataFrame([(999, 1, None, "check", None)], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = (
+        spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+        .withColumn("purpose", F.lit("register"))
+    )
+    held, outcomes = codes.follow_codes(stream, folder=str(tmp_path / "table"), buckets=1)
+    assert {r.event_id: r.outcome for r in outcomes.collect()} == loop(rows, codes.TTL_SECONDS, codes.COOLDOWN_SECONDS, codes.MAX_ATTEMPTS)
+    assert outcomes.count() == 600
+    assert {r.identifier for r in held.collect()} <= {0}
+
+
+def test_codes_of_one_busy_key_need_an_arrow_batch():
+    """Ten times the events of one key; what is held at a time is a batch."""
+    schema = pa.schema([
+        ("identifier", pa.int64()), ("purpose", pa.string()), ("event_id", pa.int64()), ("at", pa.int64()), ("kind", pa.string()),
+        ("correct", pa.bool_()), ("outcome", pa.string()), ("created_at", pa.int64()), ("expires_at", pa.int64()),
+        ("attempts", pa.int32()), ("_bucket", pa.int32()), ("_batch", pa.bool_())])
+
+    def arriving(n, each=10_000):
+        for begin in range(0, n, each):
+            yield pa.RecordBatch.from_pylist([
+                {"identifier": 1, "purpose": "p", "event_id": i, "at": i * 7_000_000, "kind": "check" if i % 3 else "request",
+                 "correct": i % 5 == 0, "_bucket": 0, "_batch": True} for i in range(begin, min(n, begin + each))], schema=schema)
+
+    def peak(n):
+        tracemalloc.start()
+        seen = sum(b.num_rows for b in codes._walk(arriving(n), 0, 600, 60, 5))
+        used = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return seen, used
+
+    few, many = peak(30_000), peak(300_000)
+    assert many[0] >= 300_000 and many[1] < 1.2 * few[1]
+
+
 def in_files(df, at, folder, n=5):
     """The rows in n files by time, oldest first, read as a stream of one file a batch."""
     for i in range(n):

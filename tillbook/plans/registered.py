@@ -1686,8 +1686,7 @@ def stream_ttl_state(spark, sf):
         F.when(F.col("event_type").isin("signup", "view"), "request").otherwise("check").alias("kind"),
         (F.col("k") % 4 == 0).alias("correct"),
     )
-    outcomes = codes.code_outcomes(events, ttl=36_000, cooldown=3_600, attempts=2)
-    return runner.run_available(outcomes, mode="append").drop("version")
+    return codes.follow_codes(events, ttl=36_000, cooldown=3_600, attempts=2)[1]
 
 
 @query
