@@ -331,11 +331,13 @@ def _search(p: str) -> str:
     return f"(name ILIKE '{p}' OR product_code ILIKE '{p}' OR category_name ILIKE '{p}' OR subcategory_name ILIKE '{p}')"
 
 
-check("search_products", f"""SELECT id, name, category_name, subcategory_name FROM sh_named
+for _name in ("search_products", "search_products_indexed"):
+    check(_name, f"""SELECT id, name, category_name, subcategory_name FROM sh_named
         WHERE is_active = 1 AND {_search('%RinG%')}""")
 check("search_wildcards", f"SELECT id, name, product_code FROM sh_named WHERE is_active = 1 AND {_search('%r_d%w%')}")
 CUST = f"id, name, email, whatsapp_number AS phone, is_active, {stamp('created_at', 'created_at')}"
-check("search_customers", f"""SELECT {CUST} FROM sh_customers WHERE is_active = 1 AND whatsapp_number <> 'anonymous-guest'
+for _name in ("search_customers", "search_customers_indexed"):
+    check(_name, f"""SELECT {CUST} FROM sh_customers WHERE is_active = 1 AND whatsapp_number <> 'anonymous-guest'
         AND (name ILIKE '%0001%' OR whatsapp_number ILIKE '%0001%')""")
 check("customers_all", f"SELECT {CUST} FROM sh_customers WHERE is_active = 0 AND whatsapp_number <> 'anonymous-guest'")
 check("date_between", f"""SELECT id, {stamp('created_at', 'created_at')} FROM bk_sales
@@ -684,6 +686,10 @@ check("weighted_pick", """SELECT c.id, w.product_id FROM
         (SELECT id, id * 7919 % (SELECT cast(sum(stock % 8 + 1) AS bigint) FROM sh_products) AS slot FROM sh_customers) c
         JOIN (SELECT id AS product_id, cast(sum(stock % 8 + 1) OVER (ORDER BY id) AS bigint) AS upto,
                      stock % 8 + 1 AS w FROM sh_products) w ON c.slot < w.upto AND c.slot >= w.upto - w.w""")
+check("weighted_pick_decimal", """SELECT c.id, w.product_id FROM
+        (SELECT id, id * 7919777 % (SELECT cast(sum(sale_price) * 100 AS bigint) FROM sh_products) AS at FROM sh_customers) c
+        JOIN (SELECT id AS product_id, cast(sum(sale_price) OVER (ORDER BY id) * 100 AS bigint) AS upto,
+                     cast(sale_price * 100 AS bigint) AS w FROM sh_products) w ON c.at < w.upto AND c.at >= w.upto - w.w""")
 
 
 def _bill(title: str, who: str, extra_head: str, note: str, total: str, people: str, where: str) -> str:

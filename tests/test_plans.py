@@ -20,7 +20,7 @@ EAGER = {
     "apply_payments_sales", "apply_payments_rows", "cooldown", "cash_out_decisions", "order_transition",
     "order_transition_lines", "order_transition_moves", "create_sales", "create_sales_items", "create_sales_payments",
     "create_sales_moves", "create_sales_refused", "place_orders", "place_orders_items", "place_orders_refused",
-    "featured_from_days", "hot_categories_from_days", "hot_subcategories_from_days",
+    "search_products_indexed", "search_customers_indexed", "featured_from_days", "hot_categories_from_days", "hot_subcategories_from_days",
 }
 
 

@@ -22,6 +22,7 @@ SAMPLE = [
     "order_transition", "order_transition_moves", "create_sales", "create_sales_refused", "place_orders", "order_return", "sale_return", "apply_payments", "cooldown", "cash_out_decisions",
     "gen_topup_products", "order_bill_text", "font_families", "stable_unit_hash", "stream_ttl_state",
     "featured_from_days", "hot_subcategories_from_days", "stream_shift_reports", "stream_session_shifts",
+    "search_products_indexed", "search_customers_indexed", "weighted_pick", "weighted_pick_decimal",
 ]
 NAMES = list(QUERIES) if os.environ.get("FULL_CHECK") else SAMPLE
 

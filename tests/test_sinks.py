@@ -105,3 +105,29 @@ def test_history_is_seeded_and_within_bounds(trade):
 def test_weighted_slots(spark):
     items = spark.createDataFrame([(1, 2), (2, 0), (5, 3)], "id long, w long")
     assert table(generate.weighted_slots(items, "id", F.col("w"))) == [(1, 0), (1, 1), (5, 2), (5, 3), (5, 4)]
+
+
+def test_picks_by_decimal_weights(spark):
+    weights = [(1, "0.25"), (2, None), (3, "0.00"), (4, "1000000.50"), (7, "0.01"), (9, "-3.00")]
+    items = spark.createDataFrame(weights, "id long, w string").select("id", F.col("w").cast("decimal(12,2)").alias("w"))
+    ranges = generate.weighted_ranges(items, "id", F.col("w"))
+    assert table(ranges) == [(1, 0.0, 0.25), (4, 0.25, 1000000.75), (7, 1000000.75, 1000000.76)]
+    places = ["0.00", "0.24", "0.25", "0.25", "500000.00", "1000000.74", "1000000.75", "1000000.76", "-0.01", None]
+    requests = spark.createDataFrame([(i, p) for i, p in enumerate(places)] + [(4, "500000.00")], "n long, start string")
+    picked = generate.pick_by_weight(requests, F.col("start").cast("decimal(12,2)"), ranges, "id")
+    assert picked.columns == ["n", "start", "id"]
+    assert table(picked, "n", "id") == [
+        (0, 1), (1, 1), (2, 4), (3, 4), (4, 4), (4, 4), (5, 4), (6, 7), (7, None), (8, None), (9, None)]
+    assert table(generate.pick_by_weight(requests.where("n = 4"), F.lit(0), ranges.limit(0), "id"), "n", "id") == [(4, None), (4, None)]
+
+
+def test_an_item_that_all_requests_get_is_spread(spark):
+    requests = spark.range(20_000)
+    ranges = generate.weighted_ranges(spark.createDataFrame([(1, 1), (2, 10)], "id long, w long"), "id", F.col("w"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # pieces this small would be put together
+    try:
+        picked = generate.pick_by_weight(requests.withColumnRenamed("id", "n"), F.lit(3), ranges, "id")
+        sizes = [r[1] for r in picked.groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert sum(sizes) == 20_000 and max(sizes) < 15_000 and picked.where("id = 2").count() == 20_000

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tillbook.common import all_of
 from tillbook.functions.text import contains_pattern
+from tillbook.operators import trigrams
 from tillbook.operators.ranking import page
 from tillbook.plans.rankings import with_names
 from tillbook.sources.schema import ANONYMOUS_CUSTOMER, ANONYMOUS_SELLER, USER_STATUSES
@@ -15,6 +16,10 @@ from tillbook.sources.shop import Shop
 MANAGERS = ("Admin", "SuperAdmin")
 LOW_STOCK = 10
 
+# What a search looks at.
+PRODUCT_TEXTS = ["name", "product_code", "category_name", "subcategory_name"]
+CUSTOMER_TEXTS = ["name", "whatsapp_number"]
+
 # Which roles see the product code and the cost, by surface, and
 # what sellers do not see. A role not named sees neither.
 _SEE_CODE = {
@@ -82,8 +87,15 @@ def search_products(named: DataFrame, text: str | None) -> DataFrame:
     """Name, code, category or subcategory contains the text, case ignored, ``%`` and ``_`` wild."""
     if not text:
         return named
-    cols = [F.col(c) for c in ("name", "product_code", "category_name", "subcategory_name")]
-    return named.where(contains_pattern(text, *cols))
+    return named.where(contains_pattern(text, *[F.col(c) for c in PRODUCT_TEXTS]))
+
+
+def find_products(named: DataFrame, text: str | None, index: str) -> DataFrame:
+    """As ``search_products``, by an index of ``PRODUCT_TEXTS`` (``trigrams.write_index``) instead of a scan of the texts."""
+    if not text:
+        return named
+    found = trigrams.matching_ids(named.sparkSession, index, text)
+    return named.join(found, "id", "left_semi")
 
 
 def product_list(
@@ -136,13 +148,20 @@ def wholesale_list(
     return search_products(named, search).orderBy(*newest()).select(*WHOLESALE_COLUMNS)
 
 
-def customers_list(shop: Shop, search: str | None = None, active: bool = True) -> DataFrame:
-    """Customers without the shared guest account, newest first."""
+def customers_list(
+    shop: Shop, search: str | None = None, active: bool = True, index: str | None = None
+) -> DataFrame:
+    """Customers without the shared guest account, newest first.
+
+    ``index``: the folder of an index of ``CUSTOMER_TEXTS``; without it a search scans the texts.
+    """
     rows = shop.customers.where(
         (F.col("is_active") == F.lit(active)) & (F.col("whatsapp_number") != ANONYMOUS_CUSTOMER)
     )
-    if search:
-        rows = rows.where(contains_pattern(search, F.col("name"), F.col("whatsapp_number")))
+    if search and index:
+        rows = rows.join(trigrams.matching_ids(shop.spark, index, search), "id", "left_semi")
+    elif search:
+        rows = rows.where(contains_pattern(search, *[F.col(c) for c in CUSTOMER_TEXTS]))
     return rows.orderBy(*newest()).select(
         "id", "name", "email", F.col("whatsapp_number").alias("phone"), "is_active", "created_at"
     )

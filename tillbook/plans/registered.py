@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tillbook.common import comparable, count_where, instant, money_sum
 from tillbook.functions import hashing, money, text
-from tillbook.operators import allocation, changes, nesting, quality, ranking, running
+from tillbook.operators import allocation, changes, nesting, quality, ranking, running, trigrams
 from tillbook.operators.cooldown import accepted_requests
 from tillbook.plans import (
     catalog, checkout, dashboard, daybook, identity, lifecycle, orders, pricing, rankings, rollups, seller,
@@ -497,6 +497,21 @@ def search_customers(shop):
     return catalog.customers_list(shop, search="0001")
 
 
+@trade_query
+def search_products_indexed(shop):
+    """The search by an index of trigrams, written for all products before."""
+    path, named = _scratch(shop.spark), rankings.with_names(shop.products.where("is_active"), shop)
+    trigrams.write_index(rankings.with_names(shop.products, shop), "id", catalog.PRODUCT_TEXTS, path)
+    return catalog.find_products(named, "RïnG", path).select("id", "name", "category_name", "subcategory_name")
+
+
+@trade_query
+def search_customers_indexed(shop):
+    path = _scratch(shop.spark)
+    trigrams.write_index(shop.customers, "id", catalog.CUSTOMER_TEXTS, path)
+    return catalog.customers_list(shop, search="0001", index=path)
+
+
 @trade_query
 def customers_all(shop):
     return catalog.customers_list(shop, active=False)
@@ -1206,6 +1221,15 @@ def weighted_pick(shop):
     return generate.weighted_pick(shop.customers.select("id"), F.col("id") * 7919, slots, total)
 
 
+@trade_query
+def weighted_pick_decimal(shop):
+    """A product for every customer, the dearer the likelier: weights are prices."""
+    ranges = generate.weighted_ranges(shop.products.withColumnRenamed("id", "product_id"), "product_id", F.col("sale_price"))
+    cents = (shop.products.select(F.sum("sale_price")).scalar() * 100).cast("bigint")
+    at = (F.pmod(F.col("id") * 7_919_777, cents) / F.lit(100)).cast("decimal(20,2)")
+    return generate.pick_by_weight(shop.customers.select("id"), at, ranges, "product_id")
+
+
 @trade_query
 def order_bill_text(shop):
     """The message of every customer order."""
