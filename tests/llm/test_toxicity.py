@@ -1,6 +1,9 @@
 from __future__ import annotations
 
+import hashlib
+import math
 import random
+import re
 import zlib
 
 import pytest
@@ -62,3 +65,50 @@ def test_without_labels_nothing_is_toxic(spark, docs_of):
     out = toxicity.score_documents(docs_of((1, "idiot"), (2, None)), labels).collect()
     assert len({r.score for r in out}) == 1 and not any(r.predicted for r in out)
     assert toxicity.score_documents(docs_of((1, "a")).limit(0), labels).count() == 0
+
+
+BASE, MASK = 0x9E3779B97F4A7C15, 2**64 - 1
+
+
+def mixed(x: int) -> int:
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB), (31, 1)):
+        x = (x ^ x >> shift) * factor & MASK
+    return x
+
+
+def of_bytes(word: bytes) -> int:
+    return mixed(sum(mixed((b + 1) * BASE & MASK) * pow(BASE, j, 2**64) for j, b in enumerate(word)) & MASK)
+
+
+def plain_features(text: str | None) -> set[int]:
+    found = set()
+    for word in re.findall(rb"[0-9a-z\x80-\xff]+", (text or "").encode().lower()):
+        digest = hashlib.blake2b(word, digest_size=8).digest()
+        found.add(int.from_bytes(digest, "little") if len(word) >= 256 else of_bytes(word))
+        found |= {mixed((of_bytes(word[:n]) + n) & MASK) for n in (4, 5) if len(word) > n}
+    return found
+
+
+def test_scores_are_those_of_a_loop_over_words(spark, labelled, docs_of):
+    docs, labels, truth = labelled
+    model = toxicity.fit(docs, labels)
+    weight = dict(zip(model.features.tolist(), model.weights.tolist()))
+    assert len(weight) > 50
+    more = docs_of((5000, "IDIOT idiot, Idiot-scum"), (5001, "Ärger muslims\tMUSLIMS"), (5002, "y" * 300 + " scum"), (5003, "loweiß\n" * 50_000), (5003, "again"))
+    every = docs.unionByName(more)
+    got = every.select("text", toxicity.score_of(model)(every["text"]).alias("p")).collect()
+    assert len(got) == docs.count() + 5
+    for text, p in got:
+        odds = model.bias + sum(weight.get(f, 0.0) for f in plain_features(text))
+        assert abs(p - 1 / (1 + math.exp(-odds))) < 1e-9, (text or "")[:60]
+
+
+def test_repeated_documents_keep_their_rows(labelled):
+    docs, labels, _ = labelled
+    once = {r.doc_id: r.score for r in toxicity.score_documents(docs, labels).collect()}
+    twice = toxicity.score_documents(docs.unionByName(docs), labels).collect()
+    assert len(twice) == 2 * len(once)
+    by_id = {}
+    for r in twice:
+        by_id.setdefault(r.doc_id, set()).add(r.score)
+    assert all(len(scores) == 1 for scores in by_id.values())
