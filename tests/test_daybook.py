@@ -2,8 +2,10 @@ from __future__ import annotations
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from tests.conftest import table
-from tillbook.plans import daybook
+from tillbook.plans import daybook, lifecycle
 
 FROM, TO = "2024-01-01", "2024-01-03"
 
@@ -92,3 +94,17 @@ def test_overdrawn_cash_out_is_flagged_and_refused(shop):
 def test_shifts_in_range_carry_their_cash_out(shop):
     rows = table(daybook.z_shifts(shop, FROM, "2024-01-02"), "id", "staff_name", "cash_out_total")
     assert rows == [(1, "Ann", 15.0), (2, "Ann", 105.0), (3, "Bob", 0.0)]
+
+
+def test_closing_reads_movements_of_shifts_without_kept_totals_only(shop, make):
+    counted = make("shift_id long, counted_cash decimal(10,2), counted_at timestamp_ntz", "", (2, 50, "2024-01-05 10:00:00"))
+    plain = lifecycle.close_shifts(shop, counted)
+    closed = [r.id for r in shop.pos_shifts.where("status = 'closed'").collect()]
+    open_now = [r.id for r in shop.pos_shifts.where("status = 'open'").collect()]
+    assert closed and open_now
+    sums = {r.shift_id: r.cash_out_total for r in daybook.cash_out_per_shift(shop).collect()}
+    # an open shift's total is not taken from those kept
+    kept = make("shift_id long, cash_out_total decimal(20,2)", "", *((i, sums.get(i, 0)) for i in closed), *((i, 999) for i in open_now))
+    only_open = shop.replace(cash_movements=shop.cash_movements.where(~F.col("shift_id").isin(closed)))
+    assert table(lifecycle.close_shifts(only_open, counted, kept)) == table(plain)
+    assert table(lifecycle.close_shifts(shop, counted, kept.limit(0))) == table(plain)

@@ -91,6 +91,16 @@ def test_order_return_is_refused_as_a_whole(make, orders, items):
     assert table(refused) == [(2, "more than remaining"), (4, "invalid item")]
 
 
+def test_returns_are_the_same_with_shared_parts_written(make, orders, items, monkeypatch):
+    written = []
+    monkeypatch.setattr(lifecycle, "cut_lineage", lambda df: written.append(df) or df)
+    req = make(REQ.replace("sale", "order"), "", (2, 2, 1), (2, 3, 1), (1, 1, 1), (9, 1, 1))
+    plain = [table(df) for df in lifecycle.order_returns(orders, items, req)]
+    assert not written
+    assert [table(df) for df in lifecycle.order_returns(orders, items, req, several=True)] == plain
+    assert len(written) == 2 and all(plain)
+
+
 SALE = "id status subtotal total_amount amount_paid"
 
 

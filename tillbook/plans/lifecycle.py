@@ -107,13 +107,16 @@ def resold_after_return(orders: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def _apply_returns(
-    headers: DataFrame, items: DataFrame, requests: DataFrame, parent: str, open_status: str
+    headers: DataFrame, items: DataFrame, requests: DataFrame, parent: str, open_status: str, several: bool
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Shared part of both returns: (lines after, figures per parent, refused parents).
 
     ``requests``: parent, line_id, quantity. A request covers one parent and is
-    refused as a whole. Non-positive quantities are ignored.
+    refused as a whole. Non-positive quantities are ignored. This only plans, and
+    each result repeats what it needs of the others; with ``several`` what they
+    share is written once, which pays if more than one is used.
     """
+    shared = cut_lineage if several else lambda df: df
     asked = requests.groupBy(F.col(parent).alias("_asker"), F.col("line_id").alias("_line")).agg(
         F.coalesce(F.sum(F.when(F.col("quantity") > 0, F.col("quantity"))), F.lit(0)).cast("bigint").alias("_asked")
     )
@@ -123,13 +126,13 @@ def _apply_returns(
     met = lines.join(asked, (lines[parent] == F.col("_asker")) & (lines["id"] == F.col("_line")), "full").withColumn(
         "_parent", F.coalesce(parent, "_asker")
     ).withColumn("came_back", F.coalesce("_asked", F.lit(0).cast("bigint")))
-    met = cut_lineage(met.drop("_asker", "_line", "_asked"))
+    met = shared(met.drop("_asker", "_line", "_asked"))
 
     known = F.col("id").isNotNull()
     left = F.col("quantity") - F.col("returned_quantity")
     after = left - F.col("came_back")
     status = headers.select(F.col("id").alias("_parent"), F.col("status").alias("_status"))
-    verdict = cut_lineage(
+    verdict = shared(
         met.groupBy("_parent").agg(
             F.bool_or(~known & (F.col("came_back") > 0)).alias("_foreign"),
             F.coalesce(F.bool_or(F.col("came_back") > left), F.lit(False)).alias("_over"),
@@ -157,14 +160,14 @@ def _apply_returns(
 
 
 def order_returns(
-    orders: DataFrame, items: DataFrame, requests: DataFrame
+    orders: DataFrame, items: DataFrame, requests: DataFrame, several: bool = False
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Partial or full returns of approved orders: (orders after, lines after, refused).
 
     The total becomes the value of what is left; with nothing left the status
-    becomes ``return``.
+    becomes ``return``. ``several``: see ``_apply_returns``.
     """
-    lines, figures, refused = _apply_returns(orders, items, requests, "order_id", "successful")
+    lines, figures, refused = _apply_returns(orders, items, requests, "order_id", "successful", several)
     after = figures.select(
         "order_id",
         F.col("remaining_value").alias("total_amount"),
@@ -174,14 +177,14 @@ def order_returns(
 
 
 def sale_returns(
-    sales: DataFrame, items: DataFrame, requests: DataFrame
+    sales: DataFrame, items: DataFrame, requests: DataFrame, several: bool = False
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The same at the till: the total shrinks in proportion to the subtotal.
 
     Total and subtotal keep their ratio, so returning in two steps equals one.
     The balance may become negative: a refund is owed.
     """
-    lines, figures, refused = _apply_returns(sales, items, requests, "sale_id", "completed")
+    lines, figures, refused = _apply_returns(sales, items, requests, "sale_id", "completed", several)
     money = sales.select(F.col("id").alias("sale_id"), "subtotal", "total_amount", "amount_paid")
     kept = F.col("subtotal") - F.col("returned_value")
     total = F.when(
@@ -272,10 +275,13 @@ def payment_rows(judged: DataFrame) -> DataFrame:
     return judged.where("admitted").select("id", "sale_id", "shift_id", "staff_id", "amount", "method", "created_at")
 
 
-def close_shifts(shop: Shop, counted: DataFrame) -> DataFrame:
+def close_shifts(shop: Shop, counted: DataFrame, totals: DataFrame | None = None) -> DataFrame:
     """Closes the open shifts that were counted (shift_id, counted_cash, counted_at).
 
     Every shift comes back; closed ones carry the counted and the expected cash.
+    ``totals`` (shift_id, cash_out_total): kept from earlier closings. They stand
+    for shifts that are closed already, and cash movements are read only for the
+    others; without it all movements are summed.
     """
     counted = counted.select("shift_id", "counted_cash", "counted_at")
     shifts = shop.pos_shifts.withColumnRenamed("id", "shift_id").drop("expected_cash").join(counted, "shift_id", "left")
@@ -283,7 +289,14 @@ def close_shifts(shop: Shop, counted: DataFrame) -> DataFrame:
     # only the shifts that close now are worked out
     wanted = shifts.where(closing).withColumnRenamed("shift_id", "id")
     due = daybook.expected_cash(shop, wanted).select("shift_id", "expected_cash")
-    out = daybook.cash_out_per_shift(shop)
+    if totals is None:
+        out = daybook.cash_out_per_shift(shop)
+    else:
+        # a shift that is open now may still have changed
+        closed = shifts.where("status = 'closed'").select("shift_id")
+        kept = totals.select("shift_id", "cash_out_total").join(closed, "shift_id", "left_semi")
+        others = shifts.join(kept, "shift_id", "left_anti").select(F.col("shift_id").alias("id"))
+        out = daybook.cash_out_per_shift(shop, others).unionByName(kept)
     sums = shifts.join(due, "shift_id", "left").join(out, "shift_id", "left")
     sums = sums.withColumn("cash_out_total", F.coalesce("cash_out_total", F.lit(0)).cast("decimal(20,2)"))
     return sums.select(
