@@ -15,32 +15,42 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents that the classifier, fitted on the labelled ones, scores 0.5 or more."""
+    """Rejects documents that the classifier, fitted on the labelled ones, scores 0.5 or more.
+
+    Null and empty texts score as the bias alone; each row is judged by itself, repeated ones alike.
+    """
     queries.prepare(spark)
     model = toxicity.fit(docs, queries.table(spark, sf_dir, "labels"))
     return docs.where(toxicity.score_of(model)(F.col("text")) < 0.5)
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near duplicates stays, the one with the smallest id."""
+    """One document of each class of near duplicates stays, the one with the smallest id.
+
+    Classes are those of ``neardup.class_of_each``: equal texts are one, null and empty ones
+    together; of repeated rows one stays, null ids come last.
+    """
     queries.prepare(spark)
     return neardup.keep_one(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a benchmark window go."""
+    """Documents with a benchmark window go; null and empty texts have none and stay, repeated rows go or stay alike."""
     queries.prepare(spark)
     return decontaminate.clean(docs, queries.table(spark, sf_dir, "benchmark"))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Live secrets are replaced in the text, and its length is stated anew; documents stay."""
+    """Live secrets are replaced in the text, and its length is stated anew; documents stay, null texts and repeated rows too."""
     queries.prepare(spark)
     return secrets.redact(docs, length="n_chars")
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Ids of every document, the byte offset after each, and whether decoding gives the text back."""
+    """Ids of every document, the byte offset after each, and whether decoding gives the text back.
+
+    A null text counts as an empty one, without ids; repeated rows stay.
+    """
     queries.prepare(spark)
     path, pattern = queries.vocabulary()
     keep = ["doc_id", F.md5(F.coalesce("text", F.lit(""))).alias("text_md5")]
