@@ -179,7 +179,11 @@ def decode(df: DataFrame, vocabulary: str, *, keep: list, ids: str = "ids") -> D
 
 
 def round_trip(df: DataFrame, vocabulary: str, pattern: str, *, keep: list, text: str = "text") -> DataFrame:
-    """Columns ``keep``, ``ids``, ``ends`` and ``decoded``: ``encode`` and ``decode`` in one Python worker."""
+    """Columns ``keep``, ``ids``, ``ends`` and ``decoded``: ``encode`` and ``decode`` in one Python worker.
+
+    A null or empty text has no ids and decodes to no bytes. Repeated rows stay;
+    ``keep`` must not hold ``ids``, ``ends`` or ``decoded``. An empty table gives no rows.
+    """
     rows, kept = _texts(df, keep, text)
     encoder, decoder = _encoder(vocabulary, pattern), _decoder(vocabulary, "ids")
     return rows.mapInArrow(lambda batches: decoder(encoder(batches)), StructType([*kept, IDS, ENDS, DECODED]))

@@ -259,7 +259,7 @@ def class_of_each(docs: DataFrame, *, id: str = "doc_id", text: str = "text", **
 
 
 def keep_one(docs: DataFrame, *, id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` with one row left of each class; columns unchanged."""
+    """The rows of ``docs`` with one row left of each class, see ``class_of_each``; columns unchanged."""
     found = cut_lineage(classes(docs, text=text, **options))
     columns = docs.columns
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_doc"), node_of(F.col(text)).alias("node"), F.col(id).alias("_id"))
