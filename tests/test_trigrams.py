@@ -80,3 +80,16 @@ def test_versions_add_and_replace_rows(spark, tmp_path):
 def test_an_empty_table_has_no_hits(spark, tmp_path):
     trigrams.write_index(spark.createDataFrame([], SCHEMA), "key", TEXTS, str(tmp_path))
     assert find(spark, str(tmp_path), "ring") == [] == find(spark, str(tmp_path), "r")
+
+
+def test_one_file_is_folded_by_many_tasks(spark, tmp_path, monkeypatch):
+    """A text is folded once, not for each of its grams, and a table in one piece is spread before its grams are made."""
+    folded, made = [], []
+    real, grams = trigrams.fold, trigrams._grams
+    monkeypatch.setattr(trigrams, "fold", lambda x: folded.append(1) or real(x))
+    monkeypatch.setattr(trigrams, "_grams", lambda x: made.append(len(folded)) or grams(x))
+    df = spark.range(300).select("id", F.concat(F.lit("Ärm "), "id").alias("name")).coalesce(1)
+    trigrams.write_index(df, "id", ["name"], str(tmp_path))
+    # all folding is over when the first gram is made
+    assert folded and set(made) == {len(folded)}
+    assert trigrams.matching_ids(spark, str(tmp_path), "arm 29").count() == 11

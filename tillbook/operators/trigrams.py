@@ -24,9 +24,8 @@ RAREST = 4
 BUCKETS = 64
 
 
-def _grams(x: Column) -> Column:
-    """Different trigrams of a text, case and accents ignored; none for null and shorter texts."""
-    text = fold(x)
+def _grams(text: Column) -> Column:
+    """Different trigrams of a folded text; none for null and shorter texts."""
     starts = F.sequence(F.lit(1), F.length(text) - (GRAM - 1))
     some = F.transform(starts, lambda i: F.substr(text, i, F.lit(GRAM)))
     return F.when(F.length(text) >= GRAM, F.array_distinct(some)).otherwise(F.array().cast("array<string>"))
@@ -50,8 +49,11 @@ def write_index(
     texts = F.array(*[F.col(c).cast("string") for c in columns]).alias("texts")
     rows = df.where(F.col(id).isNotNull()).select(F.col(id).alias("id"), texts, _hashed(F.col(id), buckets).alias("part"))
     rows.repartitionByRange("part", "id").write.mode("overwrite").partitionBy("part").parquet(f"{path}/rows/version={version}")
-    every = F.array_distinct(F.flatten(F.transform("texts", _grams)))
-    grams = rows.select("id", "part", F.explode(every).alias("gram")).withColumn("bucket", _hashed(F.col("gram"), buckets))
+    # a text is folded once, not for each of its grams
+    every = F.array_distinct(F.flatten(F.transform(F.transform("texts", fold), _grams)))
+    # spread first, by number: a table in one small file is one task, but its grams are many times its size
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    grams = rows.repartition(tasks, "id").select("id", "part", F.explode(every).alias("gram")).withColumn("bucket", _hashed(F.col("gram"), buckets))
     (
         grams.repartitionByRange("bucket", "gram", "id").sortWithinPartitions("bucket", "gram", "id")
         .write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings/version={version}")
