@@ -195,3 +195,21 @@ def test_backfills(make):
     old = make("order_items", "id order_id product_id product_code", (1, 1, 1, None), (2, 1, 1, "k"), (3, 1, 5, None))
     codes = make("products", "id product_code", (1, "p1"))
     assert table(lifecycle.with_line_codes(old, codes), "id", "product_code") == [(1, "p1"), (2, "k"), (3, None)]
+
+
+def test_lines_of_a_return_are_shuffled_once(spark, make):
+    """Lines, requests, their parents and the headers: one shuffle of each; rows without an id meet no request."""
+    items = make("order_items", ITEMS, (1, 1, 9, 5, 3, 0), (1, 1, 9, 5, 3, 0), (None, 1, 9, 5, 2, 0), (3, 2, 9, 1, 1, 0), (4, 3, 9, 1, 2, 0), (5, None, 9, 1, 1, 0))
+    orders = make("orders", "id status total_amount", *[(i, "successful", 20) for i in (1, 1, 2, 3)])
+    asked = spark.createDataFrame(
+        [(1, 1, 1), (1, 1, 1), (1, 7, -4), (2, None, 1), (3, 4, 3), (None, 5, 1), (8, 1, 1)], "order_id bigint, line_id bigint, quantity int")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        after, lines, refused = lifecycle.order_returns(orders, items, asked)
+        assert lines._jdf.queryExecution().executedPlan().toString().count("Exchange") == 4
+        # a repeated header repeats figures and reasons, but no line
+        assert table(lines, "id", "order_id", "returned_quantity", "came_back") == [(1, 1, 2, 2)] * 2
+        assert table(after) == [(1, 10.0, "successful")] * 2
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert table(refused) == [(2, "invalid item"), (3, "more than remaining"), (8, "not found"), (None, "not found")]

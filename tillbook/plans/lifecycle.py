@@ -6,7 +6,7 @@ the refused requests with a reason.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillbook.common import MONEY, money_sum
@@ -115,30 +115,42 @@ def _apply_returns(
     refused as a whole. Non-positive quantities are ignored. This only plans, and
     each result repeats what it needs of the others; with ``several`` what they
     share is written once, which pays if more than one is used.
+
+    Lines and requests lie in one table that is shuffled by parent once: what a
+    line is asked for and what holds for its parent are windows over it, so
+    neither is joined back.
     """
     shared = cut_lineage if several else lambda df: df
-    asked = requests.groupBy(F.col(parent).alias("_asker"), F.col("line_id").alias("_line")).agg(
-        F.coalesce(F.sum(F.when(F.col("quantity") > 0, F.col("quantity"))), F.lit(0)).cast("bigint").alias("_asked")
-    )
+    kinds = {f.name: f.dataType for f in items.schema.fields}
     concerned = requests.select(parent).distinct()
-    lines = items.join(concerned, parent, "left_semi")
-    # lines of these parents and what is asked of them, each once; a line asked of another parent finds no match
-    met = lines.join(asked, (lines[parent] == F.col("_asker")) & (lines["id"] == F.col("_line")), "full").withColumn(
-        "_parent", F.coalesce(parent, "_asker")
-    ).withColumn("came_back", F.coalesce("_asked", F.lit(0).cast("bigint")))
-    met = shared(met.drop("_asker", "_line", "_asked"))
-
-    known = F.col("id").isNotNull()
+    lines = items.join(concerned, parent, "left_semi").withColumns({"_line": F.lit(True), "_asked": F.lit(None).cast("bigint")})
+    asked = requests.select(
+        parent, F.col("line_id").alias("id"), F.lit(False).alias("_line"),
+        F.when(F.col("quantity") > 0, F.col("quantity")).cast("bigint").alias("_asked")).repartition(parent)
+    # a row without an id is no known line, whatever asks for it
+    known = F.col("_line") & F.col("id").isNotNull()
+    of_line, of_parent = Window.partitionBy(parent, "id"), Window.partitionBy(parent)
+    # both sides of a join by parent and of a shuffle by it lie alike, so the shuffle of their union is planned only where it is needed
+    met = lines.unionByName(asked, allowMissingColumns=True).repartition(parent).withColumns({
+        "came_back": F.when(known, F.coalesce(F.sum("_asked").over(of_line), F.lit(0))).otherwise(F.coalesce("_asked", F.lit(0))).cast("bigint"),
+        "_unmet": F.when(known, False).otherwise(F.col("id").isNull() | ~F.bool_or("_line").over(of_line)),
+    })
+    met = shared(met.drop("_asked"))
+
     left = F.col("quantity") - F.col("returned_quantity")
     after = left - F.col("came_back")
+    marks = {
+        "_foreign": F.bool_or(F.col("_unmet") & (F.col("came_back") > 0)),
+        "_over": F.bool_or(known & (F.col("came_back") > left)),
+        "all_back": F.bool_and(F.when(known, after <= 0)),
+    }
+    fault = lambda which: F.coalesce(which, F.lit(False))
     status = headers.select(F.col("id").alias("_parent"), F.col("status").alias("_status"))
     verdict = shared(
-        met.groupBy("_parent").agg(
-            F.bool_or(~known & (F.col("came_back") > 0)).alias("_foreign"),
-            F.coalesce(F.bool_or(F.col("came_back") > left), F.lit(False)).alias("_over"),
+        met.groupBy(F.col(parent).alias("_parent")).agg(
+            *[x.alias(name) for name, x in marks.items()],
             money_sum(F.col("price") * F.col("came_back"), known).alias("returned_value"),
             money_sum(F.col("price") * after, known).alias("remaining_value"),
-            F.bool_and(F.when(known, after <= 0)).alias("all_back"),
         ).join(status, "_parent", "left").withColumn(
             "reason",
             F.when(F.col("_status").isNull(), "not found")
@@ -150,10 +162,13 @@ def _apply_returns(
     refused = verdict.where("reason is not null").select(F.col("_parent").alias(parent), "reason")
     # a parent without any line has no figures
     accepted = verdict.where("reason is null and all_back is not null")
+    open_ = headers.where(F.col("status") == open_status).select(F.col("id").alias(parent))
     touched = (
-        met.where(known).join(accepted.select("_parent"), "_parent", "left_semi")
+        met.withColumns({name: x.over(of_parent) for name, x in marks.items()})
+        .where(known & ~fault(F.col("_foreign")) & ~fault(F.col("_over")) & F.col("all_back").isNotNull())
+        .join(open_, parent, "left_semi")
         .withColumn("returned_quantity", F.col("returned_quantity") + F.col("came_back"))
-        .select(*items.columns, "came_back")
+        .select(*[F.col(c).cast(kinds[c]) if c in (parent, "id") else F.col(c) for c in items.columns], "came_back")
     )
     figures = accepted.select(F.col("_parent").alias(parent), "returned_value", "remaining_value", "all_back")
     return touched, figures, refused
