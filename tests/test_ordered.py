@@ -157,3 +157,54 @@ def test_cooldown_matches_a_loop(spark):
             want.add((k, i))
             last[k] = ts.replace(microsecond=0)
     assert got == want
+
+
+def test_requests_in_turn_beside_a_long_key(spark, monkeypatch):
+    """Repeated requests count once, null keys and stocks refuse, columns of any kind go along; a long key goes in rounds."""
+    monkeypatch.setattr(admission, "ROWS_OF_KEY", 40)
+    rnd = random.Random(9)
+    data = [(i, 0 if i % 3 == 0 else i % 7, rnd.randrange(90), rnd.choice([0, 1, 2, 5, None]), ["x"]) for i in range(200)]
+    data += [*[r for r in data[:30] if r[1]], (900, None, 1, 1, []), (901, 8, 1, 1, None)]
+    room = [(k, 9 * k + 6) for k in range(8)] + [(k, 9 * k + 6) for k in range(1, 8)] + [(8, None), (None, 50), (2**40, 5)]
+    requests = spark.createDataFrame(data, "id long, k int, t long, q long, names array<string>")
+    out = admit_in_order(requests, spark.createDataFrame(room, "k long, capacity long"), "k", ["t", "id"], "q", F.floor(F.col("t") / 30))
+    left, want = dict(room), {}
+    for i, k, t, q, _ in sorted({(*r[:4], None) for r in data}, key=lambda r: (r[2], r[0])):
+        want[i] = k is not None and q is not None and left.get(k) is not None and 0 < q <= left[k]
+        if want[i]:
+            left[k] -= q
+    rows = out.collect()
+    assert {r.id: r.admitted for r in rows} == want and sorted(r.id for r in rows) == sorted(r[0] for r in data)
+    assert out.columns == [*requests.columns, "admitted"] and out.schema["k"].dataType == requests.schema["k"].dataType
+
+
+def test_short_keys_are_not_joined_with_their_decisions(spark):
+    """The requests are shuffled whole once; their decisions come in the same pass."""
+    requests = spark.range(100).select("id", (F.col("id") % 9).alias("k"), F.lit(2).alias("q"))
+    out = admit_in_order(requests, spark.range(9).select(F.col("id").alias("k"), F.lit(5).alias("capacity")), "k", ["id"], "q", F.lit(0))
+    assert "Join" not in out._jdf.queryExecution().executedPlan().toString() and out.where("admitted").count() == 18
+
+
+def test_whole_requests_beside_a_long_key(spark, monkeypatch):
+    """Keys of many rows are walked by spans, others in one piece; each round writes one row per request."""
+    monkeypatch.setattr(admission, "ROWS_OF_KEY", 30)
+    monkeypatch.setattr(admission, "ROWS_OF_ALL", 25)
+    written, real = [], admission.cut_lineage
+    monkeypatch.setattr(admission, "cut_lineage", lambda df: written.append(df.columns) or real(df))
+    rnd, lines = random.Random(21), []
+    for r in range(150):
+        lines += [(r, r % 50, 0 if rnd.random() < 0.3 else rnd.randrange(12), -rnd.choice([1, 2, 4])) for _ in range(rnd.choice([1, 2, 4]))]
+    stock = [(k, rnd.choice([3, 8, 30])) for k in range(12)]
+    out = admit_whole(
+        spark.createDataFrame(lines, "r long, t long, k long, d int"), spark.createDataFrame(stock, "k long, opening int"),
+        "r", "k", ["t", "r"], "d", F.floor(F.col("t") / 20))
+    assert {x.r: x.admitted for x in out.collect()} == serve(lines, stock) and ["r", "admitted"] in written
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Aggregate") <= 4 and "Join" not in plan
+
+
+def test_running_in_one_piece(spark):
+    df = spark.createDataFrame([(1, 7, 1, 5), (2, 7, 2, 6), (3, 7, 3, None), (4, None, 1, 9)], "id long, k long, t long, v long")
+    cols = [Running("total", F.col("v")), Running("before", F.col("v"), inclusive=False), Running("high", F.col("v"), "max", False)]
+    got = {r.id: (r.total, r.before, r.high) for r in running_all(df, ["k"], ["t"], cols, null_keys=False).collect()}
+    assert got == {1: (5, 0, None), 2: (11, 5, 5), 3: (11, 11, 6)}
