@@ -59,11 +59,12 @@ def admit_in_order(
     long = cut_lineage(counted.where(F.col("_n") > ROWS_OF_KEY).select(key))
     if long.isEmpty():
         return _in_turn(requests, capacity, key, order, quantity, capacity_col)
-    hot, need = requests.join(long, key, "left_semi"), F.col(quantity).cast(_AMOUNT)
+    short = requests.join(long, key, "left_anti").select(*requests.columns)
+    hot, need = requests.join(long, key, "left_semi").select(*requests.columns), F.col(quantity).cast(_AMOUNT)
     asked = hot.where(need > 0).select(key, *order, need.alias("_need"), (-need).alias("_delta"), bucket.alias("_span"))
     room = capacity.select(F.col(key), F.col(capacity_col).cast(_AMOUNT).alias("_base"))
     in_rounds = _with_decisions(hot, _settle(asked.join(room, key), key, order, None), key, order)
-    return _in_turn(requests.join(long, key, "left_anti"), capacity, key, order, quantity, capacity_col).unionByName(in_rounds)
+    return _in_turn(short, capacity, key, order, quantity, capacity_col).unionByName(in_rounds)
 
 
 def _in_turn(
