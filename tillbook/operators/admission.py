@@ -9,8 +9,9 @@ find has an upper bound (none of the earlier open requests is taken) and a lower
 one (all are); both are running sums per key. A request that fits under all
 lower bounds is taken, one that exceeds an upper bound is refused, and the
 earliest open ones, whose bounds meet, are always decided. From the second round
-on, a bounded number of the earliest open rows is also served one by one, so
-that long chains of doubtful requests don't make as many rounds.
+on, a bounded number of the earliest open rows is also served one by one (of whole
+requests only where rounds are slow or few rows are left), so that long chains of
+doubtful requests don't make as many rounds.
 """
 
 from __future__ import annotations
