@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.conftest import SF, table
+from tillbook.session import cut_lineage
 from tillbook.sources import generate, shop as shops, sinks, testbed
 from tillbook.sources.schema import TABLES, struct_of
 
@@ -143,3 +144,66 @@ def test_history_joins_nothing_by_broadcast(spark):
     slots = generate.weighted_slots(shop.products, "id", F.lit(2)).withColumnRenamed("id", "item")
     picked = generate.weighted_pick(spark.range(50), F.col("id"), slots, F.lit(50))
     assert "SortMergeJoin" in picked._jdf.queryExecution().executedPlan().toString() and picked.count() == 50
+
+
+def test_history_is_dealt_and_drawn_without_writing_it(spark, trade, monkeypatch):
+    """Stores of one file are dealt over tasks before their orders are made; only orders with draws close together are written."""
+    written = []
+    monkeypatch.setattr(generate, "cut_lineage", lambda df: written.append((kept := cut_lineage(df)).count()) or kept)
+    orders, items = generate.demo_orders(trade, trade.users.coalesce(1), "2024-01-31 00:00:00", days=60)
+    assert sum(written) < orders.count() / 2
+    for df in (orders, items):
+        made, below = df._jdf.queryExecution().executedPlan().toString().split("Generate explode(", 1)
+        assert "RoundRobinPartitioning" in below and "Generate explode(" in below
+
+
+def _hash(text: str) -> int:
+    h = 2166136261
+    for ch in text:
+        h = (h ^ ord(ch)) * 16777619 & 0xFFFFFFFF
+    return h
+
+
+def _history(stores, products, customers, days: int):
+    """The history order by order, draw by draw."""
+    key = lambda *parts: ":".join(str(p) for p in parts if p is not None)
+    chance = lambda *parts: _hash(key(42, *parts))
+    on_offer = sorted((p for p in products if p[4]), key=lambda p: (p[0] is not None, p[0] or 0))
+    slots = [p[0] for p in on_offer for _ in range(chance("popularity", p[0]) % 8 + 1)]
+    orders, items = [], set()
+    for store in stores:
+        for ago in range(days + 1):
+            for n in range(1, chance("orders", store, ago) % 6 + 2):
+                name = "-".join(str(p) for p in (store, ago, n) if p is not None)
+                wanted, drawn, d = min(chance("lines", store, ago, n) % 3 + 1, len(set(slots))), [], 0
+                while len(drawn) < wanted:
+                    d += 1
+                    one = slots[chance("product", name, d) % len(slots)]
+                    drawn += [one] if one not in drawn else []
+                own = [(name, i, p[0], p[1], p[2] if not p[3] else round(p[2] * (100 - p[3]) / 100), chance("units", name, one) % 3 + 1)
+                       for i, one in enumerate(drawn, 1) for p in on_offer if one is not None and p[0] == one]
+                items |= set(own)
+                who = sorted(customers)[chance("customer", store, ago, n) % len(customers)]
+                orders += [(name, store, who, sum((x[4] or 0) * x[5] for x in own))] if own else []
+    return sorted(orders, key=str), sorted(items, key=str)
+
+
+STOCK = [(1, "a", 10.0, 0.0, True), (2, "b", 20.0, 10.0, True), (2, "b again", 5.0, 0.0, True), (3, "shut", 1.0, 0.0, False),
+         (None, "no id", 7.0, 0.0, True), (None, "no id", 7.0, 0.0, True), (40, None, None, 0.0, True)]
+
+
+@pytest.mark.parametrize("stock, stores", [
+    (STOCK, [7, 7, None, 12]), ([*STOCK, (-5, "below", 3.0, 0.0, True)], ["x-1", "", None]),
+    ([(i, f"p{i}", float(i), 0.0, True) for i in range(90, 130)], [None, None, 0, 1234567890123]), (STOCK[1:3], [3]), ([], [1]),
+])
+def test_history_draw_by_draw(spark, make, shop_of, stock, stores):
+    """Also with ids that come twice or not at all, and with fewer products than an order has lines."""
+    products = make("products", "id name sale_price discount_percent is_active", *stock)
+    customers = [5, 9, 9, 30]
+    shop = shop_of(products=products, customers=make("customers", "id", *[(c,) for c in customers]))
+    kind = "string" if isinstance(stores[0], str) else "bigint"
+    orders, items = generate.demo_orders(shop, spark.createDataFrame([(s,) for s in stores], f"id {kind}"), "2024-01-31 00:00:00", days=12)
+    want, lines = _history(stores, stock, customers, 12)
+    got = table(items, "order_key", "line_no", "product_id", "product_name", "price", "quantity")
+    assert sorted(got, key=str) == lines and bool(lines) == bool(stock)
+    assert sorted(table(orders, "order_key", "store_id", "customer_id", "total_amount"), key=str) == want
