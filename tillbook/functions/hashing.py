@@ -20,10 +20,11 @@ def fnv1a(key: Column, start: Column | None = None) -> Column:
     )
 
 
-def fnv1a_text(start: Column, text: str) -> Column:
-    """``fnv1a`` of a given text behind the one that ``start`` is the hash of."""
-    for code in text.encode("ascii"):
-        start = _letter(start, F.lit(code), F.lit(_PRIME))
+def fnv1a_text(start: Column | None, text: str) -> Column:
+    """``fnv1a`` of a given text, behind the one that ``start`` is the hash of if there is one."""
+    start = F.lit(_OFFSET).cast("bigint") if start is None else start
+    for letter in text:
+        start = _letter(start, F.lit(ord(letter)), F.lit(_PRIME))
     return start
 
 
